@@ -154,7 +154,7 @@ def project_sample(df: DataFrame, vector: str, fit_sample: int, components: int
     return pca_transform(df, model, vector).drop(vector)
 
 
-def project_features(features: DataFrame, num_features: int, components: int = 2, hashed_dims: int = 1024) -> DataFrame:
+def project_features(features: DataFrame, num_features: int, components: int = 2, hashed_dims: int = 256) -> DataFrame:
     """Map of the features themselves: each feature is its (hashed) activation over rows.
 
     Rows are hashed into at most ``hashed_dims`` signed buckets, so a feature's vector stays

@@ -214,14 +214,14 @@ def join2(spark, sf):
     return J.scope_input_join(source, scope)
 
 
-@query("join4_attach_vectors", "SELECT doc_id AS ls_index, lang, round(e[1]::DOUBLE, 6)+0.0 AS v0, len(e) AS dim FROM documents LEFT JOIN (SELECT vec_id, embedding AS e FROM embeddings) ON vec_id = doc_id")
+@query("join4_attach_vectors", "SELECT doc_id AS ls_index, lang, round(e[1]::DOUBLE, 6)+0.0 AS v0, coalesce(len(e), 0) AS dim FROM documents LEFT JOIN (SELECT vec_id, embedding AS e FROM embeddings) ON vec_id = doc_id")
 def join4(spark, sf):
     rows = X.documents(spark, sf).select("ls_index", "lang")
     got = J.attach_vectors(rows, X.vectors(spark, sf).select("ls_index", "vector"))
     v = F.col("ls_embedding")
     return got.select(
         "ls_index", "lang", rounded(F.try_element_at(v, F.lit(1)).cast("double")).alias("v0"),
-        F.when(v.isNotNull(), F.size(v).cast("long")).alias("dim"),
+        F.when(v.isNotNull(), F.size(v)).otherwise(0).cast("long").alias("dim"),
     )
 
 
@@ -457,14 +457,15 @@ def smp1(spark, sf):
 
 @query(
     "srt1_sort_rows",
-    """SELECT doc_id AS ls_index, quality, row_number() OVER (ORDER BY quality DESC NULLS LAST, doc_id) - 1 AS pos
+    """SELECT doc_id AS ls_index, coalesce(quality, -1) AS quality, row_number() OVER (ORDER BY quality DESC NULLS LAST, doc_id) - 1 AS pos
        FROM documents LEFT JOIN labels USING (doc_id)""",
 )
 def srt1(spark, sf):
     d = X.table(spark, sf, "documents").join(X.table(spark, sf, "labels"), "doc_id", "left")
     d = d.select(F.col("doc_id").alias("ls_index"), "quality")
     in_order = R.sort_rows(d, "quality", ascending=False)
-    return R.assign_row_index(in_order, [F.col("quality").desc_nulls_last(), F.col("ls_index")], "pos")
+    placed = R.assign_row_index(in_order, [F.col("quality").desc_nulls_last(), F.col("ls_index")], "pos")
+    return placed.withColumn("quality", F.coalesce("quality", F.lit(-1)))
 
 
 @query("srt2_page", "SELECT doc_id AS ls_index, n_chars FROM documents ORDER BY n_chars DESC, doc_id LIMIT 50 OFFSET 100")
