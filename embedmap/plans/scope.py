@@ -351,12 +351,12 @@ def agg7(spark, sf):
 
 @query(
     "agg8_color_numeric",
-    """SELECT event_id, try_cast(json_extract_string(props, '$.ref') AS DOUBLE) AS value,
-       min(try_cast(json_extract_string(props, '$.ref') AS DOUBLE)) OVER () AS lo,
-       max(try_cast(json_extract_string(props, '$.ref') AS DOUBLE)) OVER () AS hi FROM events""",
+    """SELECT event_id, try_cast(json_extract_string(props, '$.k') AS DOUBLE) AS value,
+       min(try_cast(json_extract_string(props, '$.k') AS DOUBLE)) OVER () AS lo,
+       max(try_cast(json_extract_string(props, '$.k') AS DOUBLE)) OVER () AS hi FROM events""",
 )
 def agg8(spark, sf):
-    e = X.table(spark, sf, "events").select("event_id", F.get_json_object("props", "$.ref").alias("raw"))
+    e = X.table(spark, sf, "events").select("event_id", F.get_json_object("props", "$.k").alias("raw"))
     return A.color_numeric(e, "raw").drop("raw")
 
 

@@ -66,8 +66,8 @@ def read_vectors(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_indices(spark: SparkSession, glob: str) -> DataFrame:
-    """(tag, ls_index) from text files of one row number per line, named after their tag."""
+    """(tag, ls_index) from text of one row number per line; ``<tag>.indices`` is a file or folder."""
     lines = spark.read.text(glob).withColumn("path", F.input_file_name())
-    tag = F.regexp_extract("path", r"([^/]+)\.indices$", 1)
+    tag = F.regexp_extract("path", r"([^/]+)\.indices(?:/[^/]*)?$", 1)
     number = F.trim("value").cast("double").cast("long")
     return lines.filter(F.trim("value") != "").select(tag.alias("tag"), number.alias("ls_index"))
