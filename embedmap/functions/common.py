@@ -11,7 +11,9 @@ def col(c) -> Column:
 
 
 def clip(c: Column, lo, hi) -> Column:
-    return F.greatest(F.least(c, F.lit(hi)), F.lit(lo))
+    """Value forced into [lo, hi]; null stays null, which least and greatest alone would skip."""
+    lo, hi = (b if isinstance(b, Column) else F.lit(b) for b in (lo, hi))
+    return F.when(c > hi, hi).when(c < lo, lo).otherwise(c)
 
 
 def rounded(c, digits: int = 6) -> Column:

@@ -88,7 +88,7 @@ def grid_bin(c, n) -> Column:
     """Bin 0..n-1 of a coordinate in [-1, 1]; outside values go to the edge bins."""
     n = n if isinstance(n, Column) else F.lit(n)
     raw = F.floor((col(c) + 1) / (F.lit(2.0) / n)).cast("long")
-    return F.greatest(F.least(raw, n.cast("long") - 1), F.lit(0).cast("long"))
+    return clip(raw, F.lit(0).cast("long"), n.cast("long") - 1)
 
 
 def tile_index(x, y, n) -> Column:
@@ -99,7 +99,7 @@ def tile_index(x, y, n) -> Column:
 
 def voxel_index(x, y, z, n: int) -> Column:
     """Flat cell number (z*n+y)*n+x of an n x n x n grid."""
-    bins = [clip(F.floor((col(c) + 1) / 2 * n).cast("long"), 0, n - 1) for c in (x, y, z)]
+    bins = [clip(F.floor((col(c) + 1) / 2 * n).cast("long"), F.lit(0).cast("long"), F.lit(n - 1).cast("long")) for c in (x, y, z)]
     return (bins[2] * n + bins[1]) * n + bins[0]
 
 

@@ -64,36 +64,38 @@ def column_clusters(df: DataFrame, column: str) -> DataFrame:
     return ranked.select("ls_index", F.col("_id").cast("int").alias("raw_cluster"))
 
 
-def connected_components(edges: DataFrame, nodes: DataFrame, max_rounds: int = 100) -> DataFrame:
+def _roots(parents: DataFrame) -> DataFrame:
+    """Follow (a, p) links to their end by doubling; every link points to a smaller id."""
+    while True:
+        up = parents.select(F.col("a").alias("p"), F.col("p").alias("p2"))
+        step = parents.join(up, "p", "left").select("a", F.coalesce("p2", "p").alias("p"), F.col("p2").isNotNull().alias("moved"))
+        step = cut_lineage(step)
+        parents = step.drop("moved")
+        if step.filter("moved").isEmpty():
+            return parents
+
+
+def connected_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, component): the lowest node id reachable over undirected edges (a, b).
 
-    Each round hangs every root under the smallest root seen over its members' edges and then
-    halves the paths, so the number of rounds grows slowly with the graph's diameter. Rounds are
-    checkpointed and stop when nothing moves.
+    Each round every node hangs under its smallest neighbour, the trees are flattened by doubling
+    and the graph is contracted to their roots. Every component with an edge merges with another,
+    so rounds are logarithmic in the number of nodes and edges shrink on the way. Rounds are
+    checkpointed.
     """
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    both = cut_lineage(both.filter("a <> b").distinct())
-    state = cut_lineage(nodes.select("node", F.col("node").alias("component")))
-    for _ in range(max_rounds):
-        comp = state.select(F.col("node").alias("b"), F.col("component").alias("cb"))
-        seen = both.join(comp, "b").groupBy(F.col("a").alias("node")).agg(F.min("cb").alias("m"))
-        low = state.join(seen, "node", "left").select(
-            "node", "component", F.least("component", F.coalesce("m", "component")).alias("m")
-        )
-        # the root of a component takes the smallest value seen by any of its members
-        hook = low.groupBy(F.col("component").alias("root")).agg(F.min("m").alias("hook"))
-        hook = hook.filter("hook < root")
-        up = hook.select(F.col("root").alias("hook"), F.col("hook").alias("hook2"))
-        hook = hook.join(up, "hook", "left").select("root", F.least("hook", F.coalesce("hook2", "hook")).alias("hook"))
-        nxt = state.join(hook, state["component"] == hook["root"], "left").select(
-            "node", F.coalesce("hook", "component").alias("component"), F.col("hook").isNotNull().alias("moved")
-        )
-        nxt = cut_lineage(nxt)
-        moved = nxt.filter("moved").limit(1).count()
-        state = nxt.drop("moved")
-        if not moved:
-            return state
-    raise RuntimeError(f"components still moving after {max_rounds} rounds")
+    graph = cut_lineage(both.filter("a <> b").distinct())
+    state = nodes.select("node", F.col("node").alias("component"))
+    while not graph.isEmpty():
+        parents = graph.groupBy("a").agg(F.min("b").alias("p")).filter("p < a")
+        roots = _roots(parents)
+        at_a, at_b = roots.withColumnRenamed("p", "pa"), roots.withColumnsRenamed({"a": "b", "p": "pb"})
+        graph = graph.join(at_a, "a", "left").join(at_b, "b", "left")
+        graph = graph.select(F.coalesce("pa", "a").alias("a"), F.coalesce("pb", "b").alias("b"))
+        graph = cut_lineage(graph.filter("a <> b").distinct())
+        move = roots.withColumnsRenamed({"a": "component"})
+        state = cut_lineage(state.join(move, "component", "left").select("node", F.coalesce("p", "component").alias("component")))
+    return state
 
 
 def _cell_of(axes: list[str], side: float) -> Column:
