@@ -74,7 +74,7 @@ def repeated_words(c, threshold: int = 100) -> Column:
     After sorting, a word occurs more than ``threshold`` times exactly when some element equals
     the one ``threshold`` places later, so no per-word counting is needed.
     """
-    words = F.array_sort(F.filter(F.split(col(c), r"\s+"), lambda w: w != ""))
+    words = F.sort_array(F.regexp_extract_all(col(c), F.lit(r"(\S+)"), F.lit(1)))
     late = F.slice(words, threshold + 1, F.greatest(F.size(words), F.lit(1)))
     early = F.slice(words, 1, F.greatest(F.size(words) - threshold, F.lit(0)))
     same = F.exists(F.zip_with(early, late, lambda a, b: a == b), lambda hit: hit)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,12 +16,17 @@ def as_doubles(v) -> Column:
     return col(v).cast("array<double>")
 
 
-def total(v: Column) -> Column:
-    return F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x)
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value computed once per row.
 
+    Inside a lambda Spark evaluates a captured expression again for every element; a bound
+    lambda variable is evaluated once.
+    """
+    return F.transform(F.array(value), body)[0]
 
-def dot(a: Column, b: Column) -> Column:
-    return total(F.zip_with(a, b, lambda x, y: x * y))
+
+def total(v: Column) -> Column:
+    return F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x)
 
 
 def norm(v: Column) -> Column:
@@ -28,18 +35,23 @@ def norm(v: Column) -> Column:
 
 def l2_normalize(v, eps: float | None = None) -> Column:
     """Unit vector. With ``eps`` the norm is padded, otherwise a zero vector gives nulls."""
-    v = as_doubles(v)
-    n = norm(v) if eps is None else norm(v) + F.lit(eps)
-    return F.transform(v, lambda x: F.try_divide(x, n))
+    pad = F.lit(0.0 if eps is None else eps)
+    return let(
+        as_doubles(v), lambda w: let(norm(w) + pad, lambda n: F.transform(w, lambda x: F.try_divide(x, n)))
+    )
 
 
 def layer_norm(v, eps: float = 1e-5) -> Column:
     """Zero mean, unit variance per vector."""
-    v = as_doubles(v)
-    n = F.size(v)
-    mean = total(v) / n
-    var = F.aggregate(v, F.lit(0.0), lambda acc, x: acc + (x - mean) * (x - mean)) / n
-    return F.transform(v, lambda x: (x - mean) / F.sqrt(var + F.lit(eps)))
+
+    def centered(w: Column) -> Column:
+        return let(total(w) / F.size(w), lambda mean: F.transform(w, lambda x: x - mean))
+
+    def scaled(c: Column) -> Column:
+        var = F.aggregate(c, F.lit(0.0), lambda acc, x: acc + x * x) / F.size(c)
+        return let(F.sqrt(var + F.lit(eps)), lambda sd: F.transform(c, lambda x: x / sd))
+
+    return let(let(as_doubles(v), centered), scaled)
 
 
 def truncate_dims(v, k: int, eps: float | None = None, layer_normalize: bool = False) -> Column:
@@ -54,23 +66,10 @@ def truncate_token_vectors(tokens, k: int) -> Column:
 
 def mean_vector(tokens) -> Column:
     """Mean of a document's token vectors, scaled to unit length."""
-    tokens = col(tokens).cast("array<array<double>>")
-    zero = F.array_repeat(F.lit(0.0), F.size(tokens[0]))
-    summed = F.aggregate(tokens, zero, lambda acc, t: F.zip_with(acc, t, lambda a, b: a + b))
-    return l2_normalize(F.transform(summed, lambda s: s / F.size(tokens)), EPS)
 
+    def mean(ts: Column) -> Column:
+        zero = F.array_repeat(F.lit(0.0), F.size(ts[0]))
+        summed = F.aggregate(ts, zero, lambda acc, t: F.zip_with(acc, t, lambda a, b: a + b))
+        return let(F.size(ts), lambda n: F.transform(summed, lambda s: s / n))
 
-def cosine_distance(a, b) -> Column:
-    """1 - cos(a, b); null when either vector is zero."""
-    a, b = as_doubles(a), as_doubles(b)
-    return F.lit(1.0) - F.try_divide(dot(a, b), norm(a) * norm(b))
-
-
-def maxsim(query, tokens) -> Column:
-    """Sum over query tokens of the best cosine with any document token; 0 for no tokens."""
-    unit = lambda ts: F.transform(
-        col(ts).cast("array<array<double>>"), lambda t: l2_normalize(t, EPS)
-    )
-    docs = unit(tokens)
-    best = F.transform(unit(query), lambda q: F.array_max(F.transform(docs, lambda t: dot(q, t))))
-    return F.coalesce(F.when(F.size(col(tokens)) > 0, total(best)), F.lit(0.0))
+    return l2_normalize(let(col(tokens).cast("array<array<double>>"), mean), EPS)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from embedmap.functions.scalars import prepare_text
 from embedmap.functions.vectors import EPS
+from embedmap.session import spread
 
 Embed = Callable[[list[str]], np.ndarray]
 
@@ -33,7 +34,7 @@ def embed(docs: DataFrame, text: str, load: Callable[[], Embed], batch_size: int
             vectors = np.asarray(model(pdf["t"].tolist()), dtype=np.float32)
             yield pd.DataFrame({"ls_index": pdf["ls_index"].to_numpy(), "vector": list(vectors)})
 
-    ready = docs.select(F.col("ls_index").cast("long"), prepare_text(text, prefix).alias("t"))
+    ready = spread(docs).select(F.col("ls_index").cast("long"), prepare_text(text, prefix).alias("t"))
     return ready.mapInPandas(run, "ls_index long, vector array<float>")
 
 
@@ -76,7 +77,7 @@ def embed_multi(
                     names=["ls_index", "vector", "token_vectors", "num_tokens"],
                 )
 
-    ready = docs.select(F.col("ls_index").cast("long"), prepare_text(text, prefix).alias("t"))
+    ready = spread(docs).select(F.col("ls_index").cast("long"), prepare_text(text, prefix).alias("t"))
     return ready.mapInArrow(
         run, "ls_index long, vector array<float>, token_vectors array<array<float>>, num_tokens int"
     )
@@ -87,7 +88,7 @@ def hash_embed(docs: DataFrame, text: str, dim: int = 256) -> DataFrame:
 
     Every stage is a per-row transform, so nothing is shuffled.
     """
-    ready = docs.select(F.col("ls_index").cast("long"), prepare_text(text).alias("_t"))
+    ready = spread(docs).select(F.col("ls_index").cast("long"), prepare_text(text).alias("_t"))
     words = RegexTokenizer(inputCol="_t", outputCol="_w", pattern=r"\p{L}+", gaps=False, toLowercase=True)
     counts = HashingTF(inputCol="_w", outputCol="_c", numFeatures=dim)
     unit = Normalizer(inputCol="_c", outputCol="_u", p=2.0)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from embedmap.functions.scalars import clean_label, display_token
 from embedmap.operators.ranking import nearest_to_centroid, token_budget, top_per_group
+from embedmap.session import spread
 
 # fixed values: the common English stop words list
 STOP_WORDS = """
@@ -53,7 +54,7 @@ def top_word_labels(docs: DataFrame, text: str, k: int = 3, group: str = "cluste
 
     Words are counted per row before they meet in a shuffle, and ties go to the lower word.
     """
-    words = docs.select(group, F.explode(F.regexp_extract_all(text, F.lit(r"(\p{L}+)"), F.lit(1))).alias("word"))
+    words = spread(docs).select(group, F.explode(F.regexp_extract_all(text, F.lit(r"(\p{L}+)"), F.lit(1))).alias("word"))
     words = words.filter(~F.lower("word").isin(STOP_WORDS))
     counts = words.groupBy(group, "word").agg(F.count("*").alias("n"))
     top = top_per_group(counts, [group], [F.col("n").desc(), F.col("word").asc()], k)

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from embedmap.functions.vectors import EPS, l2_normalize
@@ -17,23 +17,34 @@ from embedmap.operators.sets import candidate_union, ids_minus
 MAX_DRIVER_QUERIES = 1024  # more queries than this are joined, not sent with the tasks
 
 
-def distance_to(vector: str, query, metric: str = "cosine") -> Column:
-    """Distance of an array column to one query vector, one matrix product per Arrow batch."""
-    q = np.asarray(query, dtype=np.float64)
-    qn = np.sqrt((q * q).sum())
+def _scan(vectors: DataFrame, ids: np.ndarray, q: np.ndarray, limit: int, metric: str, vector: str) -> DataFrame:
+    """(query, ls_index, distance): per Arrow batch the best rows of every query, in one pass.
 
-    @F.arrow_udf("double")
-    def distance(v: pa.Array) -> pa.Array:
-        m = matrix(v)
-        if not len(m):
-            return pa.array([], pa.float64())
-        if metric == "euclidean":
-            return pa.array(np.sqrt(((m - q) ** 2).sum(1)))
-        n = np.sqrt((m * m).sum(1)) * qn
-        d = 1.0 - np.divide(m @ q, n, out=np.full(len(m), np.nan), where=n > 0)
-        return pa.array(d, mask=np.isnan(d))
+    Distances are one matrix product per batch, and only ``limit`` rows (and ties) of a batch
+    leave the task.
+    """
+    cosine = metric == "cosine"
+    q = np.asarray(q, dtype=np.float64)
+    if cosine:
+        q = q / np.maximum(np.sqrt((q * q).sum(1, keepdims=True)), 1e-300)
 
-    return distance(F.col(vector))
+    def run(batches):
+        for b in batches:
+            v = matrix(b.column(vector))
+            rows = b.column("ls_index").to_numpy(zero_copy_only=False)
+            if cosine:
+                n = np.sqrt((v * v).sum(1))
+                v, rows = v[n > 0] / n[n > 0][:, None], rows[n > 0]
+            if not len(v):
+                continue
+            for at, col, dist in best_pairs(q, v, limit, cosine):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids[at]), pa.array(rows[col]), pa.array(dist)],
+                    names=["query", "ls_index", "distance"],
+                )
+
+    rows = vectors.select(F.col("ls_index").cast("long"), vector)
+    return rows.mapInArrow(run, "query long, ls_index long, distance double")
 
 
 def nn_search(
@@ -44,8 +55,8 @@ def nn_search(
     rows = vectors.select("ls_index", vector)
     if scope is not None:
         rows = rows.join(scope.select("ls_index"), "ls_index", "left_semi")
-    found = rows.select("ls_index", distance_to(vector, query, metric).alias("distance"))
-    return found.filter(F.col("distance").isNotNull()).orderBy("distance", "ls_index").limit(limit)
+    found = _scan(rows, np.array([0]), np.asarray(query, dtype=np.float64)[None], limit, metric, vector)
+    return found.select("ls_index", "distance").orderBy("distance", "ls_index").limit(limit)
 
 
 def nn_search_live(vectors: DataFrame, query, deleted: DataFrame, limit: int = 150, top: int = 20) -> DataFrame:
@@ -85,28 +96,7 @@ def batch_search(
         joined = knn_join(left, vectors, limit, metric, vector=vector)
         return joined.withColumnsRenamed({"ls_index": "query", "neighbor": "ls_index"})
     ids = np.array([r["query"] for r in few], dtype=np.int64)
-    q = np.array([r[vector] for r in few], dtype=np.float64)
-    cosine = metric == "cosine"
-    if cosine:
-        q = q / np.maximum(np.sqrt((q * q).sum(1, keepdims=True)), 1e-300)
-
-    def run(batches):
-        for b in batches:
-            v = matrix(b.column(vector))
-            rows = b.column("ls_index").to_numpy(zero_copy_only=False)
-            if cosine:
-                n = np.sqrt((v * v).sum(1))
-                v, rows = v[n > 0] / n[n > 0][:, None], rows[n > 0]
-            if not len(v):
-                continue
-            for at, col, dist in best_pairs(q, v, limit, cosine):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[at]), pa.array(rows[col]), pa.array(dist)],
-                    names=["query", "ls_index", "distance"],
-                )
-
-    rows = vectors.select(F.col("ls_index").cast("long"), vector)
-    found = rows.mapInArrow(run, "query long, ls_index long, distance double")
+    found = _scan(vectors, ids, np.array([r[vector] for r in few]), limit, metric, vector)
     return top_per_group(found, ["query"], ["distance", "ls_index"], limit)
 
 
@@ -115,20 +105,22 @@ def maxsim_scores(query_tokens, docs: DataFrame, tokens: str = "token_vectors")
     q = np.asarray(query_tokens, dtype=np.float64)
     q = q / (np.sqrt((q * q).sum(1, keepdims=True)) + EPS)
 
-    @F.arrow_udf("double")
-    def score(docs_: pa.Array) -> pa.Array:
-        counts = docs_.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-        out = np.zeros(len(counts))
-        if counts.sum():
-            t = matrix(docs_.flatten())
-            t = t / (np.sqrt((t * t).sum(1, keepdims=True)) + EPS)
-            sims = t @ q.T
-            full = counts > 0
-            starts = (np.cumsum(counts) - counts)[full]
-            out[full] = np.maximum.reduceat(sims, starts, axis=0).sum(1)
-        return pa.array(out)
-
-    return docs.select("ls_index", score(F.col(tokens)).alias("score"))
+    def run(batches):
+        for b in batches:
+            lists = b.column(tokens)
+            counts = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            out = np.zeros(len(counts))
+            if counts.sum():
+                t = matrix(lists.flatten())
+                t = t / (np.sqrt((t * t).sum(1, keepdims=True)) + EPS)
+                sims = t @ q.T
+                full = counts > 0
+                starts = (np.cumsum(counts) - counts)[full]
+                out[full] = np.maximum.reduceat(sims, starts, axis=0).sum(1)
+            yield pa.RecordBatch.from_arrays([b.column("ls_index"), pa.array(out)], names=["ls_index", "score"])
+
+    rows = docs.select(F.col("ls_index").cast("long"), tokens)
+    return rows.mapInArrow(run, "ls_index long, score double")
 
 
 def maxsim(query_tokens, docs: DataFrame, limit: int | None = None) -> DataFrame:

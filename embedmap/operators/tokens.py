@@ -4,22 +4,24 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from embedmap.functions.scalars import prepare_text
 from embedmap.operators.joins import scope_join
 from embedmap.operators.ranking import token_offsets
+from embedmap.session import spread, store
 
 # fixed values: a default token is a run of letters
 LETTER_RUN = r"\p{L}+"
 
 
 def letter_runs(text: str) -> list[tuple[str, int, int]]:
-    import regex
-
-    return [(m.group(), m.start(), m.end()) for m in regex.finditer(LETTER_RUN, text)]
+    """Runs of letters with their spans."""
+    return [(m.group(), *m.span()) for m in regex.finditer(LETTER_RUN, text)]
 
 
 def tokenize(
@@ -35,14 +37,27 @@ def tokenize(
 
     def run(batches):
         for b in batches:
-            rows = []
-            for ident, t in zip(b["ls_index"], b["t"]):
-                kept = [x for x in tokenizer(t) if x[0] not in drop]
-                rows += [(ident, pos, s, a, z) for pos, (s, a, z) in enumerate(kept)]
-            yield pd.DataFrame(rows, columns=["ls_index", "token_pos", "token_str", "char_start", "char_end"])
-
-    ready = docs.select(F.col("ls_index").cast("long"), prepare_text(text, prefix).alias("t"))
-    out = ready.mapInPandas(run, "ls_index long, token_pos int, token_str string, char_start int, char_end int")
+            names, starts, ends, sizes = [], [], [], []
+            for t in b.column("t").to_pylist():
+                kept = [x for x in tokenizer(t) if x[0] not in drop] if drop else tokenizer(t)
+                sizes.append(len(kept))
+                for name, start, end in kept:
+                    names.append(name)
+                    starts.append(start)
+                    ends.append(end)
+            sizes = np.array(sizes, dtype=np.int64)
+            first = np.repeat(np.cumsum(sizes) - sizes, sizes)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    b.column("ls_index").take(pa.array(np.repeat(np.arange(len(sizes)), sizes))),
+                    pa.array((np.arange(len(names)) - first).astype(np.int32)),
+                    pa.array(names, pa.string()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32()),
+                ],
+                names=["ls_index", "token_pos", "token_str", "char_start", "char_end"],
+            )
+
+    ready = spread(docs).select(F.col("ls_index").cast("long"), prepare_text(text, prefix).alias("t"))
+    out = ready.mapInArrow(run, "ls_index long, token_pos int, token_str string, char_start int, char_end int")
     return shift_prefix(out, len(prefix)) if prefix else out
 
 
@@ -54,7 +69,11 @@ def shift_prefix(tokens: DataFrame, length: int) -> DataFrame:
 
 
 def number_tokens(tokens: DataFrame) -> DataFrame:
-    """Add the global ``token_index`` in (ls_index, token_pos) order."""
+    """Add the global ``token_index`` in (ls_index, token_pos) order.
+
+    Tokens are stored first, so that a tokenizer runs once for the counts and the rows.
+    """
+    tokens = store(tokens, "tokens")
     counts = tokens.groupBy("ls_index").agg(F.count("*").alias("num_tokens"))
     first = token_offsets(counts).select("ls_index", "first_token")
     index = F.col("first_token") + F.col("token_pos")

@@ -51,3 +51,22 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: fixes sampled range bounds and keeps loops restartable."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def store(df: DataFrame, name: str) -> DataFrame:
+    """Write a table used more than once to the shared folder, and read it back.
+
+    Unlike a checkpoint the copy is columnar, so later uses read only the columns they need.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """At least one task per core for costly row functions, when the input has fewer files.
+
+    A table of many files is left alone: its scan is spread already and a shuffle would be waste.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if len(df.inputFiles()) >= cores else df.repartition(cores)

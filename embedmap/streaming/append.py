@@ -13,7 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 from embedmap.functions.scalars import prepare_text
 from embedmap.operators.project import place_new_rows
 from embedmap.operators.sets import ids_minus
-from embedmap.session import scratch_path
+from embedmap.session import spread, store
 from embedmap.sources.writers import append_vectors, exists
 
 
@@ -90,11 +90,8 @@ def quarantine(
                     {"ls_index": part["ls_index"].to_numpy(), "input": texts, "vector": vectors, "error": errors}
                 )
 
-    spark = docs.sparkSession
-    ready = docs.select(F.col("ls_index").cast("long"), prepare_text(text, prefix).alias("t"))
+    ready = spread(docs).select(F.col("ls_index").cast("long"), prepare_text(text, prefix).alias("t"))
     tried = ready.mapInPandas(run, "ls_index long, input string, vector array<float>, error string")
-    path = scratch_path(spark, "quarantine")
-    tried.write.parquet(path)
-    stored = spark.read.parquet(path)
+    stored = store(tried, "quarantine")
     good = stored.filter("error IS NULL").select("ls_index", "vector")
     return good, stored.filter("error IS NOT NULL").select("ls_index", "input", "error")

@@ -89,28 +89,14 @@ def test_vector_functions(spark):
         cut=V.truncate_dims(v, 2),
         none=V.l2_normalize(zero),
         padded=V.l2_normalize(zero, V.EPS),
-        dist=V.cosine_distance(v, v),
         layered=V.truncate_dims(v, 3, layer_normalize=True),
     )
     assert got["unit"] == [3 / 13, 4 / 13, 12 / 13]
     assert got["cut"] == [0.6, 0.8]
     assert got["none"] == [None, None] and got["padded"] == [0.0, 0.0]
-    assert abs(got["dist"]) < 1e-12
     assert abs(sum(got["layered"])) < 1e-9 and abs(sum(x * x for x in got["layered"]) - 1) < 1e-9
 
 
 def test_drop_binary_columns(spark):
     df = spark.sql("SELECT 1 AS a, X'00' AS b, named_struct('bytes', X'00', 'path', 'p') AS c, array(1) AS d")
     assert S.drop_binary_columns(df).columns == ["a", "d"]
-
-
-def test_maxsim_column_matches_operator(spark):
-    from embedmap.operators.search import maxsim_scores
-
-    docs = spark.createDataFrame([(0, [[1.0, 0.0], [0.6, 0.8]]), (1, []), (2, [[0.0, 2.0]])], "ls_index long, token_vectors array<array<double>>")
-    q = [[1.0, 0.0], [0.0, 3.0]]
-    lit = F.array(*[F.array(*[F.lit(x) for x in t]) for t in q])
-    a = {r[0]: r[1] for r in docs.select("ls_index", V.maxsim(lit, "token_vectors")).collect()}
-    b = {r[0]: r[1] for r in maxsim_scores(q, docs).collect()}
-    assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-9 for k in a)
-    assert abs(a[0] - 1.8) < 1e-6 and a[1] == 0.0
