@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from embedmap.functions import scalars as S
+from embedmap.operators.ranking import assign_row_index, uniform_sample
+from embedmap.session import store
 
 
 def cluster_summary(scope: DataFrame) -> DataFrame:
@@ -43,7 +45,8 @@ def cell_dominant(scope: DataFrame, cell: str) -> DataFrame:
 
 def voxel_cells(scope: DataFrame, n: int) -> DataFrame:
     """Dominant cluster, centre and log density of every occupied voxel; deleted rows skipped."""
-    cells = cell_dominant(scope.filter(~F.col("deleted")), f"voxel_index_{n}")
+    # at most n^3 rows, needed for the maximum and for the rows
+    cells = store(cell_dominant(scope.filter(~F.col("deleted")), f"voxel_index_{n}"), "voxels")
     top = cells.agg(F.max("n")).scalar()
     at = S.voxel_center("cell", n)
     return cells.select(
@@ -70,14 +73,13 @@ def color_categories(df: DataFrame, column: str) -> DataFrame:
     counts = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(
         F.count("*").alias("n")
     )
-    from embedmap.operators.ranking import assign_row_index
-
     return assign_row_index(counts, [F.col("n").desc(), F.col("value").asc()], "category")
 
 
 def color_categorical(df: DataFrame, column: str, categories: DataFrame | None = None) -> DataFrame:
     """Category number per row, -1 for a missing value."""
-    cats = categories if categories is not None else color_categories(df, column)
+    # stored, so the planner knows its size and can broadcast it
+    cats = categories if categories is not None else store(color_categories(df, column), "categories")
     lookup = cats.select(F.col("value").alias(column), "category")
     return df.join(lookup, column, "left").withColumn("category", F.coalesce("category", F.lit(-1)))
 
@@ -98,7 +100,7 @@ def rare_label_fold(df: DataFrame, label: str, threshold: int) -> DataFrame:
     if threshold < 0:
         return df.withColumn("folded", F.col(label))
     rare = df.groupBy(label).agg(F.count("*").alias("_n")).filter(F.col("_n") < threshold)
-    rare = rare.select(label, F.lit(True).alias("_rare"))
+    rare = store(rare.select(label, F.lit(True).alias("_rare")), "rare-labels")
     folded = F.when(F.col("_rare"), "No Topic").otherwise(F.col(label))
     return df.join(rare, label, "left").withColumn("folded", folded).drop("_rare")
 
@@ -181,8 +183,6 @@ def density_grid(points: DataFrame, res: int = 64) -> DataFrame:
 
 def bytes_per_cell(df: DataFrame, image: str, sample: int = 48, seed: int = 42, key: str = "ls_index") -> DataFrame:
     """Mean stored size of an image over a small fixed sample."""
-    from embedmap.operators.ranking import uniform_sample
-
     picked = uniform_sample(df.filter(F.col(image).isNotNull()).select(key, image), sample, seed, key)
     return picked.agg(
         F.avg(F.octet_length(image)).alias("bytes_per_cell"), F.count("*").alias("sampled")

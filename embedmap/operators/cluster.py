@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from embedmap.operators.knn import knn_join
 from embedmap.operators.ranking import assign_row_index
-from embedmap.session import cut_lineage
+from embedmap.session import cut_lineage, store
 
 MAP_AXES = ("x", "y", "z")
 
@@ -28,6 +28,7 @@ def _renumber(df: DataFrame, raw: str, noise: Column | None = None) -> DataFrame
     rows = df if noise is None else df.filter(~noise)
     sizes = rows.groupBy(raw).agg(F.count("*").alias("_n"), F.min("ls_index").alias("_first"))
     order = assign_row_index(sizes, [F.col("_n").desc(), F.col("_first").asc()], "_id").select(raw, "_id")
+    order = store(order, "cluster-numbers")
     numbered = df.join(order, raw, "left")
     return numbered.select("ls_index", F.coalesce(F.col("_id"), F.lit(-1)).cast("int").alias("raw_cluster"))
 

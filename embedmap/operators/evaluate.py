@@ -11,6 +11,7 @@ from embedmap.operators.cluster import map_axes
 from embedmap.operators.knn import knn_join, matrix, squared
 from embedmap.operators.ranking import uniform_sample
 from embedmap.operators.sets import neighbor_overlap
+from embedmap.session import store
 
 # fixed values: silhouette uses a sample of this size above that many rows
 SAMPLE_ABOVE, SAMPLE_ROWS = 50_000, 10_000
@@ -76,7 +77,7 @@ def silhouette(points: DataFrame, cluster: str = "cluster", seed: int = 42) -> D
 def _means(points: DataFrame, cluster: str) -> tuple[list[str], DataFrame]:
     axes = map_axes(points)
     cents = points.groupBy(F.col(cluster).alias("c")).agg(F.count("*").alias("n"), *[F.avg(a).alias(f"m_{a}") for a in axes])
-    return axes, cents
+    return axes, store(cents, "centroids")
 
 
 def calinski_harabasz(points: DataFrame, cluster: str = "cluster") -> DataFrame:
@@ -101,6 +102,7 @@ def davies_bouldin(points: DataFrame, cluster: str = "cluster") -> DataFrame:
     gap = sum(((F.col(a) - F.col(f"m_{a}")) ** 2 for a in axes), F.lit(0.0))
     rows = points.select(F.col(cluster).alias("c"), *axes).join(cents, "c")
     spread = rows.groupBy("c").agg(F.avg(F.sqrt(gap)).alias("s"), *[F.first(f"m_{a}").alias(f"m_{a}") for a in axes])
+    spread = store(spread, "spread")
     # clusters, not rows, are compared: lists of about MEAN_BLOCK clusters meet every cluster once
     parts = max(1, -(-spread.count() // MEAN_BLOCK))
     lists = spread.groupBy(F.pmod(F.xxhash64("c"), F.lit(parts)).alias("block")).agg(
@@ -159,7 +161,7 @@ def equivalence_map(cells: DataFrame) -> DataFrame:
 
 def changed_rows(left: DataFrame, right: DataFrame) -> DataFrame:
     """Rows whose right cluster is not the equivalent of their left cluster."""
-    match = equivalence_map(contingency(left, right))
+    match = store(equivalence_map(contingency(left, right)), "cluster-match")
     a = left.select("ls_index", F.col("cluster").alias("l"))
     b = right.select("ls_index", F.col("cluster").alias("r"))
     return a.join(b, "ls_index").join(match, "l").filter(F.col("r") != F.col("best")).select("ls_index", "l", "r")
@@ -169,7 +171,11 @@ def changed_rows(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def min_max(df: DataFrame, column: str) -> DataFrame:
-    """Scale a column to [0, 1] by its extent; a constant column becomes 0."""
+    """Scale a column to [0, 1] by its extent; a constant column becomes 0.
+
+    The rows are stored first, so that whatever made them runs once for the extent and the rows.
+    """
+    df = store(df, "scores")
     e = df.agg(F.struct(F.min(column).alias("lo"), F.max(column).alias("hi"))).scalar()
     lo, hi = e.getField("lo"), e.getField("hi")
     return df.withColumn(column, F.coalesce(F.try_divide(F.col(column) - lo, hi - lo), F.lit(0.0)))

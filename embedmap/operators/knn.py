@@ -55,9 +55,8 @@ def _pivot_count(rows: int, dims: int) -> int:
     return max(1, min(4096, math.isqrt(rows)))
 
 
-def _pick_pivots(points: DataFrame, rows: int) -> np.ndarray:
+def _pick_pivots(points: DataFrame, rows: int, dims: int) -> np.ndarray:
     """At most 4096 distinct vectors, chosen by hash among a thinned set."""
-    dims = len(points.first()["v"])
     count = _pivot_count(rows, dims)
     h = F.xxhash64("v")
     steps = 1_000_000
@@ -195,11 +194,12 @@ def knn_join(
     rrows = right.select(F.col("ls_index").cast("long"), prep.alias("v")).filter(clean)
     want = k if include_self else k + 1
 
-    rows = rrows.count()
+    size = rrows.agg(F.count("*").alias("rows"), F.max(F.size("v")).alias("dims")).first()
+    rows = size["rows"]
     if rows == 0:
         empty = rrows.select("ls_index", F.col("ls_index").alias("neighbor"), F.lit(0.0).alias("distance"))
         return empty.withColumn("rank", F.lit(1)).limit(0)
-    pivots = _pick_pivots(rrows, rows)
+    pivots = _pick_pivots(rrows, rows, size["dims"])
     cells = len(pivots)
 
     copies = top_per_group(rrows, ["v"], ["ls_index"], want)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -194,10 +196,13 @@ def storage_estimate(df: DataFrame, column: str, dims: int, token_vectors: bool
 
 
 def vector_stats(df: DataFrame, vector: str = "vector") -> DataFrame:
-    """(dim, min, max, n) per dimension."""
-    each = df.select(F.posexplode(F.col(vector)).alias("dim", "v"))
-    return each.groupBy("dim").agg(
-        F.min(F.col("v").cast("double")).alias("min"), F.max(F.col("v").cast("double")).alias("max"), F.count("*").alias("n")
+    """(dim, min, max, n) per dimension, from one aggregate over whole vectors."""
+    stats = Summarizer.metrics("min", "max", "count").summary(array_to_vector(F.col(vector).cast("array<double>")))
+    one = df.select(stats.alias("s")).select(
+        vector_to_array("s.min").alias("lo"), vector_to_array("s.max").alias("hi"), F.col("s.count").alias("n")
+    )
+    return one.select(F.posexplode(F.arrays_zip("lo", "hi")).alias("dim", "b"), "n").select(
+        "dim", F.col("b.lo").alias("min"), F.col("b.hi").alias("max"), "n"
     )
 
 

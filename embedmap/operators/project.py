@@ -9,8 +9,11 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from embedmap.functions.vectors import as_doubles, l2_normalize
-from embedmap.operators.joins import shared_prefix
+from embedmap.functions.vectors import l2_normalize
+from embedmap.operators.joins import aligned_tables_check, shared_prefix
+from embedmap.operators.knn import knn_join
+from embedmap.operators.ranking import uniform_sample
+from embedmap.session import store
 
 AXES = ["x", "y", "z"]
 
@@ -122,36 +125,31 @@ def fit_pca(df: DataFrame, vector: str, components: int) -> PCAModel:
     return PCA(k=components, inputCol="_u", outputCol="_p").fit(unit)
 
 
-def pca_transform(df: DataFrame, model: PCAModel, vector: str, frame_of: DataFrame | None = None) -> DataFrame:
-    """Apply a fitted projection and scale to [-1, 1] (by another table's extent if given)."""
+def pca_transform(df: DataFrame, model: PCAModel, vector: str) -> DataFrame:
+    """Apply a fitted projection, scale to [-1, 1] and drop the vector.
+
+    The few map columns are stored, so vectors are read once and not again for the extent.
+    """
     loadings = model.pc.toArray()
     # signs are arbitrary in PCA: make the largest loading of each axis positive
     signs = [1.0 if loadings[abs(loadings[:, j]).argmax(), j] > 0 else -1.0 for j in range(loadings.shape[1])]
     axes = _axes(loadings.shape[1])
-
-    def place(rows: DataFrame) -> DataFrame:
-        unit = rows.withColumn("_u", array_to_vector(l2_normalize(vector)))
-        at = vector_to_array("_p")
-        out = model.transform(unit).withColumns({a: at[j] * signs[j] for j, a in enumerate(axes)})
-        return out.drop("_u", "_p")
-
-    placed = place(df)
-    bounds = frame_bounds(placed if frame_of is None else place(frame_of), axes)
-    return apply_frame(placed, axes, bounds)
+    unit = df.withColumn("_u", array_to_vector(l2_normalize(vector)))
+    at = vector_to_array("_p")
+    placed = model.transform(unit).withColumns({a: at[j] * signs[j] for j, a in enumerate(axes)})
+    return normalize_frame(store(placed.drop("_u", "_p", vector), "projection"), axes)
 
 
 def project(df: DataFrame, vector: str = "vector", components: int = 2) -> DataFrame:
     """Linear map of unit vectors to 1, 2 or 3 axes in [-1, 1]."""
-    model = fit_pca(df, vector, components)
-    return pca_transform(df, model, vector).select("ls_index", *_axes(components))
+    rows = df.select("ls_index", vector)
+    return pca_transform(rows, fit_pca(rows, vector, components), vector)
 
 
 def project_sample(df: DataFrame, vector: str, fit_sample: int, components: int = 2, key: str = "ls_index") -> DataFrame:
     """Fit on a fixed sample of rows (token maps), place every row."""
-    from embedmap.operators.ranking import uniform_sample
-
     model = fit_pca(uniform_sample(df, fit_sample, key=key), vector, components)
-    return pca_transform(df, model, vector).drop(vector)
+    return pca_transform(df, model, vector)
 
 
 def project_features(features: DataFrame, num_features: int, components: int = 2, hashed_dims: int = 256) -> DataFrame:
@@ -184,9 +182,6 @@ def place_new_rows(old_map: DataFrame, old: DataFrame, new: DataFrame, k: int =
 
     ``old`` and ``new`` are (ls_index, vector). Raises when the map has rows the old vectors lack.
     """
-    from embedmap.operators.knn import knn_join
-    from embedmap.operators.joins import aligned_tables_check
-
     aligned_tables_check(old_map, old)
     fresh = new.join(old_map, "ls_index", "left_anti")
     near = knn_join(fresh, old, k, metric="cosine")
@@ -197,7 +192,3 @@ def place_new_rows(old_map: DataFrame, old: DataFrame, new: DataFrame, k: int =
         *[(F.sum(weight * F.col(a)) / F.sum(weight)).alias(a) for a in axes]
     )
     return old_map.select("ls_index", *axes).unionByName(placed)
-
-
-def unit_vectors(df: DataFrame, vector: str = "vector") -> DataFrame:
-    return df.withColumn(vector, l2_normalize(as_doubles(vector)))

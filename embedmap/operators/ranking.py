@@ -13,7 +13,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from embedmap.functions.common import col
-from embedmap.session import cut_lineage
+from embedmap.functions.scalars import tile_index
+from embedmap.session import cut_lineage, store
 
 # Spark limits groups before the shuffle only up to this many rows per group
 # (spark.sql.optimizer.windowGroupLimitThreshold)
@@ -87,29 +88,36 @@ def nearest_to_centroid(scope: DataFrame, n: int) -> DataFrame:
 
     Clusters with at most ``n`` rows (or ``n`` = 0) keep all members. When fewer than ``n`` raw
     members exist, the pool is the raw members followed by all members, and a row found in both
-    counts twice until after the cut.
+    counts twice until after the cut. Ranking moves keys and coordinates only; other columns
+    (texts) are joined to the few rows that are kept.
     """
+    if n <= 0:
+        return scope.withColumn("centroid_dist", F.lit(None).cast("double"))
+    points = scope.select("ls_index", "cluster", "raw_cluster", "x", "y")
     raw = F.col("raw_cluster") == F.col("cluster")
-    sizes = scope.groupBy("cluster").agg(
+    sizes = points.groupBy("cluster").agg(
         F.count("*").alias("_size"),
         F.count_if(raw).alias("_raw"),
         F.sum("x").alias("_ax"), F.sum("y").alias("_ay"),
         F.sum(F.when(raw, F.col("x"))).alias("_rx"), F.sum(F.when(raw, F.col("y"))).alias("_ry"),
     )
-    if n <= 0:
-        return scope.withColumn("centroid_dist", F.lit(None).cast("double"))
     enough = F.col("_raw") >= n
-    weight = F.when(enough, 0).otherwise(F.col("_size")) + F.col("_raw")
-    add = lambda a, r: (F.when(enough, 0.0).otherwise(F.col(a)) + F.coalesce(F.col(r), F.lit(0.0))) / weight
-    sizes = sizes.select(
-        "cluster", "_size", enough.alias("_enough"), add("_ax", "_rx").alias("_cx"), add("_ay", "_ry").alias("_cy")
+    pool = F.when(enough, 0).otherwise(F.col("_size")) + F.col("_raw")
+
+    def mean(every: str, own: str) -> Column:
+        return (F.when(enough, 0.0).otherwise(F.col(every)) + F.coalesce(F.col(own), F.lit(0.0))) / pool
+
+    # stored, so the planner knows its size and can broadcast it instead of shuffling the points
+    sizes = store(
+        sizes.select("cluster", "_size", enough.alias("_enough"), mean("_ax", "_rx").alias("_cx"), mean("_ay", "_ry").alias("_cy")),
+        "cluster-sizes",
     )
-    rows = scope.join(sizes, "cluster")
+    rows = points.join(sizes, "cluster")
     dist = F.sqrt((F.col("x") - F.col("_cx")) ** 2 + (F.col("y") - F.col("_cy")) ** 2)
     rows = rows.withColumn("_small", F.col("_size") <= n).withColumn(
         "centroid_dist", F.when(~F.col("_small"), dist)
     )
-    # the number of times a row stands in the pool, 0 if it is not a candidate
+    # how often a row stands in the pool, 0 if it is no candidate
     copies = (
         F.when(F.col("_small"), 1)
         .when(F.col("_enough"), raw.cast("int"))
@@ -118,10 +126,10 @@ def nearest_to_centroid(scope: DataFrame, n: int) -> DataFrame:
     pooled = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.lit(2)))).filter(
         F.col("_copy") <= copies
     )
-    kept = top_per_group(pooled, ["cluster"], [F.col("centroid_dist").asc_nulls_last(), "ls_index", "_copy"], n, "_rank")
-    return kept.filter((F.col("_copy") == 1) | F.col("_small")).drop(
-        "_size", "_enough", "_cx", "_cy", "_small", "_copy", "_rank"
-    )
+    order = [F.col("centroid_dist").asc_nulls_last(), "ls_index", "_copy"]
+    kept = top_per_group(pooled, ["cluster"], order, n, "_rank").filter("_copy = 1")
+    kept = store(kept.select("ls_index", "centroid_dist"), "central-members")
+    return scope.join(kept, "ls_index")
 
 
 def token_budget(
@@ -141,15 +149,14 @@ def token_budget(
 
 
 def first_k_per_cell(scope: DataFrame, image: str, resolutions: list[int], k: int) -> DataFrame:
-    """First ``k`` usable images per grid cell in row order, at several resolutions.
+    """(resolution, cell, ls_index, sheet): the first ``k`` usable images per grid cell in row order.
 
-    ``sheet`` 0..k-1 is the position within the cell.
+    ``sheet`` 0..k-1 is the position within the cell. Images themselves are not moved; join them
+    to the result by row id.
     """
-    from embedmap.functions.scalars import tile_index
-
-    live = scope.filter(~F.col("deleted") & F.col(image).isNotNull())
+    live = scope.filter(~F.col("deleted") & F.col(image).isNotNull()).select("ls_index", "x", "y")
     at = live.withColumn("resolution", F.explode(F.array(*[F.lit(r) for r in sorted(set(resolutions))])))
-    at = at.withColumn("cell", tile_index("x", "y", F.col("resolution")))
+    at = at.select("resolution", tile_index("x", "y", F.col("resolution")).alias("cell"), "ls_index")
     top = top_per_group(at, ["resolution", "cell"], ["ls_index"], k)
     return top.withColumn("sheet", F.col("rank") - 1).drop("rank")
 

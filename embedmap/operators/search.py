@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
@@ -10,9 +12,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from embedmap.functions.vectors import EPS, l2_normalize
-from embedmap.operators.knn import best_pairs, knn_join, matrix
-from embedmap.operators.ranking import top_per_group
+from embedmap.operators.knn import best_pairs, knn_join, matrix, squared
+from embedmap.operators.ranking import top_per_group, uniform_sample
 from embedmap.operators.sets import candidate_union, ids_minus
+from embedmap.session import scratch_path
 
 MAX_DRIVER_QUERIES = 1024  # more queries than this are joined, not sent with the tasks
 
@@ -149,43 +152,68 @@ def late_interaction_search(
     return maxsim(q, docs.join(candidates, "ls_index", "left_semi"), final)
 
 
-def ivf_search(
-    vectors: DataFrame, queries: DataFrame, limit: int, nlist: int | None = None, nprobe: int = 8, seed: int = 42
-) -> DataFrame:
-    """Approximate search: k-means cells, exact distances in the nearest ``nprobe`` cells.
+@dataclass
+class IvfIndex:
+    """Vectors stored by coarse cell (a partition folder each) and the cell centres."""
+
+    cells: DataFrame
+    centers: np.ndarray
+
 
-    Below 256 rows every cell is probed, so the answer is exact.
+def ivf_build(vectors: DataFrame, nlist: int | None = None, seed: int = 42) -> IvfIndex:
+    """Partition vectors by k-means cells, trained on a bounded sample.
+
+    A cell is a folder, so a search reads only the folders it probes; inside, rows are spread over
+    several files, so a hot cell is not one task's work.
     """
+    spark = vectors.sparkSession
     n = vectors.count()
-    if n < 256:
-        return batch_search(queries, vectors, limit)
     nlist = nlist or min(256, n // 10)
     unit = vectors.select("ls_index", "vector", array_to_vector(l2_normalize("vector")).alias("features"))
-    model = KMeans(k=nlist, seed=seed, maxIter=10, featuresCol="features", predictionCol="cell").fit(unit)
-    centers = np.array(model.clusterCenters())  # at most 256 vectors
-    cells = model.transform(unit).select("ls_index", "vector", "cell")
-    probes = min(nprobe, len(centers))
-
-    @F.arrow_udf("array<int>")
-    def probe(v: pa.Array) -> pa.Array:
-        m = matrix(v)
-        m = m / np.maximum(np.sqrt((m * m).sum(1, keepdims=True)), 1e-300)
-        d = ((m[:, None, :] - centers[None]) ** 2).sum(2)
-        near = np.argsort(d, axis=1)[:, :probes].astype(np.int32)
-        return pa.array(list(near), pa.list_(pa.int32()))
-
-    asks = queries.select(
-        "query", F.col("vector").alias("q"), F.explode(probe(F.col("vector").cast("array<double>"))).alias("cell")
-    )
-    pairs = cells.join(asks, "cell")
+    train = uniform_sample(unit, min(n, 256 * nlist), seed)
+    model = KMeans(k=nlist, seed=seed, maxIter=10, featuresCol="features", predictionCol="cell").fit(train)
+    path = scratch_path(spark, "ivf")
+    model.transform(unit).select("ls_index", "vector", "cell").write.partitionBy("cell").parquet(path)
+    return IvfIndex(spark.read.parquet(path), np.array(model.clusterCenters()))
+
 
-    @F.arrow_udf("double")
-    def distance(a: pa.Array, b: pa.Array) -> pa.Array:
-        x, y = matrix(a), matrix(b)
-        n2 = np.sqrt((x * x).sum(1) * (y * y).sum(1))
-        return pa.array(1.0 - (x * y).sum(1) / np.maximum(n2, 1e-300))
+def ivf_search(
+    vectors: DataFrame, queries: DataFrame, limit: int, nlist: int | None = None, nprobe: int = 8,
+    index: IvfIndex | None = None,
+) -> DataFrame:
+    """Approximate search: exact distances, but only in the ``nprobe`` cells nearest each query.
 
-    found = pairs.select("query", "ls_index", distance("vector", "q").alias("distance"))
+    Below 256 rows the answer is exact, as no index is worth it; so it is for more queries than
+    the driver should hold, which take the exact join.
+    """
+    few = queries.select("query", "vector").limit(MAX_DRIVER_QUERIES + 1).collect()
+    if len(few) > MAX_DRIVER_QUERIES or (index is None and vectors.limit(256).count() < 256):
+        return batch_search(queries, vectors, limit)
+    index = index or ivf_build(vectors, nlist)
+    ids = np.array([r["query"] for r in few], dtype=np.int64)
+    q = np.array([r["vector"] for r in few], dtype=np.float64)
+    q = q / np.maximum(np.sqrt((q * q).sum(1, keepdims=True)), 1e-300)
+    probes = np.argsort(squared(q, index.centers), axis=1)[:, :nprobe]
+    asked: dict[int, np.ndarray] = {int(c): np.nonzero((probes == c).any(1))[0] for c in np.unique(probes)}
+
+    def run(batches):
+        for b in batches:
+            v = matrix(b.column("vector"))
+            n = np.sqrt((v * v).sum(1))
+            cell = b.column("cell").to_numpy(zero_copy_only=False)
+            rows = b.column("ls_index").to_numpy(zero_copy_only=False)
+            for c in np.unique(cell):
+                mine, who = np.nonzero((cell == c) & (n > 0))[0], asked[int(c)]
+                if not len(mine):
+                    continue
+                for at, col, dist in best_pairs(q[who], v[mine] / n[mine][:, None], limit, True):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(ids[who][at]), pa.array(rows[mine][col]), pa.array(dist)],
+                        names=["query", "ls_index", "distance"],
+                    )
+
+    probed = index.cells.filter(F.col("cell").isin(list(asked))).select(F.col("ls_index").cast("long"), "vector", "cell")
+    found = probed.mapInArrow(run, "query long, ls_index long, distance double")
     return top_per_group(found, ["query"], ["distance", "ls_index"], limit)
 
 

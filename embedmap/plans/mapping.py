@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from embedmap.operators import cluster as C
 from embedmap.operators import evaluate as E
+from embedmap.operators import layout as LY
 from embedmap.operators import project as P
 from embedmap.plans import fixtures as X
 from embedmap.plans.fixtures import r6, with_map, with_scope, with_vectors
@@ -24,6 +25,12 @@ for _k in (1, 2, 3):
     query(f"prj1_project_{_k}d")(partial(_project, components=_k))
 
 
+@query("prj2_graph_layout")
+def prj2(spark, sf):
+    v = X.vectors(spark, sf).select("ls_index", F.col("e").alias("vector"))
+    return LY.graph_layout(v, P.project(v), k=10, epochs=3)
+
+
 @query("prj3_project_features")
 def prj3(spark, sf):
     return P.project_features(X.features(spark, sf), 64)

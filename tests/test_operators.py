@@ -447,3 +447,30 @@ def test_rare_labels_off_below_zero(spark):
     df = table(spark, [("a",), ("a",), ("b",)], "label string")
     fold = lambda t: sorted(r["folded"] for r in A.rare_label_fold(df, "label", t).collect())
     assert fold(2) == ["No Topic", "a", "a"] and fold(-1) == ["a", "a", "b"]
+
+
+def test_graph_layout_separates_topics(spark):
+    from embedmap.operators import layout as LY
+
+    a, b = LY.curve(0.1)
+    assert abs(a - 1.577) < 0.02 and abs(b - 0.895) < 0.01
+    rng = np.random.default_rng(8)
+    base = np.eye(12)[:3]
+    rows = [(i * 3, (base[i % 3] + rng.normal(scale=0.05, size=12)).tolist()) for i in range(90)]
+    vectors = table(spark, rows, "ls_index long, vector array<double>")
+    m = LY.graph_layout(vectors, P.project(vectors), k=8, epochs=5).toPandas().sort_values("ls_index")
+    p = m[["x", "y"]].to_numpy()
+    assert len(p) == 90 and abs(p).max() <= 1 + 1e-9
+    d = np.sqrt(((p[:, None] - p[None]) ** 2).sum(2)) + np.eye(90) * 9
+    topic = np.arange(90) % 3
+    near = np.argsort(d, axis=1)[:, :5]
+    assert (topic[near] == topic[:, None]).mean() > 0.9
+
+
+def test_fuzzy_graph_weights(spark):
+    from embedmap.operators import layout as LY
+
+    pts = [(0, [0.0]), (1, [1.0]), (2, [3.0]), (3, [7.0])]
+    g = LY.fuzzy_graph(table(spark, pts, "ls_index long, vector array<double>"), 2, "euclidean").collect()
+    assert {(r["a"], r["b"]) for r in g} >= {(0, 1), (1, 2)} and all(0 < r["w"] <= 1 for r in g)
+    assert [r["w"] for r in g if (r["a"], r["b"]) == (0, 1)] == [1.0]
