@@ -412,7 +412,7 @@ def win2(spark, sf):
 @query(
     "win3_first_k_per_cell",
     with_scope("""SELECT resolution, cell, ls_index, sheet FROM (SELECT resolution, cell, ls_index,
-         row_number() OVER (PARTITION BY resolution, cell ORDER BY ls_index) - 1 AS sheet FROM (
+         CAST(row_number() OVER (PARTITION BY resolution, cell ORDER BY ls_index) - 1 AS INT) AS sheet FROM (
          SELECT ls_index, r AS resolution, least(greatest(CAST(floor((y+1)/(2.0/r)) AS BIGINT),0),r-1)*r
            + least(greatest(CAST(floor((x+1)/(2.0/r)) AS BIGINT),0),r-1) AS cell
          FROM scope, (SELECT unnest([4, 8, 64]) AS r) WHERE NOT deleted)) WHERE sheet < 2"""),
