@@ -14,10 +14,10 @@ from embedmap.session import store
 
 def cluster_summary(scope: DataFrame) -> DataFrame:
     """Rows per cluster, for clusters with at least one row that is not deleted."""
-    per = scope.groupBy("cluster").agg(
-        F.min("label").alias("label"),
-        F.count("*").alias("count"),
-        F.count_if(~F.col("deleted")).alias("live"),
+    # counted by label first: a string minimum over all rows would need a sort, this needs a hash
+    part = scope.groupBy("cluster", "label").agg(F.count("*").alias("_n"), F.count_if(~F.col("deleted")).alias("_live"))
+    per = part.groupBy("cluster").agg(
+        F.min("label").alias("label"), F.sum("_n").alias("count"), F.sum("_live").alias("live")
     )
     return per.filter(F.col("live") > 0)
 
@@ -32,9 +32,9 @@ def tile_density(scope: DataFrame, cell: str) -> DataFrame:
 
 def cell_dominant(scope: DataFrame, cell: str) -> DataFrame:
     """Per cell its row count and most frequent cluster, ties to the lowest id."""
-    per = scope.groupBy(F.col(cell).alias("cell"), "cluster").agg(
-        F.count("*").alias("_n"), F.min("label").alias("label")
-    )
+    # hash counts of all rows, then labels and the winner on the small table of counts
+    part = scope.groupBy(F.col(cell).alias("cell"), "cluster", "label").agg(F.count("*").alias("_n"))
+    per = part.groupBy("cell", "cluster").agg(F.sum("_n").alias("_n"), F.min("label").alias("label"))
     best = F.max_by(F.struct("cluster", "label"), F.struct(F.col("_n"), -F.col("cluster")))
     return (
         per.groupBy("cell")

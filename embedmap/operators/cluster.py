@@ -234,8 +234,9 @@ def cluster_space(
 
 def noise_to_unclustered(raw: DataFrame) -> DataFrame:
     """Noise becomes one extra cluster after the highest real id (0 if nothing is real)."""
-    top = raw.filter(F.col("raw_cluster") != -1).agg(F.coalesce(F.max("raw_cluster"), F.lit(-1)) + 1).scalar()
-    return raw.withColumn("cluster", F.when(F.col("raw_cluster") == -1, top).otherwise(F.col("raw_cluster")))
+    top = raw.filter(F.col("raw_cluster") != -1).agg(F.max("raw_cluster")).first()[0]
+    extra = F.lit(0 if top is None else top + 1)
+    return raw.withColumn("cluster", F.when(F.col("raw_cluster") == -1, extra).otherwise(F.col("raw_cluster")))
 
 
 def noise_to_nearest(points: DataFrame) -> DataFrame:

@@ -176,9 +176,9 @@ def min_max(df: DataFrame, column: str) -> DataFrame:
     The rows are stored first, so that whatever made them runs once for the extent and the rows.
     """
     df = store(df, "scores")
-    e = df.agg(F.struct(F.min(column).alias("lo"), F.max(column).alias("hi"))).scalar()
-    lo, hi = e.getField("lo"), e.getField("hi")
-    return df.withColumn(column, F.coalesce(F.try_divide(F.col(column) - lo, hi - lo), F.lit(0.0)))
+    lo, hi = df.agg(F.min(column), F.max(column)).first()
+    constant = lo is None or lo == hi
+    return df.withColumn(column, F.col(column) * 0.0 if constant else (F.col(column) - lo) / (hi - lo))
 
 
 def _shift(left: DataFrame, right: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.ml.feature import PCA, PCAModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from embedmap.functions.vectors import l2_normalize
@@ -18,21 +18,21 @@ from embedmap.session import store
 AXES = ["x", "y", "z"]
 
 
-def frame_bounds(df: DataFrame, axes: list[str]) -> Column:
-    """Scalar struct of min and max per axis."""
+def frame_bounds(df: DataFrame, axes: list[str]) -> dict[str, float]:
+    """Min and max per axis: one aggregate row, used as plain constants afterwards."""
     parts = []
     for a in axes:
         parts += [F.min(a).alias(f"{a}_min"), F.max(a).alias(f"{a}_max")]
-    return df.agg(F.struct(*parts)).scalar()
+    return df.agg(*parts).first().asDict()
 
 
-def apply_frame(df: DataFrame, axes: list[str], bounds: Column | dict[str, float]) -> DataFrame:
+def apply_frame(df: DataFrame, axes: list[str], bounds: dict[str, float]) -> DataFrame:
     """Scale axes by stored bounds; new points may leave [-1, 1]. A flat axis becomes 0."""
-    get = (lambda k: F.lit(bounds[k])) if isinstance(bounds, dict) else bounds.getField
     scaled = {}
     for a in axes:
-        lo, hi = get(f"{a}_min"), get(f"{a}_max")
-        scaled[a] = F.when(hi == lo, 0.0).otherwise(F.try_divide(2 * (F.col(a) - lo), hi - lo) - 1)
+        lo, hi = bounds[f"{a}_min"], bounds[f"{a}_max"]
+        flat = lo is None or lo == hi
+        scaled[a] = F.col(a) * 0.0 if flat else 2 * (F.col(a) - F.lit(lo)) / F.lit(hi - lo) - 1
     return df.withColumns(scaled)
 
 
@@ -88,13 +88,13 @@ def fit_similarity(pairs: DataFrame, group: list[str] | None = None) -> DataFram
 
 
 def apply_similarity(df: DataFrame, fit: DataFrame) -> DataFrame:
-    """Move x, y by a one-row fit, read as a scalar so the points are not shuffled."""
-    f = fit.select(F.struct("c", "r11", "r12", "r21", "r22", "tx", "ty")).scalar()
-    g = f.getField
+    """Move x, y by a one-row fit."""
+    f = fit.first()
+    x, y = F.col("x"), F.col("y")
     return df.withColumns(
         {
-            "x": g("c") * (g("r11") * F.col("x") + g("r12") * F.col("y")) + g("tx"),
-            "y": g("c") * (g("r21") * F.col("x") + g("r22") * F.col("y")) + g("ty"),
+            "x": f["c"] * (f["r11"] * x + f["r12"] * y) + f["tx"],
+            "y": f["c"] * (f["r21"] * x + f["r22"] * y) + f["ty"],
         }
     )
 
