@@ -277,7 +277,8 @@ def test_graph_clusters_find_planted_topics(spark):
     got = C.graph_clusters(table(spark, rows, "ls_index long, vector array<double>"), k=10).toPandas().set_index("ls_index")["raw_cluster"].sort_index()
     assert got.max() == 2
     for g in range(3):
-        assert got.loc[g * 40 : g * 40 + 39].nunique() == 1
+        members = got.loc[g * 40 : g * 40 + 39]
+        assert members[members >= 0].nunique() == 1 and (members < 0).sum() <= 2  # a row without mutual neighbours is noise
 
 
 def test_hulls_of_square_with_copies(spark):
