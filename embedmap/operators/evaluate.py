@@ -27,9 +27,10 @@ def silhouette(points: DataFrame, cluster: str = "cluster", seed: int = 42) -> D
     """
     axes = map_axes(points)
     rows = points.select("ls_index", F.col(cluster).cast("int").alias("c"), F.array(*[F.col(a).cast("double") for a in axes]).alias("v"))
-    if rows.limit(SAMPLE_ABOVE + 1).count() > SAMPLE_ABOVE:
-        rows = uniform_sample(rows, SAMPLE_ROWS, seed)
-    parts = -(-SAMPLE_ABOVE // MEAN_BLOCK)
+    scored = rows.limit(SAMPLE_ABOVE + 1).count()
+    if scored > SAMPLE_ABOVE:
+        rows, scored = uniform_sample(rows, SAMPLE_ROWS, seed), SAMPLE_ROWS
+    parts = max(1, -(-scored // MEAN_BLOCK))
     block = F.pmod(F.xxhash64("ls_index"), F.lit(parts)).alias("block")
     right = rows.groupBy(block).agg(F.collect_list(F.struct("c", "v")).alias("right"))
     left = rows.groupBy(F.pmod(F.xxhash64("ls_index"), F.lit(parts)).alias("home")).agg(

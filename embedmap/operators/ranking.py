@@ -19,6 +19,8 @@ from embedmap.session import cut_lineage, store
 # Spark limits groups before the shuffle only up to this many rows per group
 # (spark.sql.optimizer.windowGroupLimitThreshold)
 GROUP_LIMIT = 1000
+# a sample of up to this many rows is merged in one task
+DIRECT_SAMPLE = 100_000
 
 
 def top_per_group(df: DataFrame, group: list[str], order: list, n: int, rank: str = "rank") -> DataFrame:
@@ -186,14 +188,22 @@ def recent_distinct(df: DataFrame, key: str, ts: str, k: int = 5) -> DataFrame:
 def uniform_sample(df: DataFrame, n: int, seed: int = 42, key: str = "ls_index") -> DataFrame:
     """Exactly ``n`` rows without replacement, the same ones on every run.
 
-    A small sample is a top-n by hashed key; a large one is numbered in hash order so that no
-    single task holds it.
+    The sample is the ``n`` lowest hashed keys. A small one is a plain top-n. For a large one a
+    bound on the hash first keeps little more than ``n`` rows, and only those are sorted and
+    numbered, in many tasks; should the bound keep too few, all rows are.
     """
     h = F.xxhash64(F.col(key), F.lit(seed))
-    if n <= 100_000:
+    if n <= DIRECT_SAMPLE:
         return df.orderBy(h, key).limit(n)
-    numbered = assign_row_index(df.withColumn("_h", h), [F.col("_h"), F.col(key)], "_order")
-    return numbered.filter(F.col("_order") < n).drop("_order", "_h")
+    total = df.count()
+    if n >= total:
+        return df
+    share = (1.2 * n + 1000) / total
+    some = df if share >= 1 else df.filter(h <= F.lit(int(share * 2**64) - 2**63))
+    if share < 1 and some.count() < n:
+        some = df
+    numbered = assign_row_index(some.withColumn("_h", h), [F.col("_h"), F.col(key)], "_order")
+    return numbered.filter(F.col("_order") < n).select(*df.columns)
 
 
 def sort_rows(df: DataFrame, column: str, ascending: bool = True, tie: str = "ls_index") -> DataFrame:

@@ -12,15 +12,20 @@ from pyspark.sql import types as T
 IMAGE_FILES = ["png", "jpg", "jpeg", "webp", "gif"]
 
 
-def read_table(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
-    """Read by file ending. Give a schema for big csv or json to save the inference pass."""
+def read_table(
+    spark: SparkSession, path: str, schema: T.StructType | str | None = None, multi_line: bool = True
+) -> DataFrame:
+    """Read by file ending. Give a schema for big csv or json to save the inference pass.
+
+    Quoted csv fields may span lines; turn ``multi_line`` off for big csv files without such
+    fields, as only then one file can be split over tasks.
+    """
     ending = os.path.splitext(path.rstrip("/"))[1].lower().lstrip(".")
     reader = spark.read if schema is None else spark.read.schema(schema)
     if ending == "parquet":
         return reader.parquet(path)
     if ending == "csv":
-        # quoted fields may span lines, as a data frame library writes them
-        return reader.csv(path, header=True, inferSchema=schema is None, multiLine=True, escape='"')
+        return reader.csv(path, header=True, inferSchema=schema is None, multiLine=multi_line, escape='"')
     if ending == "jsonl":
         return reader.json(path)
     if ending == "json":
