@@ -301,12 +301,16 @@ def feat5(spark, sf):
     return r6(FE.long_features(X.features(spark, sf)), "act")
 
 
-@query("feat5_sparse_vector")
+@query(
+    "feat5_sparse_vector",
+    f"""WITH {X.FEATURES_SQL} SELECT a.ls_index, CAST(d AS INT) AS feature_id, round(coalesce(act, 0),6)+0.0 AS act
+        FROM (SELECT ls_index, unnest(range(64)) AS d FROM v) a LEFT JOIN feat f ON f.ls_index = a.ls_index AND f.feature_id = d""",
+)
 def feat5_vector(spark, sf):
     from pyspark.ml.functions import vector_to_array
 
     f = X.features(spark, sf)
-    return f.select("ls_index", F.size(vector_to_array(FE.sparse_vector(64))).alias("dims"))
+    return r6(f.select("ls_index", F.posexplode(vector_to_array(FE.sparse_vector(64))).alias("feature_id", "act")), "act")
 
 
 @query(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -233,28 +235,38 @@ def _doc_scope(spark, sf):
     return X.scope(spark, sf).select("ls_index", "x", "y", "cluster", "raw_cluster").join(docs, "ls_index")
 
 
-@query("lab4_label_with")
+# members nearest each cluster's centroid, within a budget of characters
+EXTRACTS_SQL = """sd AS (SELECT s.*, d.text, least(n_chars, 2000) AS used_tokens FROM scope s JOIN documents d ON doc_id = ls_index),
+sz AS (SELECT cluster, count(*) AS size, count(*) FILTER (WHERE raw_cluster = cluster) AS nraw FROM sd GROUP BY cluster),
+pool AS (SELECT sd.cluster, sd.ls_index, sd.x, sd.y FROM sd JOIN sz USING (cluster) WHERE raw_cluster = cluster
+  UNION ALL SELECT sd.cluster, sd.ls_index, sd.x, sd.y FROM sd JOIN sz USING (cluster) WHERE nraw < 10),
+c AS (SELECT cluster, avg(x) AS cx, avg(y) AS cy FROM pool GROUP BY cluster),
+d AS (SELECT cluster, ls_index, sqrt((x-cx)**2+(y-cy)**2) AS dist FROM pool JOIN c USING (cluster)),
+r AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY dist, ls_index) AS rn FROM d),
+near AS (SELECT DISTINCT cluster, ls_index, dist FROM r WHERE rn <= 10),
+picked AS (SELECT * FROM (SELECT near.*, used_tokens, text, sum(used_tokens) OVER (PARTITION BY near.cluster ORDER BY dist, ls_index) AS run
+  FROM near JOIN sd USING (cluster, ls_index)) WHERE run <= 8000)"""
+
+
+@query(
+    "lab4_label_with",
+    rf"""WITH {X.SCOPE_SQL}, {EXTRACTS_SQL},
+    w AS (SELECT cluster, unnest(regexp_split_to_array(text, '[ \t\n\r\f]+')) AS word FROM picked),
+    best AS (SELECT cluster, CASE WHEN cluster = 10 THEN 'Unclustered' ELSE '**' || word || '** "sample"' || chr(10) END AS label_raw FROM
+      (SELECT cluster, word, row_number() OVER (PARTITION BY cluster ORDER BY length(word) DESC, word) AS rn FROM w) WHERE rn = 1)
+    SELECT cluster, label_raw, array_to_string(list_slice(string_split(trim(regexp_replace(regexp_replace(label_raw,
+      '<\|eot_id\|>|[*"'']', '', 'g'), '\s+', ' ', 'g')), ' '), 1, 5), ' ') AS label FROM best""",
+)
 def lab4(spark, sf):
     def longest_word(texts):
-        words = sorted({w for t in texts for w in t.split()}, key=lambda w: (-len(w), w))
-        return f'**{words[0]}** "sample"\n' if words else "Empty"
+        words = {w for t in texts for w in re.split(r"[ \t\n\r\f]+", t)}
+        return f'**{min(words, key=lambda w: (-len(w), w))}** "sample"\n'
 
-    picked = L.extracts(_doc_scope(spark, sf), "text", 10, "n_chars", 2000, 20000)
+    picked = L.extracts(_doc_scope(spark, sf), "text", 10, "n_chars", 2000, 8000)
     return L.label_with(picked, longest_word, "text", skip=[10])
 
 
-@query(
-    "lab4_extracts",
-    with_scope("""SELECT cluster, ls_index, used_tokens FROM (SELECT *, sum(used_tokens) OVER (PARTITION BY cluster ORDER BY dist, ls_index) AS run FROM (
-      WITH sd AS (SELECT s.*, least(n_chars, 2000) AS used_tokens FROM scope s JOIN documents ON doc_id = ls_index),
-      sz AS (SELECT cluster, count(*) AS size, count(*) FILTER (WHERE raw_cluster = cluster) AS nraw FROM sd GROUP BY cluster),
-      pool AS (SELECT sd.cluster, sd.ls_index, sd.x, sd.y, used_tokens FROM sd JOIN sz USING (cluster) WHERE raw_cluster = cluster
-        UNION ALL SELECT sd.cluster, sd.ls_index, sd.x, sd.y, used_tokens FROM sd JOIN sz USING (cluster) WHERE nraw < 10),
-      c AS (SELECT cluster, avg(x) AS cx, avg(y) AS cy FROM pool GROUP BY cluster),
-      d AS (SELECT cluster, ls_index, used_tokens, sqrt((x-cx)**2+(y-cy)**2) AS dist FROM pool JOIN c USING (cluster)),
-      r AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY dist, ls_index) AS rn FROM d)
-      SELECT DISTINCT cluster, ls_index, used_tokens, dist FROM r WHERE rn <= 10)) WHERE run <= 8000"""),
-)
+@query("lab4_extracts", f"WITH {X.SCOPE_SQL}, {EXTRACTS_SQL} SELECT cluster, ls_index, used_tokens FROM picked")
 def lab4_extracts(spark, sf):
     return L.extracts(_doc_scope(spark, sf), "text", 10, "n_chars", 2000, 8000).select("cluster", "ls_index", "used_tokens")
 
