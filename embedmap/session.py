@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,8 +24,8 @@ def local_session(cores: int | str = 8, name: str = "embedmap") -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    When the setting is missing a temporary folder is used in local mode only: on a cluster a
-    machine-local folder would lose data with its executor.
+    When the setting is missing, a folder in the session's warehouse is used, which a cluster
+    shares as well.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -34,9 +33,7 @@ def shared_dir(spark: SparkSession) -> str:
     if named is None:
         if current is not None:
             return current
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-        named = tempfile.mkdtemp(prefix="embedmap-checkpoint-")
+        named = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/.scratch"
     if current is None:
         sc.setCheckpointDir(named)
     return named
