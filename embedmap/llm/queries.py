@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from embedmap.llm.lang_id import identify
 from embedmap.llm.near_dup import near_duplicates
 from embedmap.llm.tables import query, table
 
 WORDS = r"list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
 
+@query("op1_language_id")
+def op1(spark, sf):
+    return identify(table(spark, sf, "documents"))
+
+
 @query(
     "op10_minhash_near_dedup",
     rf"""WITH RECURSIVE w AS MATERIALIZED (SELECT doc_id, {WORDS} AS w FROM documents),
