@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import public_tokenizers
+
+from embedmap.llm import bpe, secrets
 from embedmap.llm.lang_id import identify
 from embedmap.llm.near_dup import near_duplicates
 from embedmap.llm.tables import query, table
@@ -14,6 +17,17 @@ def op1(spark, sf):
     return identify(table(spark, sf, "documents"))
 
 
+@query("op7_secret_scan")
+def op7(spark, sf):
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return secrets.digests(secrets.secret_spans(table(spark, sf, "documents"), path, public_tokenizers.PATTERN))
+
+
+@query("op8_bpe")
+def op8(spark, sf):
+    return bpe.digests(bpe.bpe_roundtrip(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json")))
+
+
 @query(
     "op10_minhash_near_dedup",
     rf"""WITH RECURSIVE w AS MATERIALIZED (SELECT doc_id, {WORDS} AS w FROM documents),
