@@ -7,6 +7,7 @@ import public_tokenizers
 from embedmap.llm import bpe, secrets
 from embedmap.llm.lang_id import identify
 from embedmap.llm.near_dup import near_duplicates
+from embedmap.llm.substrings import drop_repeats
 from embedmap.llm.tables import query, table
 
 WORDS = r"list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
@@ -17,6 +18,23 @@ def op1(spark, sf):
     return identify(table(spark, sf, "documents"))
 
 
+@query(
+    "op6_substring_dedup",
+    r"""WITH w AS MATERIALIZED (SELECT doc_id, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+    p AS (SELECT doc_id, unnest(range(1, len(w) - 33)) AS p, w FROM w WHERE len(w) >= 35),
+    k AS MATERIALIZED (SELECT doc_id, p, md5(array_to_string(w[p:p + 34], ' ')) AS k FROM p),
+    r AS MATERIALIZED (SELECT doc_id, p FROM k JOIN (SELECT k FROM k GROUP BY k HAVING count(*) > 1) USING (k)),
+    g AS MATERIALIZED (SELECT DISTINCT doc_id, unnest(range(p, p + 35)) AS i FROM r),
+    e AS (SELECT doc_id, generate_subscripts(w, 1) AS i, unnest(w) AS word FROM w),
+    s AS (SELECT e.doc_id, count(*) FILTER (g.i IS NOT NULL) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY e.i) FILTER (g.i IS NULL), '') AS kept
+        FROM e LEFT JOIN g ON e.doc_id = g.doc_id AND e.i = g.i GROUP BY e.doc_id)
+    SELECT w.doc_id, CAST(coalesce(len(w.w), 0) AS BIGINT) AS n_words, coalesce(s.n_removed, 0) AS n_removed, sha256(coalesce(s.kept, '')) AS kept_sha256
+    FROM w LEFT JOIN s ON w.doc_id = s.doc_id""",
+)
+def op6(spark, sf):
+    return drop_repeats(table(spark, sf, "documents"), window=35, keep_text=False).drop("kept")
+
+
 @query("op7_secret_scan")
 def op7(spark, sf):
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
