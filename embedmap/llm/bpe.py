@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from embedmap.llm.words import slices
+from embedmap.llm.words import arrow_rows, slices
 
 KNOWN_WORDS = 200_000  # encodings a worker remembers; only memory and speed depend on it
 
@@ -185,7 +185,7 @@ def bpe_roundtrip(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
                     names=["id", "ids", "decoded"],
                 )
 
-    found = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(rows, "id long, ids array<int>, decoded string")
+    found = arrow_rows(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), rows, "id long, ids array<int>, decoded string")
     return found.withColumnRenamed("id", id_col)
 
 

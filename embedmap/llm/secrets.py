@@ -18,7 +18,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from embedmap.llm.words import Slice, slices
+from embedmap.llm.words import Slice, arrow_rows, slices
 
 # fixed values: the base kinds, in their order, with their patterns and least lengths
 KINDS = ("assign", "access", "hex", "token")
@@ -139,7 +139,7 @@ def secret_spans(docs: DataFrame, vocabulary_path: str, pattern: str, id_col: st
                 yield pa.record_batch([batch.column(0).slice(part.lo, part.hi - part.lo), pa.array(spans, pa.list_(kind))], names=["id", "spans"])
 
     found = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    found = found.mapInArrow(rows, "id long, spans array<struct<kind string, start long, end long>>")
+    found = arrow_rows(found, rows, "id long, spans array<struct<kind string, start long, end long>>")
     return found.withColumnRenamed("id", id_col)
 
 

@@ -7,12 +7,13 @@ into slices of bounded bytes; a longer text is a slice of its own.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
 SLICE_BYTES = 1 << 20
 
@@ -95,3 +96,29 @@ def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[Slice]:
         end = np.flatnonzero(word & (~after | edge[1:])) + 1
         yield Slice(lo, hi, part, bounds, start, end, np.searchsorted(start, bounds))
         lo = hi
+
+
+def arrow_rows(docs: DataFrame, rows: Callable, schema: str) -> DataFrame:
+    """``mapInArrow`` with batches of few bytes, so that tasks of long texts stay small."""
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
+    return docs.mapInArrow(rows, schema)
+
+
+def joined(part: Slice, keep: np.ndarray | None = None) -> list[bytes]:
+    """Each text's words, or those kept, with one space between."""
+    keep = np.ones(len(part.start), bool) if keep is None else keep
+    taken = np.zeros(len(part.data) + 1, np.int8)
+    taken[part.start[keep]] = 1
+    np.subtract.at(taken, part.end[keep], 1)
+    mask = np.cumsum(taken[:-1], dtype=np.int8).astype(bool)
+    out = part.data.copy()
+    # the byte before a kept word that has a kept word of its text before it becomes the space
+    kept = np.flatnonzero(keep)
+    text = np.searchsorted(part.first, kept, "right")
+    later = kept[1:][text[1:] == text[:-1]]
+    space = part.start[later] - 1
+    out[space] = 32
+    mask[space] = True
+    at = np.concatenate(([0], np.cumsum(mask)))[part.bounds]
+    flat = out[mask].tobytes()
+    return [flat[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
