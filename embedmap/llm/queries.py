@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
-from embedmap.llm import bpe, secrets
+from embedmap.llm import ann, bpe, secrets
+from embedmap.llm.decontaminate import contaminated
 from embedmap.llm.lang_id import identify
 from embedmap.llm.near_dup import near_duplicates
 from embedmap.llm.substrings import drop_repeats
@@ -18,6 +20,16 @@ def op1(spark, sf):
     return identify(table(spark, sf, "documents"))
 
 
+@query("op3_decontamination")
+def op3(spark, sf):
+    return contaminated(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@query("op5_ann_search")
+def op5(spark, sf):
+    return ann.search(table(spark, sf, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 @query(
     "op6_substring_dedup",
     r"""WITH w AS MATERIALIZED (SELECT doc_id, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
