@@ -5,9 +5,10 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from embedmap.llm import ann, bpe, secrets
+from embedmap.llm import ann, bpe, chat, licenses, secrets
 from embedmap.llm.decontaminate import contaminated
 from embedmap.llm.lang_id import identify
+from embedmap.llm.line_dedup import drop_boilerplate
 from embedmap.llm.near_dup import near_duplicates
 from embedmap.llm.substrings import drop_repeats
 from embedmap.llm.tables import query, table
@@ -20,11 +21,48 @@ def op1(spark, sf):
     return identify(table(spark, sf, "documents"))
 
 
+@query("op2_license_scan", licenses.scan_sql())
+def op2(spark, sf):
+    found = licenses.license_scan(table(spark, sf, "documents"))
+    return found.select("doc_id", *[F.array_join(c, ",").alias(c) for c in ("sentence_ids", "licenses", "unmatched")])
+
+
 @query("op3_decontamination")
 def op3(spark, sf):
     return contaminated(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
 
 
+@query(
+    "op4_chat_format",
+    r"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+        UNION ALL SELECT -7, turn, role, '\### Assistant: </turn> ok' FROM (VALUES (0, 'user'), (1, 'assistant')) t(turn, role))
+    SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+        CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+        sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
+        CAST(sum(13 + length(text) + length(regexp_replace(text, '[^<#\\]', '', 'g')) + length(role) + length(regexp_replace(role, '[^<#\n\\]', '', 'g'))) AS BIGINT) AS formatted_chars
+    FROM c GROUP BY conv_id""",
+)
+def op4(spark, sf):
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit("\\### Assistant: </turn> ok").alias("text"),
+    )
+    found = chat.format_conversations(rows.union(extra))
+    turns, loss = chat.read_turns(F.col("formatted")), chat.read_loss("formatted", "loss_spans")
+    read = found.select("tree", "formatted", turns.alias("turns"), loss.alias("loss"))
+    return read.select(
+        F.col("tree").alias("conv_id"),
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), ""), 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
 @query("op5_ann_search")
 def op5(spark, sf):
     return ann.search(table(spark, sf, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
@@ -58,6 +96,20 @@ def op8(spark, sf):
     return bpe.digests(bpe.bpe_roundtrip(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json")))
 
 
+@query(
+    "op9_line_dedup",
+    """WITH l AS MATERIALIZED (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents WHERE text IS NOT NULL),
+    b AS MATERIALIZED (SELECT line, min((doc_id, pos)) AS first FROM l WHERE line <> '' GROUP BY line HAVING count(DISTINCT source) >= 8),
+    k AS (SELECT l.doc_id, l.pos, l.line, b.line IS NOT NULL AND (l.doc_id, l.pos) <> b.first AS gone FROM l LEFT JOIN b ON l.line = b.line),
+    g AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS kept FROM k GROUP BY doc_id)
+    SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+    FROM documents d LEFT JOIN g ON d.doc_id = g.doc_id""",
+)
+def op9(spark, sf):
+    found = drop_boilerplate(table(spark, sf, "documents"), min_sites=8)
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 @query(
     "op10_minhash_near_dedup",
     rf"""WITH RECURSIVE w AS MATERIALIZED (SELECT doc_id, {WORDS} AS w FROM documents),
