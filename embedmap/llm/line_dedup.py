@@ -40,13 +40,20 @@ def boilerplate(lines: DataFrame, min_sites: int) -> DataFrame:
 
 
 def drop_boilerplate(
-    docs: DataFrame, min_sites: int = 8, keep_first: bool = True, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source"
+    docs: DataFrame,
+    min_sites: int = 8,
+    keep_first: bool = True,
+    spare_above: float | None = None,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    site_col: str = "source",
 ) -> DataFrame:
     """``docs`` with boilerplate lines taken out of the text, and columns n_lines and n_removed.
 
     Lines are what newlines separate; an empty line is never boilerplate. A line on at least
     ``min_sites`` distinct sites (a null site is none) goes everywhere but, with ``keep_first``, at its first place: the
-    lowest (id, line number), null ids last. Rows repeated with id and text keep or lose the same
+    lowest (id, line number), null ids last. A text that would lose more than the share ``spare_above`` of
+    its characters is no text with boilerplate but a copied text, and stays whole. Rows repeated with id and text keep or lose the same
     lines. A null text stays null, with no lines; an empty text has one empty line. Other columns
     pass through; columns named n_lines or n_removed are replaced.
     """
@@ -64,9 +71,11 @@ def drop_boilerplate(
     both = docs.join(right, docs[id_col].eqNullSafe(right["_id"]) & (key() == right["_key"]), "left")
     all_lines = F.split(F.col(text_col), "\n", -1)
     keep: Column = F.filter(all_lines, lambda _, i: ~F.array_contains("_gone", i))
-    kept = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(keep, "\n"))
-    counts = both.withColumn("n_lines", F.coalesce(F.size(all_lines), F.lit(0)).cast("long"))
-    counts = counts.withColumn("n_lines", F.when(F.col(text_col).isNull(), 0).otherwise(F.col("n_lines")).cast("long"))
-    counts = counts.withColumn("n_removed", F.coalesce(F.size("_gone"), F.lit(0)).cast("long"))
-    counts = counts.withColumn("n_removed", F.when(F.col("_gone").isNull(), 0).otherwise(F.col("n_removed")).cast("long"))
-    return counts.withColumn(text_col, kept).select(*docs.columns, "n_lines", "n_removed")
+    kept = F.array_join(keep, "\n")
+    hit = F.col("_gone").isNotNull()
+    if spare_above is not None:
+        hit = hit & (F.length(kept) >= F.length(text_col) * (1 - spare_above))
+    n_lines = F.when(F.col(text_col).isNull(), 0).otherwise(F.size(all_lines)).cast("long")
+    n_removed = F.when(hit, F.size("_gone")).otherwise(0).cast("long")
+    text = F.when(hit, kept).otherwise(F.col(text_col)).alias(text_col)
+    return both.select(*[text if c == text_col else docs[c] for c in docs.columns], n_lines.alias("n_lines"), n_removed.alias("n_removed"))
