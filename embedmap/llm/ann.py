@@ -23,10 +23,9 @@ from embedmap.llm.words import arrow_rows
 from embedmap.session import store
 
 QUERY_BLOCK = 2048
-VECTOR_BLOCK = 8192
-STRIP = 128  # queries estimated at a time
-EXACT = 50_000  # pairs scored at a time
-EPSILON = 3.0  # width of the error bound; a bound fails for about one pair in several hundred
+BLOCK_BYTES = 8 << 20  # of the vectors in a block
+STRIP = 64  # queries estimated at a time
+EPSILON = 2.2  # width of the error bound; it fails for about one of a query's near vectors in a hundred
 SEED = 20_240_521
 
 
@@ -47,16 +46,20 @@ def encode(vectors: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarra
 _BLOCK = "dims int, size int, ids binary, vectors binary, bits binary, lengths binary, own binary"
 
 
-def _blocks(vectors: DataFrame, limit: int) -> DataFrame:
-    """Blocks of at most ``limit`` vectors of (id, vector) that have the same number of dimensions."""
+def _blocks(vectors: DataFrame, most: int | None = None) -> DataFrame:
+    """Blocks of (id, vector) that have the same number of dimensions, of bounded bytes or at most ``most`` vectors."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
 
+        def size_of(dims: int) -> int:
+            return most or max(1, BLOCK_BYTES // (8 * dims))
+
         def block(dims: int, parts: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
             ids = np.concatenate([a for a, _ in parts])
             values = np.concatenate([b for _, b in parts])
             turn = rotation(dims)
+            limit = size_of(dims)
             for i in range(0, len(ids), limit):
                 own = values[i : i + limit]
                 packed = (ids[i : i + limit], own, *encode(own, turn))
@@ -74,7 +77,7 @@ def _blocks(vectors: DataFrame, limit: int) -> DataFrame:
             for dims in np.unique(size).tolist():
                 pick = np.flatnonzero(size == dims)
                 waiting.setdefault(dims, []).append((ids[pick], flat[at[pick][:, None] + np.arange(dims)]))
-                if sum(len(a) for a, _ in waiting[dims]) >= limit:
+                if sum(len(a) for a, _ in waiting[dims]) >= size_of(dims):
                     yield from block(dims, waiting.pop(dims))
         for dims, parts in waiting.items():
             yield from block(dims, parts)
@@ -92,13 +95,9 @@ class _Block:
         self.lengths, self.own = (np.frombuffer(row[k], np.float64) for k in ("lengths", "own"))
 
 
-def _exact(block: _Block, queries: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+def _exact(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
     """Inner products in double precision, each summed in the same order wherever it is computed."""
-    out = np.empty(len(rows))
-    for i in range(0, len(rows), EXACT):
-        s = slice(i, i + EXACT)
-        out[s] = (block.vectors[rows[s]] * queries[cols[s]]).sum(axis=1)
-    return out
+    return (vectors * query).sum(axis=1)
 
 
 def nearest_in_block(block: _Block, query_ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -106,31 +105,30 @@ def nearest_in_block(block: _Block, query_ids: np.ndarray, queries: np.ndarray,
     n, d = block.vectors.shape
     turned = queries.astype(np.float32) @ rotation(d).T
     scale = (block.lengths / block.own / np.sqrt(d)).astype(np.float32)
-    spread = block.lengths * np.sqrt(np.maximum(1 - block.own**2, 0)) / block.own * EPSILON / np.sqrt(max(d - 1, 1))
+    # the error of an estimate for a query of length one, and a little slack for single precision
+    spread = block.lengths * (np.sqrt(np.maximum(1 - block.own**2, 0)) / block.own * EPSILON / np.sqrt(max(d - 1, 1)) + 1e-5)
     spread = spread.astype(np.float32)
     norms = np.linalg.norm(queries, axis=1).astype(np.float32)
+    first = min(2 * k, n)
     out = []
     for lo in range(0, len(queries), STRIP):
-        q = slice(lo, lo + STRIP)
-        estimate = (turned[q] @ block.signs.T) * scale
-        estimate[query_ids[q][:, None] == block.ids[None, :]] = -np.inf
-        m = len(estimate)
-        first = min(2 * k, n)
-        head = np.argpartition(-estimate, first - 1, axis=1)[:, :first] if first < n else np.tile(np.arange(n), (m, 1))
-        cols = np.repeat(np.arange(m), first)
-        score = _exact(block, queries[q], head.ravel(), cols).reshape(m, first)
-        score[np.isneginf(np.take_along_axis(estimate, head, 1))] = -np.inf
-        floor = np.sort(score, axis=1)[:, -min(k, first)]
-        # a little slack for single precision
-        reach = estimate + spread * norms[q][:, None] * 1.0001 + 1e-6 * norms[q][:, None] * block.lengths.astype(np.float32)
-        cols, rows = np.nonzero((reach >= floor[:, None].astype(np.float32)) & ~np.isneginf(estimate))
-        score = _exact(block, queries[q], rows, cols)
-        order = np.lexsort((block.ids[rows], -score, cols))
-        cols, rows, score = cols[order], rows[order], score[order]
-        rank = np.arange(len(cols)) - np.searchsorted(cols, cols)
-        best = rank < k
-        out.append((cols[best] + lo, rows[best], score[best]))
-    return tuple(np.concatenate([o[i] for o in out]) for i in range(3))
+        estimates = (turned[lo : lo + STRIP] @ block.signs.T) * scale
+        estimates[query_ids[lo : lo + STRIP, None] == block.ids[None, :]] = -np.inf
+        heads = np.argpartition(estimates, n - first, axis=1)[:, n - first :]
+        for i, (estimate, head) in enumerate(zip(estimates, heads, strict=True), lo):
+            head = head[estimate[head] > -np.inf]
+            if not len(head):
+                continue
+            score = np.sort(_exact(block.vectors[head], queries[i]))
+            floor = np.float32(score[-min(k, len(score))])
+            near = np.flatnonzero((estimate + spread * norms[i] >= floor) & (estimate > -np.inf))
+            near = np.union1d(near, head)
+            score = _exact(block.vectors[near], queries[i])
+            best = np.lexsort((block.ids[near], -score))[:k]
+            out.append((np.full(len(best), i), near[best], score[best]))
+    if not out:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+    return tuple(np.concatenate([o[j] for o in out]) for j in range(3))
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -153,7 +151,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
     rows = usable(vectors, id_col, vector_col)
     asked = store(usable(vectors.filter(is_query), id_col, vector_col).dropDuplicates(["id"]), "queries")
     groups = max(1, -(-asked.count() // QUERY_BLOCK))
-    packed = store(_blocks(rows, VECTOR_BLOCK), "vector-blocks")
+    packed = store(_blocks(rows), "vector-blocks")
     salts = max(spark.sparkContext.defaultParallelism, packed.count() // 4)
     queries = _blocks(asked.repartition(groups), QUERY_BLOCK).select("dims", F.col("ids").alias("query_ids"), F.col("vectors").alias("queries"), F.monotonically_increasing_id().alias("block"))
     queries = store(queries, "query-blocks").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
