@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import html
-from collections import Counter
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,14 +34,19 @@ def display_token(c) -> Column:
 
 def clean_token(c) -> Column:
     """Token without any run of leading subword marks."""
+    # fixed values: the marks of common subword tokenizers
     return F.regexp_replace(col(c), "^(?:##|▁|Ġ)+", "")
 
 
 def token_snippet(text, start, end, window: int = 150) -> Column:
-    """Struct of the text around a 0-based half-open span; null for an unusable span."""
+    """Struct of the text around a 0-based half-open span.
+
+    An end beyond the text is its end; null for a span that is inverted or starts at or after the end.
+    """
     text, start, end = col(text), col(start), col(end)
     n = F.length(text)
     lo = F.greatest(start - window, F.lit(0))
+    end = F.least(end, n)
     hi = F.least(end + window, n)
     snippet = F.struct(
         F.substring(text, lo + 1, start - lo).alias("before"),
@@ -54,29 +55,17 @@ def token_snippet(text, start, end, window: int = 150) -> Column:
         (lo > 0).alias("cut_before"),
         (hi < n).alias("cut_after"),
     )
-    return F.when((start >= 0) & (end >= start) & (end <= n), snippet)
-
-
-@F.pandas_udf(T.StringType())
-def html_clean(texts: pd.Series) -> pd.Series:
-    """Unescape entities twice, without newlines or zero-width spaces, trimmed."""
-
-    def one(t):
-        if t is None:
-            return None
-        return html.unescape(html.unescape(t.replace("\n", ""))).replace("​", "").strip()
-
-    return texts.map(one)
+    return F.when((start >= 0) & (end >= start) & (start < n), snippet)
 
 
 def repeated_words(c, threshold: int = 100) -> Column:
-    """True if one whitespace-separated word occurs more than ``threshold`` times."""
-
-    @F.pandas_udf(T.BooleanType())
-    def repeated(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: bool(t) and max(Counter(t.split()).values(), default=0) > threshold).astype(bool)
+    """True if one whitespace-separated word occurs more than ``threshold`` times; null is false.
 
-    return repeated(col(c))
+    Equal words are neighbours once sorted, so such a word stands ``threshold`` places before itself.
+    """
+    words = F.array_sort(F.filter(F.split(col(c), r"\s+"), lambda w: w != ""))
+    ahead = F.slice(words, threshold + 1, F.greatest(F.size(words) - threshold, F.lit(0)))
+    return F.coalesce(F.exists(F.zip_with(ahead, words, lambda a, b: a == b), lambda same: F.coalesce(same, F.lit(False))), F.lit(False))
 
 
 # --- grids ------------------------------------------------------------------------------
@@ -112,15 +101,10 @@ def voxel_center(voxel, n: int) -> Column:
     )
 
 
-def tile_cells(cell_px: int, tile_px: int) -> int:
-    """Grid cells along one edge of an image tile."""
-    return max(1, tile_px // cell_px)
-
-
 def image_tile(cell, n, cell_px: int = 32, tile_px: int = 2048) -> Column:
     """Image tile of a grid cell; image rows count from the top, grid rows from the bottom."""
     n = n if isinstance(n, Column) else F.lit(n)
-    per = tile_cells(cell_px, tile_px)
+    per = F.lit(max(tile_px // cell_px, 1))  # cells along an edge of a tile
     cell = col(cell)
     row = n - 1 - F.floor(cell / n)
     return F.struct(

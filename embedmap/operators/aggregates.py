@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from embedmap.functions import scalars as S
-from embedmap.operators.ranking import assign_row_index, uniform_sample
+from embedmap.operators.ranking import assign_row_index
 from embedmap.session import store
 
 
@@ -106,12 +104,15 @@ def rare_label_fold(df: DataFrame, label: str, threshold: int) -> DataFrame:
 
 
 def scope_fingerprint(scope: DataFrame) -> DataFrame:
-    """One-row content hash of the live points, independent of row order and partitioning."""
-    h = F.xxhash64("ls_index", F.col("x").cast("float"), F.col("y").cast("float"))
+    """One-row content hash of the live points at a millionth of the map's unit, independent of row order.
+
+    Sixty bits of each row's digest, combined by xor, and the low 32 bits summed.
+    """
+    spot = [F.floor(F.col(a) * 1e6 + 0.5).cast("long") for a in ("x", "y")]
+    h = F.conv(F.substring(F.md5(F.concat_ws(",", "ls_index", *spot)), 1, 15), 16, 10).cast("long")
     return scope.filter(~F.col("deleted")).agg(
         F.count("*").alias("n"),
         F.coalesce(F.bit_xor(h), F.lit(0)).alias("hash_xor"),
-        # low half only: a plain sum of 64-bit hashes would overflow
         F.coalesce(F.sum(h.bitwiseAND(F.lit(0xFFFFFFFF))), F.lit(0)).alias("hash_sum"),
     )
 
@@ -144,7 +145,7 @@ def plan_grid(points: DataFrame, resolutions: list[int], cell_px: int = 32, tile
     """
     cells = _cells_at(points, resolutions, cell_px, tile_px)
     r = F.col("resolution")
-    axis = F.greatest(F.lit(1), F.ceil(r / S.tile_cells(cell_px, tile_px))).cast("long")
+    axis = F.ceil(r * cell_px / F.lit(max(tile_px, cell_px))).cast("long")
     per = cells.groupBy("resolution").agg(
         F.count("*").alias("populated_cells"),
         F.count_distinct("tx", "ty").alias("populated_tiles"),
@@ -181,13 +182,7 @@ def density_grid(points: DataFrame, res: int = 64) -> DataFrame:
     )
 
 
-def bytes_per_cell(df: DataFrame, image: str, sample: int = 48, seed: int = 42, key: str = "ls_index") -> DataFrame:
-    """Mean stored size of an image over a small fixed sample."""
-    picked = uniform_sample(df.filter(F.col(image).isNotNull()).select(key, image), sample, seed, key)
-    return picked.agg(
-        F.avg(F.octet_length(image)).alias("bytes_per_cell"), F.count("*").alias("sampled")
-    )
-
-
-def tiles_per_axis(n: int, cell_px: int, tile_px: int = 2048) -> int:
-    return max(1, math.ceil(n / S.tile_cells(cell_px, tile_px)))
+def bytes_per_cell(df: DataFrame, image: str) -> DataFrame:
+    """Mean stored size of the images there are, and their number."""
+    size = F.octet_length(image)
+    return df.agg(F.avg(size).alias("bytes_per_cell"), F.count(size).alias("images"))

@@ -7,12 +7,13 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import GaussianMixture, KMeans
+import pyarrow as pa
+from pyspark.ml.clustering import GaussianMixture
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from embedmap.operators.knn import knn_join
+from embedmap.operators.knn import knn_join, matrix, squared
 from embedmap.operators.ranking import assign_row_index
 from embedmap.session import cut_lineage, store
 
@@ -40,14 +41,79 @@ def _points(points: DataFrame) -> DataFrame:
     return points.select("ls_index", array_to_vector(v).alias("features"))
 
 
-def kmeans(points: DataFrame, k: int, seed: int = 42, starts: int = 3) -> DataFrame:
-    """k-means||, the best of several starts by cost; never any noise."""
-    data = _points(points)
-    models = [
-        KMeans(k=k, seed=seed + i, featuresCol="features", predictionCol="_c").fit(data) for i in range(starts)
-    ]
-    best = min(models, key=lambda m: m.summary.trainingCost)
-    return _renumber(best.transform(data), "_c")
+def _seeds(sample: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """k-means++ on a sample: each next centre is drawn by its squared distance to those before."""
+    chosen = [sample[rng.integers(len(sample))]]
+    gap = squared(sample, chosen[0][None])[:, 0]
+    for _ in range(k - 1):
+        chosen.append(sample[rng.choice(len(sample), p=gap / gap.sum()) if gap.sum() > 0 else rng.integers(len(sample))])
+        gap = np.minimum(gap, squared(sample, chosen[-1][None])[:, 0])
+    return np.array(chosen)
+
+
+def _nearest(v: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    d = squared(v, centers)
+    at = d.argmin(1)
+    return at, d[np.arange(len(v)), at]
+
+
+def kmeans(points: DataFrame, k: int, seed: int = 42, starts: int = 10, max_iter: int = 100, tol: float = 1e-4, seeding: int = 10_000) -> DataFrame:
+    """k-means, the best of several starts by cost; never any noise.
+
+    All starts move together: a round is one pass over the rows, in which every task sums up its rows
+    per start and centre. Starts begin at k-means++ centres of a sample of at least ``seeding`` distinct
+    rows, the same at every size, and stop when their centres move less than ``tol`` of the variance.
+    """
+    axes = map_axes(points)
+    v = F.array(*[F.col(a).cast("double") for a in axes]) if axes else F.col("vector").cast("array<double>")
+    data = store(points.select(F.col("ls_index").cast("long"), v.alias("v")), "features")
+    drawn = data.select("v").distinct().orderBy(F.xxhash64("v", F.lit(seed)), "v").limit(max(seeding, 20 * k))
+    sample = np.array([r.v for r in drawn.collect()])
+    if not len(sample):
+        return data.select("ls_index", F.lit(0).alias("raw_cluster"))
+    k, dims = min(k, len(sample)), sample.shape[1]
+    rng = np.random.default_rng(seed)
+    centers = np.array([_seeds(sample, k, rng) for _ in range(starts)])
+    still, costs = np.ones(starts, bool), np.full(starts, np.inf)
+    sums = ", ".join(f"s{j} double" for j in range(dims))
+
+    def moved(active: np.ndarray) -> DataFrame:
+        def run(batches):
+            total = np.zeros((len(active), k, dims + 2))
+            for b in batches:
+                m = matrix(b.column("v"))
+                for i, s in enumerate(active):
+                    at, gap = _nearest(m, centers[s])
+                    np.add.at(total[i], at, np.concatenate((np.ones((len(m), 1)), gap[:, None], m), axis=1))
+            flat = total.reshape(-1, dims + 2)
+            start, c = np.divmod(np.arange(len(flat)), k)
+            columns = [pa.array(active[start]), pa.array(c), *[pa.array(flat[:, j]) for j in range(dims + 2)]]
+            yield pa.RecordBatch.from_arrays(columns, names=["start", "c", "n", "cost", *[f"s{j}" for j in range(dims)]])
+
+        parts = data.select("v").mapInArrow(run, f"start long, c long, n double, cost double, {sums}")
+        return parts.groupBy("start", "c").agg(*[F.sum(x).alias(x) for x in ("n", "cost", *[f"s{j}" for j in range(dims)])])
+
+    spread = sample.var(0).sum()
+    for _ in range(max_iter):
+        active = np.flatnonzero(still)
+        if not len(active):
+            break
+        new = centers.copy()
+        costs[active] = 0
+        for r in moved(active).collect():  # one row per start and centre
+            costs[r.start] += r.cost
+            if r.n:
+                new[r.start, r.c] = np.array(r[4:]) / r.n
+        still[active] = ((new[active] - centers[active]) ** 2).sum(2).max(1) > tol * spread
+        centers = new
+    best = centers[int(costs.argmin())]
+
+    def label(batches):
+        for b in batches:
+            at, _ = _nearest(matrix(b.column("v")), best)
+            yield pa.RecordBatch.from_arrays([b.column("ls_index"), pa.array(at.astype(np.int32))], names=["ls_index", "_c"])
+
+    return _renumber(data.mapInArrow(label, "ls_index long, _c int"), "_c")
 
 
 def gmm(points: DataFrame, k: int, seed: int = 42) -> DataFrame:
@@ -242,31 +308,13 @@ def noise_to_unclustered(raw: DataFrame) -> DataFrame:
 def noise_to_nearest(points: DataFrame) -> DataFrame:
     """Noise joins the cluster with the nearest centroid, ties to the lowest id.
 
-    Without real clusters noise becomes one cluster 0. A short list of centroids travels with the
-    tasks; a long one takes the exact nearest-neighbour join.
+    Without real clusters noise becomes one cluster 0.
     """
     axes = map_axes(points)
     real = points.filter(F.col("raw_cluster") != -1)
-    cents = real.groupBy("raw_cluster").agg(*[F.avg(a).alias(a) for a in axes])
-    limit = 10_000
-    few = cents.orderBy("raw_cluster").limit(limit + 1).collect()
-    if not few:
+    cents = store(real.groupBy("raw_cluster").agg(*[F.avg(a).alias(a) for a in axes]), "centroids")
+    if cents.isEmpty():
         return points.withColumn("cluster", F.lit(0))
-    if len(few) <= limit:
-        ids = np.array([r["raw_cluster"] for r in few])
-        c = np.array([[r[a] for a in axes] for r in few])
-
-        @F.pandas_udf("int")
-        def nearest(p: pd.DataFrame) -> pd.Series:
-            m = p.to_numpy(dtype=float)
-            out = np.empty(len(m), dtype=np.int64)
-            for s in range(0, len(m), 512):
-                d = ((m[s : s + 512, None, :] - c[None]) ** 2).sum(2)
-                out[s : s + 512] = ids[d.argmin(1)]
-            return pd.Series(out)
-
-        pick = nearest(F.struct(*axes))
-        return points.withColumn("cluster", F.when(F.col("raw_cluster") == -1, pick).otherwise(F.col("raw_cluster")))
     v = F.array(*axes).alias("vector")
     noise = points.filter(F.col("raw_cluster") == -1).select("ls_index", v)
     near = knn_join(noise, cents.select(F.col("raw_cluster").cast("long").alias("ls_index"), v), 1)

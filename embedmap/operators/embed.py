@@ -7,8 +7,6 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.ml.feature import HashingTF, Normalizer, RegexTokenizer
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -86,11 +84,21 @@ def embed_multi(
 def hash_embed(docs: DataFrame, text: str, dim: int = 256) -> DataFrame:
     """(ls_index, vector) without any model: hashed word counts, scaled to unit length.
 
-    Every stage is a per-row transform, so nothing is shuffled.
+    A word, lower-cased, counts at the first 28 bits of its MD5 modulo ``dim``. Words become places
+    in SQL functions, counts come from one numpy pass per batch, and nothing is shuffled.
     """
-    ready = spread(docs).select(F.col("ls_index").cast("long"), prepare_text(text).alias("_t"))
-    words = RegexTokenizer(inputCol="_t", outputCol="_w", pattern=r"\p{L}+", gaps=False, toLowercase=True)
-    counts = HashingTF(inputCol="_w", outputCol="_c", numFeatures=dim)
-    unit = Normalizer(inputCol="_c", outputCol="_u", p=2.0)
-    coded = unit.transform(counts.transform(words.transform(ready)))
-    return coded.select("ls_index", vector_to_array("_u", "float32").alias("vector"))
+    words = F.regexp_extract_all(F.lower(prepare_text(text)), F.lit(r"\p{L}+"), F.lit(0))
+    place = lambda w: F.pmod(F.conv(F.substring(F.md5(w), 1, 7), 16, 10).cast("int"), F.lit(dim))
+    ready = docs.select(F.col("ls_index").cast("long"), F.transform(words, place).alias("places"))
+
+    def run(batches):
+        for b in batches:
+            lists = b.column("places")
+            n = b.num_rows
+            row = np.repeat(np.arange(n), np.diff(lists.offsets.to_numpy()))
+            counts = np.bincount(row * dim + lists.flatten().to_numpy(), minlength=n * dim).reshape(n, dim).astype(np.float64)
+            unit = counts / np.maximum(np.sqrt((counts * counts).sum(1, keepdims=True)), 1e-300)
+            vectors = _lists(pa.array(unit.ravel(), pa.float32()), np.full(n, dim))
+            yield pa.RecordBatch.from_arrays([b.column("ls_index"), vectors], names=["ls_index", "vector"])
+
+    return ready.mapInArrow(run, "ls_index long, vector array<float>")

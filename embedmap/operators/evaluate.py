@@ -13,24 +13,21 @@ from embedmap.operators.ranking import uniform_sample
 from embedmap.operators.sets import neighbor_overlap
 from embedmap.session import store
 
-# fixed values: silhouette uses a sample of this size above that many rows
-SAMPLE_ABOVE, SAMPLE_ROWS = 50_000, 10_000
 MEAN_BLOCK = 1024
 
 
-def silhouette(points: DataFrame, cluster: str = "cluster", seed: int = 42) -> DataFrame:
+def silhouette(points: DataFrame, cluster: str = "cluster", sample: int | None = None, seed: int = 42) -> DataFrame:
     """One row: mean silhouette with plain euclidean distances on the map axes.
 
-    Above SAMPLE_ABOVE rows a fixed sample of SAMPLE_ROWS is scored, as a single machine would.
-    The scored rows are bounded either way, so they are packed in blocks that every scored row
-    meets once; only distance sums per cluster leave a task.
+    All rows are scored, or a fixed sample if the caller gives its size. Rows are packed in blocks that
+    every row meets once; only distance sums per cluster leave a task. The exact score compares all
+    rows, so a large map calls for a sample.
     """
     axes = map_axes(points)
     rows = points.select("ls_index", F.col(cluster).cast("int").alias("c"), F.array(*[F.col(a).cast("double") for a in axes]).alias("v"))
-    scored = rows.limit(SAMPLE_ABOVE + 1).count()
-    if scored > SAMPLE_ABOVE:
-        rows, scored = uniform_sample(rows, SAMPLE_ROWS, seed), SAMPLE_ROWS
-    parts = max(1, -(-scored // MEAN_BLOCK))
+    if sample is not None:
+        rows = uniform_sample(rows, sample, seed)
+    parts = max(1, -(-rows.count() // MEAN_BLOCK))
     block = F.pmod(F.xxhash64("ls_index"), F.lit(parts)).alias("block")
     right = rows.groupBy(block).agg(F.collect_list(F.struct("c", "v")).alias("right"))
     left = rows.groupBy(F.pmod(F.xxhash64("ls_index"), F.lit(parts)).alias("home")).agg(

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -91,14 +90,19 @@ def max_over_tokens(features: DataFrame, k: int) -> DataFrame:
 
 
 def sparse_vector(num: int) -> Column:
-    """Column of ml sparse vectors from the top-k arrays; repeated ids keep their last value."""
-
-    @F.udf(VectorUDT())
-    def build(indices, acts):
-        pairs = dict(zip(indices, acts))
-        return SparseVector(num, sorted(pairs), [pairs[i] for i in sorted(pairs)])
-
-    return build(F.col("top_indices"), F.col("top_acts"))
+    """Struct (size, indices, values) of the top-k arrays, by index; repeated ids keep their last value."""
+    ids, acts = F.reverse("top_indices"), F.reverse("top_acts")
+    indices = F.array_sort(F.array_distinct("top_indices"))
+    values = F.transform(indices, lambda i: F.element_at(acts, F.array_position(ids, i).cast("int")))
+    return F.struct(F.lit(num).alias("size"), indices.alias("indices"), values.alias("values"))
+
+
+def dense_vector(sparse: str) -> Column:
+    """The sparse struct as an array of all its places."""
+    s = F.col(sparse)
+    ids = F.sequence(F.lit(0), s["size"] - 1)
+    act = lambda i: F.get(s["values"], (F.array_position(s["indices"], i) - 1).cast("int"))
+    return F.transform(ids, lambda i: F.when(F.array_contains(s["indices"], i), act(i)).otherwise(F.lit(0.0)))
 
 
 def sae_norm(features: DataFrame, stats: DataFrame) -> DataFrame:

@@ -17,10 +17,11 @@ and the work tends to all pairs, spread evenly over blocks; ``ivf_search`` is th
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from embedmap.functions.vectors import as_doubles, l2_normalize
@@ -52,7 +53,7 @@ def squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def _pivot_count(rows: int, dims: int) -> int:
     if dims > WIDE:
         return max(1, min(32, rows // 64))
-    return max(1, min(4096, math.isqrt(rows)))
+    return max(1, math.isqrt(rows))
 
 
 def _pick_pivots(points: DataFrame, rows: int, dims: int) -> np.ndarray:
@@ -90,7 +91,6 @@ def _assign(reps: DataFrame, pivots: np.ndarray) -> DataFrame:
 
 def _visits(rows: DataFrame, pivots: np.ndarray, radius: np.ndarray, nearest: np.ndarray, k: int) -> DataFrame:
     """One row per (left row, cell it must visit)."""
-    between = np.sqrt(squared(pivots, pivots))
     near = min(NEAR_CELLS, len(pivots))
     step = max(1, 4_000_000 // len(pivots))
 
@@ -106,7 +106,7 @@ def _visits(rows: DataFrame, pivots: np.ndarray, radius: np.ndarray, nearest: np
                 bound = np.partition(reach, k - 1, axis=1)[:, k - 1] if reach.shape[1] >= k else np.full(len(v), np.inf)
                 home = d.argmin(1)
                 own = d[np.arange(len(v)), home]
-                side = (d * d - (own * own)[:, None]) / np.maximum(2 * between[home], 1e-300)
+                side = (d * d - (own * own)[:, None]) / np.maximum(2 * np.sqrt(squared(pivots[home], pivots)), 1e-300)
                 slack = (bound + 1e-7 * (1 + own))[:, None]
                 visit = (d - radius[None, :] <= slack) & (side <= slack)
                 at, cell = np.nonzero(visit)
@@ -122,16 +122,37 @@ def _visits(rows: DataFrame, pivots: np.ndarray, radius: np.ndarray, nearest: np
     return rows.mapInArrow(run, "cell int, ls_index long, v array<double>")
 
 
-def _blocks(df: DataFrame, counts: dict[int, int], cells: int, key: str, fields: list[str], name: str) -> DataFrame:
-    """Pack rows of a cell into blocks of about BLOCK_ROWS rows."""
+def _parts(counts: dict[int, int], cells: int) -> Column:
+    """Number of blocks of the row's cell."""
     parts = [max(1, math.ceil(counts.get(c, 0) / BLOCK_ROWS)) for c in range(cells)]
-    n = F.element_at(F.lit(np.array(parts, dtype=np.int64)), F.col("cell") + 1)
-    part = F.pmod(F.xxhash64(key), n).alias("part")
-    return df.groupBy("cell", part).agg(F.collect_list(F.struct(*fields)).alias(name)).drop("part")
+    return F.element_at(F.lit(np.array(parts, dtype=np.int64)), F.col("cell") + 1)
 
 
-def best_pairs(lv: np.ndarray, rv: np.ndarray, k: int, cosine: bool):
-    """Row, column and distance of the k nearest right rows per left row (all ties kept)."""
+def match_blocks(
+    left: DataFrame, left_counts: dict[int, int], right: DataFrame, right_counts: dict[int, int], cells: int, k: int, cosine: bool
+) -> DataFrame:
+    """(ls_index, neighbor, distance, rank) over the pairs that share a cell.
+
+    ``left`` is (cell, ls_index, v), ``right`` (cell, ids, v). Rows are packed into blocks of about
+    BLOCK_ROWS; a left block is sent to each right block of its cell, so work spreads by (cell, right
+    block) and not by cell alone.
+    """
+    home = F.pmod(F.xxhash64("ls_index"), _parts(left_counts, cells)).alias("home")
+    lblocks = left.groupBy("cell", home).agg(F.collect_list(F.struct("ls_index", "v")).alias("left"))
+    last = (_parts(right_counts, cells) - 1).cast("long")
+    lblocks = lblocks.select("cell", "left", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("part"))
+    part = F.pmod(F.xxhash64("ids"), _parts(right_counts, cells)).alias("part")
+    rblocks = right.groupBy("cell", part).agg(F.collect_list(F.struct("ids", "v")).alias("right"))
+    found = _match(lblocks.join(rblocks, ["cell", "part"]).select("left", "right"), k, cosine)
+    return top_per_group(found, ["ls_index"], ["distance", "neighbor"], k)
+
+
+def best_pairs(lv: np.ndarray, rv: np.ndarray, k: int, cosine: bool, ids: np.ndarray):
+    """Row, column and distance of the k nearest right rows per left row; ties go to the lower id.
+
+    Products pick what may be among the k, ties included; the final distance and the id decide, so
+    exactly k (or all) columns of a row are given however many are equal.
+    """
     step = max(1, 4_000_000 // max(1, len(rv)))
     for s in range(0, len(lv), step):
         a = lv[s : s + step]
@@ -146,7 +167,10 @@ def best_pairs(lv: np.ndarray, rv: np.ndarray, k: int, cosine: bool):
         else:
             diff = a[row] - rv[col]
             dist = np.sqrt((diff * diff).sum(1))
-        yield row + s, col, dist
+        order = np.lexsort((ids[col], dist, row))
+        row, col, dist = row[order], col[order], dist[order]
+        best = np.arange(len(row)) - np.searchsorted(row, row) < k
+        yield row[best] + s, col[best], dist[best]
 
 
 def _match(pairs: DataFrame, k: int, cosine: bool) -> DataFrame:
@@ -159,7 +183,7 @@ def _match(pairs: DataFrame, k: int, cosine: bool) -> DataFrame:
                 ids = right.field("ids")
                 first = np.concatenate([[0], np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False))])
                 flat = ids.flatten().to_numpy(zero_copy_only=False)
-                for row, col, dist in best_pairs(matrix(left.field("v")), matrix(right.field("v")), k, cosine):
+                for row, col, dist in best_pairs(matrix(left.field("v")), matrix(right.field("v")), k, cosine, flat[first[:-1]]):
                     n = first[col + 1] - first[col]
                     start = np.repeat(first[col], n)
                     within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
@@ -175,30 +199,32 @@ def _match(pairs: DataFrame, k: int, cosine: bool) -> DataFrame:
     return pairs.mapInArrow(run, "ls_index long, neighbor long, distance double")
 
 
-def knn_join(
-    left: DataFrame,
-    right: DataFrame,
-    k: int,
-    metric: str = "euclidean",
-    include_self: bool = True,
-    vector: str = "vector",
-) -> DataFrame:
-    """(ls_index, neighbor, distance, rank): the k nearest right rows of every left row.
+@dataclass
+class Prepared:
+    """The searched side of a kNN join: stored representatives in cells, and what bounds the search."""
+
+    placed: DataFrame
+    pivots: np.ndarray
+    radius: np.ndarray
+    nearest: np.ndarray
+    counts: dict[int, int]
+    want: int
+    metric: str
 
-    Ties go to the lower neighbour id. With the cosine metric, zero vectors have no neighbours.
-    """
-    cosine = metric == "cosine"
-    prep = l2_normalize(vector) if cosine else as_doubles(vector)
-    clean = F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull())
-    lrows = left.select(F.col("ls_index").cast("long"), prep.alias("v")).filter(clean)
-    rrows = right.select(F.col("ls_index").cast("long"), prep.alias("v")).filter(clean)
-    want = k if include_self else k + 1
 
+def _clean(df: DataFrame, vector: str, metric: str) -> DataFrame:
+    prep = l2_normalize(vector) if metric == "cosine" else as_doubles(vector)
+    rows = df.select(F.col("ls_index").cast("long"), prep.alias("v"))
+    return rows.filter(F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull()))
+
+
+def prepare(right: DataFrame, want: int, metric: str = "euclidean", vector: str = "vector") -> Prepared | None:
+    """Cells of the searched side for joins of up to ``want`` neighbours; None if it is empty."""
+    rrows = _clean(right, vector, metric)
     size = rrows.agg(F.count("*").alias("rows"), F.max(F.size("v")).alias("dims")).first()
     rows = size["rows"]
     if rows == 0:
-        empty = rrows.select("ls_index", F.col("ls_index").alias("neighbor"), F.lit(0.0).alias("distance"))
-        return empty.withColumn("rank", F.lit(1)).limit(0)
+        return None
     pivots = _pick_pivots(rrows, rows, size["dims"])
     cells = len(pivots)
 
@@ -214,11 +240,33 @@ def knn_join(
     for r in top_per_group(placed.select("cell", "dist"), ["cell"], ["dist"], want).collect():
         nearest[r["cell"], r["rank"] - 1] = r["dist"]
 
-    visits = cut_lineage(_visits(lrows, pivots, radius, nearest, want))
+    return Prepared(placed, pivots, radius, nearest, counts, want, metric)
+
+
+def knn_join(
+    left: DataFrame,
+    right: DataFrame | Prepared,
+    k: int,
+    metric: str = "euclidean",
+    include_self: bool = True,
+    vector: str = "vector",
+) -> DataFrame:
+    """(ls_index, neighbor, distance, rank): the k nearest right rows of every left row.
+
+    Ties go to the lower neighbour id. With the cosine metric, zero vectors have no neighbours.
+    ``right`` may be prepared once for many joins.
+    """
+    lrows = _clean(left, vector, metric)
+    want = k if include_self else k + 1
+    to = prepare(right, want, metric, vector) if isinstance(right, DataFrame) else right
+    if to is None:
+        empty = lrows.select("ls_index", F.col("ls_index").alias("neighbor"), F.lit(0.0).alias("distance"))
+        return empty.withColumn("rank", F.lit(1)).limit(0)
+    if to.want < want or to.metric != metric:
+        raise ValueError("prepared for fewer neighbours or another metric")
+    visits = cut_lineage(_visits(lrows, to.pivots, to.radius, to.nearest[:, :want], want))
     lcounts = {r["cell"]: r["count"] for r in visits.groupBy("cell").count().collect()}
-    lblocks = _blocks(visits, lcounts, cells, "ls_index", ["ls_index", "v"], "left")
-    rblocks = _blocks(placed, counts, cells, "ids", ["ids", "v"], "right")
-    found = _match(lblocks.join(rblocks, "cell").select("left", "right"), want, cosine)
-    if not include_self:
-        found = found.filter(F.col("ls_index") != F.col("neighbor"))
-    return top_per_group(found, ["ls_index"], ["distance", "neighbor"], k)
+    found = match_blocks(visits, lcounts, to.placed.select("cell", "ids", "v"), to.counts, len(to.pivots), want, metric == "cosine")
+    if include_self:
+        return found
+    return top_per_group(found.filter(F.col("ls_index") != F.col("neighbor")).drop("rank"), ["ls_index"], ["distance", "neighbor"], k)

@@ -29,24 +29,35 @@ shouldn't wasn wasn't weren weren't won won't wouldn wouldn't
 UNCLUSTERED = "Unclustered"
 
 
-def token_labels(tokens: DataFrame, clusters: DataFrame) -> DataFrame:
-    """(cluster, label) from the most frequent surface tokens of each cluster.
+def token_labels(tokens: DataFrame) -> DataFrame:
+    """(cluster, label, description) of tokens that carry their ``cluster``, from their most frequent names.
 
     The five most frequent tokens are cleaned, repeated names removed, and the first three kept;
-    a cluster without any gets its number. Ties go to the lower token.
+    a cluster without any gets its number. Ties go to the lower token. Where ``raw_cluster`` is
+    given, the noise cluster keeps its own name.
     """
-    surface = tokens.filter("char_start >= 0").join(clusters.select("token_index", "cluster"), "token_index")
-    counts = surface.groupBy("cluster", "token_str").agg(F.count("*").alias("n"))
+    noise = F.bool_or(F.col("raw_cluster") == -1) if "raw_cluster" in tokens.columns else F.lit(False)
+    sizes = tokens.groupBy("cluster").agg(F.count("*").alias("n"), noise.alias("noise"))
+    counts = tokens.filter("char_start >= 0").groupBy("cluster", "token_str").agg(F.count("*").alias("n"))
     top = top_per_group(counts, ["cluster"], [F.col("n").desc(), F.col("token_str").asc()], 5)
     # at most five rows per cluster
     lists = top.groupBy("cluster").agg(F.array_sort(F.collect_list(F.struct("rank", "token_str"))).alias("top"))
     names = F.filter(
         F.transform(F.transform("top", lambda t: t["token_str"]), display_token), lambda t: F.trim(t) != ""
     )
-    label = F.array_join(F.slice(F.array_distinct(names), 1, 3), ", ")
-    every = clusters.select("cluster").distinct().join(lists, "cluster", "left").withColumn("label", label)
-    number = F.concat(F.lit("Cluster "), F.col("cluster").cast("string"))
-    return every.select("cluster", F.when(F.col("label") != "", F.col("label")).otherwise(number).alias("label"))
+    every = sizes.join(lists, "cluster", "left")
+    every = every.withColumn("names", F.coalesce(F.array_join(F.slice(F.array_distinct(names), 1, 3), ", "), F.lit("")))
+    number, size = F.col("cluster").cast("string"), F.col("n").cast("string")
+    # fixed values: the sentences a label's readers expect
+    some = F.concat(F.lit("Token cluster "), number, F.lit(" with "), size, F.lit(" tokens; most frequent: "), F.col("names"), F.lit("."))
+    none = F.concat(F.lit("Token cluster "), number, F.lit(" with "), size, F.lit(" tokens."))
+    lost = F.concat(size, F.lit(" noise points the clustering algorithm did not assign to any cluster."))
+    named = F.col("names") != ""
+    return every.select(
+        "cluster",
+        F.when(F.col("noise"), UNCLUSTERED).when(named, F.col("names")).otherwise(F.concat(F.lit("Cluster "), number)).alias("label"),
+        F.when(F.col("noise"), lost).when(named, some).otherwise(none).alias("description"),
+    )
 
 
 def top_word_labels(docs: DataFrame, text: str, k: int = 3, group: str = "cluster") -> DataFrame:

@@ -51,11 +51,13 @@ def _bytes_of(df: DataFrame, name: str) -> Column:
     return F.col(f"{name}.bytes") if isinstance(df.schema[name].dataType, T.StructType) else F.col(name)
 
 
-def binary_image_flag(df: DataFrame, column: str, sample: int = 10) -> DataFrame:
-    """One row: does any of the first values look like an image."""
-    content = _bytes_of(df, column)
-    first = df.select(content.alias("c")).filter(F.col("c").isNotNull()).limit(sample)
-    return first.agg(F.lit(column).alias("column"), F.coalesce(F.bool_or(is_image(F.col("c"))), F.lit(False)).alias("image"))
+def _any_image(df: DataFrame, name: str) -> Column:
+    return F.coalesce(F.bool_or(is_image(_bytes_of(df, name))), F.lit(False))
+
+
+def binary_image_flag(df: DataFrame, column: str) -> DataFrame:
+    """One row: does any of the values look like an image."""
+    return df.agg(_any_image(df, column).alias("image")).select(F.lit(column).alias("column"), "image")
 
 
 def _long(df: DataFrame, structs: list[Column], *aggs: Column) -> DataFrame:
@@ -65,31 +67,44 @@ def _long(df: DataFrame, structs: list[Column], *aggs: Column) -> DataFrame:
 
 
 def column_types(df: DataFrame) -> DataFrame:
-    """(column, type) for every column."""
-    structs = []
-    for f in df.schema.fields:
+    """(column, type) for every column; byte columns are told apart by all their values, in one pass."""
+    structs, aggs = [], []
+    for i, f in enumerate(df.schema.fields):
         kind = F.lit(logical_type(f.dataType))
         if _is_binary(f.dataType):
-            image = binary_image_flag(df, f.name).select("image").scalar()
-            kind = F.when(image, "image").otherwise("unknown")
+            aggs.append(_any_image(df, f.name).alias(f"_i{i}"))
+            kind = F.when(F.col(f"_i{i}"), "image").otherwise("unknown")
         structs.append(F.struct(F.lit(f.name).alias("column"), kind.alias("type")))
-    return _long(df, structs)
+    return _long(df, structs, *aggs)
+
 
+def _value_key(f: T.StructField) -> Column:
+    """A value as 128 bits in text, whatever its width; null stays null."""
+    c = F.col(f.name)
+    if isinstance(f.dataType, (T.FloatType, T.DoubleType)):
+        c = c + F.lit(0.0)  # the two zeros are one value
+    if isinstance(f.dataType, (T.MapType, T.StructType, T.ArrayType)):
+        c = F.when(c.isNotNull(), F.to_json(c))
+    return F.md5(c if isinstance(f.dataType, T.BinaryType) else c.cast("string"))
 
-def _countable(df: DataFrame, f: T.StructField) -> Column | None:
-    if isinstance(f.dataType, (T.MapType, T.StructType)):
-        return F.to_json(f.name)
-    return F.col(f.name)
+
+def _value_counts(df: DataFrame, fields: list[T.StructField]) -> DataFrame:
+    """(i, key, n): rows per column number and value, counted before they meet in a shuffle."""
+    each = [F.struct(F.lit(i).alias("i"), _value_key(f).alias("key")) for i, f in enumerate(fields)]
+    return df.select(F.explode(F.array(*each)).alias("_p")).select("_p.*").groupBy("i", "key").agg(F.count("*").alias("n"))
 
 
 def unique_counts(df: DataFrame, approximate: bool = False) -> DataFrame:
-    """Distinct non-null values per column in one pass; sketches if approximate."""
-    count = F.approx_count_distinct if approximate else F.count_distinct
+    """(column, unique): distinct non-null values per column; sketches if approximate."""
     fields = df.schema.fields
-    # a query has no columns in common with its aggregate names, so number them
-    aggs = [count(_countable(df, f)).alias(f"_u{i}") for i, f in enumerate(fields)]
-    structs = [F.struct(F.lit(f.name).alias("column"), F.col(f"_u{i}").alias("unique")) for i, f in enumerate(fields)]
-    return _long(df, structs, *aggs)
+    names = F.array(*[F.lit(f.name) for f in fields])
+    if approximate:
+        aggs = [F.approx_count_distinct(_value_key(f)).alias(f"_u{i}") for i, f in enumerate(fields)]
+        structs = [F.struct(F.lit(f.name).alias("column"), F.col(f"_u{i}").alias("unique")) for i, f in enumerate(fields)]
+        return _long(df, structs, *aggs)
+    counts = _value_counts(df, fields).groupBy("i").agg(F.count("key").alias("unique"))
+    every = df.sparkSession.range(len(fields)).select(F.col("id").cast("int").alias("i"), F.get(names, F.col("id").cast("int")).alias("column"))
+    return every.join(counts, "i", "left").select("column", F.coalesce("unique", F.lit(0)).alias("unique"))
 
 
 def _string_columns(df: DataFrame) -> list[str]:
@@ -99,22 +114,21 @@ def _string_columns(df: DataFrame) -> list[str]:
 def categories(df: DataFrame, limit: int = MAX_CATEGORIES) -> DataFrame:
     """(column, value, n) for string columns with at most ``limit`` distinct values.
 
-    A cheap sketch first rules out columns that are far above the limit, so long free text is
-    neither read nor shuffled for the exact counts.
+    ``limit`` is what a category column is. Digests of values are counted first, so long free text
+    is not shuffled to find that out.
     """
-    names = _string_columns(df)
+    fields = [df.schema[n] for n in _string_columns(df)]
     empty = df.sparkSession.createDataFrame([], "column string, value string, n long")
-    if not names:
+    if not fields:
         return empty
-    rough = df.agg(*[F.approx_count_distinct(n).alias(n) for n in names]).first()
-    names = [n for n in names if rough[n] <= 2 * limit + 50]
+    found = _value_counts(df, fields).groupBy("i").agg(F.count("key").alias("k")).filter(F.col("k") <= limit)
+    names = [fields[i].name for i in sorted(r.i for r in found.collect())]  # at most one row per column
     if not names:
         return empty
     pairs = F.explode(F.array(*[F.struct(F.lit(n).alias("column"), F.col(n).alias("value")) for n in names]))
     counts = df.select(pairs.alias("_p")).select("_p.*").filter("value IS NOT NULL").groupBy("column", "value")
     counts = counts.agg(F.count("*").alias("n"))
-    few = counts.groupBy("column").agg(F.count("*").alias("_k")).filter(F.col("_k") <= limit)
-    return counts.join(few.select("column"), "column", "left_semi")
+    return counts
 
 
 def number_extent(df: DataFrame) -> DataFrame:

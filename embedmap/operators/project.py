@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from embedmap.functions.vectors import l2_normalize
 from embedmap.operators.joins import aligned_tables_check, shared_prefix
-from embedmap.operators.knn import knn_join
+from embedmap.operators.knn import Prepared, knn_join
 from embedmap.operators.ranking import uniform_sample
 from embedmap.session import store
 
@@ -152,7 +152,7 @@ def project_sample(df: DataFrame, vector: str, fit_sample: int, components: int
     return pca_transform(df, model, vector)
 
 
-def project_features(features: DataFrame, num_features: int, components: int = 2, hashed_dims: int = 256) -> DataFrame:
+def project_features(features: DataFrame, num_features: int, hashed_dims: int, components: int = 2) -> DataFrame:
     """Map of the features themselves: each feature is its (hashed) activation over rows.
 
     Rows are hashed into at most ``hashed_dims`` signed buckets, so a feature's vector stays
@@ -177,6 +177,17 @@ def project_features(features: DataFrame, num_features: int, components: int = 2
     return project(dense, "vector", components).withColumnRenamed("ls_index", "feature_id")
 
 
+def place_near(old_map: DataFrame, old: DataFrame | Prepared, fresh: DataFrame, k: int = 15) -> DataFrame:
+    """Coordinates of new (ls_index, vector) rows: the similarity-weighted mean of their neighbours on the map."""
+    near = knn_join(fresh, old, k, metric="cosine")
+    axes = [c for c in AXES if c in old_map.columns]
+    at = old_map.select(F.col("ls_index").alias("neighbor"), *axes)
+    weight = F.greatest(1 - F.col("distance"), F.lit(1e-6))
+    return near.join(at, "neighbor").groupBy("ls_index").agg(
+        *[(F.sum(weight * F.col(a)) / F.sum(weight)).alias(a) for a in axes]
+    )
+
+
 def place_new_rows(old_map: DataFrame, old: DataFrame, new: DataFrame, k: int = 15) -> DataFrame:
     """Old coordinates unchanged, new rows at the similarity-weighted mean of their neighbours.
 
@@ -184,11 +195,5 @@ def place_new_rows(old_map: DataFrame, old: DataFrame, new: DataFrame, k: int =
     """
     aligned_tables_check(old_map, old)
     fresh = new.join(old_map, "ls_index", "left_anti")
-    near = knn_join(fresh, old, k, metric="cosine")
     axes = [c for c in AXES if c in old_map.columns]
-    at = old_map.select(F.col("ls_index").alias("neighbor"), *axes)
-    weight = F.greatest(1 - F.col("distance"), F.lit(1e-6))
-    placed = near.join(at, "neighbor").groupBy("ls_index").agg(
-        *[(F.sum(weight * F.col(a)) / F.sum(weight)).alias(a) for a in axes]
-    )
-    return old_map.select("ls_index", *axes).unionByName(placed)
+    return old_map.select("ls_index", *axes).unionByName(place_near(old_map, old, fresh, k))

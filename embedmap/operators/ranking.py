@@ -192,14 +192,15 @@ def uniform_sample(df: DataFrame, n: int, seed: int = 42, key: str = "ls_index")
     bound on the hash first keeps little more than ``n`` rows, and only those are sorted and
     numbered, in many tasks; should the bound keep too few, all rows are.
     """
-    h = F.xxhash64(F.col(key), F.lit(seed))
+    # sixty bits of a digest
+    h = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), 1, 15), 16, 10).cast("long")
     if n <= DIRECT_SAMPLE:
         return df.orderBy(h, key).limit(n)
     total = df.count()
     if n >= total:
         return df
     share = (1.2 * n + 1000) / total
-    some = df if share >= 1 else df.filter(h <= F.lit(int(share * 2**64) - 2**63))
+    some = df if share >= 1 else df.filter(h < F.lit(int(share * 2**60)))
     if share < 1 and some.count() < n:
         some = df
     numbered = assign_row_index(some.withColumn("_h", h), [F.col("_h"), F.col(key)], "_order")
@@ -212,11 +213,35 @@ def sort_rows(df: DataFrame, column: str, ascending: bool = True, tie: str = "ls
     return df.orderBy(c.asc_nulls_last() if ascending else c.desc_nulls_last(), tie)
 
 
+def positions(df: DataFrame, name: str = "pos") -> DataFrame:
+    """Rows of a sorted frame with their position in it: partitions are in order, so counts before each add up."""
+    numbered = store(df.withColumn("_at", F.monotonically_increasing_id()), "sorted")
+    part = F.shiftright("_at", 33)
+    sizes = numbered.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    # one row per partition of the sort
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    at = F.col("_at").bitwiseAND(F.lit(2**33 - 1)) + F.col("_before")
+    return numbered.withColumn("_part", part).join(before.drop("_n"), "_part").withColumn(name, at).drop("_part", "_at", "_before")
+
+
 def page(df: DataFrame, order: list, number: int, per_page: int = 100) -> DataFrame:
     """One page of ordered rows (0-based page number)."""
     return df.orderBy(*order).offset(number * per_page).limit(per_page)
 
 
+def page_after(df: DataFrame, order: list[str], last: list | None, per_page: int = 100) -> DataFrame:
+    """The page after the row whose ascending ``order`` columns, unique together and never null, are ``last``.
+
+    However deep the page, only rows behind the key are looked at and a top-n is kept.
+    """
+    if last is not None:
+        behind = F.lit(False)
+        for name, value in reversed(list(zip(order, last, strict=True))):
+            behind = (F.col(name) > value) | ((F.col(name) == value) & behind)
+        df = df.filter(behind)
+    return df.orderBy(*order).limit(per_page)
+
+
 def page_count(df: DataFrame, per_page: int = 100) -> DataFrame:
     return df.agg(
         F.count("*").alias("total"), F.ceil(F.count("*") / per_page).alias("total_pages")

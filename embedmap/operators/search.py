@@ -8,14 +8,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from embedmap.functions.vectors import EPS, l2_normalize
-from embedmap.operators.knn import best_pairs, knn_join, matrix, squared
-from embedmap.operators.ranking import top_per_group, uniform_sample
+from embedmap.operators.knn import best_pairs, knn_join, match_blocks, matrix, squared
+from embedmap.operators.ranking import top_per_group
 from embedmap.operators.sets import candidate_union, ids_minus
-from embedmap.session import scratch_path
+from embedmap.session import scratch_path, store
 
 MAX_DRIVER_QUERIES = 1024  # more queries than this are joined, not sent with the tasks
 
@@ -23,13 +23,14 @@ MAX_DRIVER_QUERIES = 1024  # more queries than this are joined, not sent with th
 def _scan(vectors: DataFrame, ids: np.ndarray, q: np.ndarray, limit: int, metric: str, vector: str) -> DataFrame:
     """(query, ls_index, distance): per Arrow batch the best rows of every query, in one pass.
 
-    Distances are one matrix product per batch, and only ``limit`` rows (and ties) of a batch
-    leave the task.
+    Distances are one matrix product per batch, and only ``limit`` rows of a batch leave the task.
+    With the cosine metric a zero vector has no direction: it finds nothing and is not found.
     """
     cosine = metric == "cosine"
     q = np.asarray(q, dtype=np.float64)
     if cosine:
-        q = q / np.maximum(np.sqrt((q * q).sum(1, keepdims=True)), 1e-300)
+        size = np.sqrt((q * q).sum(1))
+        ids, q = ids[size > 0], q[size > 0] / size[size > 0, None]
 
     def run(batches):
         for b in batches:
@@ -38,9 +39,9 @@ def _scan(vectors: DataFrame, ids: np.ndarray, q: np.ndarray, limit: int, metric
             if cosine:
                 n = np.sqrt((v * v).sum(1))
                 v, rows = v[n > 0] / n[n > 0][:, None], rows[n > 0]
-            if not len(v):
+            if not len(v) or not len(q):
                 continue
-            for at, col, dist in best_pairs(q, v, limit, cosine):
+            for at, col, dist in best_pairs(q, v, limit, cosine, rows):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids[at]), pa.array(rows[col]), pa.array(dist)],
                     names=["query", "ls_index", "distance"],
@@ -91,7 +92,7 @@ def batch_search(
     """(query, ls_index, distance, rank) for many queries (query, vector) in one pass.
 
     Few queries travel with the tasks and every batch keeps its best rows per query; more than
-    MAX_DRIVER_QUERIES take the kNN join.
+    MAX_DRIVER_QUERIES take the kNN join, which gives the same rows.
     """
     few = queries.select("query", vector).limit(MAX_DRIVER_QUERIES + 1).collect()
     if len(few) > MAX_DRIVER_QUERIES:
@@ -134,13 +135,14 @@ def maxsim(query_tokens, docs: DataFrame, limit: int | None = None) -> DataFrame
 def late_interaction_search(
     query_tokens, vectors: DataFrame, docs: DataFrame, prefilter: int | None = None, final: int = 50
 ) -> DataFrame:
-    """Candidates from the mean query and from each query token, re-ranked by MaxSim.
+    """The documents of best MaxSim; all are scored in one pass unless ``prefilter`` is given.
 
-    The default number of candidates grows with the corpus: a hundredth, within [200, 2000].
+    With ``prefilter`` only that many nearest documents of the mean query, and a share of them for
+    each query token, are candidates.
     """
     q = np.asarray(query_tokens, dtype=np.float64)
     if prefilter is None:
-        prefilter = int(np.clip(vectors.count() // 100, 200, 2000))
+        return maxsim(q, docs, final)
     per_token = max(20, prefilter // max(1, len(q)))
     mean = nn_search(vectors, q.mean(0), prefilter)
     # number of query tokens is small and known, one row each
@@ -154,67 +156,101 @@ def late_interaction_search(
 
 @dataclass
 class IvfIndex:
-    """Vectors stored by coarse cell (a partition folder each) and the cell centres."""
+    """Vectors stored by coarse cell (a partition folder each), the cell centres and cell sizes."""
 
+    path: str
     cells: DataFrame
     centers: np.ndarray
+    sizes: np.ndarray
 
 
-def ivf_build(vectors: DataFrame, nlist: int | None = None, seed: int = 42) -> IvfIndex:
-    """Partition vectors by k-means cells, trained on a bounded sample.
+def _unit(vectors: DataFrame) -> DataFrame:
+    """Rows with a direction, and their unit vectors as ``features``."""
+    good = F.col("vector").isNotNull() & F.exists("vector", lambda x: x != 0)
+    return vectors.filter(good).select("ls_index", "vector", array_to_vector(l2_normalize("vector")).alias("features"))
+
+
+def _place(vectors: DataFrame, centers: np.ndarray, path: str) -> None:
+    """Append vectors to the folders of their nearest cells."""
+
+    def run(batches):
+        for b in batches:
+            m = matrix(b.column("u"))
+            near = [squared(m[s : s + 1024], centers).argmin(1) for s in range(0, len(m), 1024)]
+            cell = pa.array(np.concatenate(near or [np.empty(0)]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([b.column("ls_index"), b.column("vector"), cell], names=["ls_index", "vector", "cell"])
+
+    rows = _unit(vectors).select(F.col("ls_index").cast("long"), F.col("vector").cast("array<float>"), l2_normalize("vector").alias("u"))
+    placed = rows.mapInArrow(run, "ls_index long, vector array<float>, cell int")
+    placed.write.mode("append").partitionBy("cell").parquet(f"{path}/cells")
+
+
+def ivf_build(vectors: DataFrame, nlist: int = 256, path: str | None = None, seed: int = 42) -> IvfIndex:
+    """Index of ``nlist`` k-means cells, fitted on all vectors and kept at ``path``.
 
     A cell is a folder, so a search reads only the folders it probes; inside, rows are spread over
-    several files, so a hot cell is not one task's work.
+    several files, so a hot cell is not one task's work. Zero vectors are not indexed.
     """
     spark = vectors.sparkSession
-    n = vectors.count()
-    nlist = nlist or min(256, n // 10)
-    unit = vectors.select("ls_index", "vector", array_to_vector(l2_normalize("vector")).alias("features"))
-    train = uniform_sample(unit, min(n, 256 * nlist), seed)
-    model = KMeans(k=nlist, seed=seed, maxIter=10, featuresCol="features", predictionCol="cell").fit(train)
-    path = scratch_path(spark, "ivf")
-    model.transform(unit).select("ls_index", "vector", "cell").write.partitionBy("cell").parquet(path)
-    return IvfIndex(spark.read.parquet(path), np.array(model.clusterCenters()))
-
-
-def ivf_search(
-    vectors: DataFrame, queries: DataFrame, limit: int, nlist: int | None = None, nprobe: int = 8,
-    index: IvfIndex | None = None,
-) -> DataFrame:
-    """Approximate search: exact distances, but only in the ``nprobe`` cells nearest each query.
+    path = path or scratch_path(spark, "ivf")
+    model = KMeans(k=nlist, seed=seed, featuresCol="features", predictionCol="cell").fit(store(_unit(vectors), "ivf-fit"))
+    centers = np.array(model.clusterCenters())
+    rows = [(i, c.tolist()) for i, c in enumerate(centers)]
+    spark.createDataFrame(rows, "cell int, center array<double>").coalesce(1).write.parquet(f"{path}/centers")
+    _place(vectors, centers, path)
+    return ivf_open(spark, path)
+
+
+def ivf_open(spark: SparkSession, path: str) -> IvfIndex:
+    """The index kept at ``path``; its centres and cell sizes, one row per cell each, are read."""
+    centers = np.array([r.center for r in spark.read.parquet(f"{path}/centers").orderBy("cell").collect()])
+    cells = spark.read.parquet(f"{path}/cells")
+    sizes = np.zeros(len(centers), np.int64)
+    for r in cells.groupBy("cell").count().collect():
+        sizes[r["cell"]] = r["count"]
+    return IvfIndex(path, cells, centers, sizes)
 
-    Below 256 rows the answer is exact, as no index is worth it; so it is for more queries than
-    the driver should hold, which take the exact join.
+
+def ivf_append(index: IvfIndex, vectors: DataFrame) -> IvfIndex:
+    """Add vectors to the cells they fall in; the centres stay."""
+    _place(vectors, index.centers, index.path)
+    return ivf_open(vectors.sparkSession, index.path)
+
+
+def ivf_search(queries: DataFrame, index: IvfIndex, limit: int, nprobe: int = 8) -> DataFrame:
+    """Approximate search: exact distances, but only in the cells nearest each query.
+
+    At least ``nprobe`` cells are probed, and more until they hold ``limit`` rows. Zero queries find
+    nothing. Query and cell meet by a join in blocks of bounded size, whatever the number of queries.
     """
-    few = queries.select("query", "vector").limit(MAX_DRIVER_QUERIES + 1).collect()
-    if len(few) > MAX_DRIVER_QUERIES or (index is None and vectors.limit(256).count() < 256):
-        return batch_search(queries, vectors, limit)
-    index = index or ivf_build(vectors, nlist)
-    ids = np.array([r["query"] for r in few], dtype=np.int64)
-    q = np.array([r["vector"] for r in few], dtype=np.float64)
-    q = q / np.maximum(np.sqrt((q * q).sum(1, keepdims=True)), 1e-300)
-    probes = np.argsort(squared(q, index.centers), axis=1)[:, :nprobe]
-    asked: dict[int, np.ndarray] = {int(c): np.nonzero((probes == c).any(1))[0] for c in np.unique(probes)}
+    spark, centers, sizes = queries.sparkSession, index.centers, index.sizes
+    shared = spark.sparkContext.broadcast((centers, sizes))
 
-    def run(batches):
+    def probes(batches):
+        centers, sizes = shared.value
         for b in batches:
-            v = matrix(b.column("vector"))
-            n = np.sqrt((v * v).sum(1))
-            cell = b.column("cell").to_numpy(zero_copy_only=False)
-            rows = b.column("ls_index").to_numpy(zero_copy_only=False)
-            for c in np.unique(cell):
-                mine, who = np.nonzero((cell == c) & (n > 0))[0], asked[int(c)]
-                if not len(mine):
-                    continue
-                for at, col, dist in best_pairs(q[who], v[mine] / n[mine][:, None], limit, True):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(ids[who][at]), pa.array(rows[mine][col]), pa.array(dist)],
-                        names=["query", "ls_index", "distance"],
-                    )
-
-    probed = index.cells.filter(F.col("cell").isin(list(asked))).select(F.col("ls_index").cast("long"), "vector", "cell")
-    found = probed.mapInArrow(run, "query long, ls_index long, distance double")
-    return top_per_group(found, ["query"], ["distance", "ls_index"], limit)
+            q = matrix(b.column("vector"))
+            size = np.sqrt((q * q).sum(1))
+            rows = np.flatnonzero(size > 0)
+            if not len(rows):
+                continue
+            q = q[rows] / size[rows, None]
+            order = np.argsort(squared(q, centers), axis=1, kind="stable")
+            held = np.cumsum(sizes[order], axis=1) - sizes[order]
+            at, place = np.nonzero((np.arange(len(centers))[None, :] < nprobe) | (held < limit))
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * q.shape[1]), pa.array(q[at].ravel()))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(order[at, place].astype(np.int32)), b.column("query").take(pa.array(rows[at])), flat], names=["cell", "ls_index", "v"]
+            )
+
+    asked = queries.select(F.col("query").cast("long"), F.col("vector").cast("array<double>").alias("vector"))
+    asked = store(asked.mapInArrow(probes, "cell int, ls_index long, v array<double>"), "ivf-probes")
+    counts = {r["cell"]: r["count"] for r in asked.groupBy("cell").count().collect()}
+    probed = index.cells.filter(F.col("cell").isin(list(counts)))
+    right = probed.select("cell", F.array(F.col("ls_index").cast("long")).alias("ids"), l2_normalize("vector").alias("v"))
+    return match_blocks(asked, counts, right, dict(enumerate(sizes.tolist())), len(centers), limit, True).withColumnsRenamed(
+        {"ls_index": "query", "neighbor": "ls_index"}
+    )
 
 
 def search_quality(found: DataFrame, expected: DataFrame, labels: DataFrame, topk: int = 5) -> DataFrame:

@@ -28,12 +28,12 @@ for _k in (1, 2, 3):
 @query("prj2_graph_layout")
 def prj2(spark, sf):
     v = X.vectors(spark, sf).select("ls_index", F.col("e").alias("vector"))
-    return LY.graph_layout(v, P.project(v), k=10, epochs=3)
+    return LY.graph_layout(v, P.project(v), k=10, epochs=10)
 
 
 @query("prj3_project_features")
 def prj3(spark, sf):
-    return P.project_features(X.features(spark, sf), 64)
+    return P.project_features(X.features(spark, sf), 64, 256)
 
 
 @query("prj4_normalize_frame", with_map("SELECT ls_index, round(x,6)+0.0 AS x, round(y,6)+0.0 AS y, round(z,6)+0.0 AS z FROM map1"))
@@ -129,7 +129,7 @@ def prj11(spark, sf):
     from embedmap.operators.tokens import explode_token_vectors
 
     tokens = explode_token_vectors(X.token_vectors(spark, sf)).select(F.col("token_index").alias("ls_index"), "vector")
-    return P.project_sample(tokens, "vector", 1000)
+    return P.project(tokens, "vector")
 
 
 # --- clustering ---------------------------------------------------------------------------

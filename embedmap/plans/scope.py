@@ -369,7 +369,14 @@ def agg9(spark, sf):
     return A.rare_label_fold(X.documents(spark, sf).select("ls_index", "source"), "source", 50).select("ls_index", "folded")
 
 
-@query("agg10_scope_fingerprint")
+HASH = "CAST('0x' || substr(md5(ls_index || ',' || CAST(floor(x*1e6+0.5) AS BIGINT) || ',' || CAST(floor(y*1e6+0.5) AS BIGINT)), 1, 15) AS BIGINT)"
+
+
+@query(
+    "agg10_scope_fingerprint",
+    with_scope(f"""SELECT count(*) AS n, bit_xor(h) AS hash_xor, CAST(sum(h & 4294967295) AS BIGINT) AS hash_sum
+        FROM (SELECT {HASH} AS h FROM scope WHERE NOT deleted)"""),
+)
 def agg10(spark, sf):
     return A.scope_fingerprint(X.scope(spark, sf))
 
@@ -450,7 +457,7 @@ def win6(spark, sf):
     return R.recent_distinct(X.table(spark, sf, "events"), "user_id", "ts", 5)
 
 
-@query("smp1_uniform_sample")
+@query("smp1_uniform_sample", "SELECT doc_id AS ls_index, lang FROM documents ORDER BY substr(md5('42:' || doc_id), 1, 15), doc_id LIMIT 100")
 def smp1(spark, sf):
     return R.uniform_sample(X.documents(spark, sf).select("ls_index", "lang"), 100)
 
@@ -463,9 +470,7 @@ def smp1(spark, sf):
 def srt1(spark, sf):
     d = X.table(spark, sf, "documents").join(X.table(spark, sf, "labels"), "doc_id", "left")
     d = d.select(F.col("doc_id").alias("ls_index"), "quality")
-    in_order = R.sort_rows(d, "quality", ascending=False)
-    placed = R.assign_row_index(in_order, [F.col("quality").desc_nulls_last(), F.col("ls_index")], "pos")
-    return placed.withColumn("quality", F.coalesce("quality", F.lit(-1)))
+    return R.positions(R.sort_rows(d, "quality", ascending=False), "pos").withColumn("quality", F.coalesce("quality", F.lit(-1)))
 
 
 @query("srt2_page", "SELECT doc_id AS ls_index, n_chars FROM documents ORDER BY n_chars DESC, doc_id LIMIT 50 OFFSET 100")
@@ -562,10 +567,10 @@ def grd3(spark, sf):
     return A.density_grid(X.first_map(spark, sf), 64)
 
 
-@query("grd4_bytes_per_cell")
+@query("grd4_bytes_per_cell", "SELECT round(avg(strlen(html)), 6) AS bytes_per_cell, count(html) AS images FROM pages")
 def grd4(spark, sf):
     pages = X.table(spark, sf, "pages").select("page_id", F.encode("html", "UTF-8").alias("image"))
-    return A.bytes_per_cell(pages, "image", key="page_id")
+    return r6(A.bytes_per_cell(pages, "image"), "bytes_per_cell")
 
 
 @query("fn17_drop_binary_columns", "SELECT page_id, url FROM pages")

@@ -61,19 +61,17 @@ def fn7(spark, sf):
     "fn8_token_snippet",
     """SELECT doc_id AS ls_index, substr(text, lo+1, s-lo) AS before, substr(text, s+1, e-s) AS "match", substr(text, e+1, hi-e) AS after,
          lo > 0 AS cut_before, hi < n AS cut_after FROM (SELECT *, greatest(s-150, 0) AS lo, least(e+150, n) AS hi FROM
-         (SELECT doc_id, text, length(text) AS n, length(text)//2 AS s, length(text)//2 + 12 AS e FROM documents) WHERE e <= n)""",
+         (SELECT doc_id, text, n, s, least(s + doc_id % 400, n) AS e FROM
+           (SELECT doc_id, text, length(text) AS n, CASE WHEN doc_id % 9 = 0 THEN length(text) ELSE length(text)//2 END AS s FROM documents)) WHERE s < n)""",
 )
 def fn8(spark, sf):
-    mid = F.floor(F.length("text") / 2)
-    d = X.documents(spark, sf).select("ls_index", S.token_snippet("text", mid, mid + 12).alias("s"))
+    # some spans start at the text's end, and many end beyond it
+    n = F.length("text")
+    start = F.when(F.col("ls_index") % 9 == 0, n).otherwise(F.floor(n / 2))
+    d = X.documents(spark, sf).select("ls_index", S.token_snippet("text", start, start + F.col("ls_index") % 400).alias("s"))
     return d.filter("s IS NOT NULL").select("ls_index", "s.*")
 
 
-@query("fn15_html_clean")
-def fn15(spark, sf):
-    return X.table(spark, sf, "pages").select("page_id", S.html_clean("html").alias("clean"))
-
-
 # --- tokens -------------------------------------------------------------------------------
 
 # runs of letters and of other characters, with the place where each starts
@@ -201,19 +199,26 @@ def lab1(spark, sf):
 
 @query(
     "lab2_token_labels",
-    f"""WITH {WORDS_SQL}, cl AS (SELECT doc_id, dense_rank() OVER (ORDER BY source) - 1 AS cluster FROM documents),
-    n AS (SELECT cluster, token_str, row_number() OVER (PARTITION BY cluster ORDER BY count(*) DESC, token_str) AS rn
+    f"""WITH {WORDS_SQL}, cl AS (SELECT doc_id, source, dense_rank() OVER (ORDER BY source) - 1 AS cluster FROM documents),
+    n AS (SELECT cluster, token_str, count(*) AS m, row_number() OVER (PARTITION BY cluster ORDER BY count(*) DESC, token_str) AS rn
           FROM word JOIN cl ON doc_id = ls_index GROUP BY cluster, token_str),
-    s AS (SELECT cluster, token_str, row_number() OVER (PARTITION BY cluster ORDER BY rn) AS k FROM n WHERE rn <= 5)
-    SELECT CAST(cluster AS INT) AS cluster, string_agg(token_str, ', ' ORDER BY k) AS label FROM s WHERE k <= 3 GROUP BY cluster""",
+    t AS (SELECT cluster, sum(m) AS m FROM n GROUP BY cluster),
+    s AS (SELECT cluster, token_str, row_number() OVER (PARTITION BY cluster ORDER BY rn) AS k FROM n WHERE rn <= 5),
+    l AS (SELECT cluster, string_agg(token_str, ', ' ORDER BY k) AS names FROM s WHERE k <= 3 GROUP BY cluster),
+    z AS (SELECT DISTINCT cluster, source = 'src3' AS noise FROM cl)
+    SELECT CAST(l.cluster AS INT) AS cluster, CASE WHEN noise THEN 'Unclustered' ELSE names END AS label,
+      CASE WHEN noise THEN m || ' noise points the clustering algorithm did not assign to any cluster.'
+           ELSE 'Token cluster ' || l.cluster || ' with ' || m || ' tokens; most frequent: ' || names || '.' END AS description
+    FROM l JOIN t USING (cluster) JOIN z USING (cluster)""",
 )
 def lab2(spark, sf):
     from embedmap.operators.cluster import column_clusters
 
-    tokens = TK.number_tokens(_tokens(spark, sf))
-    doc = column_clusters(X.documents(spark, sf), "source").withColumnRenamed("raw_cluster", "cluster")
-    clusters = tokens.select("token_index", "ls_index").join(doc, "ls_index").select("token_index", "cluster")
-    return L.token_labels(tokens, clusters)
+    docs = X.documents(spark, sf)
+    # one source plays the noise cluster; every token carries its document's cluster
+    raw = docs.select("ls_index", F.when(F.col("source") == "src3", -1).otherwise(0).alias("raw_cluster"))
+    cluster = column_clusters(docs, "source").withColumnRenamed("raw_cluster", "cluster")
+    return L.token_labels(_tokens(spark, sf).join(cluster, "ls_index").join(raw, "ls_index"))
 
 
 STOP_SQL = ", ".join("'" + w.replace("'", "''") + "'" for w in L.STOP_WORDS)
@@ -318,6 +323,12 @@ def udf3(spark, sf):
     return out.select("ls_index", "num_tokens", F.size("vector").alias("dim"))
 
 
-@query("udf4_hash_embed")
+@query(
+    "udf4_hash_embed",
+    r"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(CASE WHEN text IS NULL OR text = '' THEN ' ' ELSE text END), '\p{L}+')) AS word FROM documents),
+    c AS (SELECT doc_id, CAST('0x' || substr(md5(word), 1, 7) AS BIGINT) % 256 AS d, count(*) AS n FROM w GROUP BY 1, 2)
+    SELECT doc_id AS ls_index, CAST(d AS INT) AS place, round(CAST(CAST(n / sqrt(sum(n*n) OVER (PARTITION BY doc_id)) AS FLOAT) AS DOUBLE), 5)+0.0 AS weight FROM c""",
+)
 def udf4(spark, sf):
-    return U.hash_embed(X.documents(spark, sf), "text", 256)
+    places = U.hash_embed(X.documents(spark, sf), "text", 256).select("ls_index", F.posexplode("vector").alias("place", "weight"))
+    return r6(places.filter("weight <> 0").withColumn("weight", F.col("weight").cast("double")), "weight", digits=5)

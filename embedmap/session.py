@@ -60,10 +60,6 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """At least one task per core for costly row functions, when the input has fewer files.
-
-    A table of many files is left alone: its scan is spread already and a shuffle would be waste.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if len(df.inputFiles()) >= cores else df.repartition(cores)
+def spread(df: DataFrame, tasks: int | None = None) -> DataFrame:
+    """Rows dealt to ``tasks`` tasks for costly row functions, if the caller asks for it; else as they are."""
+    return df if tasks is None else df.repartition(tasks)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -71,17 +73,28 @@ def copy_report(source: DataFrame, copied: DataFrame) -> DataFrame:
 
 
 def verified_copy(source: DataFrame, path: str, tolerance: float = 1e-6) -> str:
-    """Copy vectors and check every value. An equal target is left alone, a partial one redone."""
+    """Copy vectors and check every value before the copy takes the target's place.
+
+    An equal target is left alone. A copy that fails the check is dropped, and whatever was at the
+    target stays.
+    """
     spark = source.sparkSession
 
-    def sound() -> bool:
-        r = copy_report(source, spark.read.parquet(path)).first()
+    def sound(at: str) -> bool:
+        r = copy_report(source, spark.read.parquet(at)).first()
         return r["unmatched"] == 0 and r["max_difference"] <= tolerance
 
-    if exists(spark, path):
-        if spark.read.parquet(path).count() == source.count() and sound():
-            return "already_migrated"
-    source.select("ls_index", F.col("vector").cast("array<float>")).write.mode("overwrite").parquet(path)
-    if not sound():
-        raise ValueError(f"copy at {path} differs from its source")
+    if exists(spark, path) and sound(path):
+        return "already_migrated"
+    beside = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
+    jvm = spark._jvm
+    here, there = jvm.org.apache.hadoop.fs.Path(beside), jvm.org.apache.hadoop.fs.Path(path)
+    fs = there.getFileSystem(spark._jsc.hadoopConfiguration())
+    source.select("ls_index", F.col("vector").cast("array<float>")).write.parquet(beside)
+    if not sound(beside):
+        fs.delete(here, True)
+        raise ValueError(f"copy for {path} differs from its source")
+    fs.delete(there, True)
+    if not fs.rename(here, there):
+        raise OSError(f"cannot move the copy to {path}")
     return "migrated"

@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from embedmap.functions.scalars import prepare_text
-from embedmap.operators.project import place_new_rows
+from embedmap.operators.joins import aligned_tables_check
+from embedmap.operators.knn import prepare
+from embedmap.operators.project import place_near
 from embedmap.operators.sets import ids_minus
 from embedmap.session import spread, store
 from embedmap.sources.writers import append_vectors, exists
@@ -22,6 +24,19 @@ def pending_rows(source: DataFrame, stored: DataFrame) -> DataFrame:
     return ids_minus(source, stored).dropDuplicates(["ls_index"])
 
 
+def _not_stored(batch: DataFrame, path: str) -> DataFrame:
+    """Rows of a batch that the table lacks; of the stored ids only those in the batch's range are read."""
+    spark = batch.sparkSession
+    fresh = batch.dropDuplicates(["ls_index"])
+    if not exists(spark, path):
+        return fresh
+    span = fresh.agg(F.min("ls_index").alias("lo"), F.max("ls_index").alias("hi")).first()
+    if span.lo is None:
+        return fresh
+    stored = spark.read.parquet(path).select("ls_index").filter(F.col("ls_index").between(span.lo, span.hi))
+    return ids_minus(fresh, stored)
+
+
 def stream_append(
     source: DataFrame, embed: Callable[[DataFrame], DataFrame], path: str, checkpoint: str
 ) -> StreamingQuery:
@@ -31,11 +46,7 @@ def stream_append(
     """
 
     def step(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        fresh = batch.dropDuplicates(["ls_index"])
-        if exists(spark, path):
-            fresh = ids_minus(fresh, spark.read.parquet(path).select("ls_index"))
-        append_vectors(embed(fresh), path)
+        append_vectors(embed(_not_stored(batch, path)), path)
 
     return source.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -46,16 +57,16 @@ def stream_place(
     """Place arriving (ls_index, vector) rows on a published map and append their coordinates.
 
     Only rows of the published map serve as neighbours, so the result does not depend on how the
-    stream is cut into batches.
+    stream is cut into batches. They are checked and prepared once, before the stream starts; a batch
+    meets the cells near it.
     """
+    aligned_tables_check(old_map, old)
+    ready = prepare(old, k, "cosine")
+    known = store(old_map.select("ls_index"), "published")
 
     def step(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        fresh = ids_minus(batch.dropDuplicates(["ls_index"]), old_map)
-        if exists(spark, path):
-            fresh = ids_minus(fresh, spark.read.parquet(path).select("ls_index"))
-        placed = ids_minus(place_new_rows(old_map, old, fresh, k), old_map)
-        placed.write.mode("append").parquet(path)
+        fresh = ids_minus(_not_stored(batch, path), known)
+        place_near(old_map, ready, fresh, k).write.mode("append").parquet(path)
 
     return source.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -1,6 +1,5 @@
 """Row-wise functions against hand-computed values."""
 
-import html
 
 from pyspark.sql import functions as F
 
@@ -27,12 +26,12 @@ def test_voxel_center_inverts(spark):
     assert back.count() == 0
 
 
-def test_image_tile_constants():
-    assert S.tile_cells(32, 2048) == 64
-    assert S.tile_cells(4096, 2048) == 1
-    from embedmap.operators.aggregates import tiles_per_axis
-
-    assert [tiles_per_axis(n, 32) for n in (64, 128, 256, 512)] == [1, 2, 4, 8]
+def test_image_tiles_follow_the_pixels(spark):
+    # 96 cells of 20 px on tiles of 400 px: 20 cells along a tile, rows from the top
+    cells = [(0, (0, 4)), (19, (0, 4)), (20, (1, 4)), (96 * 95, (0, 0)), (96 * 76 + 95, (4, 0)), (96 * 75, (0, 1))]
+    df = spark.createDataFrame([(c,) for c, _ in cells], "cell int")
+    got = [(r.t.tx, r.t.ty) for r in df.select(S.image_tile("cell", 96, 20, 400).alias("t")).collect()]
+    assert got == [t for _, t in cells]
 
 
 def test_prepare_text_empties(spark):
@@ -56,8 +55,12 @@ def test_token_snippet(spark):
     text = "x" * 200 + "word" + "y" * 10
     s = one(spark, s=S.token_snippet(F.lit(text), F.lit(200), F.lit(204)))["s"]
     assert (len(s["before"]), s["match"], s["after"], s["cut_before"], s["cut_after"]) == (150, "word", "y" * 10, True, False)
-    for a, b in ((-1, 3), (5, 4), (0, 999)):
+    # an end beyond the text is its end; a start at the end has nothing to show
+    s = one(spark, s=S.token_snippet(F.lit(text), F.lit(210), F.lit(999)))["s"]
+    assert (s["match"], s["after"], s["cut_after"]) == ("y" * 4, "", False)
+    for a, b in ((-1, 3), (5, 4), (214, 214), (300, 301)):
         assert one(spark, s=S.token_snippet(F.lit(text), F.lit(a), F.lit(b)))["s"] is None
+    assert one(spark, s=S.token_snippet(F.lit(None).cast("string"), F.lit(0), F.lit(1)))["s"] is None
 
 
 def test_repeated_words(spark):
@@ -65,14 +68,6 @@ def test_repeated_words(spark):
     assert [r[0] for r in df.select(S.repeated_words("t", 100)).collect()] == [True, False, False, False, False]
 
 
-def test_html_clean(spark):
-    raw = [" a &amp;amp; b\n", "&lt;p&gt;​x", None, "é &#233;"]
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(raw)], "i int, t string")
-    got = [r[1] for r in df.select("i", S.html_clean("t")).orderBy("i").collect()]
-    want = [None if t is None else html.unescape(html.unescape(t.replace("\n", ""))).replace("​", "").strip() for t in raw]
-    assert got == want
-
-
 def test_color_scales(spark):
     df = spark.createDataFrame([(0.0,), (5.0,), (20.0,), (None,)], "v double")
     assert [r[0] for r in df.select(S.color_norm("v", F.lit(0), F.lit(10))).collect()] == [0.0, 0.5, 1.0, None]

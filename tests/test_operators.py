@@ -358,13 +358,16 @@ def test_too_many_categories(spark):
 
 
 def test_token_labels(spark):
-    tokens = table(
-        spark,
-        [(i, i, 0, s, a, a + 1) for i, (s, a) in enumerate([("▁the", 0), ("▁the", 0), ("the", 0), ("##ing", 0), ("[CLS]", -1), ("[CLS]", -1)])],
-        "token_index long, ls_index long, token_pos int, token_str string, char_start int, char_end int",
-    )
-    clusters = table(spark, [(i, 0) for i in range(4)] + [(4, 1), (5, 1)], "token_index long, cluster int")
-    assert {r["cluster"]: r["label"] for r in L.token_labels(tokens, clusters).collect()} == {0: "the, ing", 1: "Cluster 1"}
+    names = {0: ["▁sea", "sea", "▁sea", "##port", "ĠĠbay", "##port", "▁", "sand", "sand", "sand"], 1: ["[SEP]"] * 3, 2: ["drift"] * 2}
+    rows = [(c, -1 if c == 2 else c, s, -1 if s == "[SEP]" else 0) for c, all_ in names.items() for s in all_]
+    tokens = table(spark, rows, "cluster int, raw_cluster int, token_str string, char_start int")
+    got = {r["cluster"]: (r["label"], r["description"]) for r in L.token_labels(tokens).collect()}
+    assert got == {
+        0: ("sand, port, sea", "Token cluster 0 with 10 tokens; most frequent: sand, port, sea."),
+        1: ("Cluster 1", "Token cluster 1 with 3 tokens."),
+        2: ("Unclustered", "2 noise points the clustering algorithm did not assign to any cluster."),
+    }
+    assert {r["label"] for r in L.token_labels(tokens.drop("raw_cluster")).collect()} == {"sand, port, sea", "Cluster 1", "drift"}
 
 
 def test_label_with_and_resume(spark):
@@ -380,8 +383,9 @@ def test_feature_operators(spark):
     assert FE.alive_features(FE.feature_stats(df, 5)).first()[:] == (2, 3)
     assert [r["ls_index"] for r in FE.feature_search(df, 1, 0.1).collect()] == [1, 0]
     assert FE.feature_search(df, 1, 0.1, 1).count() == 1 and FE.feature_search(df, 3).count() == 0
-    vec = df.select(FE.sparse_vector(5).alias("v")).first()["v"]
-    assert vec.toArray().tolist() == [0, 0.5, 0, 0, 0]
+    twice = table(spark, [(0, [3, 1, 3], [0.5, 0.0, 0.75])], "ls_index long, top_indices array<int>, top_acts array<double>")
+    vec = twice.select(FE.sparse_vector(5).alias("v")).select("v.*", FE.dense_vector("v").alias("d")).first()
+    assert vec[:] == (5, [1, 3], [0.0, 0.75], [0.0, 0.0, 0.0, 0.75, 0.0])
 
 
 def test_encode_topk_matches_numpy(spark):

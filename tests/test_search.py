@@ -76,55 +76,78 @@ def test_nn_search_orders_ties_by_id(spark):
     assert [r[0] for r in S.nn_search(frame(spark, m), [1.0, 0.0], scope=only).collect()] == [3, 1]
 
 
-def test_batch_search_both_ways(spark, monkeypatch):
+def test_batch_search_does_not_depend_on_the_number_of_queries(spark):
     rng = np.random.default_rng(2)
-    m, q = rng.normal(size=(200, 6)), rng.normal(size=(30, 6))
+    m, q = rng.normal(size=(200, 6)), rng.normal(size=(1500, 6))
+    m[[3, 77]] = 0
+    q[[2, 900]] = 0  # no direction: found by nothing, finds nothing
     asks = frame(spark, q).withColumnRenamed("ls_index", "query")
-    few = S.batch_search(asks, frame(spark, m), 4).toPandas()
-    monkeypatch.setattr(S, "MAX_DRIVER_QUERIES", 10)
-    many = S.batch_search(asks, frame(spark, m), 4).toPandas()
-    key = ["query", "rank"]
-    a, b = few.sort_values(key).reset_index(drop=True), many.sort_values(key).reset_index(drop=True)
-    assert (a["ls_index"] == b["ls_index"]).all() and np.allclose(a["distance"], b["distance"])
+    found = lambda a: {(r["query"], r["rank"]): (r["ls_index"], round(r["distance"], 9)) for r in S.batch_search(a, frame(spark, m), 4).collect()}
+    few, many = found(asks.filter("query < 5")), found(asks)
+    assert few == {k: v for k, v in many.items() if k[0] < 5}
+    assert len(few) == 16 and len(many) == 4 * 1498
+    assert not {3, 77} & {i for i, _ in many.values()}
 
 
-def axis(i, dim=16):
-    v = [0.0] * dim
-    v[i] = 1.0
-    return v
+def test_ties_stay_in_the_task(spark):
+    same = np.tile([1.0, 2.0], (5000, 1))
+    at, col, dist = (np.concatenate(x) for x in zip(*K.best_pairs(same[:3], same, 10, True, np.arange(5000)[::-1].copy()), strict=True))
+    assert len(at) == 30 and set(col[at == 0]) == set(range(4990, 5000)) and np.allclose(dist, -4.0)
+    got = S.nn_search(frame(spark, same), [3.0, 1.0], 10).collect()
+    assert [r["ls_index"] for r in got] == list(range(10))
 
 
-def test_maxsim_tiers(spark):
-    a, b, c, d = (axis(i) for i in range(4))
-    docs = spark.createDataFrame([(0, [a, b, c]), (1, [a, c, d]), (2, [c, d])], "ls_index long, token_vectors array<array<double>>")
-    got = [(r[0], round(r[1], 4)) for r in S.maxsim([a, b], docs).collect()]
-    assert got == [(0, 2.0), (1, 1.0), (2, 0.0)]
+def axis(i, dim=12):
+    return [float(j == i) for j in range(dim)]
 
 
-def test_late_interaction_finds_rare_token(spark):
-    rng = np.random.default_rng(3)
-    tokens = rng.normal(size=(40, 4, 32))
-    tokens[..., 7] = 0
-    tokens[23, 1] = axis(7, 32)
-    tokens /= np.linalg.norm(tokens, axis=2, keepdims=True)
+def test_maxsim_counts_the_best_token_of_each_query_token(spark):
+    """Documents that hold 3, 2, 1 and none of the query's directions, one of them twice."""
+    held = {5: [0, 1, 2, 9], 2: [1, 2, 8], 8: [2, 2, 7], 1: [6, 7]}
+    docs = spark.createDataFrame([(i, [axis(a) for a in t]) for i, t in held.items()], "ls_index long, token_vectors array<array<double>>")
+    got = [(r[0], round(r[1], 4)) for r in S.maxsim([axis(a) for a in (0, 1, 2)], docs).collect()]
+    assert got == [(5, 3.0), (2, 2.0), (8, 1.0), (1, 0.0)]
+
+
+def test_late_interaction_looks_at_every_document(spark):
+    """A match that the mean vectors hide, far beyond any number of candidates."""
+    rng = np.random.default_rng(11)
+    tokens = rng.normal(size=(900, 3, 12))
+    tokens[..., 4] = 0
+    tokens[611, 2] = axis(4)
     docs = spark.createDataFrame([(i, t.tolist()) for i, t in enumerate(tokens)], "ls_index long, token_vectors array<array<double>>")
-    means = frame(spark, tokens.mean(1))
-    top = S.late_interaction_search([axis(7, 32)], means, docs, final=5).collect()
-    assert top[0]["ls_index"] == 23 and abs(top[0]["score"] - 1) < 1e-4 and len(top) == 5
+    means = tokens.mean(1)
+    means[611, 4] = 0
+    full = S.late_interaction_search([axis(4)], frame(spark, means), docs, final=2).collect()
+    assert full[0]["ls_index"] == 611 and abs(full[0]["score"] - 1) < 1e-9 and len(full) == 2
+    some = S.late_interaction_search([axis(4)], frame(spark, means), docs, prefilter=20, final=900).count()
+    assert some <= 40
 
 
-def test_ivf_recall_and_exact_below_floor(spark):
+def test_ivf_index_lives_on_and_grows(spark, tmp_path):
     rng = np.random.default_rng(4)
     centers = rng.normal(size=(20, 16))
-    m = np.vstack([c + rng.normal(scale=0.05, size=(30, 16)) for c in centers])
-    asks = frame(spark, m[::60]).withColumnRenamed("ls_index", "query")
-    exact = S.batch_search(asks, frame(spark, m), 10).select("query", "ls_index")
-    found = S.ivf_search(frame(spark, m), asks, 10, nlist=20, nprobe=4).select("query", "ls_index")
-    assert exact.join(found, ["query", "ls_index"]).count() >= 0.9 * exact.count()
-    small = frame(spark, m[:100])
-    a = S.ivf_search(small, asks, 5).select("query", "ls_index", "rank").collect()
-    b = S.batch_search(asks, small, 5).select("query", "ls_index", "rank").collect()
-    assert sorted(a) == sorted(b)
+    m = np.vstack([c + rng.normal(scale=0.3, size=(30, 16)) for c in centers])
+    m[7] = 0
+    q = np.vstack([m[::60], np.zeros((1, 16))])
+    asks = frame(spark, q).withColumnRenamed("ls_index", "query")
+    key = lambda df: {(r["query"], r["rank"]): r["ls_index"] for r in df.collect()}
+    exact = key(S.batch_search(asks, frame(spark, m), 50))
+    path = f"{tmp_path}/index"
+    built = S.ivf_build(frame(spark, m).filter("ls_index < 400"), nlist=20, path=path)
+    assert built.sizes.sum() == 399
+    index = S.ivf_append(S.ivf_open(spark, path), frame(spark, m).filter("ls_index >= 400"))
+    assert index.sizes.sum() == 599
+    assert key(S.ivf_search(asks, index, 50, nprobe=20)) == exact
+    # one cell holds fewer rows than asked for, so more are probed until there are enough
+    near = key(S.ivf_search(asks, index, 50, nprobe=1))
+    assert set(near) == set(exact)
+    hits = {(k[0], v) for k, v in near.items()} & {(k[0], v) for k, v in exact.items()}
+    assert len(hits) >= 0.6 * len(exact)
+    # more queries than travel with tasks, same rows for those shared
+    many = frame(spark, np.vstack([q, rng.normal(size=(1500, 16))])).withColumnRenamed("ls_index", "query")
+    again = key(S.ivf_search(many, index, 50, nprobe=1))
+    assert near == {k: v for k, v in again.items() if k[0] < len(q)}
 
 
 def test_neighbors_clamped_to_map(spark):
