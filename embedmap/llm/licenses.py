@@ -74,7 +74,7 @@ RULES = (
     ("All-Rights-Reserved", ("reserved",)),
 )
 # a sentence ends at a line's end, or at a full stop and the like before white space
-SENTENCE = r"(?:[^.!?\n]|[.!?][^ \t\n\f\r])+[.!?]?"
+STOP = r"([.!?])[ \t\f\r]+"
 # words without which no known sentence can occur; matched on whole texts, in any case
 HINT = r"(?i)licen|permission|redistribut|reserved|public\s+domain|warranty|copyright|endorse|unencumbered|creative|as.{0,4}is|mozilla|gnu"
 HINT_PLAIN = "licen|permission|redistribut|reserved|public domain|warrant|copyright|endorse|unencumbered|creative|as is|mozilla|gnu"
@@ -101,7 +101,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     text = F.col("text")
     normal = lambda s: F.trim(F.lower(F.regexp_replace(s, "[^A-Za-z0-9]+", " ")))
-    sentences = F.transform(F.regexp_extract_all(text, F.lit(SENTENCE), F.lit(0)), normal)
+    sentences = F.transform(F.split(F.regexp_replace(text, STOP, "$1\n"), "\n", -1), normal)
     ids = F.filter(F.transform(sentences, _sentence_id), lambda x: x.isNotNull())
     empty = F.array().cast("array<string>")
     rows = docs.select(F.col(id_col), F.col(text_col).alias("text"))
@@ -130,9 +130,9 @@ def scan_sql() -> str:
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     cases = " ".join(f"WHEN regexp_matches(s, {quote(p)}) THEN {quote(n)}" for n, p in SENTENCES)
     sql = (
-        "WITH s AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all(coalesce(text, ''), "
-        + quote(SENTENCE)
-        + r"), lambda x: trim(lower(regexp_replace(x, '[^A-Za-z0-9]+', ' ', 'g')))), lambda s: "
+        "WITH s AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(coalesce(text, ''), "
+        + quote(STOP)
+        + r", '\1' || chr(10), 'g'), chr(10)), lambda x: trim(lower(regexp_replace(x, '[^A-Za-z0-9]+', ' ', 'g')))), lambda s: "
         + f"regexp_matches(s, {quote(HINT_PLAIN)})) AS s FROM documents),\n"
         + f"r0 AS (SELECT doc_id, list_filter(list_transform(s, lambda s: CASE {cases} END), lambda x: x IS NOT NULL) AS ids FROM s),\n"
         + "q0 AS (SELECT doc_id, array_to_string(ids, ',') AS sentence_ids, ';' || array_to_string(ids, ';') || ';' AS rest, CAST([] AS VARCHAR[]) AS names FROM r0)"
