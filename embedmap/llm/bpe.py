@@ -48,7 +48,8 @@ class WordBpe:
             closes = token.endswith(self.end)
             raw = bytes(back[c] for c in (token[: -len(self.end)] if closes else token))
             (self.final if closes else self.inner)[raw] = i
-        self.longest = max(map(len, chain(self.inner, self.final)))
+        # a suffix that begins no token cannot grow into one
+        self.begins = {raw[:n] for raw in chain(self.inner, self.final) for n in range(1, len(raw) + 1)}
         self.rank: dict[tuple[int, int], int] = {}
         self.parts: dict[int, tuple[int, int]] = {}
         self.born: dict[int, int] = {}
@@ -96,33 +97,40 @@ class WordBpe:
                 limit, a = last_a, self.parts[a][1]
             else:
                 limit, b = last_b + 1, self.parts[b][0]
-        if len(self.seams) > 1_000_000:
+        if len(self.seams) > KNOWN_WORDS:
             self.seams.clear()
         self.seams[left, right] = holds
         return holds
 
-    def _last(self, word: bytes, n: int, tokens: dict[bytes, int], stack: list[int], sizes: list[int]) -> tuple[int, int]:
-        """The last token of word[:n] and its length; the stack holds those of shorter prefixes."""
-        for size in range(min(n, self.longest), 0, -1):
+    def _last(self, word: bytes, n: int, reach: int, tokens: dict[bytes, int], stack: list[int]) -> tuple[int, int]:
+        """The last token of word[:n], at most ``reach`` long, and its length; the stack holds those of shorter prefixes."""
+        for size in range(reach, 0, -1):
             token = tokens.get(word[n - size : n])
             if token is not None and (size == n or self._holds(stack[n - size], token)):
                 return token, size
         raise ValueError("the vocabulary lacks a byte")
 
     def encode_words(self, distinct: set[str]) -> None:
-        """Remember the encodings of the words, sharing the work of common prefixes."""
-        stack, sizes = [0], [0]
-        before = b""
+        """Remember the encodings of the words, sharing the work of common prefixes.
+
+        A state is the last token, its length, and the longest suffix that begins a token.
+        """
+        stack, sizes, reaches = [0], [0], [0]
+        begins, before = self.begins, b""
         for raw, word in sorted((w.encode("utf-8"), w) for w in distinct):
             shared, most = 0, min(len(raw) - 1, len(before), len(stack) - 1)
             while shared < most and raw[shared] == before[shared]:
                 shared += 1
-            del stack[shared + 1 :], sizes[shared + 1 :]
+            del stack[shared + 1 :], sizes[shared + 1 :], reaches[shared + 1 :]
             for n in range(shared + 1, len(raw)):
-                token, size = self._last(raw, n, self.inner, stack, sizes)
+                reach = reaches[-1] + 1
+                while raw[n - reach : n] not in begins:
+                    reach -= 1
+                token, size = self._last(raw, n, reach, self.inner, stack)
                 stack.append(token)
                 sizes.append(size)
-            token, size = self._last(raw, len(raw), self.final, stack, sizes)
+                reaches.append(reach)
+            token, size = self._last(raw, len(raw), reaches[-1] + 1, self.final, stack)
             ids, at = [token], len(raw) - size
             while at:
                 ids.append(stack[at])
