@@ -338,10 +338,26 @@ def default_labels(clusters: DataFrame) -> DataFrame:
     )
 
 
+def _outer(pts: np.ndarray) -> np.ndarray:
+    """Positions of all points but those strictly inside the polygon of 16 directional extremes."""
+    angle = np.arange(16) * (np.pi / 8)
+    tips = pts[np.argmax(pts @ np.stack((np.cos(angle), np.sin(angle))), axis=0)]
+    ahead = np.roll(tips, -1, axis=0)
+    if (tips == tips[0]).all():
+        return np.arange(len(pts))
+    inside = np.ones(len(pts), bool)
+    for (ax, ay), (bx, by) in zip(tips, ahead, strict=True):
+        if (ax, ay) != (bx, by):
+            inside &= (bx - ax) * (pts[:, 1] - ay) - (by - ay) * (pts[:, 0] - ax) > 1e-12
+    return np.flatnonzero(~inside)
+
+
 def _hull_ids(pdf: pd.DataFrame) -> np.ndarray:
     """Positions of the hull vertices, counter-clockwise from the lowest (x, y)."""
     pts = pdf[["x", "y"]].to_numpy()
-    order = np.lexsort((pdf["ls_index"].to_numpy(), pts[:, 1], pts[:, 0]))
+    # most points lie inside a few extremes; only the others go through the loop
+    order = _outer(pts)
+    order = order[np.lexsort((pdf["ls_index"].to_numpy()[order], pts[order, 1], pts[order, 0]))]
     # of equal points only the lowest id can be a vertex
     same = np.r_[False, (np.diff(pts[order], axis=0) == 0).all(1)] if len(order) > 1 else np.array([False])
     order = order[~same]

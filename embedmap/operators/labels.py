@@ -76,7 +76,12 @@ def top_word_labels(docs: DataFrame, text: str, k: int = 3, group: str = "cluste
 def extracts(
     scope: DataFrame, text: str, samples: int, tokens: str, per_item: int = 0, total: int = 0
 ) -> DataFrame:
-    """Texts each cluster is labelled from: the most central members within a token budget."""
+    """Texts each cluster is labelled from: the most central members within a token budget.
+
+    Either bound may be 0 for none, but not both: a cluster's texts meet in one task later.
+    """
+    if not samples and not total:
+        raise ValueError("give a number of samples or a total of tokens")
     picked = nearest_to_centroid(scope, samples).filter(F.col(text).isNotNull())
     return token_budget(
         picked, ["cluster"], [F.col("centroid_dist").asc_nulls_last(), F.col("ls_index")], tokens, per_item, total

@@ -275,6 +275,20 @@ def feat3(spark, sf):
     return r6(FE.long_features(coded), "act")
 
 
+@query(
+    "feat3_token_features",
+    with_tokens("""SELECT ls_index, feature_id, round(act,6)+0.0 AS act, CAST(rn AS INT) AS rank FROM (SELECT ls_index, feature_id, max(act) AS act,
+         row_number() OVER (PARTITION BY ls_index ORDER BY max(act) DESC, feature_id) AS rn FROM
+         (SELECT ls_index, CAST(d AS INT) AS feature_id, greatest(CASE WHEN d < 8 THEN t[d+1] ELSE -t[d-7] END - 0.05, 0.0) AS act
+          FROM tok, (SELECT unnest(range(16)) AS d)) GROUP BY 1, 2) WHERE rn <= 5"""),
+)
+def feat3_tokens(spark, sf):
+    # one feature for either direction of each dimension; tokens are encoded, then rolled up by document
+    tokens = X.token_vectors(spark, sf).select("ls_index", F.explode("token_vectors").alias("vector"))
+    both = np.concatenate([np.eye(8), -np.eye(8)], axis=1)
+    return r6(FE.max_over_tokens(FE.encode_topk(tokens, both, np.full(16, -0.05), k=16), 5), "act")
+
+
 @query(
     "feat4_max_over_tokens",
     with_tokens("""SELECT ls_index, feature_id, round(act,6)+0.0 AS act, CAST(rn AS INT) AS rank FROM (SELECT ls_index, feature_id, max(act) AS act,
