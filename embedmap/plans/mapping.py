@@ -6,12 +6,13 @@ from functools import partial
 
 from pyspark.sql import functions as F
 
+from embedmap.functions.vectors import l2_normalize
 from embedmap.operators import cluster as C
 from embedmap.operators import evaluate as E
 from embedmap.operators import layout as LY
 from embedmap.operators import project as P
 from embedmap.plans import fixtures as X
-from embedmap.plans.fixtures import r6, with_map, with_scope, with_vectors
+from embedmap.plans.fixtures import r6, with_features, with_map, with_scope, with_vectors
 from embedmap.plans.registry import query
 
 # --- projection and frames ----------------------------------------------------------------
@@ -36,6 +37,56 @@ def prj3(spark, sf):
     return P.project_features(X.features(spark, sf), 64, 256)
 
 
+def _frame(df, *axes):
+    """Per axis the number of rows, the range, and the correlation with the next axis."""
+    after = [*axes[1:], axes[0]]
+    each = [
+        F.struct(F.lit(a).alias("axis"), F.col("n").alias("n"), F.round(F.col(f"lo_{a}"), 6).alias("lo"), F.round(F.col(f"hi_{a}"), 6).alias("hi"), (F.abs(F.col(f"c_{a}")) < 1e-6).alias("apart"))
+        for a in axes
+    ]
+    aggs = [x for a, b in zip(axes, after, strict=True) for x in (F.min(a).alias(f"lo_{a}"), F.max(a).alias(f"hi_{a}"), F.corr(a, b).alias(f"c_{a}"))]
+    return df.agg(F.count("*").alias("n"), *aggs).select(F.explode(F.array(*each)).alias("s")).select("s.*")
+
+
+def _frame_sql(count, apart):
+    return f"SELECT axis, n, -1.0::DOUBLE AS lo, 1.0::DOUBLE AS hi, {apart} AS apart FROM (SELECT unnest(['x', 'y']) AS axis), ({count})"
+
+
+# principal axes do not correlate, and every row has a place in the frame
+@query("prj1_frame", _frame_sql("SELECT count(*) AS n FROM embeddings", "true"))
+def prj1_frame(spark, sf):
+    return _frame(P.project(X.vectors(spark, sf).select("ls_index", F.col("e").alias("vector"))), "x", "y")
+
+
+@query(
+    "prj1_explained",
+    """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+    u AS (SELECT vec_id, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS e FROM v),
+    m AS (SELECT i, avg(x) AS mean, var_pop(x) AS var FROM (SELECT generate_subscripts(e, 1) AS i, unnest(e) AS x FROM u) GROUP BY i)
+    SELECT count(*) AS dims, round(sum(var), 6)+0.0 AS total, true AS no_dimension_has_more FROM m""",
+)
+def prj1_explained(spark, sf):
+    # the first axis must hold at least as much variance as any one dimension does
+    v = X.vectors(spark, sf).select("ls_index", l2_normalize("e").alias("u"))
+    each = v.select("ls_index", F.posexplode("u").alias("i", "x"))
+    dims = each.groupBy("i").agg(F.var_pop("x").alias("var")).agg(F.count("*").alias("dims"), F.sum("var").alias("total"), F.max("var").alias("most"))
+    share = float(P.fit_pca(v, "u", 1).explainedVariance[0])
+    more = F.col("total") * share >= F.col("most") - 1e-9
+    return dims.select("dims", F.round("total", 6).alias("total"), more.alias("no_dimension_has_more"))
+
+
+@query("prj2_frame", _frame_sql("SELECT count(*) AS n FROM embeddings", "NULL::BOOLEAN"))
+def prj2_frame(spark, sf):
+    v = X.vectors(spark, sf).select("ls_index", F.col("e").alias("vector"))
+    # axes of a graph layout may correlate
+    return _frame(LY.graph_layout(v, P.project(v), k=10, epochs=3), "x", "y").withColumn("apart", F.lit(None).cast("boolean"))
+
+
+@query("prj3_frame", with_features(_frame_sql("SELECT count(DISTINCT feature_id) AS n FROM feat WHERE act > 0", "true")))
+def prj3_frame(spark, sf):
+    return _frame(P.project_features(X.features(spark, sf), 64, 256), "x", "y")
+
+
 @query("prj4_normalize_frame", with_map("SELECT ls_index, round(x,6)+0.0 AS x, round(y,6)+0.0 AS y, round(z,6)+0.0 AS z FROM map1"))
 def prj4(spark, sf):
     return r6(X.first_map(spark, sf), "x", "y", "z")
@@ -132,6 +183,11 @@ def prj11(spark, sf):
     return P.project(tokens, "vector")
 
 
+@query("prj11_frame", _frame_sql("SELECT 8 * count(*) AS n FROM embeddings", "true"))
+def prj11_frame(spark, sf):
+    return _frame(prj11(spark, sf), "x", "y")
+
+
 # --- clustering ---------------------------------------------------------------------------
 
 
@@ -145,6 +201,26 @@ def clu2(spark, sf):
     return C.gmm(X.first_map(spark, sf).drop("z"), 5)
 
 
+def _numbering(found):
+    """One row: all rows placed, in how many clusters, numbered from 0 by falling size."""
+    sizes = found.groupBy("raw_cluster").agg(F.count("*").alias("n"))
+    order = F.array_sort(F.collect_list(F.struct("raw_cluster", "n")))
+    one = sizes.agg(order.alias("o"))
+    falls = F.forall(F.sequence(F.lit(1), F.size("o") - 1), lambda i: F.get("o.n", i - 1) >= F.get("o.n", i))
+    rows = F.aggregate("o.n", F.lit(0).cast("long"), lambda s, n: s + n)
+    return one.select(rows.alias("n"), F.size("o").alias("clusters"), (F.array_min("o.raw_cluster") == 0).alias("from_zero"), falls.alias("by_size"))
+
+
+@query("clu1_numbering", "SELECT count(*) AS n, CAST(8 AS INT) AS clusters, true AS from_zero, true AS by_size FROM embeddings")
+def clu1_numbering(spark, sf):
+    return _numbering(clu1(spark, sf))
+
+
+@query("clu2_numbering", "SELECT count(*) AS n, CAST(5 AS INT) AS clusters, true AS from_zero, true AS by_size FROM embeddings")
+def clu2_numbering(spark, sf):
+    return _numbering(clu2(spark, sf))
+
+
 @query(
     "clu3_density_clusters",
     f"""WITH RECURSIVE {X.MAP_SQL},
