@@ -221,7 +221,8 @@ def drop_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text
     windows = _window_rows(texts, window)
     twice = windows.groupBy("k1", "k2").agg(F.count("*").alias("c")).filter("c > 1").select("k1", "k2")
     gone = windows.filter("row IS NOT NULL").join(twice, ["k1", "k2"], "left_semi")
-    gone = store(gone.groupBy("row").agg(F.collect_list("at").alias("gone")), "repeats")
+    # not stored: in one plan the shuffle of texts by key serves the windows and the removal below
+    gone = gone.groupBy("row").agg(F.collect_list("at").alias("gone"))
 
     # a null id may stand for several rows of one text only if they are copies, which are not here
     partial = classes.filter("NOT copied").select("row", "id", "key").join(gone, "row")
