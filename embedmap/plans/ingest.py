@@ -39,6 +39,17 @@ def src1_jsonl(spark, sf):
     return RD.read_table(spark, path, d.schema)
 
 
+@query("src2_read_image_dir", "SELECT CAST(sum(2 * strlen(html) + 1) AS BIGINT) AS bytes, true AS all_png, true AS dense FROM pages")
+def src2(spark, sf):
+    # the pages' bytes as files with an image ending, read back as a folder of images
+    path = scratch_path(spark, "images")
+    coded = X.table(spark, sf, "pages").repartition(5, "page_id").select(F.hex(F.encode("html", "UTF-8")))
+    coded.write.option("extension", "png").csv(path)
+    got = RD.read_image_dir(spark, path)
+    dense = (F.min("ls_index") == 0) & (F.max("ls_index") + 1 == F.count("*"))
+    return got.agg(F.sum(F.octet_length("image")).alias("bytes"), F.bool_and(F.endswith("filename", F.lit(".png"))).alias("all_png"), dense.alias("dense"))
+
+
 @query("src3_assign_row_index", "SELECT row_number() OVER (ORDER BY ts, event_id) - 1 AS ls_index, event_id FROM events")
 def src3(spark, sf):
     e = X.table(spark, sf, "events").select("event_id", "ts")

@@ -146,13 +146,20 @@ def prj8(spark, sf):
     return r6(P.register_layout(m, X.second_map(spark, sf)), "x", "y")
 
 
+MOVED = "round(s*(r11*x+r12*y)+tx,6)+0.0 AS x, round(s*(r21*x+r22*y)+ty,6)+0.0 AS y"
+
+
 @query(
     "prj9_align_layouts",
-    f"""WITH {X.MAP_SQL}, {FIT} SELECT 1 AS "window", ls_index, round(s*(r11*x+r12*y)+tx,6)+0.0 AS x, round(s*(r21*x+r22*y)+ty,6)+0.0 AS y
-        FROM map1, fit UNION ALL SELECT 0, ls_index, round(x,6)+0.0, round(y,6)+0.0 FROM map2""",
+    f"""WITH {X.MAP_SQL}, {FIT} SELECT 1 AS "window", ls_index, {MOVED} FROM map1, fit
+        UNION ALL SELECT 2, ls_index, {MOVED} FROM map1, fit
+        UNION ALL SELECT 0, ls_index, round(x,6)+0.0, round(y,6)+0.0 FROM map2""",
 )
 def prj9(spark, sf):
-    return r6(P.align_layouts([X.second_map(spark, sf), X.first_map(spark, sf).select("ls_index", "x", "y")]), "x", "y")
+    # the third window is the second one turned, scaled and moved: along the chain it must land on it
+    one = X.first_map(spark, sf).select("ls_index", "x", "y")
+    turned = one.select("ls_index", (F.lit(3.0) + 0.5 * F.col("y")).alias("x"), (F.lit(-1.0) - 0.5 * F.col("x")).alias("y"))
+    return r6(P.align_layouts([X.second_map(spark, sf), one, turned]), "x", "y")
 
 
 PLACE_SQL = f"""near AS (SELECT n.ls_index, o.ls_index AS neighbor, list_cosine_similarity(n.e, o.e) AS sim,
