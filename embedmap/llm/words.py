@@ -7,6 +7,7 @@ into slices of bounded bytes; a longer text is a slice of its own.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -15,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 256 << 10
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -98,10 +99,24 @@ def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[Slice]:
         lo = hi
 
 
+def _give_back() -> None:
+    """Return freed memory to the system: workers live on between tasks, next to the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def arrow_rows(docs: DataFrame, rows: Callable, schema: str) -> DataFrame:
     """``mapInArrow`` with batches of few bytes, so that tasks of long texts stay small."""
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
-    return docs.mapInArrow(rows, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from rows(batches)
+        _give_back()
+
+    return docs.mapInArrow(run, schema)
 
 
 def joined(part: Slice, keep: np.ndarray | None = None) -> list[bytes]:
