@@ -212,7 +212,8 @@ def drop_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text
     classes = store(classes.select("one.*", "digest", "copied"), "word-classes")
 
     symbols = rows.select("row", F.explode(F.arrays_zip("names", "at")).alias("s")).select("row", F.col("s.names").alias("name"), F.col("s.at").alias("at"))
-    repeated = symbols.groupBy("name").agg(F.count("*").alias("c")).filter("c > 1").select("name")
+    # stored, so that the join below has a shuffle of its own and a very common name can be split
+    repeated = store(symbols.groupBy("name").agg(F.count("*").alias("c")).filter("c > 1").select("name"), "repeated-names")
     marks = symbols.join(repeated, "name", "left_semi").groupBy("row").agg(F.collect_list("at").alias("at"))
     work = classes.join(marks, "row", "left").filter("bare OR at IS NOT NULL").withColumn("at", F.coalesce("at", F.array().cast("array<int>")))
 
