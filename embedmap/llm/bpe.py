@@ -10,6 +10,7 @@ a word is an edge of its own, as the vocabulary marks it on the last symbol.
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 from itertools import chain
@@ -64,15 +65,18 @@ class WordBpe:
         self.specials = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         # fixed value: the split pattern, as the vocabulary was made with it
         self.pattern = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+")
+        # the same for texts of ASCII only, in classes that are faster to match
+        self.plain = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
         self.seams: dict[tuple[int, int], bool] = {}
         self.known: dict[str, tuple[int, ...]] = {}
 
     def words(self, text: str) -> list[str]:
         """The words of a text without special tokens: composed, lower-cased, white space dropped."""
-        if not text.isascii():
-            if not unicodedata.is_normalized("NFC", text):
-                text = unicodedata.normalize("NFC", text)
-            text = text.replace("Σ", "σ")  # letters are lowered one by one: no final form
+        if text.isascii():
+            return self.plain.findall(text.lower())
+        if not unicodedata.is_normalized("NFC", text):
+            text = unicodedata.normalize("NFC", text)
+        text = text.replace("Σ", "σ")  # letters are lowered one by one: no final form
         return self.pattern.findall(text.lower())
 
     def _holds(self, left: int, right: int) -> bool:
