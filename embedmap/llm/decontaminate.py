@@ -1,9 +1,9 @@
-"""Benchmark items inside documents: rare n-gram seeds, then Smith-Waterman alignment of words.
+"""Benchmark items inside documents: n-gram seeds, then Smith-Waterman alignment of words.
 
 A bitmap of fixed size holds the items' n-grams; documents leave a trace only where one of theirs
 passes it. Around such places the words that an alignment could reach are cut out, so texts never
-move. Seeds are joined with the items exactly, an item keeps the seeds that the fewest passages
-hold, and each passage is aligned with the items it shares a seed with.
+move. Seeds are joined with the items exactly, and each passage is aligned with all items it shares
+a seed with, however many other passages hold that seed.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from embedmap.llm.words import arrow_rows, mix, slices
@@ -131,14 +131,13 @@ def local_alignment(text: np.ndarray, item: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
-def contaminated(docs: DataFrame, items: DataFrame, n: int = 3, share: float = 0.75, similarity: float = 0.5) -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, n: int = 3, similarity: float = 0.5) -> DataFrame:
     """(doc_id, item_id, similarity, word_end) of every document that holds an item or an edited copy of it.
 
     ``docs`` has doc_id and text, ``items`` item_id and text; other columns are not read. Words are
     runs of letters and digits, lower-cased. Similarity is the best local alignment's score over
     that of the whole item; pairs of at least ``similarity`` are returned, once for repeated rows.
-    Seeds are the ``share`` of an item's n-grams with fewest passages, ties included. Null and empty
-    texts hold nothing and are held by nothing. Rows of a null doc_id are reported together under
+    Seeds are all of an item's n-grams. Null and empty texts hold nothing and are held by nothing. Rows of a null doc_id are reported together under
     the null id, items of a null item_id likewise. ``word_end`` is the number of words up to the end
     of the best alignment, the earliest one among equals.
     """
@@ -155,9 +154,7 @@ def contaminated(docs: DataFrame, items: DataFrame, n: int = 3, share: float = 0
     seeds = items.withColumn("item", F.monotonically_increasing_id()).select("item", "item_id", "words", "grams")
     seeds = store(seeds, "items")
     grams = seeds.select("item", F.explode("grams").alias("gram"))
-    held = hits.groupBy("gram").agg(F.count("*").alias("c"))
-    rare = grams.join(held, "gram").withColumn("rank", F.percent_rank().over(Window.partitionBy("item").orderBy("c"))).filter(F.col("rank") <= share)
-    pairs = hits.join(rare.select("gram", "item"), "gram").select("passage", "item").distinct()
+    pairs = hits.join(grams, "gram").select("passage", "item").distinct()
     both = pairs.join(found.select("passage", "id", "at", F.col("words").alias("text")), "passage")
     both = both.join(seeds.select("item", "item_id", F.col("words").alias("words")), "item")
 
@@ -165,6 +162,9 @@ def contaminated(docs: DataFrame, items: DataFrame, n: int = 3, share: float = 0
         for batch in batches:
             texts, words = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("text", "words"))
             starts = batch.column("at").to_numpy()
+            # each word of an item matches once at most, so the number of them in the text bounds the score
+            able = np.array([np.isin(w, t).sum() / len(w) >= similarity for t, w in zip(texts, words, strict=True)], bool)
+            batch, texts, words, starts = batch.filter(pa.array(able)), texts[able], words[able], starts[able]
             best = [local_alignment(t, w) for t, w in zip(texts, words, strict=True)]
             score = [s / (MATCH * len(w)) for (s, _), w in zip(best, words, strict=True)]
             ends = [int(a) + e for a, (_, e) in zip(starts, best, strict=True)]

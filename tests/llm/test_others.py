@@ -143,6 +143,15 @@ def test_contaminated_edges(spark):
     assert contaminated(df, bench.limit(0)).count() == 0 and contaminated(df.limit(0), bench).count() == 0
 
 
+def test_contaminated_finds_edited_copies_beside_verbatim_ones(spark):
+    """Seeds that several copies share are those by which an edited copy is found."""
+    item = [f"w{i}" for i in range(40)]
+    edited = [f"x{i}" if i % 4 == 3 else w for i, w in enumerate(item)]
+    docs = [(1, " ".join(item)), (2, "before " + " ".join(edited) + " after"), (3, " ".join(item)), (4, "nothing of it")]
+    got = {(r.doc_id, r.item_id): r.similarity for r in contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(7, docs[0][1])], "item_id long, text string")).collect()}
+    assert got == pytest.approx(brute.leaks(docs, [(7, docs[0][1])])) and set(got) == {(1, 7), (2, 7), (3, 7)}
+
+
 def test_contaminated_is_brute_force_on_the_table(spark):
     d = "/root/testdata/sf0.01"
     docs, items = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/benchmark.parquet")
