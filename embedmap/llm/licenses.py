@@ -76,8 +76,11 @@ RULES = (
 # a sentence ends at a line's end, or at a full stop and the like before white space
 STOP = r"([.!?])[ \t\f\r]+"
 # words without which no known sentence can occur; matched on whole texts, in any case
-HINT = r"(?i)licen|permission|redistribut|reserved|public\s+domain|warranty|copyright|endorse|unencumbered|creative|as.{0,4}is|mozilla|gnu"
-HINT_PLAIN = "licen|permission|redistribut|reserved|public domain|warrant|copyright|endorse|unencumbered|creative|as is|mozilla|gnu"
+HINT = r"(?i)licen|permission|redistribut|reserved|warrant|copyright|endorse|unencumbered|creative|mozilla|gnu|under[^A-Za-z0-9]+(a[^A-Za-z0-9]+)?cc"
+HINT_PLAIN = "licen|permission|redistribut|reserved|warrant|copyright|endorse|unencumbered|creative|mozilla|gnu|under (a )?cc"
+# the SQL twin is kept as it was: its own hint, and sentences that end with their line
+SQL_STOP = r"([.!?])[ \t\f\r]+"
+SQL_HINT = "licen|permission|redistribut|reserved|public domain|warrant|copyright|endorse|unencumbered|creative|as is|mozilla|gnu"
 
 
 def _rule_text(ids: tuple[str, ...]) -> str:
@@ -131,9 +134,9 @@ def scan_sql() -> str:
     cases = " ".join(f"WHEN regexp_matches(s, {quote(p)}) THEN {quote(n)}" for n, p in SENTENCES)
     sql = (
         "WITH s AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(coalesce(text, ''), "
-        + quote(STOP)
+        + quote(SQL_STOP)
         + r", '\1' || chr(10), 'g'), chr(10)), lambda x: trim(lower(regexp_replace(x, '[^A-Za-z0-9]+', ' ', 'g')))), lambda s: "
-        + f"regexp_matches(s, {quote(HINT_PLAIN)})) AS s FROM documents),\n"
+        + f"regexp_matches(s, {quote(SQL_HINT)})) AS s FROM documents),\n"
         + f"r0 AS (SELECT doc_id, list_filter(list_transform(s, lambda s: CASE {cases} END), lambda x: x IS NOT NULL) AS ids FROM s),\n"
         + "q0 AS (SELECT doc_id, array_to_string(ids, ',') AS sentence_ids, ';' || array_to_string(ids, ';') || ';' AS rest, CAST([] AS VARCHAR[]) AS names FROM r0)"
     )

@@ -1,6 +1,7 @@
 """Operators on documents: brute force on small tables, and the cases that break careless code."""
 
 import random
+import re
 
 import brute
 import public_tokenizers
@@ -265,6 +266,18 @@ def test_license_rules(spark, make):
     assert got[None] == [(["reserved"], ["All-Rights-Reserved"], [])]
 
 
+def test_license_sentences_alone(spark, make):
+    """Each known sentence is found in a text that holds nothing else."""
+    plain = {"(a )?": "a ", "(terms of the )?": "", "[34]": "4", ".*": " x "}
+    rows, want = [(0, "Photos are shared under CC BY-SA 4.0."), (1, "Released under CC0.")], {0: ["cc_by_sa"], 1: ["cc0"]}
+    for i, (name, pattern) in enumerate(licenses.SENTENCES):
+        for old, new in plain.items():
+            pattern = pattern.replace(old, new)
+        rows.append((100 + i, re.sub(r"\(([^|)]*)\|[^)]*\)", r"\1", pattern)))
+        want[100 + i] = [name]
+    assert {r.doc_id: r.sentence_ids for r in licenses.license_scan(make(rows)).collect()} == want
+
+
 def test_language_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = identify(docs).join(docs.select("doc_id", "lang"), "doc_id").filter("held_out")
