@@ -39,11 +39,22 @@ def boilerplate(lines: DataFrame, min_sites: int) -> DataFrame:
     return spread.filter(sure).union(confirmed).select("h1", "h2", "first")
 
 
+def _on_own_texts(lines: DataFrame, bad: DataFrame, min_sites: int) -> DataFrame:
+    """The lines of ``bad`` on ``min_sites`` sites if copies of one text count once, on the site of the lowest id."""
+    place = F.struct(F.col("id").isNull().alias("no_id"), "id", "site")
+    held = lines.filter("site IS NOT NULL").join(bad.select("h1", "h2"), ["h1", "h2"], "left_semi")
+    # every copy of a text holds the line, so its lowest id is found without looking at whole texts
+    home = held.groupBy("h1", "h2", "text_key").agg(F.min(place).alias("home"))
+    sites = home.groupBy("h1", "h2", "home.site").agg(F.lit(1).alias("one")).groupBy("h1", "h2").agg(F.count("*").alias("exact"))
+    return bad.join(sites.filter(F.col("exact") >= min_sites), ["h1", "h2"], "left_semi")
+
+
 def drop_boilerplate(
     docs: DataFrame,
     min_sites: int = 8,
     keep_first: bool = True,
     spare_above: float | None = None,
+    fold_copies: bool = False,
     id_col: str = "doc_id",
     text_col: str = "text",
     site_col: str = "source",
@@ -53,7 +64,8 @@ def drop_boilerplate(
     Lines are what newlines separate; an empty line is never boilerplate. A line on at least
     ``min_sites`` distinct sites (a null site is none) goes everywhere but, with ``keep_first``, at its first place: the
     lowest (id, line number), null ids last. A text that would lose more than the share ``spare_above`` of
-    its characters is no text with boilerplate but a copied text, and stays whole. Rows repeated with id and text keep or lose the same
+    its characters is no text with boilerplate but a copied text, and stays whole. With ``fold_copies`` the rows
+    of equal text count as one, on the site of the lowest id, so a copied page does not make boilerplate of its lines. Rows repeated with id and text keep or lose the same
     lines. A null text stays null, with no lines; an empty text has one empty line. Other columns
     pass through; columns named n_lines or n_removed are replaced.
     """
@@ -62,6 +74,8 @@ def drop_boilerplate(
     slim = docs.select(F.col(id_col).alias("id"), key().alias("text_key"), F.col(site_col).cast("string").alias("site"), F.col(text_col).alias("text"))
     lines = _lines(slim)
     bad = store(boilerplate(lines, min_sites), "boilerplate")
+    if fold_copies:
+        bad = store(_on_own_texts(lines, bad, min_sites), "boilerplate-folded")
     hits = lines.join(bad, ["h1", "h2"])
     if keep_first:
         at_first = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("pos") == F.col("first.pos"))

@@ -180,6 +180,19 @@ def test_pipeline_is_brute_force(spark, sf):
     assert got == want
 
 
+def test_pipeline_line_stage_takes_lines_from_every_text(spark, sf):
+    """Short pages of cross-site lines lose them; a page copied to many sites keeps its own."""
+    import corpus_pipeline
+
+    shared, page = ["Accept all cookies", "Subscribe to the newsletter", "Back to the top"], "a page\nof lines\nof its own"
+    rows = [(i, "\n".join([f"own {i}", *shared]), f"s{i}") for i in range(10)] + [(20 + i, page, f"s{i}") for i in range(10)]
+    # nine texts of one site, one of which is copied to nine others
+    rows += [(40 + i, f"text {i}\nof one site", "s0") for i in range(9)] + [(60 + i, "text 0\nof one site", f"s{i}") for i in range(1, 10)]
+    docs = spark.createDataFrame([(i, t, "en", s, len(t)) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    want = {i: f"own {i}" if 0 < i < 10 else t for i, t, _ in rows}
+    assert {r.doc_id: r.text for r in corpus_pipeline.lines(spark, docs, sf).collect()} == want
+
+
 def test_pipeline_edges(spark, sf):
     import corpus_pipeline
 
