@@ -1,7 +1,8 @@
 """Licence recognition: known licence sentences, then ordered rules over their sequence.
 
-A text is cut into sentences; each is normalised and mapped to the identifier of the first known
-licence sentence that it holds. The identifiers in order of appearance are matched against the rules
+A text is cut into sentences at stops and blank lines. Each line of a sentence is normalised and mapped
+to the identifier of the first known licence sentence that it holds; a sentence of several lines is also
+read as a whole, for those that run over line ends. The identifiers in order of appearance are matched against the rules
 from the longest to the shortest; a rule needs its identifiers next to each other and uses them up, so
 the header of one licence is not also read as a shorter one. Everything is DataFrame functions.
 """
@@ -73,8 +74,9 @@ RULES = (
     ("Unlicense", ("unlicense",)),
     ("All-Rights-Reserved", ("reserved",)),
 )
-# a sentence ends at a line's end, or at a full stop and the like before white space
-STOP = r"([.!?])[ \t\f\r]+"
+# a sentence ends at a full stop and the like before white space, or at lines without a letter or digit
+STOP = r"[.!?][ \t\f\r\n]+"
+BLANK = r"\n[^A-Za-z0-9\x01]*\n"
 # words without which no known sentence can occur; matched on whole texts, in any case
 HINT = r"(?i)licen|permission|redistribut|reserved|warrant|copyright|endorse|unencumbered|creative|mozilla|gnu|under[^A-Za-z0-9]+(a[^A-Za-z0-9]+)?cc"
 HINT_PLAIN = "licen|permission|redistribut|reserved|warrant|copyright|endorse|unencumbered|creative|mozilla|gnu|under (a )?cc"
@@ -94,18 +96,55 @@ def _sentence_id(sentence: Column) -> Column:
     return F.when(sentence.rlike(HINT_PLAIN), found)
 
 
+def _position(text: Column, pattern: str) -> Column:
+    return F.regexp_instr(text, F.lit(pattern))
+
+
+def _line_matches(lines: Column) -> Column:
+    """(at, id) of the lines of one sentence that hold a known one; ``at`` counts in the joined lines."""
+    start = F.struct(F.lit(1).alias("at"), F.array().cast("array<struct<at:int,id:string>>").alias("found"))
+
+    def step(state: Column, line: Column) -> Column:
+        name = _sentence_id(line)
+        at = F.lit(None).cast("int")
+        for known, pattern in reversed(SENTENCES):
+            at = F.when(name == known, _position(line, pattern)).otherwise(at)
+        one = F.array(F.struct((state["at"] + at - 1).alias("at"), name.alias("id")))
+        return F.struct((state["at"] + F.length(line) + 1).alias("at"), F.when(name.isNotNull(), F.concat(state["found"], one)).otherwise(state["found"]).alias("found"))
+
+    return F.aggregate(lines, start, step, lambda s: s["found"])
+
+
+def _wrapped_matches(lines: Column) -> Column:
+    """(at, id) of the known sentences in the joined lines; of two at one place the first listed counts."""
+    whole = F.array_join(lines, " ")
+    each = F.array(*[F.struct(_position(whole, pattern).alias("at"), F.lit(name).alias("id")) for name, pattern in SENTENCES])
+    start = F.array().cast("array<struct<at:int,id:string>>")
+    first = lambda state, x: F.when((x["at"] > 0) & ~F.exists(state, lambda y: y["at"] == x["at"]), F.concat(state, F.array(x))).otherwise(state)
+    return F.when((F.size(lines) > 1) & whole.rlike(HINT_PLAIN), F.aggregate(each, start, first)).otherwise(start)
+
+
+def _both(m: Column) -> Column:
+    """Identifiers of one sentence in order of place; what a line holds is not also read over line ends."""
+    new = F.filter(m["wrapped"], lambda x: ~F.exists(m["own"], lambda y: (y["id"] == x["id"]) | (y["at"] == x["at"])))
+    return F.transform(F.array_sort(F.concat(m["own"], new)), lambda x: x["id"])
+
+
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, sentence_ids, licenses, unmatched) of every row.
 
     ``sentence_ids`` are the known licence sentences in order of appearance, ``licenses`` the names of
     the rules that matched, each once, in rule order, and ``unmatched`` the identifiers that no rule
     used. Null and empty texts give empty arrays. Repeated rows stay rows, null ids stay null, other
-    columns are not read. Of two known sentences in one, the first listed counts.
+    columns are not read. Of two known sentences in one line of a sentence, the first listed counts.
+    Comment marks are no letters and so no part of a line.
     """
     text = F.col("text")
     normal = lambda s: F.trim(F.lower(F.regexp_replace(s, "[^A-Za-z0-9]+", " ")))
-    sentences = F.transform(F.split(F.regexp_replace(text, STOP, "$1\n"), "\n", -1), normal)
-    ids = F.filter(F.transform(sentences, _sentence_id), lambda x: x.isNotNull())
+    cut = F.regexp_replace(F.regexp_replace(F.translate(text, "\x01", " "), STOP, "\x01"), BLANK, "\x01")
+    sentences = F.transform(F.split(cut, "\x01", -1), lambda s: F.filter(F.transform(F.split(s, "\n", -1), normal), lambda x: x != ""))
+    matches = F.transform(sentences, lambda s: F.struct(_line_matches(s).alias("own"), _wrapped_matches(s).alias("wrapped")))
+    ids = F.flatten(F.transform(matches, _both))
     empty = F.array().cast("array<string>")
     rows = docs.select(F.col(id_col), F.col(text_col).alias("text"))
     rows = rows.select(id_col, F.when(text.rlike(HINT), ids).otherwise(empty).alias("sentence_ids"))

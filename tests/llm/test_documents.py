@@ -278,6 +278,44 @@ def test_license_sentences_alone(spark, make):
     assert {r.doc_id: r.sentence_ids for r in licenses.license_scan(make(rows)).collect()} == want
 
 
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright
+   notice, this list of conditions and the following disclaimer.
+END
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND
+ANY EXPRESS OR IMPLIED WARRANTIES ARE DISCLAIMED."""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL
+WARRANTIES WITH REGARD TO THIS SOFTWARE."""
+WRAPPED_MIT = """Permission is hereby granted, free of charge, to any person
+obtaining a copy of this software. The above copyright notice and this permission
+notice shall be included in all copies. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT
+WARRANTY OF ANY KIND."""
+GPL = """ * This program is free software; you can redistribute it under the terms of the GNU
+ * General Public License as published by the Free Software Foundation; either
+ * version 3 of the License, or (at your option) any later version.
+ *
+ * This program is distributed in the hope that it will be useful,
+ * but WITHOUT ANY WARRANTY; without even the implied warranty of FITNESS.
+ * You should have received a copy of
+ * the GNU General Public License along with this program."""
+
+
+def test_license_sentences_over_line_ends(spark, make):
+    endorse = "3. The name may not be used to endorse. It may be used to endorse or\n   promote products derived from this software.\n"
+    mixed = "All rights reserved\nLicensed under the MIT\nLicense\nAll rights reserved\nLicensed under CC BY 4.0"
+    rows = [(1, BSD.replace("END\n", "")), (2, BSD.replace("END\n", endorse)), (3, ISC), (4, WRAPPED_MIT), (5, GPL), (6, mixed), (7, "as is\n\nbut Licensed under the MIT\n\nLicense"), (8, GPL.replace("\n", "\r\n"))]
+    got = {r.doc_id: (r.sentence_ids, r.licenses, r.unmatched) for r in licenses.license_scan(make(rows)).collect()}
+    assert {i: x[1] for i, x in got.items()} == {1: ["BSD-2-Clause"], 2: ["BSD-3-Clause"], 3: ["ISC"], 4: ["MIT"], 5: ["GPL-3.0"], 6: ["MIT", "CC-BY", "All-Rights-Reserved"], 7: [], 8: ["GPL-3.0"]}
+    assert got[6][0] == ["reserved", "mit_named", "reserved", "cc_by"] and all(not x[2] for i, x in got.items() if i != 6)
+
+
 def test_language_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = identify(docs).join(docs.select("doc_id", "lang"), "doc_id").filter("held_out")
