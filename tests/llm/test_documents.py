@@ -345,3 +345,14 @@ def test_language_ignores_label_and_source(spark, sf):
     hidden = docs.withColumn("lang", F.when(~held, F.col("lang"))).withColumn("source", F.lit("none"))
     one = {r.doc_id: (r.lang_pred, round(r.score, 9)) for r in identify(docs).collect()}
     assert one == {r.doc_id: (r.lang_pred, round(r.score, 9)) for r in identify(hidden).collect()}
+
+
+def test_language_rejects_unlearnt_ones(spark):
+    """Short texts of other languages in a learnt script go, those of learnt ones stay."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    italian = "Quando arrivammo alla stazione il treno era già partito e nessuno sapeva che cosa fare adesso"
+    finnish = "Kun saavuimme asemalle, juna oli jo lähtenyt eikä kukaan tiennyt mitä meidän pitäisi nyt tehdä"
+    noise = "xkqzv wjpqx zzkvb qxjwk vbzxq kkjzx pqwvx zjxkq"
+    rows = [(-1, italian, None), (-2, finnish, None), (-3, noise, None)]
+    got = identify(docs.union(spark.createDataFrame(rows, "doc_id long, text string, lang string"))).filter("lang_pred <> 'und'")
+    assert {r.doc_id for r in got.filter("NOT accepted").collect()} == {-1, -2, -3}
