@@ -29,7 +29,7 @@ for _k in (1, 2, 3):
 @query("prj2_graph_layout")
 def prj2(spark, sf):
     v = X.vectors(spark, sf).select("ls_index", F.col("e").alias("vector"))
-    return LY.graph_layout(v, P.project(v), k=10, epochs=10)
+    return LY.graph_layout(v, P.project(v))
 
 
 @query("prj3_project_features")

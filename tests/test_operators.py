@@ -485,3 +485,12 @@ def test_fuzzy_graph_weights(spark):
     g = LY.fuzzy_graph(table(spark, pts, "ls_index long, vector array<double>"), 2, "euclidean").collect()
     assert {(r["a"], r["b"]) for r in g} >= {(0, 1), (1, 2)} and all(0 < r["w"] <= 1 for r in g)
     assert [r["w"] for r in g if (r["a"], r["b"]) == (0, 1)] == [1.0]
+
+
+def test_graph_layout_query_uses_the_defaults(spark, monkeypatch):
+    from embedmap.plans import mapping
+
+    given = []
+    monkeypatch.setattr(mapping.LY, "graph_layout", lambda *args, **more: given.append((len(args), more)))
+    mapping.prj2(spark, "/root/testdata/sf0.001")
+    assert given == [(2, {})]
