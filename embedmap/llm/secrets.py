@@ -34,6 +34,7 @@ LEAST = 20  # characters of a string whose efficiency is tested
 RATIO = 2.2  # characters a token, below which a string counts as random
 
 RUN = re.compile(rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{LEAST},}}")
+_PART = re.compile(rf"[^/=]{{{LEAST},}}")
 _HEX_ANY = re.compile(r"[0-9a-fA-F]+")
 _UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 _IDENTIFIER = re.compile(r"[0-9]+|([A-Z]?[a-z]+|[A-Z]+)+[0-9]{0,4}")
@@ -96,13 +97,21 @@ class Vocabulary:
 
 
 def all_spans(text: str, vocabulary: Vocabulary) -> list[tuple[int, int, int]]:
-    """Base spans, and random strings that touch none of them."""
+    """Base spans, and random strings that touch none of them: whole runs, else their parts between / and =."""
     found = base_spans(text)
     taken = [(a, b) for a, _, b in found]
+
+    def random(a: int, b: int) -> bool:
+        run = text[a:b]
+        return all(d <= a or b <= c for c, d in taken) and not is_known(run) and vocabulary.hard_to_spell(run)
+
     for m in RUN.finditer(text):
-        apart = all(b <= m.start() or m.end() <= a for a, b in taken)
-        if apart and not is_known(m[0]) and vocabulary.hard_to_spell(m[0]):
+        if random(m.start(), m.end()):
             found.append((m.start(), 3, m.end()))
+            continue
+        for part in _PART.finditer(text, m.start(), m.end()):
+            if part.end() - part.start() < m.end() - m.start() and random(part.start(), part.end()):
+                found.append((part.start(), 3, part.end()))
     return sorted(found)
 
 

@@ -199,6 +199,20 @@ def test_secret_spans(spark, make):
     assert (row.n_assign, row.n_access, row.n_hex, row.base_sha256, row.spans) == (0, 0, 0, brute.sha(""), "token:4:28")
 
 
+def test_secret_behind_words():
+    """A random string is found whatever words are glued to it by / and =."""
+    vocabulary = secrets.Vocabulary(open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb").read(), public_tokenizers.PATTERN)
+    r = random.Random(3)
+    for before in ("client_authorization_credential=", "/integrations/notifications/incoming/webhooks/"):
+        for _ in range(50):
+            key = "".join(r.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=20))
+            if not secrets.all_spans(key, vocabulary):
+                continue  # letters that read as an identifier
+            found = secrets.all_spans(before + key, vocabulary)
+            assert found in ([(len(before), 3, len(before) + 20)], [(0, 3, len(before) + 20)]), key
+        assert secrets.all_spans(before + "configuration", vocabulary) == []
+
+
 def test_secret_query_is_brute_force_on_the_table(spark, sf):
     from embedmap.llm import queries  # noqa: F401
     from embedmap.llm.tables import QUERIES
