@@ -136,7 +136,7 @@ def _roots(parents: DataFrame) -> DataFrame:
     while True:
         up = parents.select(F.col("a").alias("p"), F.col("p").alias("p2"))
         step = parents.join(up, "p", "left").select("a", F.coalesce("p2", "p").alias("p"), F.col("p2").isNotNull().alias("moved"))
-        step = cut_lineage(step)
+        step = store(step, "roots")
         parents = step.drop("moved")
         if step.filter("moved").isEmpty():
             return parents
@@ -147,11 +147,11 @@ def connected_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
     Each round every node hangs under its smallest neighbour, the trees are flattened by doubling
     and the graph is contracted to their roots. Every component with an edge merges with another,
-    so rounds are logarithmic in the number of nodes and edges shrink on the way. Rounds are
-    checkpointed.
+    so rounds are logarithmic in the number of nodes and edges shrink on the way. Each round ends
+    in stored tables, so plans and their size estimates do not grow with the rounds.
     """
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    graph = cut_lineage(both.filter("a <> b").distinct())
+    graph = store(both.filter("a <> b").distinct(), "graph")
     state = nodes.select("node", F.col("node").alias("component"))
     while not graph.isEmpty():
         parents = graph.groupBy("a").agg(F.min("b").alias("p")).filter("p < a")
@@ -159,9 +159,9 @@ def connected_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         at_a, at_b = roots.withColumnRenamed("p", "pa"), roots.withColumnsRenamed({"a": "b", "p": "pb"})
         graph = graph.join(at_a, "a", "left").join(at_b, "b", "left")
         graph = graph.select(F.coalesce("pa", "a").alias("a"), F.coalesce("pb", "b").alias("b"))
-        graph = cut_lineage(graph.filter("a <> b").distinct())
+        graph = store(graph.filter("a <> b").distinct(), "graph")
         move = roots.withColumnsRenamed({"a": "component"})
-        state = cut_lineage(state.join(move, "component", "left").select("node", F.coalesce("p", "component").alias("component")))
+        state = store(state.join(move, "component", "left").select("node", F.coalesce("p", "component").alias("component")), "state")
     return state
 
 

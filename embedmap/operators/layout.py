@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from embedmap.operators.knn import knn_join, matrix
 from embedmap.operators.project import normalize_frame
 from embedmap.operators.ranking import assign_row_index
-from embedmap.session import cut_lineage
+from embedmap.session import store
 
 # fixed values: force clipping, the scale of the start map, and the least stiffness of a point
 CLIP, START_SCALE, SOFT = 4.0, 10.0, 0.03
@@ -96,21 +96,20 @@ def graph_layout(
 ) -> DataFrame:
     """(ls_index, x, y) in [-1, 1]: the neighbour graph laid out from a start map.
 
-    Positions are checkpointed each epoch; an epoch joins edges and repulsion partners with the
+    Positions are stored each epoch, so plans stay small and a lost executor costs one epoch; an epoch joins edges and repulsion partners with the
     positions and sums forces per point, so hubs are summed before the shuffle.
     """
     a, b = curve(min_dist)
     edges = fuzzy_graph(vectors, k, metric)
     dense = assign_row_index(start.select("ls_index", "x", "y"), [F.col("ls_index")], "p")
-    dense = cut_lineage(dense)
+    dense = store(dense, "layout-ids")
     rows = dense.count()
     ids = dense.select("ls_index", "p")
     num = edges.join(ids.withColumnsRenamed({"ls_index": "a", "p": "i"}), "a").join(ids.withColumnsRenamed({"ls_index": "b", "p": "j"}), "b")
-    # laid out by the joined key once; the checkpoints keep that, so epochs do not shuffle edges for it
-    num = cut_lineage(num.select("i", "j", "w").union(num.select("j", "i", "w")).repartition("i"))
+    num = store(num.select("i", "j", "w").union(num.select("j", "i", "w")), "layout-edges")
     degree = num.groupBy("i").agg(F.sum("w").alias("deg"))
-    state = cut_lineage(dense.select("p", (F.col("x") * START_SCALE).alias("x"), (F.col("y") * START_SCALE).alias("y")).join(
-        degree.withColumnRenamed("i", "p"), "p", "left").fillna(0.0, ["deg"]))
+    state = store(dense.select("p", (F.col("x") * START_SCALE).alias("x"), (F.col("y") * START_SCALE).alias("y")).join(
+        degree.withColumnRenamed("i", "p"), "p", "left").fillna(0.0, ["deg"]), "layout-state")
 
     def at(prefix: str, key: str, *extra: str) -> DataFrame:
         return state.select(F.col("p").alias(key), F.col("x").alias(f"{prefix}x"), F.col("y").alias(f"{prefix}y"), *extra)
@@ -134,6 +133,6 @@ def graph_layout(
         moved = state.join(force, "p", "left")
         # scaled by the stiffness of a point's edges: all edges act at once, a full step would overshoot
         shift = lambda f: rate * _limit(F.coalesce(F.col(f) / (F.col("h") + SOFT), F.lit(0.0)))  # noqa: E731, B023
-        state = cut_lineage(moved.select("p", (F.col("x") + shift("fx")).alias("x"), (F.col("y") + shift("fy")).alias("y"), "deg"))
+        state = store(moved.select("p", (F.col("x") + shift("fx")).alias("x"), (F.col("y") + shift("fy")).alias("y"), "deg"), "layout-state")
     placed = state.join(ids, "p").select("ls_index", "x", "y")
     return normalize_frame(placed, ["x", "y"])

@@ -79,7 +79,7 @@ def prj1_explained(spark, sf):
 def prj2_frame(spark, sf):
     v = X.vectors(spark, sf).select("ls_index", F.col("e").alias("vector"))
     # axes of a graph layout may correlate
-    return _frame(LY.graph_layout(v, P.project(v), k=10, epochs=3), "x", "y").withColumn("apart", F.lit(None).cast("boolean"))
+    return _frame(LY.graph_layout(v, P.project(v)), "x", "y").withColumn("apart", F.lit(None).cast("boolean"))
 
 
 @query("prj3_frame", with_features(_frame_sql("SELECT count(DISTINCT feature_id) AS n FROM feat WHERE act > 0", "true")))

@@ -45,7 +45,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: fixes sampled range bounds and keeps loops restartable."""
+    """Reliable checkpoint: fixes sampled range bounds and the order of partitions.
+
+    The planner keeps the size estimate of the plan that is cut, so loops end their rounds with
+    ``store``, whose size is that of its files.
+    """
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
@@ -53,11 +57,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def store(df: DataFrame, name: str) -> DataFrame:
     """Write a table used more than once to the shared folder, and read it back.
 
-    Unlike a checkpoint the copy is columnar, so later uses read only the columns they need.
+    Unlike a checkpoint the copy is columnar, so later uses read only the columns they need, and the
+    planner knows its size. The schema is handed on, so no job reads it from the files.
     """
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def spread(df: DataFrame, tasks: int | None = None) -> DataFrame:

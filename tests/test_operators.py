@@ -494,3 +494,22 @@ def test_graph_layout_query_uses_the_defaults(spark, monkeypatch):
     monkeypatch.setattr(mapping.LY, "graph_layout", lambda *args, **more: given.append((len(args), more)))
     mapping.prj2(spark, "/root/testdata/sf0.001")
     assert given == [(2, {})]
+
+
+def test_components_of_a_long_shuffled_path(spark):
+    from embedmap.operators.cluster import connected_components
+
+    order = np.random.default_rng(1).permutation(50_000).tolist()
+    edges = table(spark, list(zip(order[:-1], order[1:], strict=True)), "a long, b long")
+    found = connected_components(edges, spark.range(50_000).withColumnRenamed("id", "node"))
+    assert found.count() == 50_000 and [r.component for r in found.select("component").distinct().collect()] == [0]
+
+
+def test_graph_layout_plans_do_not_grow_with_epochs(spark):
+    from embedmap.operators import layout as LY
+
+    pts = [(i, [float(i % 7), float(i // 7), 1.0]) for i in range(49)]
+    v = table(spark, pts, "ls_index long, vector array<double>")
+    out = LY.graph_layout(v, xy(spark, [(i % 7, i // 7) for i in range(49)]), k=4)
+    size = int(out._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    assert out.count() == 49 and size < 1 << 40
