@@ -511,6 +511,6 @@ def test_graph_layout_plans_do_not_grow_with_epochs(spark):
     pts = [(i, [float(i % 7), float(i // 7), 1.0]) for i in range(49)]
     v = table(spark, pts, "ls_index long, vector array<double>")
     out = LY.graph_layout(v, xy(spark, [(i % 7, i // 7) for i in range(49)]), k=4)
-    size = int(out._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(out._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     # a few joined tables of some kB each, however many epochs
     assert out.count() == 49 and size.bit_length() < 128
