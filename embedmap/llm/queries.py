@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from embedmap.llm import ann, bpe, chat, licenses, secrets
+from embedmap.llm import ann, bpe, byte_bpe, chat, licenses, secrets
 from embedmap.llm.decontaminate import contaminated
 from embedmap.llm.lang_id import identify
 from embedmap.llm.line_dedup import drop_boilerplate
@@ -125,3 +125,9 @@ def op9(spark, sf):
 )
 def op10(spark, sf):
     return near_duplicates(table(spark, sf, "documents"), shingle=2, percent=80)
+
+
+@query("op13_byte_bpe")
+def op13(spark, sf):
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return byte_bpe.byte_digests(byte_bpe.byte_bpe(table(spark, sf, "documents"), path, public_tokenizers.PATTERN))
