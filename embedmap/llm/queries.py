@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from embedmap.llm import ann, bpe, byte_bpe, chat, licenses, secrets
+from embedmap.llm import ann, bpe, byte_bpe, chat, licenses, secrets, variants
 from embedmap.llm.decontaminate import contaminated
 from embedmap.llm.lang_id import identify
 from embedmap.llm.line_dedup import drop_boilerplate
@@ -127,6 +127,12 @@ def op10(spark, sf):
     return near_duplicates(table(spark, sf, "documents"), shingle=2, percent=80)
 
 
+@query("op11_spelling_variants", variants.sql())
+def op11(spark, sf):
+    counts = variants.run_counts(table(spark, sf, "documents"), cut_every=97, min_length=5)
+    return variants.spelling_variants(counts, min_length=5, min_count=3)
+
+
 @query("op13_byte_bpe")
 def op13(spark, sf):
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")

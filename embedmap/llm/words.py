@@ -70,12 +70,21 @@ class Slice:
         values = keys[_LOWER[raw] if lower else raw] * powers(base, int(size.max()))[inside]
         return mix(np.add.reduceat(values, at) + size.astype(_U))
 
+    def strings(self, at: np.ndarray) -> pa.Array:
+        """The words at these places, lower-cased in A-Z."""
+        size = self.end[at] - self.start[at]
+        ends = np.cumsum(size)
+        inside = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.start[at] - (ends - size), size)
+        flat = np.ascontiguousarray(_LOWER[self.data[inside]])
+        offsets = np.concatenate(([0], ends)).astype(np.int32)
+        return pa.Array.from_buffers(pa.string(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(flat)])
+
     def text_of(self, i: int) -> np.ndarray:
         return self.data[self.bounds[i] : self.bounds[i + 1]]
 
 
-def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[Slice]:
-    """The texts of an Arrow column in order; null counts as empty."""
+def slices(texts: pa.Array, limit: int = SLICE_BYTES, in_word: Callable[[np.ndarray], np.ndarray] | None = None) -> Iterator[Slice]:
+    """The texts of an Arrow column in order; null counts as empty. ``in_word`` tells which bytes belong to words."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     n = len(texts)
     if not n:
@@ -88,7 +97,7 @@ def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[Slice]:
         hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + limit, "right")) - 1)
         bounds = offsets[lo : hi + 1] - offsets[lo]
         part = data[offsets[lo] : offsets[hi]]
-        word = ~_SPACE[part]
+        word = ~_SPACE[part] if in_word is None else in_word(part)
         edge = np.zeros(len(part) + 1, bool)
         edge[bounds] = True
         before = np.concatenate(([False], word[:-1])) if len(part) else word
