@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from embedmap.llm import ann, bpe, byte_bpe, chat, licenses, secrets, variants
+from embedmap.llm import ann, bpe, byte_bpe, chat, collocations, licenses, secrets, variants
 from embedmap.llm.decontaminate import contaminated
 from embedmap.llm.lang_id import identify
 from embedmap.llm.line_dedup import drop_boilerplate
@@ -133,6 +133,11 @@ def op11(spark, sf):
     return variants.spelling_variants(counts, min_length=5, min_count=3)
 
 
+@query("op12_collocations", collocations.sql())
+def op12(spark, sf):
+    return collocations.collocations(table(spark, sf, "documents"), top=2000, min_count=10, share=50)
+
+
 @query("op13_byte_bpe")
 def op13(spark, sf):
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
