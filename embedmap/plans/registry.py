@@ -30,6 +30,7 @@ def load_all() -> None:
     """Import every module that registers queries."""
     from embedmap.plans import (  # noqa: F401
         curation,
+        graphs,
         ingest,
         mapping,
         scope,
