@@ -272,9 +272,15 @@ def _drop_small(rows: DataFrame, min_cluster_size: int) -> DataFrame:
     return _renumber(marked.select("ls_index", "component", "_size"), "component", F.col("_size").isNull())
 
 
-def graph_clusters(vectors: DataFrame, k: int = 15, min_cluster_size: int = 5, metric: str = "cosine") -> DataFrame:
-    """Components of the mutual k-nearest-neighbour graph in embedding space."""
-    near = cut_lineage(knn_join(vectors, vectors, k, metric, include_self=False).select("ls_index", "neighbor"))
+def graph_clusters(vectors: DataFrame, k: int = 15, min_cluster_size: int = 5, metric: str = "cosine", near: DataFrame | None = None) -> DataFrame:
+    """Components of the mutual k-nearest-neighbour graph in embedding space.
+
+    ``near`` may be a ready neighbour table, such as that of ``neighbor_descent``. ``community_clusters``
+    tells topics apart that a few edges link.
+    """
+    if near is None:
+        near = knn_join(vectors, vectors, k, metric, include_self=False)
+    near = store(near.filter(F.col("rank") <= k).select("ls_index", "neighbor"), "near")
     back = near.select(F.col("neighbor").alias("ls_index"), F.col("ls_index").alias("neighbor"))
     mutual = near.join(back, ["ls_index", "neighbor"]).filter("ls_index < neighbor")
     edges = mutual.select(F.col("ls_index").alias("a"), F.col("neighbor").alias("b"))

@@ -76,10 +76,14 @@ def _memberships(near: DataFrame, k: int) -> DataFrame:
     return scaled.select("ls_index", pair).select("ls_index", F.col("e.ids").alias("neighbor"), F.col("e.w").alias("w"))
 
 
-def fuzzy_graph(vectors: DataFrame, k: int = 15, metric: str = "cosine") -> DataFrame:
-    """Undirected edges (a, b, w) with a < b: w = p + q - pq of the two directed similarities."""
-    near = knn_join(vectors, vectors, k, metric, include_self=False)
-    directed = _memberships(near, k)
+def fuzzy_graph(vectors: DataFrame, k: int = 15, metric: str = "cosine", near: DataFrame | None = None) -> DataFrame:
+    """Undirected edges (a, b, w) with a < b: w = p + q - pq of the two directed similarities.
+
+    ``near`` may be a ready neighbour table, such as that of ``neighbor_descent``.
+    """
+    if near is None:
+        near = knn_join(vectors, vectors, k, metric, include_self=False)
+    directed = _memberships(near.filter(F.col("rank") <= k), k)
     ends = directed.select(F.least("ls_index", "neighbor").alias("a"), F.greatest("ls_index", "neighbor").alias("b"), "w")
     # one or two entries per pair
     both = ends.groupBy("a", "b").agg(F.sum("w").alias("s"), F.min("w").alias("lo"), F.max("w").alias("hi"), F.count("*").alias("n"))
@@ -92,15 +96,16 @@ def _limit(c: Column) -> Column:
 
 
 def graph_layout(
-    vectors: DataFrame, start: DataFrame, k: int = 15, epochs: int = 30, min_dist: float = 0.1, repel: int = 5, metric: str = "cosine"
+    vectors: DataFrame, start: DataFrame, k: int = 15, epochs: int = 30, min_dist: float = 0.1, repel: int = 5, metric: str = "cosine",
+    near: DataFrame | None = None,
 ) -> DataFrame:
-    """(ls_index, x, y) in [-1, 1]: the neighbour graph laid out from a start map.
+    """(ls_index, x, y) in [-1, 1]: the neighbour graph laid out from a start map; ``near`` as in ``fuzzy_graph``.
 
     Positions are stored each epoch, so plans stay small and a lost executor costs one epoch; an epoch joins edges and repulsion partners with the
     positions and sums forces per point, so hubs are summed before the shuffle.
     """
     a, b = curve(min_dist)
-    edges = fuzzy_graph(vectors, k, metric)
+    edges = fuzzy_graph(vectors, k, metric, near)
     dense = assign_row_index(start.select("ls_index", "x", "y"), [F.col("ls_index")], "p")
     dense = store(dense, "layout-ids")
     rows = dense.count()
@@ -136,3 +141,41 @@ def graph_layout(
         state = store(moved.select("p", (F.col("x") + shift("fx")).alias("x"), (F.col("y") + shift("fy")).alias("y"), "deg"), "layout-state")
     placed = state.join(ids, "p").select("ls_index", "x", "y")
     return normalize_frame(placed, ["x", "y"])
+
+
+def place_by_layout(
+    old_map: DataFrame, old_vectors: DataFrame, new_vectors: DataFrame, k: int = 15, epochs: int = 30, min_dist: float = 0.1, repel: int = 5, metric: str = "cosine"
+) -> DataFrame:
+    """(ls_index, x, y): the old map as it is, and new rows placed in it by the layout's objective (PRJ10).
+
+    New rows begin at the weighted mean of their ``k`` nearest old rows. In each epoch these attract them
+    and hashed old rows push them away, while old rows stay where they are. So a row between two groups ends with one of them,
+    where a mean leaves it in the empty space between. Rows that are in the map already, and those without
+    old neighbours, are not placed.
+    """
+    a, b = curve(min_dist)
+    fixed = store(assign_row_index(old_map.select("ls_index", "x", "y"), [F.col("ls_index")], "p"), "fixed-rows")
+    fixed = fixed.select("ls_index", "p", (F.col("x") * START_SCALE).alias("jx"), (F.col("y") * START_SCALE).alias("jy"))
+    rows = fixed.count()
+    new = new_vectors.join(fixed.select("ls_index"), "ls_index", "left_anti")
+    near = knn_join(new, old_vectors.join(fixed.select("ls_index"), "ls_index", "left_semi"), k, metric)
+    pulls = _memberships(near, k).withColumnsRenamed({"ls_index": "i", "neighbor": "ls_index"}).join(fixed, "ls_index")
+    pulls = store(pulls.select("i", "jx", "jy", "w"), "pulls")
+    mean = lambda c: (F.sum(F.col("w") * F.col(c)) / F.sum("w"))
+    state = store(pulls.groupBy("i").agg(mean("jx").alias("x"), mean("jy").alias("y"), F.sum("w").alias("deg")), "placed-rows")
+    dx, dy = F.col("x") - F.col("jx"), F.col("y") - F.col("jy")
+    d2 = dx * dx + dy * dy
+    fall = 1.0 + a * F.pow(d2, F.lit(b))
+    stiff = F.col("w") * F.when(d2 > 0, 2.0 * a * b * F.pow(d2, F.lit(b - 1)) / fall).otherwise(0.0)
+    push = 2.0 * b / ((0.001 + d2) * fall)
+    for epoch in range(epochs):
+        rate = 1.0 - epoch / epochs
+        attract = pulls.join(state, "i").select("i", (-stiff * dx).alias("fx"), (-stiff * dy).alias("fy"), stiff.alias("h"))
+        partner = F.pmod(F.xxhash64("i", F.lit(epoch), F.col("s")), F.lit(rows))
+        others = state.withColumn("s", F.explode(F.sequence(F.lit(1), F.lit(repel)))).withColumn("p", partner).join(fixed, "p")
+        others = others.select("i", (F.col("deg") * _limit(push * dx)).alias("fx"), (F.col("deg") * _limit(push * dy)).alias("fy"), F.lit(0.0).alias("h"))
+        force = attract.union(others).groupBy("i").agg(*[F.sum(c).alias(c) for c in ("fx", "fy", "h")])
+        shift = lambda f, rate=rate: rate * _limit(F.coalesce(F.col(f) / (F.col("h") + SOFT), F.lit(0.0)))
+        state = store(state.join(force, "i", "left").select("i", (F.col("x") + shift("fx")).alias("x"), (F.col("y") + shift("fy")).alias("y"), "deg"), "placed-rows")
+    placed = state.select(F.col("i").alias("ls_index"), (F.col("x") / START_SCALE).alias("x"), (F.col("y") / START_SCALE).alias("y"))
+    return old_map.select("ls_index", "x", "y").unionByName(placed)

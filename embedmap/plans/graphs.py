@@ -1,8 +1,16 @@
-"""Registered queries for what is built on neighbour graphs: merge trees, descent, levels of communities."""
+"""Registered queries for what is built on neighbour graphs: merge trees, descent, levels of communities, placing."""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
+
+from embedmap.operators import communities as C
+from embedmap.operators import descent as D
 from embedmap.operators import hierarchy as H
+from embedmap.operators import layout as LY
+from embedmap.operators.knn import knn_join
+from embedmap.session import store
 from embedmap.plans import fixtures as X
 from embedmap.plans.registry import query
 
@@ -46,3 +54,75 @@ HIERARCHY_SQL = f"""WITH RECURSIVE {X.MAP_SQL},
 def clu3_hierarchical(spark, sf):
     m = X.first_map(spark, sf).select("ls_index", "x", "y")
     return H.hierarchical_clusters(m, min_cluster_size=6, min_samples=4)
+
+
+def _vectors(spark, sf):
+    return X.vectors(spark, sf).select("ls_index", F.col("e").alias("vector"))
+
+
+@query("vec4_neighbor_descent")
+def vec4_descent(spark, sf):
+    return D.neighbor_descent(_vectors(spark, sf), k=15)
+
+
+# at least 95 of 100 entries are as near as those of the exact join
+@query(
+    "vec4_descent_recall",
+    f"""WITH {X.VECTORS_SQL}, r AS (SELECT a.ls_index AS a, 1 - list_cosine_similarity(a.e, b.e) AS d FROM v a JOIN v b ON a.ls_index <> b.ls_index
+        QUALIFY row_number() OVER (PARTITION BY a.ls_index ORDER BY 1 - list_cosine_similarity(a.e, b.e), b.ls_index) <= 15)
+        SELECT count(*) AS entries, round(avg(d), 5)+0.0 AS exact_mean, true AS found FROM r""",
+)
+def vec4_recall(spark, sf):
+    v = store(_vectors(spark, sf), "vectors")
+    exact = store(knn_join(v, v, 15, "cosine", include_self=False), "exact")
+    ends = exact.groupBy("ls_index").agg(F.max("distance").alias("end"))
+    hits = D.neighbor_descent(v, k=15).join(ends, "ls_index").agg(F.count_if(F.col("distance") <= F.col("end") + 1e-9).alias("hits"))
+    whole = exact.agg(F.count("*").alias("entries"), (F.round(F.avg("distance"), 5) + 0.0).alias("exact_mean"))
+    # one row each
+    return whole.join(hits).select("entries", "exact_mean", (F.col("hits") >= 0.95 * F.col("entries")).alias("found"))
+
+
+@query("clu4_community_clusters")
+def clu4_communities(spark, sf):
+    return C.community_clusters(_vectors(spark, sf), k=10, min_cluster_size=5)
+
+
+# each community lies within one of the next level, every row has one, and modularity rises from singles to the last level
+@query(
+    "clu4_community_levels",
+    f"""WITH {X.VECTORS_SQL}, r AS (SELECT a.ls_index AS a, b.ls_index AS b, row_number() OVER (PARTITION BY a.ls_index
+        ORDER BY 1 - list_cosine_similarity(a.e, b.e), b.ls_index) AS rn FROM v a JOIN v b ON a.ls_index <> b.ls_index QUALIFY rn <= 10)
+        SELECT (SELECT count(*) FROM v) AS rows, count(*) AS edges, round(sum(sqrt((11 - p.rn) / 10 * (11 - q.rn) / 10)), 4)+0.0 AS weight, true AS nested, true AS rising
+        FROM r p JOIN r q ON p.a = q.b AND p.b = q.a WHERE p.a < p.b""",
+)
+def clu4_levels(spark, sf):
+    v = store(_vectors(spark, sf), "vectors")
+    near = store(knn_join(v, v, 10, "cosine", include_self=False), "near")
+    back = near.select(F.col("neighbor").alias("ls_index"), F.col("ls_index").alias("neighbor"), F.col("rank").alias("back"))
+    w = F.sqrt((11 - F.col("rank")) / 10 * (11 - F.col("back")) / 10)
+    edges = store(near.join(back, ["ls_index", "neighbor"]).filter("ls_index < neighbor").select(F.col("ls_index").alias("a"), F.col("neighbor").alias("b"), w.alias("w")), "edges")
+    found = store(C.community_levels(edges, v.select(F.col("ls_index").alias("node"))), "levels")
+    both = edges.union(edges.select("b", "a", "w"))
+    top = found.agg(F.max("level")).first()[0]
+    states = [v.select(F.col("ls_index").alias("node"), F.col("ls_index").alias("c"))]
+    states += [found.filter(F.col("level") == i).select("node", F.col("community").alias("c")) for i in range(top + 1)]
+    values = [C.modularity(both, s) for s in states]
+    later = F.lead("community").over(W.partitionBy("node").orderBy("level"))
+    parents = found.withColumn("later", later).filter("later IS NOT NULL").groupBy("level", "community").agg(F.count_distinct("later").alias("n"))
+    checks = parents.agg(F.coalesce(F.max("n") == 1, F.lit(True)).alias("nested"))
+    whole = found.filter("level = 0").agg(F.count("*").alias("rows")).join(edges.agg(F.count("*").alias("edges"), (F.round(F.sum("w"), 4) + 0.0).alias("weight")))
+    return whole.join(checks).withColumn("rising", F.lit(all(x < y for x, y in zip(values, values[1:], strict=False))))
+
+
+# a third of the rows is placed into the map of the others, which stay bit-equal
+@query(
+    "prj10_place_by_layout",
+    f"""WITH {X.MAP_SQL} SELECT count(*) AS rows, count(*) FILTER (ls_index % 3 <> 0) AS unmoved, true AS inside FROM map1""",
+)
+def prj10_layout(spark, sf):
+    m, v = X.first_map(spark, sf).select("ls_index", "x", "y"), _vectors(spark, sf)
+    old = F.col("ls_index") % 3 != 0
+    found = LY.place_by_layout(m.filter(old), v.filter(old), v.filter(~old)).withColumnsRenamed({"x": "nx", "y": "ny"})
+    same = (F.col("x") == F.col("nx")) & (F.col("y") == F.col("ny"))
+    inside = (F.abs("nx") < 2) & (F.abs("ny") < 2)
+    return found.join(m, "ls_index").agg(F.count("*").alias("rows"), F.count_if(same & old).alias("unmoved"), F.bool_and(inside).alias("inside"))
