@@ -1,13 +1,15 @@
 """Benchmark items inside documents: n-gram seeds, then Smith-Waterman alignment of words.
 
-A bitmap of fixed size holds the items' n-grams; documents leave a trace only where one of theirs
-passes it. Around such places the words that an alignment could reach are cut out, so texts never
-move. Seeds are joined with the items exactly, and each passage is aligned with all items it shares
-a seed with, however many other passages hold that seed.
+A table of fixed size holds the items' n-grams by hash; documents leave a trace only where one of theirs
+passes it. Around such places the words that an alignment with an item of that n-gram could reach are
+cut out, so texts never move. Seeds are joined with the items exactly, rare ones first: a seed that many
+passages hold is only looked at for passages and items that no rarer one has brought together. Each
+passage is aligned with all items it shares a seed with.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +20,8 @@ from pyspark.sql import functions as F
 from embedmap.llm.words import arrow_rows, mix, slices
 from embedmap.session import store
 
-BITMAP_BITS = 23  # 1 MB; more items only make more places pass it
+TABLE_BITS = 22  # 4 MB; more items only make more places pass it
+RARE = 32  # a seed of more passages is a common one
 MATCH, MISMATCH, GAP = 2, -1, -1
 _U = np.uint64
 _STEP = _U(0x9E3779B97F4A7C15)
@@ -38,7 +41,25 @@ def _grams(words: np.ndarray, size: int) -> np.ndarray:
 
 
 def _slot(grams: np.ndarray) -> np.ndarray:
-    return (grams >> _U(64 - BITMAP_BITS)).astype(np.int64)
+    return (grams >> _U(64 - TABLE_BITS)).astype(np.int64)
+
+
+def _span(words: int, similarity: float) -> int:
+    """Most text words in an alignment that reaches the similarity with an item of so many words.
+
+    With m item words and M matches at most m, the score asks for mismatches and gaps of at most
+    2 M - 2 m similarity, and each text word beyond the matches costs one of them.
+    """
+    return int(np.floor(words + 2 * words * (1 - similarity) + 1e-9))
+
+
+def _class(words: np.ndarray) -> np.ndarray:
+    """Lengths by half powers of two, from 1; the items of a class have at most ``_longest`` words."""
+    return (np.ceil(np.log2(np.maximum(words, 1)) * 2 - 1e-9) + 1).astype(np.uint8)
+
+
+def _longest(kind: int) -> int:
+    return int(np.floor(2 ** ((kind - 1) / 2) + 1e-6))
 
 
 def item_words(items: DataFrame, n: int) -> DataFrame:
@@ -56,58 +77,66 @@ def item_words(items: DataFrame, n: int) -> DataFrame:
     return arrow_rows(items, rows, "item_id long, words array<long>, grams array<long>")
 
 
-def _bitmap(items: DataFrame) -> np.ndarray:
-    """Which slots the items' n-grams take: at most 2**BITMAP_BITS bits reach the driver."""
+def _seed_table(items: DataFrame) -> np.ndarray:
+    """Per slot the class of the longest item with an n-gram there, 0 for none: 2**TABLE_BITS bytes reach the driver."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(1 << BITMAP_BITS, bool)
+        table = np.zeros(1 << TABLE_BITS, np.uint8)
         for batch in batches:
-            for grams in batch.column(0).to_numpy(zero_copy_only=False):
-                bits[_slot(np.asarray(grams, np.int64).view(_U))] = True
-        yield pa.record_batch([pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["bits"])
-
-    parts = arrow_rows(items.select("grams").coalesce(8), rows, "bits binary")
-    total = np.zeros(1 << (BITMAP_BITS - 3), np.uint8)
+            sizes = _class(batch.column(1).to_numpy())
+            for grams, size in zip(batch.column(0).to_numpy(zero_copy_only=False), sizes, strict=True):
+                slot = _slot(np.asarray(grams, np.int64).view(_U))
+                table[slot] = np.maximum(table[slot], size)
+        yield pa.record_batch([pa.array([zlib.compress(table.tobytes(), 1)], pa.binary())], names=["table"])
+
+    parts = arrow_rows(items.select("grams", F.size("words").alias("n")).coalesce(8), rows, "table binary")
+    total = np.zeros(1 << TABLE_BITS, np.uint8)
     for row in parts.toLocalIterator():
-        total |= np.frombuffer(row.bits, np.uint8)
+        total = np.maximum(total, np.frombuffer(zlib.decompress(row.table), np.uint8))
     return total
 
 
-def passages(docs: DataFrame, bitmap: np.ndarray, sizes: list[int], reach: int) -> DataFrame:
-    """(id, at, words, grams): stretches of words around n-grams that pass the bitmap."""
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+def passages(docs: DataFrame, table: np.ndarray, sizes: list[int], similarity: float) -> DataFrame:
+    """(id, at, words, grams): stretches of words around n-grams that pass the table, as far as an alignment may reach."""
+    shared = docs.sparkSession.sparkContext.broadcast(table)
+    spans = np.array([0, *[_span(_longest(k), similarity) for k in range(1, 64)]], np.int64)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(shared.value).astype(bool)
+        table = shared.value
         for batch in batches:
             ids = batch.column(0)
             for part in slices(batch.column(1)):
                 words = part.hashes()
                 text = np.repeat(np.arange(part.hi - part.lo), np.diff(part.first))
-                at, grams = [], []
+                at, grams, reach, after = [], [], [], []
                 for size in sizes:
                     rolled = _grams(words, size)
-                    hit = np.flatnonzero(bits[_slot(rolled)])
+                    kind = table[_slot(rolled)]
+                    hit = np.flatnonzero(kind)
                     hit = hit[text[hit] == text[hit + size - 1]]
                     at.append(hit)
                     grams.append(rolled[hit])
-                at, grams = np.concatenate(at), np.concatenate(grams)
+                    reach.append(np.maximum(spans[kind[hit]] - size, 0))
+                    after.append(np.full(len(hit), size))
+                at, grams, reach, after = (np.concatenate(x) for x in (at, grams, reach, after))
                 if not len(at):
                     continue
-                order = np.argsort(at, kind="stable")
-                at, grams = at[order], grams[order]
                 own = text[at]
                 lo = np.maximum(at - reach, part.first[own])
-                hi = np.minimum(at + reach + max(sizes), part.first[own + 1])
-                new = np.concatenate(([True], (own[1:] != own[:-1]) | (lo[1:] > hi[:-1])))
+                hi = np.minimum(at + reach + after, part.first[own + 1])
+                order = np.argsort(lo, kind="stable")
+                grams, own, lo, hi = grams[order], own[order], lo[order], hi[order]
+                # texts follow each other, so a running end never reaches into the next one
+                upto = np.maximum.accumulate(hi)
+                new = np.concatenate(([True], (own[1:] != own[:-1]) | (lo[1:] > upto[:-1])))
                 first = np.flatnonzero(new)
-                last = np.append(first[1:], len(at))
+                last = np.append(first[1:], len(lo))
                 signed = words.view(np.int64)
                 yield pa.record_batch(
                     [
                         ids.take(pa.array(part.lo + own[first])),
                         pa.array(lo[first] - part.first[own[first]]),
-                        pa.array([signed[a:b] for a, b in zip(lo[first], hi[last - 1], strict=True)], pa.list_(pa.int64())),
+                        pa.array([signed[a:b] for a, b in zip(lo[first], upto[last - 1], strict=True)], pa.list_(pa.int64())),
                         pa.array([np.unique(grams[a:b]).view(np.int64) for a, b in zip(first, last, strict=True)], pa.list_(pa.int64())),
                     ],
                     names=["id", "at", "words", "grams"],
@@ -137,24 +166,28 @@ def contaminated(docs: DataFrame, items: DataFrame, n: int = 3, similarity: floa
     ``docs`` has doc_id and text, ``items`` item_id and text; other columns are not read. Words are
     runs of letters and digits, lower-cased. Similarity is the best local alignment's score over
     that of the whole item; pairs of at least ``similarity`` are returned, once for repeated rows.
-    Seeds are all of an item's n-grams. Null and empty texts hold nothing and are held by nothing. Rows of a null doc_id are reported together under
+    Seeds are all of an item's n-grams, and an alignment is found if it lies within the reach of one. Null and empty texts hold nothing and are held by nothing. Rows of a null doc_id are reported together under
     the null id, items of a null item_id likewise. ``word_end`` is the number of words up to the end
     of the best alignment, the earliest one among equals.
     """
     items = item_words(items.select(F.col("item_id").cast("long"), _plain("text").alias("text")), n)
     items = store(items.filter(F.size("words") > 0), "item-words")
-    shape = items.agg(F.max(F.size("words")).alias("reach"), F.collect_set(F.least(F.size("words"), F.lit(n))).alias("sizes")).first()
+    shape = items.agg(F.collect_set(F.least(F.size("words"), F.lit(n))).alias("sizes")).first()
     if not shape.sizes:
         none = docs.select(F.col("doc_id").cast("long")).filter("false")
         return none.select("doc_id", F.lit(None).cast("long").alias("item_id"), F.lit(0.0).alias("similarity"), F.lit(0).cast("long").alias("word_end"))
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), _plain("text").alias("text"))
-    found = store(passages(texts, _bitmap(items), sorted(shape.sizes), shape.reach).withColumn("passage", F.monotonically_increasing_id()), "passages")
+    found = store(passages(texts, _seed_table(items), sorted(shape.sizes), similarity).withColumn("passage", F.monotonically_increasing_id()), "passages")
 
     hits = found.select("passage", F.explode("grams").alias("gram"))
     seeds = items.withColumn("item", F.monotonically_increasing_id()).select("item", "item_id", "words", "grams")
     seeds = store(seeds, "items")
     grams = seeds.select("item", F.explode("grams").alias("gram"))
-    pairs = hits.join(grams, "gram").select("passage", "item").distinct()
+    held = hits.join(grams.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("held"))
+    ranked = store(grams.join(held, "gram").select("gram", "item", (F.col("held") <= RARE).alias("rare")), "ranked-seeds")
+    rare = store(hits.join(ranked.filter("rare"), "gram").select("passage", "item").distinct(), "rare-pairs")
+    common = hits.join(ranked.filter("NOT rare"), "gram").select("passage", "item").distinct().join(rare, ["passage", "item"], "left_anti")
+    pairs = rare.unionByName(common)
     both = pairs.join(found.select("passage", "id", "at", F.col("words").alias("text")), "passage")
     both = both.join(seeds.select("item", "item_id", F.col("words").alias("words")), "item")
 

@@ -231,3 +231,31 @@ def test_every_operator_is_registered():
     from embedmap.llm.tables import QUERIES
 
     assert [sum(q.startswith(f"op{n}_") for q in QUERIES) for n in range(1, 11)] == [1] * 10
+
+
+def test_contaminated_reaches_over_inserted_words_and_long_items(spark):
+    rng = np.random.default_rng(11)
+    item = [f"w{i}" for i in range(40)]
+    # the first three words, then every further word behind an inserted one
+    spread = item[:3] + [x for i, w in enumerate(item[3:]) for x in (f"in{i}", w)]
+    longer = [f"v{i}" for i in range(130)]
+    noise = lambda n: [f"z{x}" for x in rng.integers(0, 500, n)]
+    docs = [
+        (1, " ".join(noise(90) + spread + noise(90))),
+        (2, " ".join(noise(40) + spread[::-1] + noise(30))),
+        (3, " ".join(noise(10) + longer[20:110] + noise(5) + item)),
+        (4, " ".join(noise(200) + [x for i in range(0, 130, 3) for x in (*longer[i : i + 3], "gap")])),
+        (5, " ".join(noise(300))),
+    ]
+    items = [(1, " ".join(item)), (2, " ".join(longer))]
+    frames = [spark.createDataFrame(x, f"{k} long, text string") for x, k in ((docs, "doc_id"), (items, "item_id"))]
+    got = {(r.doc_id, r.item_id): r.similarity for r in contaminated(*frames).collect()}
+    assert got == pytest.approx(brute.leaks(docs, items)) and got[1, 1] == 0.5375
+
+
+def test_common_seeds_bring_what_rare_ones_do_not(spark):
+    item = "one of the best known things of all the many that there are"
+    docs = [(i, f"one of the {i} others {i}") for i in range(80)] + [(100, item), (101, "one of the best x known y things of all z many that there are")]
+    frames = [spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, item), (2, "one of the")], "item_id long, text string")]
+    got = {(r.doc_id, r.item_id): r.similarity for r in contaminated(*frames).collect()}
+    assert got == pytest.approx(brute.leaks(docs, [(1, item), (2, "one of the")])) and len(got) == 84
