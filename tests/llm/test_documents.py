@@ -4,6 +4,7 @@ import random
 import re
 
 import brute
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -370,3 +371,24 @@ def test_language_rejects_unlearnt_ones(spark):
     rows = [(-1, italian, None), (-2, finnish, None), (-3, noise, None)]
     got = identify(docs.union(spark.createDataFrame(rows, "doc_id long, text string, lang string"))).filter("lang_pred <> 'und'")
     assert {r.doc_id for r in got.filter("NOT accepted").collect()} == {-1, -2, -3}
+
+
+@pytest.mark.parametrize(("percent", "shingle"), [(50, 1), (60, 1), (70, 2), (80, 1), (90, 1)])
+def test_near_duplicates_at_every_threshold(spark, percent, shingle):
+    rng = np.random.default_rng(percent)
+    base = [" ".join(f"w{x}" for x in rng.integers(0, 30, n)) for n in rng.integers(1, 14, 30)]
+    texts = base + [" ".join(w for w in t.split() if rng.random() > 0.2) + (" more" if rng.random() > 0.5 else "") for t in base * 4]
+    texts += ["a b c", "a b c d", "q r s t u", "q r s t u v", "x", "x y", "hot " + base[0]] + [f"hot words here u{i}" for i in range(50)]
+    rows = list(enumerate(texts))
+    cut = {i: t.split() for i, t in rows}
+    sets = {i: {tuple(w[j : j + shingle]) for j in range(len(w) - shingle + 1)} or ({tuple(w)} if w else set()) for i, w in cut.items()}
+    low = {i: i for i in sets}
+    changed = True
+    while changed:
+        changed = False
+        for a in sets:
+            for b in sets:
+                if sets[a] and low[b] < low[a] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                    low[a], changed = low[b], True
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=shingle, percent=percent).collect()
+    assert {r.doc_id: r.component_id for r in got} == low
