@@ -218,7 +218,9 @@ def lab2(spark, sf):
     # one source plays the noise cluster; every token carries its document's cluster
     raw = docs.select("ls_index", F.when(F.col("source") == "src3", -1).otherwise(0).alias("raw_cluster"))
     cluster = column_clusters(docs, "source").withColumnRenamed("raw_cluster", "cluster")
-    return L.token_labels(_tokens(spark, sf).join(cluster, "ls_index").join(raw, "ls_index"))
+    # labels need no token numbers
+    tokens = TK.tokenize(docs, "text").select("ls_index", "token_str", "char_start")
+    return L.token_labels(tokens.join(cluster, "ls_index").join(raw, "ls_index"))
 
 
 STOP_SQL = ", ".join("'" + w.replace("'", "''") + "'" for w in L.STOP_WORDS)
