@@ -1,16 +1,20 @@
 """Language identification with interpolated Kneser-Ney character models.
 
 One model per language over 4-character n-grams of lower-cased letters; everything else is a word
-boundary and contexts do not reach over one. The models of all languages lie in sorted hash arrays.
-A text gets the language of lowest cross-entropy per character. A softmax temperature and, per
-language, the usual cross-entropy are calibrated on the training rows: the first gives the score,
-the second rejects texts that look like none of the languages.
+boundary and contexts do not reach over one. Counts, continuation counts, discounts and the
+probabilities of all n-grams that occur anywhere are Spark aggregates and joins over all rows. The
+table of probabilities is cut by hash into parts of bounded size; each part goes to the tasks as a
+sorted hash array, and a text's sums over the parts are whole numbers, so neither the number of
+parts nor of tasks changes a result. A text gets the language of lowest cross-entropy per character.
+A softmax temperature and, per language, the usual cross-entropy are calibrated on the training
+rows: the first gives the score, the second rejects texts that look like none of the languages.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -22,14 +26,14 @@ from embedmap.session import store
 
 ORDER = 4
 NONE = "und"
-MAX_NGRAMS = 1_000_000  # over all languages; the most frequent stay. Bounds what is collected and broadcast
+PART_VALUES = 1 << 24  # n-grams times languages that one part of the models holds: 64 MB, and 8 bytes for each n-gram
+SCALE = 1 << 20  # logarithms are whole numbers of this part of a nat
 REJECT_QUANTILE, REJECT_MARGIN = 0.999, 6.0  # of the spreads of training rows, and spreads beyond it
-BAND_ROWS = 1000  # a length band of fewer rows does not resolve the quantile; all of the language's count then
 LEAST_SPREAD = 0.5  # nats times root characters; a few equal training texts must not reject all others
 _U = np.uint64
 _GAP = 32
 _HELD = 1 << 18  # n-grams a task gathers before it passes partial counts on
-_MASKS = {n: _U(2 ** (16 * n) - 1) for n in range(1, ORDER + 1)}
+_HASHES = 1 << 32  # part of an n-gram by 32 bits of its hash
 
 
 def _symbol(c: int) -> int:
@@ -85,11 +89,11 @@ def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
 
 
 def count_ngrams(training: DataFrame) -> DataFrame:
-    """(lang, gram, c) over all rows of (lang, text)."""
+    """(lang, gram, c) over all rows of (lang, text); a null lang is a group like the others."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: dict[str, list[np.ndarray]] = {}
-        counted: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        waiting: dict[str | None, list[np.ndarray]] = {}
+        counted: dict[str | None, tuple[np.ndarray, np.ndarray]] = {}
         size = 0
 
         def settle() -> None:
@@ -103,7 +107,7 @@ def count_ngrams(training: DataFrame) -> DataFrame:
 
         def out() -> Iterator[pa.RecordBatch]:
             for lang, (keys, counts) in counted.items():
-                yield pa.record_batch([pa.array([lang] * len(keys)), pa.array(keys.view(np.int64)), pa.array(counts, pa.int64())], names=["lang", "gram", "c"])
+                yield pa.record_batch([pa.array([lang] * len(keys), pa.string()), pa.array(keys.view(np.int64)), pa.array(counts, pa.int64())], names=["lang", "gram", "c"])
             counted.clear()
 
         for batch in batches:
@@ -126,119 +130,140 @@ def count_ngrams(training: DataFrame) -> DataFrame:
     return counts.groupBy("lang", "gram").agg(F.sum("c").alias("c"))
 
 
+def _suffix(gram: Column, n: int) -> Column:
+    """The last ``n`` symbols."""
+    return gram.bitwiseAND(F.lit(2 ** (16 * n) - 1)) if n else F.lit(0).cast("long")
+
+
+def _context(gram: Column) -> Column:
+    """All but the last symbol."""
+    return F.shiftrightunsigned(gram, 16)
+
+
+def _levels(counts: DataFrame, langs: list[str]) -> dict[int, DataFrame]:
+    """By order: (gram, s0.., c0..), occurrences and Kneser-Ney counts by language; null where a language lacks it.
+
+    Shorter n-grams count their distinct left neighbours. Those at a word's start have one only,
+    the gap, so their occurrences count.
+    """
+    span = range(len(langs))
+    whole = counts.groupBy("gram").agg(*[F.sum(F.when(F.col("lang") == lang, F.col("c"))).alias(f"s{i}") for i, lang in enumerate(langs)])
+    levels = {ORDER: store(whole.select("gram", *[f"s{i}" for i in span], *[F.col(f"s{i}").alias(f"c{i}") for i in span]), f"order-{ORDER}")}
+    for n in range(ORDER - 1, 0, -1):
+        gram = F.col("gram")
+        starts = F.shiftrightunsigned(gram, 16 * (n - 1)) == _GAP if n > 1 else F.lit(False)
+        sums = [F.sum(f"s{i}").alias(f"s{i}") for i in span] + [F.count(f"s{i}").alias(f"k{i}") for i in span]
+        shorter = levels[n + 1].groupBy(_suffix(gram, n).alias("gram")).agg(*sums)
+        kept = [F.when(starts | F.col(f"s{i}").isNull(), F.col(f"s{i}")).otherwise(F.col(f"k{i}")).alias(f"c{i}") for i in span]
+        levels[n] = store(shorter.select("gram", *[f"s{i}" for i in span], *kept), f"order-{n}")
+    return levels
+
+
+def _discounts(level: DataFrame, k: int) -> list[float]:
+    """Absolute discount of each language from its n-grams of counts 1 and 2, all of them."""
+    ones = [F.count_if(F.col(f"c{i}") == c).alias(f"n{c}_{i}") for i in range(k) for c in (1, 2)]
+    got = level.agg(*ones).first()
+    share = [(got[f"n1_{i}"], got[f"n2_{i}"]) for i in range(k)]
+    return [min(max(one / (one + 2 * two) if one else 0.5, 0.1), 0.95) for one, two in share]
+
+
 @dataclass
-class _Order:
-    keys: np.ndarray
-    base: np.ndarray
-    contexts: np.ndarray
-    back: np.ndarray
-
-
-def _find(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    at = np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)
-    return at, sorted_keys[at] == keys
-
-
-class Model:
-    """Kneser-Ney models of all languages in sorted hash arrays."""
-
-    def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]]):
-        self.langs = sorted(counts)
-        self.alphabet = 1 + len(np.unique(np.concatenate([np.unique(k & _MASKS[1]) for k, _ in counts.values()])))
-        self.orders = [self._fit(*counts[lang]) for lang in self.langs]
-        grams = np.unique(np.concatenate([k for k, _ in counts.values()]))
-        hashed = mix(grams)
-        order = np.argsort(hashed)
-        self.hashed = hashed[order]
-        logs = np.stack([np.log(self._probability(i, ORDER, grams)) for i in range(len(self.langs))], axis=1)
-        self.logs = logs[order].astype(np.float32)
-
-    def _fit(self, keys: np.ndarray, counts: np.ndarray) -> dict[int, _Order]:
-        fitted, raw = {}, (keys, counts.astype(np.float64))
-        types = raw
-        for n in range(ORDER, 0, -1):
-            grams, c = types
-            n1, n2 = int((c == 1).sum()), int((c == 2).sum())
-            d = min(max(n1 / (n1 + 2 * n2) if n1 else 0.5, 0.1), 0.95)
-            contexts, at = np.unique(grams >> _U(16), return_inverse=True)
-            # a context is told from a shorter one by its order, and the fields stay sorted by hash
-            total, kinds = np.bincount(at, c), np.bincount(at)
-            base = (c - d) / total[at]
-            hg, hc = mix(grams), mix(contexts)
-            og, oc = np.argsort(hg), np.argsort(hc)
-            fitted[n] = _Order(hg[og], base[og], hc[oc], (d * kinds / total)[oc])
-            if n > 1:
-                lower, at = np.unique(grams & _MASKS[n - 1], return_inverse=True)
-                distinct = np.bincount(at).astype(np.float64)
-                low_raw, at_raw = np.unique(raw[0] & _MASKS[n - 1], return_inverse=True)
-                seen = np.bincount(at_raw, raw[1])
-                # n-grams at a word's start have one left neighbour only: their own counts
-                starts = (lower >> _U(16 * (n - 2))) == _U(_GAP) if n > 2 else np.zeros(len(lower), bool)
-                types = lower, np.where(starts, seen[np.searchsorted(low_raw, lower)], distinct)
-        return fitted
-
-    def _probability(self, i: int, n: int, keys: np.ndarray) -> np.ndarray:
-        if n == 0:
-            return np.full(len(keys), 1.0 / self.alphabet)
-        o = self.orders[i][n]
-        at, hit = _find(o.keys, mix(keys))
-        up = np.where(hit, o.base[at], 0.0)
-        at, hit = _find(o.contexts, mix(keys >> _U(16)))
-        back = np.where(hit, o.back[at], 1.0)
-        return up + back * self._probability(i, n - 1, keys & _MASKS[n - 1] if n > 1 else keys)
-
-    def log_probabilities(self, grams: np.ndarray) -> np.ndarray:
-        """One row per n-gram, one column per language."""
-        at, hit = _find(self.hashed, mix(grams))
-        out = self.logs[at].astype(np.float64)
-        miss = np.flatnonzero(~hit)
-        if len(miss):
-            rare, back = np.unique(grams[miss], return_inverse=True)
-            logs = np.stack([np.log(self._probability(i, ORDER, rare)) for i in range(len(self.langs))], axis=1)
-            out[miss] = logs[back]
-        return out
+class Models:
+    """Languages, and (gram, h, l0..): scaled logarithms of every n-gram of the documents under each of them."""
 
+    langs: list[str]
+    table: DataFrame
+    grams: int
 
-def fit(training: DataFrame, max_ngrams: int = MAX_NGRAMS) -> Model | None:
-    """Count all rows of (lang, text), keep the most frequent n-grams, and fit. None without rows."""
-    counts = store(count_ngrams(training.filter("lang IS NOT NULL AND text IS NOT NULL")), "ngrams")
-    # counts by eighth of a power of two: a few hundred rows whatever the input
-    step = F.floor(F.log2("c") * 8).cast("int")
-    spread = sorted(counts.groupBy(step.alias("step")).count().collect(), reverse=True)
-    if not spread:
-        return None
-    least, total = spread[0].step, 0
-    for row in spread:
-        total += row["count"]
-        if total > max_ngrams:
-            break
-        least = row.step
-    got = counts.filter(step >= least).limit(2 * max_ngrams).toPandas()
-    by = {lang: rows.sort_values("gram") for lang, rows in got.groupby("lang")}
-    return Model({lang: (r.gram.to_numpy().view(_U), r.c.to_numpy()) for lang, r in by.items()})
 
+def fit(docs: DataFrame) -> Models | None:
+    """Models learnt from all rows of (lang, text) with both set, for the n-grams of all rows. None if nothing is learnt.
 
-def cross_entropies(docs: DataFrame, model: Model) -> DataFrame:
-    """Adds (size, xent) to (doc_id, held_out, lang, text): characters scored and nats a character by language."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    Rows without a language teach nothing; their n-grams only get probabilities. Every n-gram of
+    every language stays. What is collected are labels and two counts per language and order.
+    """
+    counts = store(count_ngrams(docs.filter("text IS NOT NULL")), "ngrams")
+    langs = sorted(r.lang for r in counts.filter("lang IS NOT NULL").select("lang").distinct().collect())
+    if not langs:
+        return None
+    k, gram = len(langs), F.col("gram")
+    levels = _levels(counts, langs)
+    learnt = reduce(lambda a, b: a | b, [F.col(f"c{i}").isNotNull() for i in range(k)])
+    alphabet = 1 + levels[1].filter(learnt).count()
+    lower = docs.sparkSession.range(1).select(F.lit(0).cast("long").alias("_suffix"), *[F.lit(1.0 / alphabet).alias(f"q{i}") for i in range(k)])
+    for n in range(1, ORDER + 1):
+        d = _discounts(levels[n], k)
+        totals = [F.sum(f"c{i}").alias(f"t{i}") for i in range(k)] + [F.count(f"c{i}").alias(f"k{i}") for i in range(k)]
+        contexts = levels[n].groupBy(_context(gram).alias("_context")).agg(*totals)
+        own = levels[n].select("gram", _context(gram).alias("_context"), _suffix(gram, n - 1).alias("_suffix"), *[f"c{i}" for i in range(k)])
+        met = own.join(contexts, "_context").join(lower, "_suffix")
+        parts = [(F.col(f"c{i}"), F.col(f"t{i}"), F.col(f"k{i}"), F.col(f"q{i}")) for i in range(k)]
+        mixed = [F.when(t.isNull(), q).otherwise(F.coalesce(c - d[i], F.lit(0.0)) / t + d[i] * kinds / t * q) for i, (c, t, kinds, q) in enumerate(parts)]
+        if n < ORDER:
+            lower = store(met.select(gram.alias("_suffix"), *[p.alias(f"q{i}") for i, p in enumerate(mixed)]), f"probabilities-{n}")
+    logs = [F.round(F.log(p) * SCALE).cast("int").alias(f"l{i}") for i, p in enumerate(mixed)]
+    table = store(met.select("gram", F.pmod(F.xxhash64("gram"), F.lit(_HASHES)).alias("h"), *logs).sortWithinPartitions("h"), "models")
+    return Models(langs, table, table.count())
+
+
+def _part(models: Models, part: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted hash array of one part, and its rows of logarithms."""
+    inside = (F.col("h") >= part * _HASHES // parts) & (F.col("h") < (part + 1) * _HASHES // parts)
+    got = models.table.filter(inside).drop("h").toArrow()
+    hashed = mix(got.column("gram").to_numpy().view(_U))
+    order = np.argsort(hashed)
+    logs = [got.column(f"l{i}").to_numpy().astype(np.int32) for i in range(len(models.langs))]
+    return hashed[order], np.stack(logs, axis=1)[order]
+
+
+_OUT = "row long, doc_id long, held_out boolean, lang string, size long, sums array<long>"
+
+
+def _sums(docs: DataFrame, models: Models, part: int, parts: int) -> DataFrame:
+    """(row, doc_id, held_out, lang, size, sums): characters, and sums of logarithms of the part's n-grams by language."""
+    shared, k = docs.sparkSession.sparkContext.broadcast(_part(models, part, parts)), len(models.langs)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        k = len(model.langs)
+        hashed, logs = shared.value
         for batch in batches:
-            for part in slices(batch.column("text")):
-                grams, bounds = ngrams(part)
+            for piece in slices(batch.column("text")):
+                grams, bounds = ngrams(piece)
                 size = np.diff(bounds)
-                sums = np.zeros((len(size), k))
+                sums = np.zeros((len(size), k), np.int64)
                 full = np.flatnonzero(size)
-                if len(full):
-                    sums[full] = np.add.reduceat(model.log_probabilities(grams), bounds[full], axis=0)
-                xent = -sums / np.maximum(size, 1)[:, None]
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(size) + 1, dtype=np.int32) * k), pa.array(xent.ravel()))
-                own = batch.slice(part.lo, part.hi - part.lo)
-                yield pa.record_batch([own.column("doc_id"), own.column("held_out"), own.column("lang"), pa.array(size, pa.int64()), lists], names=["doc_id", "held_out", "lang", "size", "xent"])
-
-    return arrow_rows(docs.select("doc_id", "held_out", "lang", "text"), rows, "doc_id long, held_out boolean, lang string, size long, xent array<double>")
+                if len(full) and len(hashed):
+                    wanted = mix(grams)
+                    at = np.minimum(np.searchsorted(hashed, wanted), len(hashed) - 1)
+                    found = logs[at]
+                    if parts > 1:
+                        found = np.where((hashed[at] == wanted)[:, None], found, 0)
+                    sums[full] = np.add.reduceat(found, bounds[full], axis=0, dtype=np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(size) + 1, dtype=np.int32) * k), pa.array(sums.ravel()))
+                own = batch.slice(piece.lo, piece.hi - piece.lo)
+                kept = [own.column(name) for name in ("row", "doc_id", "held_out", "lang")]
+                yield pa.record_batch([*kept, pa.array(size, pa.int64()), lists], names=["row", "doc_id", "held_out", "lang", "size", "sums"])
+
+    return arrow_rows(docs.select("row", "doc_id", "held_out", "lang", "text"), rows, _OUT)
+
+
+def cross_entropies(docs: DataFrame, models: Models, part_values: int = PART_VALUES) -> DataFrame:
+    """(doc_id, held_out, lang, size, xent): characters scored and nats a character by language.
+
+    One pass over the texts for each part of the models; with several parts rows are numbered in a
+    stored table first, and the passes' sums are added up.
+    """
+    k = len(models.langs)
+    parts = max(1, -(-models.grams * k // part_values))
+    if parts == 1:
+        summed = _sums(docs.withColumn("row", F.lit(0).cast("long")), models, 0, 1)
+    else:
+        numbered = store(docs.withColumn("row", F.monotonically_increasing_id()), "numbered")
+        passes = [store(_sums(numbered, models, part, parts), f"part-{part}") for part in range(parts)]
+        added = F.array(*[F.sum(F.col("sums")[i]) for i in range(k)]).alias("sums")
+        first = [F.first(name).alias(name) for name in ("doc_id", "held_out", "lang", "size")]
+        summed = reduce(DataFrame.unionByName, passes).groupBy("row").agg(*first, added)
+    per = F.lit(float(SCALE)) * F.greatest("size", F.lit(1))
+    return summed.select("doc_id", "held_out", "lang", "size", F.transform("sums", lambda x: -x / per).alias("xent"))
 
 
 def _posterior(xent: Column, size: Column, temperature: float) -> Column:
@@ -248,7 +273,7 @@ def _posterior(xent: Column, size: Column, temperature: float) -> Column:
     return 1.0 / total
 
 
-def identify(docs: DataFrame, training: Column | None = None, max_ngrams: int = MAX_NGRAMS, reject_margin: float = REJECT_MARGIN) -> DataFrame:
+def identify(docs: DataFrame, training: Column | None = None, part_values: int = PART_VALUES, reject_margin: float = REJECT_MARGIN) -> DataFrame:
     """(doc_id, held_out, lang_pred, score, accepted) of every row of (doc_id, text, lang).
 
     The models learn from ``text`` and ``lang`` of rows where ``training`` holds and ``lang`` is set; by
@@ -256,17 +281,18 @@ def identify(docs: DataFrame, training: Column | None = None, max_ngrams: int =
     doc_id is neither). A prediction sees the text only. Texts that are null or hold no letter get
     ``und`` with score 0, as do all texts if there is nothing to learn from. Ties go to the
     language that sorts first. ``accepted`` is false for ``und`` and for texts whose cross-entropy lies
-    more spreads above the usual one of their language than nearly all training rows of that language and
-    length (by powers of two) do, and ``reject_margin`` beyond that. Repeated rows stay rows; other
+    more spreads above the usual one of their language than nearly all training rows of that language, and
+    of that language and length (by powers of two), do, and ``reject_margin`` beyond that.
+    ``part_values`` bounds what one pass over the texts carries and changes no result. Repeated rows stay rows; other
     columns are not read.
     """
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", held.alias("held_out"))
     learn = F.col("doc_id").isNotNull() & ~F.col("held_out") if training is None else training
-    model = fit(docs.filter(learn).select("lang", "text"), max_ngrams)
+    model = fit(docs.select(F.when(learn, F.col("lang")).alias("lang"), "text"))
     if model is None:
         return docs.select("doc_id", "held_out", F.lit(NONE).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(False).alias("accepted"))
-    scored = store(cross_entropies(docs, model), "cross-entropies")
+    scored = store(cross_entropies(docs, model, part_values), "cross-entropies")
     langs = F.array(*[F.lit(x) for x in model.langs])
     xent, size = F.col("xent"), F.col("size")
     best = F.array_min("xent")
@@ -289,9 +315,9 @@ def identify(docs: DataFrame, training: Column | None = None, max_ngrams: int =
     # one aggregate over the training rows that are recognised: by language and length, and by language
     band = F.floor(F.log2(F.greatest(size, F.lit(1)))).cast("int")
     spans = learnt.filter(pred == F.col("lang")).select("lang", band.alias("band"), z.alias("z")).rollup("lang", "band")
-    high = spans.agg(F.percentile_approx("z", REJECT_QUANTILE, 10000).alias("q"), F.count("*").alias("n")).filter("lang IS NOT NULL").collect()
+    high = spans.agg(F.percentile_approx("z", REJECT_QUANTILE, 10000).alias("q")).filter("lang IS NOT NULL").collect()
     overall = {r.lang: r.q for r in high if r.band is None}
-    limits = {(r.lang, r.band): r.q if r.n >= BAND_ROWS else max(r.q, overall[r.lang]) for r in high if r.band is not None}
+    limits = {(r.lang, r.band): max(r.q, overall[r.lang]) for r in high if r.band is not None}
     per = F.lit(None).cast("double")
     for lang in model.langs:
         own = F.lit(overall.get(lang, 1e9))

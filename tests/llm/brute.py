@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections import Counter, defaultdict
 
@@ -117,3 +118,45 @@ def leaks(docs: list[tuple[int, str]], items: list[tuple[int, str]], n: int = 3,
                 if score >= least:
                     out[i, k] = score
     return out
+
+
+def language_entropies(training: list[tuple[str, str]], texts: list[str], order: int = 4) -> list[dict[str, float]]:
+    """Nats a character of each text under interpolated Kneser-Ney models of each language."""
+
+    def grams(text: str) -> list[str]:
+        out, run = [], " "
+        for ch in re.sub(r"[\W\d_]+", " ", text.lower()).strip() + " ":
+            run = (run + ch)[-order:]
+            out.append(run.rjust(order))
+            run = " " if ch == " " else run
+        return out if text.strip() else []
+
+    langs = sorted({lang for lang, _ in training})
+    levels = {}
+    for lang in langs:
+        raw = Counter(g for other, t in training if other == lang for g in grams(t))
+        types = raw
+        for n in range(order, 0, -1):
+            ones, twos = sum(c == 1 for c in types.values()), sum(c == 2 for c in types.values())
+            d = min(max(ones / (ones + 2 * twos) if ones else 0.5, 0.1), 0.95)
+            total, kinds = Counter(), Counter()
+            for g, c in types.items():
+                total[g[:-1]] += c
+                kinds[g[:-1]] += 1
+            levels[lang, n] = types, d, total, kinds
+            left, seen = Counter(g[1:] for g in types), Counter()
+            for g, c in raw.items():
+                seen[g[order - n + 1 :]] += c
+            types = {g: seen[g] if n - 1 > 1 and g[0] == " " else c for g, c in left.items()}
+    alphabet = 1 + len({g for lang in langs for g in levels[lang, 1][0]})
+
+    def probability(lang: str, g: str) -> float:
+        if not g:
+            return 1 / alphabet
+        types, d, total, kinds = levels[lang, len(g)]
+        low = probability(lang, g[1:])
+        if not total[g[:-1]]:
+            return low
+        return max(types.get(g, 0) - d, 0) / total[g[:-1]] + d * kinds[g[:-1]] / total[g[:-1]] * low
+
+    return [{lang: -sum(math.log(probability(lang, g)) for g in grams(t)) / max(len(grams(t)), 1) for lang in langs} for t in texts]

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from embedmap.llm import bpe, licenses, secrets
+from embedmap.llm import bpe, lang_id, licenses, secrets
 from embedmap.llm.lang_id import identify
 from embedmap.llm.line_dedup import drop_boilerplate
 from embedmap.llm.near_dup import least_overlap, near_duplicates
@@ -354,6 +354,41 @@ def test_language_edges(spark):
     assert {r.lang_pred for r in unlearnt.collect()} == {"und"}
 
 
+def test_language_models_equal_brute_force(spark):
+    """Cross-entropies of learnt and unseen texts, in one part and in many."""
+    training = [("en", "the house and the garden, the end"), ("en", "there are other houses here"), ("de", "das haus und der garten"), ("de", "dort sind die anderen häuser dort"), ("fr", "la maison et le jardin")]
+    texts = [t for _, t in training] + ["garden und jardin", "xyz", "жук", "a", "the the the"]
+    rows = [(i, t, training[i][0] if i < len(training) else None, False) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, held_out boolean")
+    models = lang_id.fit(docs.select("lang", "text"))
+    want = brute.language_entropies(training, texts)
+    one = {r.doc_id: r.xent for r in lang_id.cross_entropies(docs, models).collect()}
+    many = {r.doc_id: r.xent for r in lang_id.cross_entropies(docs.repartition(5), models, part_values=60).collect()}
+    assert one == many and models.langs == ["de", "en", "fr"]
+    for i, per in enumerate(want):
+        assert one[i] == pytest.approx([per[x] for x in models.langs], abs=1e-5)
+
+
+def test_language_of_few_rows_stays_beside_a_large_one(spark):
+    """50 rows of one language beside one whose words hold over 100,000 different n-grams."""
+    rng = np.random.default_rng(4)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyzäöüåøæñçéèêë"))
+    many = [" ".join("".join(letters[rng.integers(0, len(letters), 7)]) for _ in range(80)) for _ in range(500)]
+    few = ["talu mesi ora kivu pola " * int(n) for n in rng.integers(2, 6, 50)]
+    rows = [(i, t, "big") for i, t in enumerate(many)] + [(1000 + i, t, "few") for i, t in enumerate(few)] + [(2000, "kivu mesi talu", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert lang_id.fit(docs.select("lang", "text")).grams > 100_000
+    got = {r.doc_id: (r.lang_pred, r.score) for r in identify(docs).collect()}
+    assert got[2000][0] == "few" and all(got[i][0] == lang for i, _, lang in rows if lang)
+    assert got == {r.doc_id: (r.lang_pred, r.score) for r in identify(docs.repartition(7), part_values=100_000).collect()}
+
+
+def test_language_ties_go_to_the_first(spark):
+    rows = [(i, "same words in both", ("b", "a")[i % 2]) for i in range(40)]
+    got = identify(spark.createDataFrame(rows, "doc_id long, text string, lang string"), training=F.lit(True)).collect()
+    assert {r.lang_pred for r in got} == {"a"} and {round(r.score, 6) for r in got} == {0.5}
+
+
 def test_language_ignores_label_and_source(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
