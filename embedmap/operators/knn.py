@@ -122,7 +122,7 @@ def _visits(rows: DataFrame, pivots: np.ndarray, radius: np.ndarray, nearest: np
     return rows.mapInArrow(run, "cell int, ls_index long, v array<double>")
 
 
-def _parts(counts: dict[int, int], cells: int) -> Column:
+def block_parts(counts: dict[int, int], cells: int) -> Column:
     """Number of blocks of the row's cell."""
     parts = [max(1, math.ceil(counts.get(c, 0) / BLOCK_ROWS)) for c in range(cells)]
     return F.element_at(F.lit(np.array(parts, dtype=np.int64)), F.col("cell") + 1)
@@ -137,11 +137,11 @@ def match_blocks(
     BLOCK_ROWS; a left block is sent to each right block of its cell, so work spreads by (cell, right
     block) and not by cell alone.
     """
-    home = F.pmod(F.xxhash64("ls_index"), _parts(left_counts, cells)).alias("home")
+    home = F.pmod(F.xxhash64("ls_index"), block_parts(left_counts, cells)).alias("home")
     lblocks = left.groupBy("cell", home).agg(F.collect_list(F.struct("ls_index", "v")).alias("left"))
-    last = (_parts(right_counts, cells) - 1).cast("long")
+    last = (block_parts(right_counts, cells) - 1).cast("long")
     lblocks = lblocks.select("cell", "left", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("part"))
-    part = F.pmod(F.xxhash64("ids"), _parts(right_counts, cells)).alias("part")
+    part = F.pmod(F.xxhash64("ids"), block_parts(right_counts, cells)).alias("part")
     rblocks = right.groupBy("cell", part).agg(F.collect_list(F.struct("ids", "v")).alias("right"))
     found = _match(lblocks.join(rblocks, ["cell", "part"]).select("left", "right"), k, cosine)
     return top_per_group(found, ["ls_index"], ["distance", "neighbor"], k)

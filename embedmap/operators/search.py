@@ -164,10 +164,14 @@ class IvfIndex:
     sizes: np.ndarray
 
 
+def with_direction(vectors: DataFrame) -> DataFrame:
+    """Rows whose vector is neither null nor zero."""
+    return vectors.filter(F.col("vector").isNotNull() & F.exists("vector", lambda x: x != 0))
+
+
 def _unit(vectors: DataFrame) -> DataFrame:
     """Rows with a direction, and their unit vectors as ``features``."""
-    good = F.col("vector").isNotNull() & F.exists("vector", lambda x: x != 0)
-    return vectors.filter(good).select("ls_index", "vector", array_to_vector(l2_normalize("vector")).alias("features"))
+    return with_direction(vectors).select("ls_index", "vector", array_to_vector(l2_normalize("vector")).alias("features"))
 
 
 def _place(vectors: DataFrame, centers: np.ndarray, path: str) -> None:
@@ -217,12 +221,8 @@ def ivf_append(index: IvfIndex, vectors: DataFrame) -> IvfIndex:
     return ivf_open(vectors.sparkSession, index.path)
 
 
-def ivf_search(queries: DataFrame, index: IvfIndex, limit: int, nprobe: int = 8) -> DataFrame:
-    """Approximate search: exact distances, but only in the cells nearest each query.
-
-    At least ``nprobe`` cells are probed, and more until they hold ``limit`` rows. Zero queries find
-    nothing. Query and cell meet by a join in blocks of bounded size, whatever the number of queries.
-    """
+def probe_cells(queries: DataFrame, index: IvfIndex, limit: int, nprobe: int) -> tuple[DataFrame, dict[int, int]]:
+    """Stored (cell, ls_index, v): each query's nearest cells, ``nprobe`` and more until they hold ``limit`` rows; queries by cell."""
     spark, centers, sizes = queries.sparkSession, index.centers, index.sizes
     shared = spark.sparkContext.broadcast((centers, sizes))
 
@@ -243,12 +243,21 @@ def ivf_search(queries: DataFrame, index: IvfIndex, limit: int, nprobe: int = 8)
                 [pa.array(order[at, place].astype(np.int32)), b.column("query").take(pa.array(rows[at])), flat], names=["cell", "ls_index", "v"]
             )
 
-    asked = queries.select(F.col("query").cast("long"), F.col("vector").cast("array<double>").alias("vector"))
+    asked = queries.filter("vector IS NOT NULL").select(F.col("query").cast("long"), F.col("vector").cast("array<double>").alias("vector"))
     asked = store(asked.mapInArrow(probes, "cell int, ls_index long, v array<double>"), "ivf-probes")
-    counts = {r["cell"]: r["count"] for r in asked.groupBy("cell").count().collect()}
+    return asked, {r["cell"]: r["count"] for r in asked.groupBy("cell").count().collect()}
+
+
+def ivf_search(queries: DataFrame, index: IvfIndex, limit: int, nprobe: int = 8) -> DataFrame:
+    """Approximate search: exact distances, but only in the cells nearest each query.
+
+    At least ``nprobe`` cells are probed, and more until they hold ``limit`` rows. Null and zero queries
+    find nothing. Query and cell meet by a join in blocks of bounded size, whatever the number of queries.
+    """
+    asked, counts = probe_cells(queries, index, limit, nprobe)
     probed = index.cells.filter(F.col("cell").isin(list(counts)))
     right = probed.select("cell", F.array(F.col("ls_index").cast("long")).alias("ids"), l2_normalize("vector").alias("v"))
-    return match_blocks(asked, counts, right, dict(enumerate(sizes.tolist())), len(centers), limit, True).withColumnsRenamed(
+    return match_blocks(asked, counts, right, dict(enumerate(index.sizes.tolist())), len(index.centers), limit, True).withColumnsRenamed(
         {"ls_index": "query", "neighbor": "ls_index"}
     )
 

@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 from embedmap.functions import vectors as V
 from embedmap.operators import features as FE
 from embedmap.operators import knn as K
+from embedmap.operators import quantized as PQ
 from embedmap.operators import search as SR
 from embedmap.operators import sets as SE
 from embedmap.plans import fixtures as X
 from embedmap.plans.fixtures import r6, with_features, with_map, with_tokens, with_vectors
 from embedmap.plans.registry import query
+from embedmap.session import store
 
 
 def _vec(spark, sf):
@@ -183,6 +185,32 @@ def vec9(spark, sf):
     return r6(SR.ivf_search(_asks(spark, sf), index, 10, nprobe=16), "distance")
 
 
+def _pq(spark, sf, v):
+    """Codes of 16 bytes in 16 cells, of which a query probes 12."""
+    return PQ.pq_search(_asks(spark, sf), PQ.pq_build(v, nlist=16), 10, nprobe=12)
+
+
+@query("vec9_pq_search")
+def vec9_pq(spark, sf):
+    return r6(_pq(spark, sf, _vec(spark, sf)), "distance")
+
+
+# every query has its 10 rows, and at least 0.9 of the rows are no farther than the exact tenth
+@query(
+    "vec9_pq_recall",
+    f"WITH {X.VECTORS_SQL}, {BATCH} SELECT count(*) AS entries, round(avg(d), 5)+0.0 AS exact_mean, true AS found FROM found",
+)
+def vec9_pq_recall(spark, sf):
+    v = store(_vec(spark, sf), "vectors")
+    exact = store(SR.batch_search(_asks(spark, sf), v, 10), "exact")
+    ends = exact.groupBy("query").agg(F.max("distance").alias("end"))
+    hits = _pq(spark, sf, v).join(ends, "query").agg(F.count_if(F.col("distance") <= F.col("end") + 1e-6).alias("hits"), F.count("*").alias("rows"))
+    whole = exact.agg(F.count("*").alias("entries"), (F.round(F.avg("distance"), 5) + 0.0).alias("exact_mean"))
+    # one row each
+    both = (F.col("rows") == F.col("entries")) & (F.col("hits") >= 0.9 * F.col("entries"))
+    return whole.join(hits).select("entries", "exact_mean", both.alias("found"))
+
+
 @query(
     "vec10_search_quality",
     f"""WITH {X.VECTORS_SQL}, {BATCH} SELECT query, count(*) FILTER (WHERE a.label = b.label) AS hits, count(*) AS "of",
