@@ -12,6 +12,7 @@ from embedmap.plans.mapping import HULL, PLACE_SQL
 from embedmap.plans.registry import query
 from embedmap.session import scratch_path
 from embedmap.streaming import append as ST
+from embedmap.streaming import batches as BT
 
 
 def _scope(spark, sf):
@@ -129,6 +130,21 @@ def str2(spark, sf):
     return spark.read.parquet(path).select("ls_index", F.col("vector")[0].cast("long").alias("total"))
 
 
+@query("str2_stream_batches", "SELECT doc_id AS ls_index, CAST(length(text) AS BIGINT) AS total FROM documents")
+def str2_batches(spark, sf):
+    path = scratch_path(spark, "stream-batches")
+
+    def lengths(batch):
+        return batch.select(F.col("ls_index").cast("long"), F.length("text").cast("long").alias("total"))
+
+    # half is stored before, with ids all over the table, and the stream is run twice
+    BT.append_batch(X.documents(spark, sf).filter("lang IN ('en', 'fr')"), lengths, path)
+    for again in ("a", "b"):
+        source = _stream(spark, sf, "documents").withColumnRenamed("doc_id", "ls_index")
+        BT.stream_batches(source, lengths, path, scratch_path(spark, f"offsets-{again}")).awaitTermination()
+    return BT.read_batches(spark, path)
+
+
 @query(
     "str3_stream_place",
     f"WITH {X.MAP_SQL}, {PLACE_SQL} SELECT ls_index, round(x,6)+0.0 AS x, round(y,6)+0.0 AS y FROM placed",

@@ -9,12 +9,14 @@ from embedmap.functions.common import rounded
 from embedmap.operators import aggregates as A
 from embedmap.operators import filters as FL
 from embedmap.operators import joins as J
+from embedmap.operators import pages as PG
 from embedmap.operators import profile as PR
 from embedmap.operators import ranking as R
 from embedmap.operators import sets as SE
 from embedmap.plans import fixtures as X
 from embedmap.plans.fixtures import r6, with_map, with_scope, with_tags, with_vectors
 from embedmap.plans.registry import query
+from embedmap.session import scratch_path
 
 # --- grid and colour functions ------------------------------------------------------------
 
@@ -483,6 +485,19 @@ def srt2_count(spark, sf):
     return R.page_count(X.documents(spark, sf), 100)
 
 
+@query(
+    "srt2_deep_page",
+    """SELECT doc_id AS ls_index, n_chars FROM documents ORDER BY n_chars DESC, doc_id
+       LIMIT 50 OFFSET (SELECT 50 * CAST(greatest(ceil(count(*)/50.0) - 1, 0) AS BIGINT) FROM documents)""",
+)
+def srt2_deep(spark, sf):
+    # the last page, by the directory
+    rows = X.documents(spark, sf).select("ls_index", "n_chars")
+    pages = PG.build_pages(rows, [F.col("n_chars").desc(), "ls_index"], scratch_path(spark, "pages"), range_rows=200)
+    last = max(PG.count_pages(spark, pages, 50).first()["total_pages"] - 1, 0)
+    return PG.read_page(spark, pages, last, 50)
+
+
 @query(
     "srt3_table_page",
     with_scope("SELECT ls_index, label FROM scope WHERE NOT deleted AND cluster = 1 ORDER BY ls_index LIMIT 20 OFFSET 20"),
