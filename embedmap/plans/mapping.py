@@ -7,13 +7,17 @@ from functools import partial
 from pyspark.sql import functions as F
 
 from embedmap.functions.vectors import l2_normalize
+from embedmap.operators import aligned as AL
 from embedmap.operators import cluster as C
 from embedmap.operators import evaluate as E
+from embedmap.operators import farfield as FF
 from embedmap.operators import layout as LY
 from embedmap.operators import project as P
+from embedmap.operators import sparse_svd as SV
 from embedmap.plans import fixtures as X
 from embedmap.plans.fixtures import r6, with_features, with_map, with_scope, with_vectors
 from embedmap.plans.registry import query
+from embedmap.session import store
 
 # --- projection and frames ----------------------------------------------------------------
 
@@ -87,6 +91,30 @@ def prj3_frame(spark, sf):
     return _frame(P.project_features(X.features(spark, sf), 64, 256), "x", "y")
 
 
+@query("prj3_sparse_map")
+def prj3_sparse(spark, sf):
+    return SV.sparse_feature_map(X.features(spark, sf), 64)
+
+
+# leading vectors are orthonormal, keep their direction under the covariance, and hold no more than the whole
+@query(
+    "prj3_sparse_vectors",
+    with_features("""SELECT count(DISTINCT feature_id) AS features, CAST(count(*) AS BIGINT) AS entries, round(sum(act*act), 4)+0.0 AS weight, true AS unit, true AS steady
+        FROM (SELECT feature_id, act / sqrt(sum(act*act) OVER (PARTITION BY feature_id)) AS act FROM feat WHERE act > 0)"""),
+)
+def prj3_vectors(spark, sf):
+    entries = SV.unit_entries(X.features(spark, sf), 64)
+    vectors, values = SV.sparse_svd(entries, 2)
+    v = store(vectors.select("feature_id", *[F.col("q")[j].alias(f"q{j}") for j in range(2)]), "vectors")
+    across = entries.join(v, "feature_id").groupBy("ls_index").agg(*[F.sum(F.col("act") * F.col(f"q{j}")).alias(f"b{j}") for j in range(2)])
+    back = entries.join(across, "ls_index").groupBy("feature_id").agg(*[F.sum(F.col("act") * F.col(f"b{j}")).alias(f"c{j}") for j in range(2)])
+    moved = [F.max(F.abs(F.col(f"c{j}") - F.lit(values[j] ** 2) * F.col(f"q{j}"))) <= 1e-2 * values[j] ** 2 for j in range(2)]
+    norms = [F.abs(F.sum(F.col(f"q{j}") ** 2) - 1) < 1e-6 for j in range(2)] + [F.abs(F.sum(F.col("q0") * F.col("q1"))) < 1e-6]
+    checks = back.join(v, "feature_id").agg((norms[0] & norms[1] & norms[2]).alias("unit"), (moved[0] & moved[1]).alias("steady"))
+    whole = entries.agg(F.count_distinct("feature_id").alias("features"), F.count("*").alias("entries"), (F.round(F.sum(F.col("act") ** 2), 4) + 0.0).alias("weight"))
+    return whole.join(checks)
+
+
 @query("prj4_normalize_frame", with_map("SELECT ls_index, round(x,6)+0.0 AS x, round(y,6)+0.0 AS y, round(z,6)+0.0 AS z FROM map1"))
 def prj4(spark, sf):
     return r6(X.first_map(spark, sf), "x", "y", "z")
@@ -162,6 +190,19 @@ def prj9(spark, sf):
     return r6(P.align_layouts([X.second_map(spark, sf), one, turned]), "x", "y")
 
 
+# three windows of half of the dimensions, each overlapping the one before; every row has a place in each
+@query(
+    "prj9_joint_layouts",
+    """SELECT w::INT AS "window", (SELECT count(*) FROM embeddings) AS rows, true AS inside FROM range(3) t(w)""",
+)
+def prj9_joint(spark, sf):
+    v = X.vectors(spark, sf)
+    parts = [v.select("ls_index", F.slice("e", at, 32).alias("vector")) for at in (1, 17, 33)]
+    placed = AL.aligned_layouts(parts)
+    inside = F.bool_and((F.abs("x") <= 1 + 1e-9) & (F.abs("y") <= 1 + 1e-9))
+    return placed.groupBy("window").agg(F.count("*").alias("rows"), inside.alias("inside"))
+
+
 PLACE_SQL = f"""near AS (SELECT n.ls_index, o.ls_index AS neighbor, list_cosine_similarity(n.e, o.e) AS sim,
     row_number() OVER (PARTITION BY n.ls_index ORDER BY 1 - list_cosine_similarity(n.e, o.e), o.ls_index) AS rn
     FROM v n, v o WHERE n.label >= {X.NEW_LABEL} AND o.label < {X.NEW_LABEL}),
@@ -318,18 +359,28 @@ def clu10(spark, sf):
 # --- evaluation ---------------------------------------------------------------------------
 
 
-@query(
-    "eval1_silhouette",
-    with_scope("""SELECT round(avg(CASE WHEN nown = 1 THEN 0 ELSE (b-a)/greatest(a,b) END), 4) AS silhouette, count(*) AS scored FROM (
+SILHOUETTE = """SELECT round(avg(CASE WHEN nown = 1 THEN 0 ELSE (b-a)/greatest(a,b) END), 4) AS silhouette, count(*) AS scored FROM (
        SELECT i, max(CASE WHEN ci = cj THEN k END) AS nown, max(CASE WHEN ci = cj THEN s/nullif(k-1,0) END) AS a,
          min(CASE WHEN ci <> cj THEN s/k END) AS b FROM (
          SELECT p.ls_index AS i, p.cluster AS ci, q.cluster AS cj, count(*) AS k,
-           sum(sqrt((p.x-q.x)**2+(p.y-q.y)**2+(p.z-q.z)**2)) AS s FROM scope p, scope q GROUP BY 1, 2, 3) GROUP BY i)"""),
-)
+           sum(sqrt((p.x-q.x)**2+(p.y-q.y)**2+(p.z-q.z)**2)) AS s FROM scope p, scope q GROUP BY 1, 2, 3) GROUP BY i)"""
+
+
+@query("eval1_silhouette", with_scope(SILHOUETTE))
 def eval1(spark, sf):
     return E.silhouette(X.scope(spark, sf))
 
 
+# the score by cell summaries lies within its tolerance of the exact one, here with the rounding of both
+@query("eval1_silhouette_far", with_scope(f"SELECT scored, true AS near FROM ({SILHOUETTE})"))
+def eval1_far(spark, sf):
+    s = store(X.scope(spark, sf).select("ls_index", "cluster", "x", "y", "z"), "scope")
+    exact = E.silhouette(s).withColumnsRenamed({"silhouette": "exact", "scored": "all"})
+    # one row each
+    gap = F.abs(F.col("silhouette") - F.col("exact"))
+    return FF.silhouette_far(s).join(exact).select("scored", (gap <= 1e-3 + 1e-4).alias("near"))
+
+
 @query(
     "eval2_calinski_harabasz",
     with_scope("""SELECT round((sum(n*((cx-gx)**2+(cy-gy)**2+(cz-gz)**2))/(count(*)-1)) / (sum(w)/(sum(n)-count(*))), 2) AS calinski_harabasz FROM
