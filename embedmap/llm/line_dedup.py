@@ -53,7 +53,6 @@ def drop_boilerplate(
     docs: DataFrame,
     min_sites: int = 8,
     keep_first: bool = True,
-    spare_above: float | None = None,
     fold_copies: bool = False,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -63,8 +62,7 @@ def drop_boilerplate(
 
     Lines are what newlines separate; an empty line is never boilerplate. A line on at least
     ``min_sites`` distinct sites (a null site is none) goes everywhere but, with ``keep_first``, at its first place: the
-    lowest (id, line number), null ids last. A text that would lose more than the share ``spare_above`` of
-    its characters is no text with boilerplate but a copied text, and stays whole. With ``fold_copies`` the rows
+    lowest (id, line number), null ids last. With ``fold_copies`` the rows
     of equal text count as one, on the site of the lowest id, so a copied page does not make boilerplate of its lines. Rows repeated with id and text keep or lose the same
     lines. A null text stays null, with no lines; an empty text has one empty line. Other columns
     pass through; columns named n_lines or n_removed are replaced.
@@ -84,12 +82,10 @@ def drop_boilerplate(
     right = gone.select(F.col("id").alias("_id"), F.col("text_key").alias("_key"), "_gone")
     both = docs.join(right, docs[id_col].eqNullSafe(right["_id"]) & (key() == right["_key"]), "left")
     all_lines = F.split(F.col(text_col), "\n", -1)
-    keep: Column = F.filter(all_lines, lambda _, i: ~F.array_contains("_gone", i))
+    keep: Column = F.filter(all_lines, lambda _, i: ~F.array_contains(right["_gone"], i))
     kept = F.array_join(keep, "\n")
-    hit = F.col("_gone").isNotNull()
-    if spare_above is not None:
-        hit = hit & (F.length(kept) >= F.length(text_col) * (1 - spare_above))
+    hit = right["_gone"].isNotNull()
     n_lines = F.when(F.col(text_col).isNull(), 0).otherwise(F.size(all_lines)).cast("long")
-    n_removed = F.when(hit, F.size("_gone")).otherwise(0).cast("long")
+    n_removed = F.when(hit, F.size(right["_gone"])).otherwise(0).cast("long")
     text = F.when(hit, kept).otherwise(F.col(text_col)).alias(text_col)
     return both.select(*[text if c == text_col else docs[c] for c in docs.columns], n_lines.alias("n_lines"), n_removed.alias("n_removed"))

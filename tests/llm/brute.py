@@ -64,9 +64,14 @@ def without_repeats(texts: list[str | None], window: int) -> list[tuple[int, int
     return [(len(w), len(g), " ".join(x for j, x in enumerate(w) if j not in g)) for w, g in zip(cut, gone, strict=True)]
 
 
-def without_boilerplate(rows: list[tuple[int | None, str | None, str | None]], min_sites: int, spare_above: float | None = None) -> list[tuple[int, int, str | None]]:
-    """(lines, removed, text) of each (id, text, site)."""
-    sites, first = defaultdict(set), {}
+def without_boilerplate(rows: list[tuple[int | None, str | None, str | None]], min_sites: int, fold_copies: bool = False) -> list[tuple[int, int, str | None]]:
+    """(lines, removed, text) of each (id, text, site); with ``fold_copies`` equal texts count on the site of the lowest id."""
+    sites, first, home = defaultdict(set), {}, {}
+    for i, text, site in rows:
+        if site is not None:
+            home[text] = min(home.get(text, (True, float("inf"), chr(0x10FFFF))), (i is None, i or 0, site))
+    if fold_copies:
+        rows = [(i, text, None if site is None else home[text][2]) for i, text, site in rows]
     for i, text, site in rows:
         for p, line in enumerate(text.split("\n") if text is not None else []):
             if line:
@@ -83,8 +88,6 @@ def without_boilerplate(rows: list[tuple[int | None, str | None, str | None]], m
             if not line or len(sites[line]) < min_sites or place == first[line]:
                 keep.append(line)
         kept = "\n".join(keep) if text is not None else None
-        if len(keep) < len(lines) and spare_above is not None and len(kept) < len(text) * (1 - spare_above):
-            keep, kept = lines, text
         out.append((len(lines), len(lines) - len(keep), kept))
     return out
 

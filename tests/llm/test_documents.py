@@ -232,12 +232,12 @@ def test_boilerplate_edges(spark):
     foot, rare = "All rights reserved.", "Seen on two sites."
     rows = [(i, f"head {i}\n{foot}\n\n{rare if i < 2 else i}", f"s{i}") for i in range(12)]
     rows += [(20, None, "s1"), (21, "", "s2"), (22, foot, "s3"), (None, f"x\n{foot}", "s1"), (23, f"{foot}\n{foot}\nlong tail of its own", None), (3, rows[3][1], "s3"), (24, "z" * 40000 + "\n" + foot, "s4")]
-    df = spark.createDataFrame([(*r, "x", "y", 5) for r in rows], "doc_id long, text string, source string, id string, pos string, n_removed int")
-    for spare in (None, 0.5):
-        out = drop_boilerplate(df, min_sites=8, spare_above=spare)
-        assert out.columns == ["doc_id", "text", "source", "id", "pos", "n_lines", "n_removed"]
+    df = spark.createDataFrame([(*r, "x", "y", "z", 5) for r in rows], "doc_id long, text string, source string, id string, pos string, _gone string, n_removed int")
+    for fold in (False, True):
+        out = drop_boilerplate(df, min_sites=8, fold_copies=fold)
+        assert out.columns == ["doc_id", "text", "source", "id", "pos", "_gone", "n_lines", "n_removed"]
         have = sorted((str(r.doc_id), r.n_lines, r.n_removed, str(r.text)) for r in out.collect())
-        want = brute.without_boilerplate(rows, 8, spare)
+        want = brute.without_boilerplate(rows, 8, fold)
         assert have == sorted((str(i), n, gone, str(kept)) for (i, _, _), (n, gone, kept) in zip(rows, want, strict=True))
 
 

@@ -166,7 +166,7 @@ def test_pipeline_is_brute_force(spark, sf):
     docs = [(r.doc_id, r.text, r.source) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     docs = [d for d in docs if any(c.isalpha() for c in d[1] or "")]  # the table's texts are all in a learnt language
-    docs = [(i, kept, s) for (i, _, s), (_, _, kept) in zip(docs, brute.without_boilerplate(docs, 8, 0.5), strict=True)]
+    docs = [(i, kept, s) for (i, _, s), (_, _, kept) in zip(docs, brute.without_boilerplate(docs, 8, fold_copies=True), strict=True)]
     group = brute.components([(i, t) for i, t, _ in docs], 5, 80)
     docs = [(i, t) for i, t, _ in docs if group[i][1] == i]
     leaked = {i for i, _ in brute.leaks(docs, items)}
@@ -191,6 +191,10 @@ def test_pipeline_line_stage_takes_lines_from_every_text(spark, sf):
     docs = spark.createDataFrame([(i, t, "en", s, len(t)) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
     want = {i: f"own {i}" if 0 < i < 10 else t for i, t, _ in rows}
     assert {r.doc_id: r.text for r in corpus_pipeline.lines(spark, docs, sf).collect()} == want
+    plain = [(i, t, s) for i, t, s in rows]
+    assert {i: text for (i, _, _), (_, _, text) in zip(rows, brute.without_boilerplate(plain, 8, fold_copies=True), strict=True)} == want
+    # without folding, the copied page would be taken apart
+    assert brute.without_boilerplate(plain, 8)[11][1] == 3
 
 
 def test_pipeline_edges(spark, sf):
