@@ -109,9 +109,10 @@ def str1(spark, sf):
 
 
 def _stream(spark, sf, name):
-    """The table as a file stream."""
+    """The table as a file stream, whether it is one file or a folder of files."""
     whole = X.table(spark, sf, name)
-    return spark.readStream.schema(whole.schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    # a file stream reads folders only, but a pattern may also name a single file
+    return spark.readStream.schema(whole.schema).parquet(f"{sf}/{name}.parque[t]")
 
 
 @query("str2_stream_append", "SELECT doc_id AS ls_index, CAST(length(text) AS BIGINT) AS total FROM documents")
