@@ -1,7 +1,7 @@
 """Maps of sparse features by a randomised singular value decomposition (PRJ3).
 
 The matrix stays a table of its entries. A round multiplies it and its transpose with a thin block: two joins and
-two sums, with nothing as wide as the rows. Only square matrices of the block's width reach the driver.
+two sums, with nothing as wide as the rows. Only square matrices of the basis's width reach the driver.
 """
 
 from __future__ import annotations
@@ -49,39 +49,75 @@ def _times(entries: DataFrame, block: DataFrame, by: str, onto: str, width: int)
 
 def _turn(block: DataFrame, key: str, m: np.ndarray) -> DataFrame:
     """Each row of a block times a small matrix."""
-    column = lambda j: sum((F.col("q")[i] * float(m[i, j]) for i in range(m.shape[0])), F.lit(0.0))
-    return block.select(key, F.array(*[column(j) for j in range(m.shape[1])]).alias("q"))
 
+    def run(batches):
+        for b in batches:
+            q = matrix(b.column("q"))
+            out = (q @ m).ravel() if len(q) else np.zeros(0)
+            rows = pa.ListArray.from_arrays(np.arange(len(q) + 1, dtype=np.int32) * m.shape[1], pa.array(out))
+            yield pa.RecordBatch.from_arrays([b.column(key), rows], names=[key, "q"])
+
+    return block.select(F.col(key).cast("long"), "q").mapInArrow(run, f"{key} long, q array<double>")
 
-def _orthonormal(gram: np.ndarray) -> np.ndarray:
-    """Matrix that makes a block's columns orthonormal; directions without weight become zero."""
+
+def _orthonormal(gram: np.ndarray, least: float) -> np.ndarray:
+    """Matrix that makes a block's columns orthonormal; directions of less weight than ``least`` become zero."""
     values, turned = np.linalg.eigh(gram)
-    keep = values > max(values.max(initial=0.0), 0.0) * 1e-12
+    keep = values > least
     return turned * np.where(keep, 1 / np.sqrt(np.where(keep, values, 1.0)), 0.0)
 
 
-def sparse_svd(entries: DataFrame, k: int, oversample: int = 14, rounds: int = 12, tolerance: float = 1e-5) -> tuple[DataFrame, list[float]]:
+def _ritz(gram: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Leading eigenvalues within the span of a basis, largest first, and their vectors in terms of it.
+
+    ``gram`` holds the products of the basis and its image, side by side.
+    """
+    m = len(gram) // 2
+    ortho = _orthonormal(gram[:m, :m], max(gram[:m, :m].trace(), 0.0) * 1e-12)
+    inner = ortho.T @ gram[:m, m:] @ ortho
+    values, turned = np.linalg.eigh((inner + inner.T) / 2)
+    return np.maximum(values[::-1][:width], 0.0), (ortho @ turned)[:, ::-1][:, :width]
+
+
+def sparse_svd(entries: DataFrame, k: int, oversample: int = 14, rounds: int | None = None, tolerance: float = 1e-5, blocks: int = 6) -> tuple[DataFrame, list[float]]:
     """(feature_id, q) with the ``k`` leading left singular vectors in ``q``, and their singular values, largest first.
 
-    ``entries`` are (ls_index, feature_id, act). Block power iteration with ``k + oversample`` columns, hashed at the
-    start, until the leading values change by less than ``tolerance`` of themselves or ``rounds`` are done; vectors of
-    values that lie close together take more rounds. Of an empty table there are no rows and all values are zero.
+    ``entries`` are (ls_index, feature_id, act). A basis of vectors, at first ``k + oversample`` hashed ones, grows each
+    round by what its best vectors lack to be singular vectors; at ``blocks`` times that width it is cut down to the
+    best. It ends when each leading vector, times the matrix and its transpose, differs from its multiple by less than
+    ``tolerance`` of that (or 1e-7 of the largest), or earlier after ``rounds``, if the caller sets them. Of an empty table there are no rows and all values are zero.
     """
     width = k + oversample
     start = lambda j: F.pmod(F.xxhash64("feature_id", F.lit(j)), F.lit(2**20)) / 2.0**19 - 1
     ids = entries.select("feature_id").distinct()
-    block = store(ids.select("feature_id", F.array(*[start(j) for j in range(width)]).alias("q")), "block")
-    before = np.zeros(k)
-    for _ in range(rounds):
-        basis = _turn(block, "feature_id", _orthonormal(_gram(block, width)))
-        across = _times(entries, basis, "feature_id", "ls_index", width)
-        values, turned = np.linalg.eigh(_gram(across, width))
-        found = np.sqrt(np.maximum(values[::-1][:k], 0.0))
-        if np.all(np.abs(found - before) <= tolerance * np.maximum(found, 1e-300)):
+    fresh = store(ids.select("feature_id", F.array(*[start(j) for j in range(width)]).alias("q")), "block")
+    # the basis and its image under the matrix and its transpose: nothing of it is as long as the rows
+    space, have, done = None, 0, 0
+    while True:
+        image = _times(entries, _times(entries, fresh, "feature_id", "ls_index", width), "ls_index", "feature_id", width)
+        both = fresh.select("feature_id", F.col("q").alias("s")).join(image.withColumnRenamed("q", "w"), "feature_id")
+        if space is not None:
+            both = both.withColumnsRenamed({"s": "s1", "w": "w1"}).join(space, "feature_id")
+            both = both.select("feature_id", F.concat("s", "s1").alias("s"), F.concat("w", "w1").alias("w"))
+        space, have = store(both, "space"), have + width
+        sides = space.select("feature_id", F.concat("s", "w").alias("q"))
+        gram = _gram(sides, 2 * have)
+        values, best = _ritz(gram, width)
+        lack = np.vstack([-best * values, best])
+        gaps = lack.T @ gram @ lack
+        most = values.max(initial=0.0)
+        if np.all(np.sqrt(np.maximum(np.diag(gaps)[:k], 0.0)) <= np.maximum(tolerance * values[:k], 1e-7 * most)):
+            break
+        done += 1
+        if done == rounds:
             break
-        before = found
-        block = _times(entries, across, "ls_index", "feature_id", width)
-    return _turn(basis, "feature_id", turned[:, ::-1][:, :k]), [float(v) for v in found]
+        fresh = store(_turn(sides, "feature_id", lack @ _orthonormal(gaps, (1e-7 * most) ** 2)), "block")
+        if have >= blocks * width:
+            zero = np.zeros_like(best)
+            kept = _turn(sides, "feature_id", np.block([[best, zero], [zero, best]]))
+            space, have = store(kept.select("feature_id", F.slice("q", 1, width).alias("s"), F.slice("q", width + 1, width).alias("w")), "space"), width
+    vectors = space.select("feature_id", F.col("s").alias("q"))
+    return _turn(vectors, "feature_id", best[:, :k]), [float(v) for v in np.sqrt(values[:k])]
 
 
 def sparse_feature_map(features: DataFrame, num_features: int, components: int = 2) -> DataFrame:

@@ -95,3 +95,19 @@ def test_feature_map_of_few_features(spark):
     got = SV.sparse_feature_map(_features(spark, m), 3).collect()
     assert sorted(r.feature_id for r in got) == [0, 1]
     assert SV.sparse_feature_map(_features(spark, m).limit(0), 3).collect() == []
+
+
+def test_sparse_svd_ends_when_the_vectors_are_steady(spark):
+    # values that lie close together: a value settles long before its vector does
+    rng = np.random.default_rng(3)
+    m = np.where(rng.random((900, 300)) < 0.05, rng.random((900, 300)), 0.0)
+    rows = [(int(i), int(j), float(m[i, j])) for i, j in zip(*np.nonzero(m), strict=True)]
+    entries = spark.createDataFrame(rows, "ls_index long, feature_id long, act double")
+    got, found = SV.sparse_svd(entries, 3)
+    q = np.zeros((300, 3))
+    for r in got.collect():
+        q[r["feature_id"]] = r["q"]
+    want = np.linalg.svd(m, compute_uv=False)[:3]
+    assert np.allclose(found, want, rtol=1e-8)
+    assert np.allclose(q.T @ q, np.eye(3), atol=1e-8)
+    assert np.linalg.norm(m.T @ (m @ q) - q * want**2, axis=0).max() < 1e-4 * want[2] ** 2
