@@ -1,10 +1,10 @@
 """Silhouette by cell summaries (EVAL1): distance sums to far cells from their moments, near cells exactly.
 
 The map is cut into cells that halve with each level. Pairs of cells of one level are refined until the cell
-of the sources is small against its distance, or both hold few places. Far cells count by the number, the
-first and the second moments of each cluster in them (the expansion of a distance up to second order), near cells
-by every distance. A cell meets a bounded number of cells per level, so the work grows with the places and
-the levels and not with their square.
+of the sources is small against its distance, or they hold few pairs of places. Far cells of many places count by the
+number, the first and the second moments of each cluster in them (the expansion of a distance up to second order), others
+by every distance, which numpy has sooner than Spark has the moments of few places. A cell meets a bounded number of
+cells per level, so the work grows with the places and the levels and not with their square.
 """
 
 from __future__ import annotations
@@ -17,11 +17,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from embedmap.operators.cluster import map_axes
-from embedmap.operators.knn import matrix, squared
 from embedmap.operators.project import frame_bounds
 from embedmap.session import store
 
-LEAF = 64  # places of a cell that may be compared one by one
+LEAF = 1024  # two cells with fewer pairs of places than its square are compared place by place
+LIST = 8  # times LEAF: places in one list at most
 LEVELS = 40  # places closer than the extent of the map / 2^40 are one place
 
 
@@ -38,28 +38,32 @@ def far_ratio(tolerance: float) -> float:
     return lo
 
 
-def _near_sums(pairs: DataFrame, axes: int) -> DataFrame:
+def _near_sums(pairs: DataFrame, keys: list[str]) -> DataFrame:
     """(spot, other, total) of pairs of place lists: numpy distances, summed per cluster of the right side."""
 
     def run(batches):
         for b in batches:
             for i in range(b.num_rows):
-                left, right = b.column("left")[i].values, b.column("right")[i].values
-                d = np.sqrt(squared(matrix(left.field("v")), matrix(right.field("v"))))
-                d *= right.field("n").to_numpy(zero_copy_only=False)
-                labels, inverse = np.unique(right.field("c").to_numpy(zero_copy_only=False), return_inverse=True)
-                sums = np.zeros((len(left), len(labels)))
-                np.add.at(sums.T, inverse, d.T)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        left.field("spot").take(pa.array(np.repeat(np.arange(len(left)), len(labels)))),
-                        pa.array(np.tile(labels, len(left)).astype(np.int32)),
-                        pa.array(sums.ravel()),
-                    ],
-                    names=["spot", "other", "total"],
-                )
-
-    return pairs.select("left", "right").mapInArrow(run, "spot long, other int, total double")
+                field = lambda name: b.column(name)[i].values  # noqa: B023, E731
+                spots, c, n = field("left"), field("right").to_numpy(), field("n").to_numpy()
+                order = np.argsort(c, kind="stable")
+                c, n = c[order], n[order]
+                first = np.concatenate([[0], np.flatnonzero(np.diff(c)) + 1])
+                left, right = [field(f"l{k}").to_numpy() for k in keys], [field(f"r{k}").to_numpy()[order] for k in keys]
+                step = max(1, 2**20 // len(c))
+                for s in range(0, len(spots), step):
+                    d = np.sqrt(sum((x[s : s + step, None] - y) ** 2 for x, y in zip(left, right, strict=True)))
+                    sums = np.add.reduceat(d * n, first, axis=1)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            spots.slice(s, len(d)).take(pa.array(np.repeat(np.arange(len(d)), len(first)))),
+                            pa.array(np.tile(c[first], len(d)).astype(np.int32)),
+                            pa.array(sums.ravel()),
+                        ],
+                        names=["spot", "other", "total"],
+                    )
+
+    return pairs.mapInArrow(run, "spot long, other int, total double")
 
 
 def silhouette_far(points: DataFrame, cluster: str = "cluster", tolerance: float = 1e-3, leaf: int = LEAF) -> DataFrame:
@@ -96,8 +100,9 @@ def silhouette_far(points: DataFrame, cluster: str = "cluster", tolerance: float
         far = F.sqrt(sum((g * g for g in gaps), F.lit(0.0))) * ratio >= len(axes) ** 0.5 / 2
         side = lambda names, m: sizes.withColumnsRenamed({**dict(zip(keys, names, strict=True)), "m": m})  # noqa: B023, E731
         met = frontier.join(side(t, "tm"), t).join(side(s, "sm"), s)
-        few = (F.col("tm") <= leaf) & (F.col("sm") <= leaf) | F.lit(level == LEVELS)
-        kind = F.when(far, "far").when(few, "near").otherwise("split")
+        listed = (F.col("tm") <= LIST * leaf) & (F.col("sm") <= LIST * leaf)
+        few = listed & (F.col("tm") * F.col("sm") <= leaf * leaf) | F.lit(level == LEVELS)
+        kind = F.when(few, "near").when(far, "far").otherwise("split")
         met = store(met.select(*t, *s, kind.alias("kind")), "cell-pairs")
         counts = {r["kind"]: r["count"] for r in met.groupBy("kind").count().collect()}
         h = 1.0 / 2**level
@@ -107,7 +112,8 @@ def silhouette_far(points: DataFrame, cluster: str = "cluster", tolerance: float
             moments |= {f"m{i}{j}": F.col("n") * off[i] * off[j] for i in range(len(axes)) for j in range(i, len(axes))}
             summary = entries.select("c", *cell(level, s), *[v.alias(k) for k, v in moments.items()]).groupBy("c", *s).agg(*[F.sum(k).alias(k) for k in moments])
             seen = spots.select("spot", *[unit(k).alias(f"p{i}") for i, k in enumerate(keys)], *cell(level, t))
-            each = seen.join(met.filter("kind = 'far'"), t).join(summary, s)
+            # the cells meet first, so that rows of places leave the last join as sums
+            each = seen.join(store(met.filter("kind = 'far'").select(*t, *s).join(summary, s), "far-moments"), t)
             gap = [F.col(f"p{i}") - (F.col(s[i]) + 0.5) * h for i in range(len(axes))]
             d = F.sqrt(sum((g * g for g in gap), F.lit(0.0)))
             along = sum((g * F.col(f"u{i}") for i, g in enumerate(gap)), F.lit(0.0)) / d
@@ -117,11 +123,12 @@ def silhouette_far(points: DataFrame, cluster: str = "cluster", tolerance: float
             sums.append(store(each.select("spot", F.col("c").alias("other"), total.alias("total")).groupBy("spot", "other").agg(F.sum("total").alias("total")), "far-sums"))
         if "near" in counts:
             near = met.filter("kind = 'near'")
-            place = F.array(*[unit(k) for k in keys]).alias("v")
-            # at most ``leaf`` places of a cell, or one place of the last level
-            left = spots.select(*cell(level, t), F.struct("spot", place).alias("e")).join(near.select(*t).distinct(), t, "left_semi").groupBy(*t).agg(F.collect_list("e").alias("left"))
-            right = entries.select(*cell(level, s), F.struct("c", "n", place).alias("e")).join(near.select(*s).distinct(), s, "left_semi").groupBy(*s).agg(F.collect_list("e").alias("right"))
-            sums.append(store(_near_sums(near.join(left, t).join(right, s), len(axes)).groupBy("spot", "other").agg(F.sum("total").alias("total")), "near-sums"))
+            # bounded lists of the places of a cell, or one place of the last level
+            lists = lambda df, names, fields: df.join(near.select(*names).distinct(), names, "left_semi").groupBy(*names).agg(F.collect_list(F.struct(*fields)).alias("e")).select(*names, *[F.col("e")[f].alias(f) for f in fields])  # noqa: B023, E731
+            left = lists(spots.select(F.col("spot").alias("left"), *[unit(k).alias(f"l{k}") for k in keys], *cell(level, t)), t, ["left", *[f"l{k}" for k in keys]])
+            right = lists(entries.select(F.col("c").alias("right"), "n", *[unit(k).alias(f"r{k}") for k in keys], *cell(level, s)), s, ["right", "n", *[f"r{k}" for k in keys]])
+            pairs = near.join(left, t).join(right, s).drop("kind", *t, *s)
+            sums.append(store(_near_sums(pairs, keys).groupBy("spot", "other").agg(F.sum("total").alias("total")), "near-sums"))
         if "split" not in counts:
             break
         deeper = lambda names: [(2 * F.col(n) + F.col(f"_{n}")).alias(n) for n in names]

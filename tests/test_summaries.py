@@ -51,6 +51,17 @@ def test_far_cells_are_really_used(spark, monkeypatch):
     assert abs(got - _score(p, c)) <= 0.02
 
 
+def test_few_places_are_compared_in_one_list(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    c, p = rng.integers(0, 3, 1000), rng.normal(size=(1000, 3))
+    lists = []
+    plain = FF._near_sums
+    monkeypatch.setattr(FF, "_near_sums", lambda pairs, axes: (lists.append(pairs.count()), plain(pairs, axes))[1])
+    got = FF.silhouette_far(_points(spark, p, c)).first()["silhouette"]
+    assert lists == [1]
+    assert abs(got - _score(p, c)) <= 1e-4
+
+
 def test_far_sums_of_odd_tables(spark):
     one = _points(spark, np.zeros((4, 2)), np.zeros(4, int))
     assert FF.silhouette_far(one).first()["silhouette"] is None
