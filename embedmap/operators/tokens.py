@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +18,7 @@ from embedmap.session import spread, store
 
 # fixed values: a default token is a run of letters
 LETTER_RUN = r"\p{L}+"
+PIECE_BYTES = 2**20  # text whose tokens are held at a time
 
 
 def letter_runs(text: str) -> list[tuple[str, int, int]]:
@@ -24,6 +26,16 @@ def letter_runs(text: str) -> list[tuple[str, int, int]]:
     return [(m.group(), *m.span()) for m in regex.finditer(LETTER_RUN, text)]
 
 
+def _pieces(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch of about ``PIECE_BYTES`` of text, so that few tokens are Python objects at a time."""
+    ends = np.cumsum(pc.binary_length(batch.column(text)).to_numpy(zero_copy_only=False))
+    cuts = np.flatnonzero(np.diff(ends // PIECE_BYTES)) + 1
+    edges = [0, *cuts.tolist(), batch.num_rows]
+    for start, end in zip(edges, edges[1:]):
+        if end > start:
+            yield batch.slice(start, end - start)
+
+
 def tokenize(
     docs: DataFrame, text: str, tokenizer: Callable[[str], list[tuple[str, int, int]]] = letter_runs,
     prefix: str = "", skip: list[str] | None = None,
@@ -36,7 +48,7 @@ def tokenize(
     drop = set(skip or [])
 
     def run(batches):
-        for b in batches:
+        for b in (piece for whole in batches for piece in _pieces(whole, "t")):
             names, starts, ends, sizes = [], [], [], []
             for t in b.column("t").to_pylist():
                 kept = [x for x in tokenizer(t) if x[0] not in drop] if drop else tokenizer(t)
