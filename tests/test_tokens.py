@@ -11,7 +11,8 @@ def test_pieces_hold_a_bounded_text():
     batch = pa.RecordBatch.from_pydict({"ls_index": list(range(len(texts))), "t": texts})
     pieces = list(TK._pieces(batch, "t"))
     assert [t for p in pieces for t in p.column("t").to_pylist()] == texts
-    assert all(p.num_rows == 1 or sum(len(t) for t in p.column("t").to_pylist()) <= 2 * TK.PIECE_BYTES for p in pieces)
+    # one text may be long; those after it add no more than the bound
+    assert all(sum(len(t) for t in p.column("t").to_pylist()[1:]) <= TK.PIECE_BYTES for p in pieces)
     assert list(TK._pieces(batch.slice(0, 0), "t")) == []
 
 
