@@ -11,7 +11,9 @@
    are one matrix product per pair of blocks, and only the best k per block travel on.
 
 In few dimensions (maps) a row visits a handful of cells. In many dimensions bounds remove little
-and the work tends to all pairs, spread evenly over blocks; ``ivf_search`` is the approximate way.
+and the work tends to all pairs: there are no cells, both sides are cut into few large blocks by hash and every two
+blocks meet in a task, so a row is sent a fixed number of times until blocks reach ``BLOCK_BYTES``.
+``ivf_search`` is the approximate way.
 """
 
 from __future__ import annotations
@@ -26,12 +28,15 @@ from pyspark.sql import functions as F
 
 from embedmap.functions.vectors import as_doubles, l2_normalize
 from embedmap.operators.ranking import top_per_group
-from embedmap.session import cut_lineage
+from embedmap.session import cut_lineage, store
 
 BLOCK_ROWS = 2048
 TOL = 1e-9
 NEAR_CELLS = 8  # cells looked at for the upper bound of the k-th distance
 WIDE = 16  # above this many dimensions bounds hardly prune
+WIDE_PARTS = 8  # blocks of a side in many dimensions, more only where they would pass BLOCK_BYTES
+BLOCK_BYTES = 2**26
+FOUND = "ls_index long, neighbor long, distance double"
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -50,15 +55,9 @@ def squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum(d, 0.0)
 
 
-def _pivot_count(rows: int, dims: int) -> int:
-    if dims > WIDE:
-        return max(1, min(32, rows // 64))
-    return max(1, math.isqrt(rows))
-
-
-def _pick_pivots(points: DataFrame, rows: int, dims: int) -> np.ndarray:
-    """At most 4096 distinct vectors, chosen by hash among a thinned set."""
-    count = _pivot_count(rows, dims)
+def _pick_pivots(points: DataFrame, rows: int) -> np.ndarray:
+    """The square root of the rows, as distinct vectors chosen by hash among a thinned set."""
+    count = max(1, math.isqrt(rows))
     h = F.xxhash64("v")
     steps = 1_000_000
     share = min(steps, math.ceil(steps * 8 * count / rows))
@@ -173,43 +172,129 @@ def best_pairs(lv: np.ndarray, rv: np.ndarray, k: int, cosine: bool, ids: np.nda
         yield row[best] + s, col[best], dist[best]
 
 
+def _named(found, lid: np.ndarray, first: np.ndarray, flat: np.ndarray, k: int):
+    """(ls_index, neighbor, distance) of found (row, column, distance), the k nearest of all copies for each row."""
+    for row, col, dist in found:
+        n = first[col + 1] - first[col]
+        start = np.repeat(first[col], n)
+        within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        row, neighbor, dist = np.repeat(row, n), flat[(start + within).astype(np.int64)], np.repeat(dist, n)
+        order = np.lexsort((neighbor, dist, row))
+        row, neighbor, dist = row[order], neighbor[order], dist[order]
+        best = np.arange(len(row)) - np.searchsorted(row, row) < k
+        yield pa.RecordBatch.from_arrays([pa.array(lid[row[best]]), pa.array(neighbor[best]), pa.array(dist[best])], names=["ls_index", "neighbor", "distance"])
+
+
+def _copies(ids: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Where each representative's ids begin, and all ids."""
+    first = np.concatenate([[0], np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False))])
+    return first, ids.flatten().to_numpy(zero_copy_only=False)
+
+
 def _match(pairs: DataFrame, k: int, cosine: bool) -> DataFrame:
     def run(batches):
         for b in batches:
             for i in range(b.num_rows):
                 left = b.column("left")[i].values
                 right = b.column("right")[i].values
-                lid = left.field("ls_index").to_numpy(zero_copy_only=False)
-                ids = right.field("ids")
-                first = np.concatenate([[0], np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False))])
-                flat = ids.flatten().to_numpy(zero_copy_only=False)
-                for row, col, dist in best_pairs(matrix(left.field("v")), matrix(right.field("v")), k, cosine, flat[first[:-1]]):
-                    n = first[col + 1] - first[col]
-                    start = np.repeat(first[col], n)
-                    within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(np.repeat(lid[row], n)),
-                            pa.array(flat[(start + within).astype(np.int64)]),
-                            pa.array(np.repeat(dist, n)),
-                        ],
-                        names=["ls_index", "neighbor", "distance"],
-                    )
-
-    return pairs.mapInArrow(run, "ls_index long, neighbor long, distance double")
+                first, flat = _copies(right.field("ids"))
+                found = best_pairs(matrix(left.field("v")), matrix(right.field("v")), k, cosine, flat[first[:-1]])
+                yield from _named(found, left.field("ls_index").to_numpy(zero_copy_only=False), first, flat, k)
+
+    return pairs.mapInArrow(run, FOUND)
+
+
+def _near_products(a: np.ndarray, rv: np.ndarray, half: np.ndarray, slack: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of what may be among the k nearest, ties included, of a few rows among many.
+
+    The right side is read in pieces that fit the cache; the k-th found so far, less twice the error of a product, is the bound for the next piece.
+    """
+    rows, cols, values = [], [], []
+    bound, held = np.full((len(a), 1), -np.inf, a.dtype), 0
+    for s in range(0, len(rv), BLOCK_ROWS):
+        near = a @ rv[s : s + BLOCK_ROWS].T
+        near -= half[s : s + BLOCK_ROWS]
+        if near.shape[1] > k and s == 0:
+            bound = np.partition(near, -k, axis=1)[:, [-k]] - slack
+        row, col = np.divmod(np.flatnonzero(near >= bound), near.shape[1])
+        rows.append(row)
+        cols.append(col + s)
+        values.append(near[row, col])
+        held += len(row)
+        if held > 4 * k * len(a) or s + BLOCK_ROWS >= len(rv):
+            row, col, value = (np.concatenate(x) for x in (rows, cols, values))
+            order = np.lexsort((-value, row))
+            row, col, value = row[order], col[order], value[order]
+            last = np.arange(len(row)) - np.searchsorted(row, row) == k - 1
+            bound[row[last], 0] = value[last] - slack[row[last], 0]
+            keep = value >= bound[row, 0]
+            rows, cols, values, held = [row[keep]], [col[keep]], [value[keep]], int(keep.sum())
+    return rows[0], cols[0]
+
+
+def _wide_pairs(lv: np.ndarray, rv: np.ndarray, k: int, cosine: bool, ids: np.ndarray):
+    """What ``best_pairs`` gives, for large sides in many dimensions.
+
+    Products in single precision choose what may be among the k, with a bound on their error; distances are in double.
+    """
+    size = np.sqrt((rv * rv).sum(1))
+    own, most = np.sqrt((lv * lv).sum(1))[:, None], size.max()
+    # single precision neither overflows nor loses its lowest bits here
+    single = 1e-12 < most < 1e12 and own.max() < 1e12
+    kind = np.float32 if single else np.float64
+    slack = TOL + (4.0 * (lv.shape[1] + 4) * float(np.finfo(kind).eps) * most * (own + most))
+    near, half = rv.astype(kind, copy=False), (0.5 * size * size).astype(kind)
+    for s in range(0, len(lv), 512):
+        a = lv[s : s + 512]
+        row, col = _near_products(a.astype(kind, copy=False), near, half, slack[s : s + 512].astype(kind), k)
+        if cosine:
+            dist = 1.0 - (a[row] * rv[col]).sum(1)
+        else:
+            diff = a[row] - rv[col]
+            dist = np.sqrt((diff * diff).sum(1))
+        order = np.lexsort((ids[col], dist, row))
+        row, col, dist = row[order], col[order], dist[order]
+        best = np.arange(len(row)) - np.searchsorted(row, row) < k
+        yield row[best] + s, col[best], dist[best]
+
+
+def _wide_parts(rows: int, dims: int) -> int:
+    return max(1, min(WIDE_PARTS, rows // BLOCK_ROWS), math.ceil(rows * dims * 8 / BLOCK_BYTES))
+
+
+def match_wide(left: DataFrame, left_parts: int, right: DataFrame, right_parts: int, k: int, cosine: bool) -> DataFrame:
+    """(ls_index, neighbor, distance, rank) over all pairs of (ls_index, v) and (ids, v), every two blocks in a task."""
+    every = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    part = lambda c, parts: F.pmod(F.xxhash64(c), F.lit(parts)).cast("int")
+    lside = left.select(part("ls_index", left_parts).alias("l"), every(right_parts).alias("r"), "ls_index", "v").groupBy("l", "r")
+    rside = right.select(every(left_parts).alias("l"), part("ids", right_parts).alias("r"), "ids", "v").groupBy("l", "r")
+
+    def run(lt: pa.Table, rt: pa.Table) -> pa.Table:
+        found = []
+        if lt.num_rows and rt.num_rows:
+            first, flat = _copies(rt.column("ids").combine_chunks())
+            pairs = _wide_pairs(matrix(lt.column("v")), matrix(rt.column("v")), k, cosine, flat[first[:-1]])
+            found = list(_named(pairs, lt.column("ls_index").to_numpy(), first, flat, k))
+        return pa.Table.from_batches(found, pa.schema([("ls_index", pa.int64()), ("neighbor", pa.int64()), ("distance", pa.float64())]))
+
+    return top_per_group(lside.cogroup(rside).applyInArrow(run, FOUND), ["ls_index"], ["distance", "neighbor"], k)
 
 
 @dataclass
 class Prepared:
-    """The searched side of a kNN join: stored representatives in cells, and what bounds the search."""
+    """The searched side of a kNN join: stored representatives in cells, and what bounds the search.
+
+    In many dimensions there are no pivots, and the one cell 0 counts all representatives.
+    """
 
     placed: DataFrame
-    pivots: np.ndarray
+    pivots: np.ndarray | None
     radius: np.ndarray
     nearest: np.ndarray
     counts: dict[int, int]
     want: int
     metric: str
+    dims: int
 
 
 def _clean(df: DataFrame, vector: str, metric: str) -> DataFrame:
@@ -225,11 +310,14 @@ def prepare(right: DataFrame, want: int, metric: str = "euclidean", vector: str
     rows = size["rows"]
     if rows == 0:
         return None
-    pivots = _pick_pivots(rrows, rows, size["dims"])
-    cells = len(pivots)
-
     copies = top_per_group(rrows, ["v"], ["ls_index"], want)
     reps = copies.groupBy("v").agg(F.array_sort(F.collect_list("ls_index")).alias("ids"))
+    if size["dims"] > WIDE:
+        placed = store(reps.select("ids", "v"), "searched-rows")
+        return Prepared(placed, None, np.empty(0), np.empty((0, want)), {0: placed.count()}, want, metric, size["dims"])
+
+    pivots = _pick_pivots(rrows, rows)
+    cells = len(pivots)
     placed = cut_lineage(_assign(reps.select("ids", "v"), pivots))
 
     # both results are bounded by the number of pivots
@@ -240,7 +328,7 @@ def prepare(right: DataFrame, want: int, metric: str = "euclidean", vector: str
     for r in top_per_group(placed.select("cell", "dist"), ["cell"], ["dist"], want).collect():
         nearest[r["cell"], r["rank"] - 1] = r["dist"]
 
-    return Prepared(placed, pivots, radius, nearest, counts, want, metric)
+    return Prepared(placed, pivots, radius, nearest, counts, want, metric, size["dims"])
 
 
 def knn_join(
@@ -264,9 +352,12 @@ def knn_join(
         return empty.withColumn("rank", F.lit(1)).limit(0)
     if to.want < want or to.metric != metric:
         raise ValueError("prepared for fewer neighbours or another metric")
-    visits = cut_lineage(_visits(lrows, to.pivots, to.radius, to.nearest[:, :want], want))
-    lcounts = {r["cell"]: r["count"] for r in visits.groupBy("cell").count().collect()}
-    found = match_blocks(visits, lcounts, to.placed.select("cell", "ids", "v"), to.counts, len(to.pivots), want, metric == "cosine")
+    if to.pivots is None:
+        found = match_wide(lrows, _wide_parts(lrows.count(), to.dims), to.placed, _wide_parts(to.counts[0], to.dims), want, metric == "cosine")
+    else:
+        visits = cut_lineage(_visits(lrows, to.pivots, to.radius, to.nearest[:, :want], want))
+        lcounts = {r["cell"]: r["count"] for r in visits.groupBy("cell").count().collect()}
+        found = match_blocks(visits, lcounts, to.placed.select("cell", "ids", "v"), to.counts, len(to.pivots), want, metric == "cosine")
     if include_self:
         return found
     return top_per_group(found.filter(F.col("ls_index") != F.col("neighbor")).drop("rank"), ["ls_index"], ["distance", "neighbor"], k)

@@ -56,6 +56,36 @@ def test_knn_cosine_high_dimensions(spark, monkeypatch):
     assert {k: [d for _, d in v] for k, v in got.items()} == {k: [d for _, d in v] for k, v in want.items()}
 
 
+@pytest.mark.parametrize("metric", ["cosine", "euclidean"])
+def test_knn_in_many_dimensions_sends_a_row_a_fixed_number_of_times(spark, metric, monkeypatch):
+    rng = np.random.default_rng(4)
+    m = rng.normal(size=(600, 20)) * (1.0 if metric == "cosine" else 1e3) + (0.0 if metric == "cosine" else 1e4)
+    m[500:] = m[:100]
+    m[590:] = m[7]
+    sent = []
+    pairs = K._wide_parts
+    monkeypatch.setattr(K, "BLOCK_ROWS", 32)
+    monkeypatch.setattr(K, "_wide_parts", lambda rows, dims: sent.append(pairs(rows, dims)) or sent[-1])
+    got = lists(K.knn_join(frame(spark, m), frame(spark, m), 9, metric, include_self=False))
+    assert sent == [8, 8] and pairs(500_000, 64) == 8 and pairs(10, 64) == 1 and pairs(5_000_000, 64) == 39
+    want = brute(m, m, 9, cosine=metric == "cosine", self_ok=False)
+    assert {k: [round(d, 5) for _, d in v] for k, v in got.items()} == {k: [round(d, 5) for _, d in v] for k, v in want.items()}
+
+
+def test_wide_pairs_equal_the_plain_ones(monkeypatch):
+    rng = np.random.default_rng(5)
+    monkeypatch.setattr(K, "BLOCK_ROWS", 64)
+    for scale in (1.0, 1e-20, 1e200**0.5):
+        a, b = rng.normal(size=(700, 18)) * scale, rng.normal(size=(900, 18)) * scale
+        b[300:500] = b[0]
+        a[3] = b[0]
+        ids = rng.permutation(len(b))
+        got, want = ([np.concatenate(x) for x in zip(*f(a, b, 6, False, ids), strict=True)] for f in (K._wide_pairs, K.best_pairs))
+        if scale == 1.0:
+            assert (got[0] == want[0]).all() and (got[1] == want[1]).all()
+        assert len(got[2]) == len(want[2]) and np.allclose(got[2], want[2], rtol=1e-9, atol=0.0 if scale > 1 else 1e-9)
+
+
 def test_knn_fewer_rows_than_k_and_zero_vectors(spark):
     pts = np.array([[0.0, 0.0], [1.0, 0.0], [0.0, 2.0]])
     assert lists(K.knn_join(frame(spark, pts), frame(spark, pts), 5)) == brute(pts, pts, 5)
