@@ -83,13 +83,14 @@ def shift_prefix(tokens: DataFrame, length: int) -> DataFrame:
 def number_tokens(tokens: DataFrame) -> DataFrame:
     """Add the global ``token_index`` in (ls_index, token_pos) order.
 
-    Tokens are stored first, so that a tokenizer runs once for the counts and the rows.
+    Tokens are stored first, so that a tokenizer runs once for the counts and the rows. They meet their document's
+    first number in a hash of the documents, so that the many tokens of a task are never sorted.
     """
     tokens = store(tokens, "tokens")
     counts = tokens.groupBy("ls_index").agg(F.count("*").alias("num_tokens"))
     first = token_offsets(counts).select("ls_index", "first_token")
     index = F.col("first_token") + F.col("token_pos")
-    return tokens.join(first, "ls_index").select(index.alias("token_index"), *tokens.columns)
+    return tokens.join(first.hint("shuffle_hash"), "ls_index").select(index.alias("token_index"), *tokens.columns)
 
 
 def check_token_counts(docs: DataFrame, tokens: DataFrame) -> DataFrame:

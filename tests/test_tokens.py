@@ -22,3 +22,18 @@ def test_tokens_of_texts_in_several_pieces(spark):
         F.count("*").alias("n"), F.count_distinct("token_pos").alias("places"), F.max("token_pos").alias("last"), F.max("char_end").alias("end")
     )
     assert sorted(tuple(r) for r in got.collect()) == [(i, 140_000, 140_000, 139_999, 70_000 * 6 - 1) for i in range(6)]
+
+
+def test_tokens_are_numbered_without_sorting_them(spark):
+    for key in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"):
+        spark.conf.set(key, "-1")
+    try:
+        docs = spark.createDataFrame([(7, "a b"), (2, "c"), (5, ""), (3, "d e f")], "ls_index long, text string")
+        numbered = TK.number_tokens(TK.tokenize(docs, "text"))
+        got = sorted(tuple(r) for r in numbered.select("token_index", "ls_index", "token_str").collect())
+        assert got == [(0, 2, "c"), (1, 3, "d"), (2, 3, "e"), (3, 3, "f"), (4, 7, "a"), (5, 7, "b")]
+        plan = numbered._jdf.queryExecution().executedPlan().toString()
+        assert "ShuffledHashJoin [ls_index#" in plan and "SortMergeJoin [ls_index#" not in plan
+    finally:
+        for key in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"):
+            spark.conf.unset(key)
