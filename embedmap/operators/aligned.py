@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from embedmap.operators.layout import SOFT, START_SCALE, _limit, curve, fuzzy_graph
+from embedmap.operators.layout import START_SCALE, fuzzy_graph, run_epochs
 from embedmap.operators.project import align_layouts, normalize_frame, project
 from embedmap.operators.ranking import assign_row_index
 from embedmap.session import store
@@ -31,7 +31,6 @@ def aligned_layouts(
     counterparts is laid out beside the others. Forces are summed per row and epoch as in ``graph_layout``, and
     a row is pushed by hashed rows of its own window.
     """
-    a, b = curve(min_dist)
     starts = align_layouts([project(w) for w in windows])
     dense = store(assign_row_index(starts.select("window", "ls_index", "x", "y"), [F.col("window"), F.col("ls_index")], "p"), "window-rows")
     ids = dense.select("window", "ls_index", "p")
@@ -46,25 +45,7 @@ def aligned_layouts(
     other = ids.withColumnsRenamed({"window": "_w", "p": "j"})
     apart = F.abs(F.col("window") - F.col("_w"))
     twins = ids.join(other, "ls_index").filter((apart > 0) & (apart <= reach)).select(F.col("p").alias("i"), "j", (pull * F.pow(F.lit(0.5), apart - 1)).alias("w"))
-    # edges of both kinds in one table, so an epoch joins once
+    # edges of both kinds in one table
     links = store(num.withColumn("twin", F.lit(False)).union(twins.withColumn("twin", F.lit(True))), "window-links")
-
-    def at(prefix: str, key: str, *extra: str) -> DataFrame:
-        return state.select(F.col("p").alias(key), F.col("x").alias(f"{prefix}x"), F.col("y").alias(f"{prefix}y"), *extra)
-
-    dx, dy = F.col("ix") - F.col("jx"), F.col("iy") - F.col("jy")
-    d2 = dx * dx + dy * dy
-    fall = 1.0 + a * F.pow(d2, F.lit(b))
-    edge = F.when(d2 > 0, 2.0 * a * b * F.pow(d2, F.lit(b - 1)) / fall).otherwise(0.0)
-    stiff = F.col("w") * F.when(F.col("twin"), F.greatest("deg", F.lit(SOFT))).otherwise(edge)
-    push = 2.0 * b / ((0.001 + d2) * fall)
-    for epoch in range(epochs):
-        rate = 1.0 - epoch / epochs
-        attract = links.join(at("i", "i", "deg"), "i").join(at("j", "j"), "j").select("i", (-stiff * dx).alias("fx"), (-stiff * dy).alias("fy"), stiff.alias("h"))
-        partner = F.col("first") + F.pmod(F.xxhash64("i", F.lit(epoch), F.col("s")), F.col("rows"))
-        others = at("i", "i", "deg", "first", "rows").withColumn("s", F.explode(F.sequence(F.lit(1), F.lit(repel)))).withColumn("j", partner)
-        others = others.filter("i <> j").join(at("j", "j"), "j").select("i", (F.col("deg") * _limit(push * dx)).alias("fx"), (F.col("deg") * _limit(push * dy)).alias("fy"), F.lit(0.0).alias("h"))
-        force = attract.union(others).groupBy(F.col("i").alias("p")).agg(*[F.sum(c).alias(c) for c in ("fx", "fy", "h")])
-        shift = lambda f, rate=rate: rate * _limit(F.coalesce(F.col(f) / (F.col("h") + SOFT), F.lit(0.0)))
-        state = store(state.join(force, "p", "left").select("p", (F.col("x") + shift("fx")).alias("x"), (F.col("y") + shift("fy")).alias("y"), "deg", "first", "rows"), "window-state")
+    state = run_epochs(state, links, dense.count(), epochs, min_dist, repel)
     return normalize_frame(state.join(ids, "p").select("window", "ls_index", "x", "y"), ["x", "y"])

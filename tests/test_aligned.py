@@ -2,7 +2,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from embedmap.operators.aligned import aligned_layouts
-from embedmap.operators.layout import graph_layout
+from embedmap.operators.layout import curve, graph_layout, run_epochs
 from embedmap.operators.project import align_layouts, normalize_frame, project
 
 
@@ -52,3 +52,41 @@ def test_windows_of_different_rows(spark):
     got = aligned_layouts([first, second], k=4, epochs=2)
     assert {(r.window, r["count"]) for r in got.groupBy("window").count().collect()} == {(0, 15), (1, 15)}
     assert got.filter(F.isnan("x") | F.isnan("y")).count() == 0
+
+
+def _by_hand(xy, deg, links, epochs, repel, partners):
+    a, b = curve(0.1)
+    for epoch in range(epochs):
+        force = np.zeros((len(xy), 3))
+        for i, j, w, twin in links:
+            d = xy[i] - xy[j]
+            d2 = float(d @ d)
+            stiff = w * (max(deg[i], 0.03) if twin else 2 * a * b * d2 ** (b - 1) / (1 + a * d2**b))
+            force[i] += [*(-stiff * d), stiff]
+        for i, s in np.ndindex(len(xy), repel):
+            j = partners[epoch, i, s + 1]
+            if j != i:
+                d = xy[i] - xy[j]
+                d2 = float(d @ d)
+                force[i, :2] += deg[i] * np.clip(2 * b / ((0.001 + d2) * (1 + a * d2**b)) * d, -4, 4)
+        xy = xy + (1 - epoch / epochs) * np.clip(force[:, :2] / (force[:, 2:] + 0.03), -4, 4)
+    return xy
+
+
+def test_epochs_in_blocks_give_the_forces_of_all_edges(spark):
+    rng = np.random.default_rng(5)
+    xy, deg = rng.normal(size=(12, 2)) * 3, np.zeros(12)
+    pairs = [(0, 1, 1.0), (1, 2, 0.5), (2, 5, 0.25), (3, 4, 1.0), (0, 11, 0.75), (6, 7, 0.5)]
+    links = [(i, j, w, False) for a, b, w in pairs for i, j in ((a, b), (b, a))] + [(8, 9, 0.5, True), (9, 8, 0.5, True), (1, 9, 0.5, True)]
+    for i, _, w, twin in links:
+        deg[i] += 0.0 if twin else w
+    # partners among the first eight or the last four rows
+    first, rows = [0] * 8 + [8] * 4, [8] * 8 + [4] * 4
+    state = spark.createDataFrame([(i, *map(float, xy[i]), float(deg[i]), first[i], rows[i]) for i in range(12)], "p long, x double, y double, deg double, first long, rows long")
+    each = state.crossJoin(spark.sql("SELECT e, s FROM VALUES (0), (1), (2) t(e), VALUES (1), (2) u(s)"))
+    each = each.select("e", "p", "s", (F.col("first") + F.pmod(F.xxhash64("p", "e", "s"), F.col("rows"))).alias("j")).collect()
+    expected = _by_hand(xy, deg, links, 3, 2, {(r.e, r.p, r.s): r.j for r in each})
+    edges = spark.createDataFrame(links, "i long, j long, w double, twin boolean")
+    for blocks in (1, 3, 5):
+        got = run_epochs(state, edges, 12, 3, 0.1, 2, blocks).orderBy("p").collect()
+        assert np.allclose([(r.x, r.y) for r in got], expected, atol=1e-9)
