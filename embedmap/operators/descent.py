@@ -13,7 +13,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
+from embedmap.functions.vectors import as_doubles, norm
 from embedmap.operators.knn import _clean, matrix, squared
 from embedmap.operators.ranking import top_per_group
 from embedmap.session import store
@@ -29,8 +31,24 @@ def _distances(v: np.ndarray, cosine: bool) -> np.ndarray:
     return d
 
 
+def _compact(vectors: DataFrame, reps: DataFrame, vector: str, cosine: bool) -> DataFrame:
+    """(ls_index, v, s) of the representatives, whose vectors are v / s; v is in single precision where that loses nothing.
+
+    Rows travel many times a round, and given vectors often are in single precision while normalized ones never are.
+    """
+    x = as_doubles(vector)
+    raw = vectors.select(F.col("ls_index").cast("long"), x.alias("v"), (norm(x) if cosine else F.lit(1.0)).alias("s"))
+    raw = store(raw.join(reps.select("ls_index"), "ls_index", "left_semi"), "compact-rows")
+    exact = raw.agg(F.bool_and(F.forall("v", lambda c: c.cast("float").cast("double") == c))).first()[0]
+    return raw.withColumn("v", F.col("v").cast("array<float>")) if exact else raw
+
+
+def _whole(v: pa.Array, s: np.ndarray) -> np.ndarray:
+    return matrix(v) / s[:, None]
+
+
 def _coded(rows: DataFrame, tables: int, bits: int, dims: int, seed: int) -> DataFrame:
-    """(ls_index, v, t, code): the signs of a table's random projections."""
+    """(ls_index, v, s, t, code): the signs of a table's random projections."""
     planes = np.random.default_rng(seed).normal(size=(dims, tables * bits))
     place = 1 << np.arange(bits, dtype=np.int64)
 
@@ -38,25 +56,25 @@ def _coded(rows: DataFrame, tables: int, bits: int, dims: int, seed: int) -> Dat
         for b in batches:
             if not b.num_rows:
                 continue
-            signs = (matrix(b.column("v")) @ planes > 0).reshape(b.num_rows, tables, bits)
+            signs = (_whole(b.column("v"), b.column("s").to_numpy()) @ planes > 0).reshape(b.num_rows, tables, bits)
             codes = (signs * place).sum(2).astype(np.int64)
             for t in range(tables):
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("ls_index"), b.column("v"), pa.array(np.full(b.num_rows, t, np.int32)), pa.array(codes[:, t])],
-                    names=["ls_index", "v", "t", "code"],
+                    [b.column("ls_index"), b.column("v"), b.column("s"), pa.array(np.full(b.num_rows, t, np.int32)), pa.array(codes[:, t])],
+                    names=["ls_index", "v", "s", "t", "code"],
                 )
 
-    return rows.mapInArrow(run, "ls_index long, v array<double>, t int, code long")
+    return rows.mapInArrow(run, f"ls_index long, v {rows.schema['v'].dataType.simpleString()}, s double, t int, code long")
 
 
 def _met(blocks: DataFrame, k: int, cosine: bool) -> DataFrame:
-    """Every row's k nearest within its block of (ids, vs)."""
+    """Every row's k nearest within its block of (ids, vs, ss)."""
 
     def run(batches):
         for b in batches:
             for i in range(b.num_rows):
                 ids = b.column("ids")[i].values.to_numpy(zero_copy_only=False)
-                d = _distances(matrix(b.column("vs")[i].values), cosine)
+                d = _distances(_whole(b.column("vs")[i].values, b.column("ss")[i].values.to_numpy(zero_copy_only=False)), cosine)
                 col = np.lexsort((np.broadcast_to(ids, d.shape), d), axis=1)[:, : min(k, len(ids) - 1)]
                 row = np.repeat(np.arange(len(ids)), col.shape[1])
                 col = col.ravel()
@@ -71,13 +89,14 @@ def _start(rows: DataFrame, n: int, dims: int, k: int, cosine: bool, tables: int
     sizes = coded.groupBy("t", "code").agg(F.count("*").alias("n"))
     parts = F.ceil(F.col("n") / BLOCK).cast("long")
     dealt = coded.join(sizes, ["t", "code"]).withColumn("part", F.pmod(F.xxhash64("ls_index", "t"), parts))
-    members = F.collect_list(F.struct("ls_index", "v")).alias("m")
-    blocks = dealt.groupBy("t", "code", "part").agg(members).select(F.col("m.ls_index").alias("ids"), F.col("m.v").alias("vs"))
+    members = F.collect_list(F.struct("ls_index", "v", "s")).alias("m")
+    blocks = dealt.groupBy("t", "code", "part").agg(members).select(F.col("m.ls_index").alias("ids"), F.col("m.v").alias("vs"), F.col("m.s").alias("ss"))
     return _met(blocks, k, cosine)
 
 
 def _lists(found: DataFrame, k: int) -> DataFrame:
-    once = found.groupBy("ls_index", "neighbor").agg(F.min("distance").alias("distance"), F.min("old").alias("old"))
+    # an entry of the list that is met again is not new
+    once = found.groupBy("ls_index", "neighbor").agg(F.min("distance").alias("distance"), F.max("old").alias("old"))
     return top_per_group(once, ["ls_index"], ["distance", "neighbor"], k)
 
 
@@ -89,19 +108,21 @@ def _improved(lists: DataFrame, rows: DataFrame, k: int, cosine: bool, turn: int
     back = lists.select(F.col("neighbor").alias("ls_index"), F.col("ls_index").alias("neighbor"), "old")
     back = top_per_group(back.withColumn("h", F.xxhash64("ls_index", "neighbor", F.lit(turn))), ["ls_index"], ["old", "h"], k)
     around = lists.select("ls_index", "neighbor", "old").union(back.select("ls_index", "neighbor", "old"))
-    around = around.groupBy(F.col("ls_index").alias("center"), "neighbor").agg(F.min("old").alias("old"))
+    # a center that lists no new entry, and is in no new one, has nothing to tell: its vectors stay where they are
+    around = around.select(F.col("ls_index").alias("center"), "neighbor", "old").repartition("center").groupBy("center", "neighbor").agg(F.min("old").alias("old"))
+    around = around.withColumn("all_old", F.min("old").over(W.partitionBy("center"))).filter("all_old = 0").drop("all_old")
     ends = lists.groupBy("ls_index").agg(F.when(F.count("*") == k, F.max("distance")).otherwise(F.lit(float("inf"))).alias("end"))
-    known = rows.join(ends, "ls_index").select(F.col("ls_index").alias("neighbor"), "v", "end")
-    members = F.collect_list(F.struct("neighbor", "v", "end", "old")).alias("m")
+    known = rows.join(ends, "ls_index").select(F.col("ls_index").alias("neighbor"), "v", "s", "end")
+    members = F.collect_list(F.struct("neighbor", "v", "s", "end", "old")).alias("m")
     # at most 2k rows a center
-    groups = around.join(known, "neighbor").groupBy("center").agg(members, F.min("old").alias("all_old")).filter("all_old = 0")
-    groups = groups.select(F.col("m.neighbor").alias("ids"), F.col("m.v").alias("vs"), F.col("m.end").alias("ends"), F.col("m.old").alias("old"))
+    groups = around.join(known, "neighbor").groupBy("center").agg(members)
+    groups = groups.select(F.col("m.neighbor").alias("ids"), F.col("m.v").alias("vs"), F.col("m.s").alias("ss"), F.col("m.end").alias("ends"), F.col("m.old").alias("old"))
 
     def run(batches):
         for b in batches:
             for i in range(b.num_rows):
-                ids, ends, old = (b.column(c)[i].values.to_numpy(zero_copy_only=False) for c in ("ids", "ends", "old"))
-                d = _distances(matrix(b.column("vs")[i].values), cosine)
+                ids, sizes, ends, old = (b.column(c)[i].values.to_numpy(zero_copy_only=False) for c in ("ids", "ss", "ends", "old"))
+                d = _distances(_whole(b.column("vs")[i].values, sizes), cosine)
                 # pairs of two entries that were there in an earlier round have met already
                 row, col = np.nonzero((d < ends[:, None]) & ((old[:, None] == 0) | (old[None, :] == 0)))
                 if len(row):
@@ -128,10 +149,11 @@ def neighbor_descent(
     copies = store(top_per_group(clean, ["v"], ["ls_index"], k + 1).drop("rank"), "copies")
     reps = store(copies.groupBy("v").agg(F.min("ls_index").alias("ls_index")).select("ls_index", "v"), "distinct-rows")
     n = reps.count()
-    first = _start(reps, n, size.dims, k, cosine, tables, seed).withColumn("old", F.lit(0))
+    rows = _compact(vectors, reps, vector, cosine)
+    first = _start(rows, n, size.dims, k, cosine, tables, seed).withColumn("old", F.lit(0))
     lists = store(_lists(first, k), "neighbor-lists")
     for turn in range(rounds):
-        better = _improved(lists, reps, k, cosine, turn).withColumn("old", F.lit(0))
+        better = _improved(lists, rows, k, cosine, turn).withColumn("old", F.lit(0))
         before = lists.select("ls_index", "neighbor", "distance", F.lit(1).alias("old"))
         lists = store(_lists(before.unionByName(better), k), "neighbor-lists")
         if lists.filter("old = 0").count() <= until * n * k:

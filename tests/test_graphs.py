@@ -124,3 +124,16 @@ def test_a_ready_neighbour_table_is_used(spark):
             by.setdefault(r.raw_cluster, set()).add(r.ls_index % 3)
         assert all(len(x) == 1 for c, x in by.items() if c >= 0)
     assert LY.fuzzy_graph(v, 6, near=near).count() == LY.fuzzy_graph(v, 6).count()
+
+
+def test_entry_met_again_is_not_new(spark):
+    found = spark.createDataFrame([(1, 2, 0.5, 1), (1, 2, 0.5, 0), (1, 3, 0.7, 0)], "ls_index long, neighbor long, distance double, old int")
+    assert [(r.neighbor, r.old) for r in D._lists(found, 5).orderBy("rank").collect()] == [(2, 1), (3, 0)]
+
+
+def test_compact_vectors_lose_nothing(spark):
+    for rows, kind in (([[0.5, 1.25], [3.0, -4.0]], "array<float>"), ([[0.1, 0.2], [3.0, -4.0]], "array<double>")):
+        got = D._compact(table(spark, rows), table(spark, rows), "vector", True)
+        assert got.schema["v"].dataType.simpleString() == kind
+        for r in got.collect():
+            assert [x / r.s for x in r.v] == [x / np.sqrt(np.square(rows[r.ls_index]).sum()) for x in rows[r.ls_index]]
