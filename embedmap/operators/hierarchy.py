@@ -25,7 +25,7 @@ from pyspark.sql.window import Window as W
 
 from embedmap.operators.cluster import _renumber, _roots, connected_components, map_axes
 from embedmap.operators.knn import knn_join
-from embedmap.session import store
+from embedmap.session import cut_lineage, store
 
 PROBLEM_EDGES = 200_000
 ID_BITS = 40  # row ids lie below this power of two, problems above
@@ -216,6 +216,25 @@ def _alone(df: DataFrame, run, schema: str) -> DataFrame:
     return df.coalesce(1).mapInPandas(rows, schema)
 
 
+def _as_of(events: DataFrame, tree: DataFrame) -> DataFrame:
+    """(spot, w, size, cluster): the cluster that is called ``parent`` at the weight of an event.
+
+    The name of the largest cluster has most events and most clusters, whose pairs grow with the square of the points. So
+    both are put in order of name and weight and cut into ranges; a range that begins within a name takes over its last cluster.
+    """
+    named = tree.select(F.col("name").alias("parent"), F.col("since").alias("w"), F.lit(0).alias("late"), "cluster", F.lit(None).cast("long").alias("spot"), F.lit(None).cast("long").alias("size"))
+    rows = named.unionByName(events.select("parent", "w", F.lit(1).alias("late"), F.lit(None).cast("long").alias("cluster"), "spot", "size"))
+    cut = cut_lineage(rows.repartitionByRange("parent", "w", "late").withColumn("_range", F.spark_partition_id()))
+    upto = W.partitionBy("_range", "parent").orderBy("w", "late", "cluster").rowsBetween(W.unboundedPreceding, 0)
+    local = cut.withColumn("_own", F.last("cluster", ignorenulls=True).over(upto)).filter("late = 1")
+    ends = cut.groupBy("_range", "parent").agg(F.max(F.when(F.col("late") == 0, F.struct("w", "cluster"))).alias("e"))
+    # one row per range of a name, so at most the number of partitions in one window
+    before = W.partitionBy("parent").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    carried = ends.select("_range", "parent", F.last("e.cluster", ignorenulls=True).over(before).alias("_before"))
+    found = local.join(carried, ["_range", "parent"]).select("spot", "w", "size", F.coalesce("_own", "_before").alias("cluster"))
+    return found.filter("cluster IS NOT NULL")
+
+
 def hierarchical_clusters(
     points: DataFrame, min_cluster_size: int = 5, min_samples: int = 5, neighbors: int | None = None, problem_edges: int = PROBLEM_EDGES
 ) -> DataFrame:
@@ -243,9 +262,7 @@ def hierarchical_clusters(
     tree = _alone(steps.filter("kind = 'm'").select("w", "child", "parent", "size", "big"), _tree, "name long, since double, cluster long, up long, start double, held long")
     tree = store(tree, "cluster-tree")
     events = steps.filter("kind = 'e'").select(F.col("child").alias("spot"), "parent", "w", "size")
-    last = F.max(F.struct("since", "cluster")).alias("t")
-    joined = events.join(tree.select(F.col("name").alias("parent"), "since", "cluster"), "parent").filter(F.col("since") <= F.col("w"))
-    joined = store(joined.groupBy("spot", "w", "size").agg(last).select("spot", "w", "size", "t.cluster"), "joined-points")
+    joined = store(_as_of(events, tree), "joined-points")
     mass = joined.groupBy("cluster").agg(F.sum(F.col("size") * _density(F.col("w"))).alias("mass"), F.sum("size").alias("points"))
     clusters = tree.select("cluster", "up", "start", "held").distinct().join(mass, "cluster", "left").fillna(0)
     chosen = store(_alone(clusters, _choice, "cluster long, chosen long"), "chosen")

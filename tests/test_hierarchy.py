@@ -112,3 +112,17 @@ def test_small_and_empty_maps_are_noise(spark):
     assert H.hierarchical_clusters(spark.createDataFrame([], SCHEMA)).collect() == []
     rows = spark.createDataFrame([(0, None, 1.0, "c"), (1, 1.0, None, "c")], SCHEMA)
     assert {r.raw_cluster for r in H.hierarchical_clusters(rows).collect()} == {-1}
+
+
+def test_events_meet_the_cluster_of_their_weight_without_all_pairs(spark):
+    rng = np.random.default_rng(3)
+    names = [(n, w, 100 * n + w) for n in (1, 2, 3) for w in sorted(rng.choice(400, 150, replace=False).tolist())]
+    events = [(i, int(rng.integers(1, 5)), float(rng.integers(0, 400)), i % 4 + 1) for i in range(900)]
+    tree = spark.createDataFrame([(n, float(w), c) for n, w, c in names], "name long, since double, cluster long")
+    found = H._as_of(spark.createDataFrame(events, "spot long, parent long, w double, size long").repartition(7), tree)
+    expected = {}
+    for spot, parent, w, size in events:
+        below = [(s, c) for n, s, c in names if n == parent and s <= w]
+        if below:
+            expected[spot] = (w, size, max(below)[1])
+    assert {r.spot: (r.w, r.size, r.cluster) for r in found.collect()} == expected
