@@ -23,6 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -262,22 +263,38 @@ def _wide_parts(rows: int, dims: int) -> int:
     return max(1, min(WIDE_PARTS, rows // BLOCK_ROWS), math.ceil(rows * dims * 8 / BLOCK_BYTES))
 
 
-def match_wide(left: DataFrame, left_parts: int, right: DataFrame, right_parts: int, k: int, cosine: bool) -> DataFrame:
-    """(ls_index, neighbor, distance, rank) over all pairs of (ls_index, v) and (ids, v), every two blocks in a task."""
+def _dealt(left: DataFrame, left_parts: int, right: DataFrame, right_parts: int) -> DataFrame:
+    """(pair, ids, v, asks): every two blocks of (ls_index, v) and (ids, v), ``asks`` for the left one.
+
+    A pair of blocks is a partition by its number, so no task gets two pairs while others get none, and no rows are sorted.
+    """
     every = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
     part = lambda c, parts: F.pmod(F.xxhash64(c), F.lit(parts)).cast("int")
-    lside = left.select(part("ls_index", left_parts).alias("l"), every(right_parts).alias("r"), "ls_index", "v").groupBy("l", "r")
-    rside = right.select(every(left_parts).alias("l"), part("ids", right_parts).alias("r"), "ids", "v").groupBy("l", "r")
-
-    def run(lt: pa.Table, rt: pa.Table) -> pa.Table:
-        found = []
-        if lt.num_rows and rt.num_rows:
-            first, flat = _copies(rt.column("ids").combine_chunks())
-            pairs = _wide_pairs(matrix(lt.column("v")), matrix(rt.column("v")), k, cosine, flat[first[:-1]])
-            found = list(_named(pairs, lt.column("ls_index").to_numpy(), first, flat, k))
-        return pa.Table.from_batches(found, pa.schema([("ls_index", pa.int64()), ("neighbor", pa.int64()), ("distance", pa.float64())]))
-
-    return top_per_group(lside.cogroup(rside).applyInArrow(run, FOUND), ["ls_index"], ["distance", "neighbor"], k)
+    lside = left.select(part("ls_index", left_parts).alias("l"), every(right_parts).alias("r"), F.array("ls_index").alias("ids"), "v", F.lit(True).alias("asks"))
+    rside = right.select(every(left_parts).alias("l"), part("ids", right_parts).alias("r"), "ids", "v", F.lit(False).alias("asks"))
+    pair = (F.col("l") * right_parts + F.col("r")).cast("int").alias("pair")
+    return lside.unionByName(rside).select(pair, "ids", "v", "asks").repartitionById(left_parts * right_parts, F.col("pair"))
+
+
+def match_wide(left: DataFrame, left_parts: int, right: DataFrame, right_parts: int, k: int, cosine: bool) -> DataFrame:
+    """(ls_index, neighbor, distance, rank) over all pairs of (ls_index, v) and (ids, v), every two blocks in a task."""
+
+    def run(batches):
+        sides = {True: [], False: []}
+        for b in batches:
+            for asks, rows in sides.items():
+                own = b.select(["ids", "v"]).filter(b.column("asks") if asks else pc.invert(b.column("asks")))
+                if own.num_rows:
+                    rows.append(own)
+        if not sides[True] or not sides[False]:
+            return
+        lt, rt = (pa.Table.from_batches(sides.pop(asks)) for asks in (True, False))
+        lid, (first, flat) = _copies(lt.column("ids").combine_chunks())[1], _copies(rt.column("ids").combine_chunks())
+        lv, rv = matrix(lt.column("v")), matrix(rt.column("v"))
+        del lt, rt
+        yield from _named(_wide_pairs(lv, rv, k, cosine, flat[first[:-1]]), lid, first, flat, k)
+
+    return top_per_group(_dealt(left, left_parts, right, right_parts).mapInArrow(run, FOUND), ["ls_index"], ["distance", "neighbor"], k)
 
 
 @dataclass

@@ -212,3 +212,12 @@ def test_neighbors_clamped_to_map(spark):
     assert [r[0] for r in S.neighbors_of(pts, 1, 10).collect()] == [0, 2]
     near = S.closest_on_map(pts.withColumn("x", F.col("x") / 100), 0.0, 0.0).collect()
     assert [r[0] for r in near] == [0, 1, 2]
+
+
+def test_each_pair_of_blocks_is_a_task_of_its_own(spark):
+    m = np.random.default_rng(9).normal(size=(400, 20))
+    left = frame(spark, m).selectExpr("cast(ls_index as long) AS ls_index", "vector AS v")
+    right = left.selectExpr("array(ls_index) AS ids", "v")
+    at = K._dealt(left, 3, right, 5).withColumn("task", F.spark_partition_id())
+    pairs = at.groupBy("task").agg(F.count_distinct("pair").alias("pairs"), F.count_if("asks").alias("n")).collect()
+    assert len(pairs) == 15 and all(r.pairs == 1 for r in pairs) and sum(r.n for r in pairs) == 5 * 400
