@@ -27,22 +27,25 @@ def modularity(both: DataFrame, state: DataFrame, resolution: float = 1.0) -> fl
     return r.inside / r.m2 - resolution * r.kk / r.m2**2 if r.m2 else 0.0
 
 
-def _moved(both: DataFrame, degrees: DataFrame, state: DataFrame, m2: float, resolution: float, turn: int) -> DataFrame:
-    """The communities after one sweep."""
-    near = both.filter("a <> b").join(state.select(F.col("node").alias("b"), "c"), "b")
-    into = near.groupBy(F.col("a").alias("node"), "c").agg(F.sum("w").alias("w"))
-    own = degrees.join(state, "node")
-    total = own.groupBy("c").agg(F.sum("k").alias("total"))
+def _moved(both: DataFrame, state: DataFrame, m2: float, resolution: float, turn: int) -> DataFrame:
+    """(node, c, k, inside, total): the communities after one sweep over (node, c, k), k a node's weight.
+
+    ``inside`` is the weight of a node's edges into its community before the sweep, ``total`` that community's weight, so the
+    same pass over the edges tells the modularity before the sweep.
+    """
+    total = state.groupBy("c").agg(F.sum("k").alias("total"))
+    placed = state.select("node", "c", "k").join(total, "c")
+    near = both.filter("a <> b").join(placed.select(F.col("node").alias("b"), "c", "total"), "b")
+    into = near.repartition("a").groupBy(F.col("a").alias("node"), F.col("c").alias("to")).agg(F.sum("w").alias("w"), F.max("total").alias("rest"))
     turns = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(2)) == 0
-    mine = own.filter(turns).select("node", "k", F.col("c").alias("now"))
+    gain = lambda w, rest: w - resolution * F.col("k") * rest / m2
+    offer = F.when(F.col("to") != F.col("c"), F.struct(gain(F.col("w"), F.col("rest")).alias("g"), (-F.col("to")).alias("c")))
+    inside = F.sum(F.when(F.col("to") == F.col("c"), F.col("w")).otherwise(0.0)).alias("inside")
+    found = placed.join(into, "node", "left").groupBy("node", "c", "k", "total").agg(inside, F.max(offer).alias("other"))
     # staying is an offer as well, also for a node without an edge into its community
-    offers = into.join(mine.select("node"), "node", "left_semi").unionByName(mine.select("node", F.col("now").alias("c"), F.lit(0.0).alias("w")))
-    offers = offers.groupBy("node", "c").agg(F.sum("w").alias("w")).join(mine, "node").join(total, "c")
-    stays = F.col("c") == F.col("now")
-    rest = F.col("total") - F.when(stays, F.col("k")).otherwise(0.0)
-    gain = F.col("w") - resolution * F.col("k") * rest / m2 + F.when(stays, GAIN).otherwise(0.0)
-    best = offers.groupBy("node").agg(F.max(F.struct(gain.alias("g"), (-F.col("c")).alias("c"))).alias("b"))
-    return state.join(best, "node", "left").select("node", F.coalesce(-F.col("b.c"), "c").alias("c"))
+    stay = F.struct((gain(F.col("inside"), F.col("total") - F.col("k")) + GAIN).alias("g"), (-F.col("c")).alias("c"))
+    moved = F.when(turns, -F.greatest(stay, F.coalesce("other", stay))["c"]).otherwise(F.col("c"))
+    return found.select("node", moved.alias("c"), "k", "inside", "total")
 
 
 def community_levels(edges: DataFrame, nodes: DataFrame, resolution: float = 1.0, sweeps: int = 20, most: int = 20) -> DataFrame:
@@ -59,16 +62,21 @@ def community_levels(edges: DataFrame, nodes: DataFrame, resolution: float = 1.0
     levels = []
     m2 = both.agg(F.sum("w")).first()[0] or 0.0
     while m2 and len(levels) < most:
-        degrees = store(both.groupBy(F.col("a").alias("node")).agg(F.sum("w").alias("k")), "degrees")
-        state = store(degrees.select("node", F.col("node").alias("c")), "communities")
-        start = best = modularity(both, state, resolution)
-        kept, idle = state, 0
-        for turn in range(sweeps):
-            state = store(_moved(both, degrees, state, m2, resolution, turn), "communities")
-            now = modularity(both, state, resolution)
-            kept, best, idle = (state, now, 0) if now > best + GAIN else (kept, best, idle + 1)
+        loops = both.filter("a = b").agg(F.sum("w")).first()[0] or 0.0
+        state = store(both.groupBy(F.col("a").alias("node")).agg(F.sum("w").alias("k")).withColumn("c", F.col("node")), "communities")
+        kept, start, best, idle = state, None, None, 0
+        # a sweep tells the modularity of what it began with, so one more is made than is used
+        for turn in range(sweeps + 1):
+            later = store(_moved(both, state, m2, resolution, turn), "communities")
+            r = later.agg(F.sum("inside").alias("inside"), F.sum(F.col("k") * F.col("total")).alias("kk")).first()
+            now = (r.inside + loops) / m2 - resolution * r.kk / m2**2
+            if start is None:
+                start = best = now
+            else:
+                kept, best, idle = (state, now, 0) if now > best + GAIN else (kept, best, idle + 1)
             if idle == 2:  # either half of the nodes had its turn
                 break
+            state = later
         if best <= start + GAIN:
             break
         # named by the lowest node; the nodes of later levels are such names already

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from embedmap.operators import communities as C
 from embedmap.operators import descent as D
@@ -75,6 +76,19 @@ def test_levels_are_nested_and_modularity_rises(spark):
         assert all(len(x) == 1 for x in inside.values())
 
 
+def test_a_sweep_tells_the_modularity_it_began_with(spark):
+    rng = np.random.default_rng(8)
+    pairs = {(int(a), int(b)) for a, b in rng.integers(0, 30, (90, 2)) if a < b}
+    rows = [(a, b, 1.0 + a % 3) for a, b in pairs]
+    both = spark.createDataFrame(rows + [(b, a, w) for a, b, w in rows] + [(99, 99, 4.0)], "a long, b long, w double")
+    state = both.groupBy(F.col("a").alias("node")).agg(F.sum("w").alias("k")).withColumn("c", F.col("node") % 7)
+    m2 = both.agg(F.sum("w")).first()[0]
+    got = C._moved(both, state, m2, 1.0, 0)
+    r = got.agg(F.sum("inside").alias("inside"), F.sum(F.col("k") * F.col("total")).alias("kk")).first()
+    assert (r.inside + 4.0) / m2 - r.kk / m2**2 == pytest.approx(C.modularity(both, state), abs=1e-12)
+    assert got.count() == state.count() and C.modularity(both, got) > C.modularity(both, state)
+
+
 def test_planted_topics(spark):
     rng = np.random.default_rng(3)
     topic = np.repeat(np.arange(4), 60)
