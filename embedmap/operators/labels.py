@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from embedmap.functions.scalars import clean_label, display_token
 from embedmap.operators.ranking import nearest_to_centroid, token_budget, top_per_group
-from embedmap.session import spread
+from embedmap.session import spread, store
 
 # fixed values: the common English stop words list
 STOP_WORDS = """
@@ -34,12 +34,15 @@ def token_labels(tokens: DataFrame) -> DataFrame:
 
     The five most frequent tokens are cleaned, repeated names removed, and the first three kept;
     a cluster without any gets its number. Ties go to the lower token. Where ``raw_cluster`` is
-    given, the noise cluster keeps its own name.
+    given, the noise cluster keeps its own name. Tokens are read once.
     """
     noise = F.bool_or(F.col("raw_cluster") == -1) if "raw_cluster" in tokens.columns else F.lit(False)
-    sizes = tokens.groupBy("cluster").agg(F.count("*").alias("n"), noise.alias("noise"))
-    counts = tokens.filter("char_start >= 0").groupBy("cluster", "token_str").agg(F.count("*").alias("n"))
-    top = top_per_group(counts, ["cluster"], [F.col("n").desc(), F.col("token_str").asc()], 5)
+    counts = tokens.groupBy("cluster", "token_str").agg(
+        F.count("*").alias("every"), F.count_if(F.col("char_start") >= 0).alias("n"), noise.alias("noise")
+    )
+    counts = store(counts, "token-counts")
+    sizes = counts.groupBy("cluster").agg(F.sum("every").alias("n"), F.bool_or("noise").alias("noise"))
+    top = top_per_group(counts.filter("n > 0").select("cluster", "token_str", "n"), ["cluster"], [F.col("n").desc(), F.col("token_str").asc()], 5)
     # at most five rows per cluster
     lists = top.groupBy("cluster").agg(F.array_sort(F.collect_list(F.struct("rank", "token_str"))).alias("top"))
     names = F.filter(

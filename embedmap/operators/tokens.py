@@ -38,14 +38,15 @@ def _pieces(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
 
 def tokenize(
     docs: DataFrame, text: str, tokenizer: Callable[[str], list[tuple[str, int, int]]] = letter_runs,
-    prefix: str = "", skip: list[str] | None = None,
+    prefix: str = "", skip: list[str] | None = None, keep: list[str] | None = None,
 ) -> DataFrame:
     """(ls_index, token_pos, token_str, char_start, char_end), spans 0-based and half-open.
 
     ``tokenizer`` returns (token, start, end) triples of a text; tokens in ``skip`` are dropped
-    before positions are given. Spans refer to the text without the prefix.
+    before positions are given. Spans refer to the text without the prefix. Tokens also carry
+    their document's columns named in ``keep``, so that they need no join.
     """
-    drop = set(skip or [])
+    drop, carried = set(skip or []), keep or []
 
     def run(batches):
         for b in (piece for whole in batches for piece in _pieces(whole, "t")):
@@ -59,17 +60,20 @@ def tokenize(
                     ends.append(end)
             sizes = np.array(sizes, dtype=np.int64)
             first = np.repeat(np.cumsum(sizes) - sizes, sizes)
+            doc = pa.array(np.repeat(np.arange(len(sizes)), sizes))
             yield pa.RecordBatch.from_arrays(
                 [
-                    b.column("ls_index").take(pa.array(np.repeat(np.arange(len(sizes)), sizes))),
+                    b.column("ls_index").take(doc),
                     pa.array((np.arange(len(names)) - first).astype(np.int32)),
                     pa.array(names, pa.string()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32()),
+                    *[b.column(c).take(doc) for c in carried],
                 ],
-                names=["ls_index", "token_pos", "token_str", "char_start", "char_end"],
+                names=["ls_index", "token_pos", "token_str", "char_start", "char_end", *carried],
             )
 
-    ready = spread(docs).select(F.col("ls_index").cast("long"), prepare_text(text, prefix).alias("t"))
-    out = ready.mapInArrow(run, "ls_index long, token_pos int, token_str string, char_start int, char_end int")
+    ready = spread(docs).select(F.col("ls_index").cast("long"), prepare_text(text, prefix).alias("t"), *carried)
+    kinds = "".join(f", `{c}` {ready.schema[c].dataType.simpleString()}" for c in carried)
+    out = ready.mapInArrow(run, f"ls_index long, token_pos int, token_str string, char_start int, char_end int{kinds}")
     return shift_prefix(out, len(prefix)) if prefix else out
 
 

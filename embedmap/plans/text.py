@@ -216,11 +216,11 @@ def lab2(spark, sf):
 
     docs = X.documents(spark, sf)
     # one source plays the noise cluster; every token carries its document's cluster
-    raw = docs.select("ls_index", F.when(F.col("source") == "src3", -1).otherwise(0).alias("raw_cluster"))
+    raw = F.when(F.col("source") == "src3", -1).otherwise(0).alias("raw_cluster")
     cluster = column_clusters(docs, "source").withColumnRenamed("raw_cluster", "cluster")
-    # labels need no token numbers
-    tokens = TK.tokenize(docs, "text").select("ls_index", "token_str", "char_start")
-    return L.token_labels(tokens.join(cluster, "ls_index").join(raw, "ls_index"))
+    # documents meet their cluster once, in a hash of the numbers, and hand it to their many tokens
+    placed = docs.select("ls_index", "text", raw).join(cluster.hint("shuffle_hash"), "ls_index")
+    return L.token_labels(TK.tokenize(placed, "text", keep=["cluster", "raw_cluster"]))
 
 
 STOP_SQL = ", ".join("'" + w.replace("'", "''") + "'" for w in L.STOP_WORDS)

@@ -37,3 +37,21 @@ def test_tokens_are_numbered_without_sorting_them(spark):
     finally:
         for key in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"):
             spark.conf.unset(key)
+
+
+def test_tokens_carry_columns_and_labels_read_them_once(spark):
+    from embedmap.operators.labels import token_labels
+
+    docs = spark.createDataFrame([(1, "a b a", 0, -1), (2, "", 0, -1), (3, "c", 1, 0)], "ls_index long, text string, cluster int, raw_cluster int")
+    seen = spark.sparkContext.accumulator(0)
+
+    def once(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    tokens = TK.tokenize(docs, "text", keep=["cluster", "raw_cluster"])
+    rows = [(r.ls_index, r.token_pos, r.token_str, r.cluster, r.raw_cluster) for r in tokens.orderBy("ls_index", "token_pos").collect()]
+    assert rows == [(1, 0, "a", 0, -1), (1, 1, "b", 0, -1), (1, 2, "a", 0, -1), (3, 0, "c", 1, 0)]
+    got = {r.cluster: r.label for r in token_labels(tokens.mapInArrow(once, tokens.schema)).collect()}
+    assert got == {0: "Unclustered", 1: "c"} and seen.value == 4
