@@ -96,3 +96,13 @@ def test_vector_functions(spark):
 def test_drop_binary_columns(spark):
     df = spark.sql("SELECT 1 AS a, X'00' AS b, named_struct('bytes', X'00', 'path', 'p') AS c, array(1) AS d")
     assert S.drop_binary_columns(df).columns == ["a", "d"]
+
+
+def test_letter_counts_of_many_texts_at_once():
+    import numpy as np
+
+    from embedmap.plans.text import LETTERS, _letter_counts
+
+    texts = ["", "Abba", "zZ\u0130i \u212a", "\u03a3\u03a3 \u00e9a", "\U0001d400b", "x" * 1000]
+    got = _letter_counts()(texts)
+    assert got.dtype == np.float32 and got.tolist() == [[t.lower().count(c) for c in LETTERS] for t in texts]
