@@ -21,6 +21,7 @@ from embedmap.operators.ranking import top_per_group
 from embedmap.session import store
 
 BLOCK = 128  # rows that meet at once in a start table
+CENTERS = 256  # groups of a round whose pairs leave a task together
 FOUND = "ls_index long, neighbor long, distance double"
 
 
@@ -100,6 +101,24 @@ def _lists(found: DataFrame, k: int) -> DataFrame:
     return top_per_group(once, ["ls_index"], ["distance", "neighbor"], k)
 
 
+def _nearer(b: pa.RecordBatch, cosine: bool) -> pa.RecordBatch:
+    """Pairs of one row of (ids, vs, ss, ends, old) that are nearer than the first one's end; arrays hold many rows, distances one."""
+    ids, sizes, ends, old = (b.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("ids", "ss", "ends", "old"))
+    v = _whole(b.column("vs").flatten(), sizes)
+    edges = np.cumsum([0, *b.column("ids").value_lengths().to_pylist()])
+    rows, cols, far = [], [], []
+    for s, e in zip(edges, edges[1:]):
+        d = _distances(v[s:e], cosine)
+        new = old[s:e] == 0
+        # pairs of two entries that were there in an earlier round have met already
+        row, col = np.nonzero((d < ends[s:e, None]) & (new[:, None] | new[None, :]))
+        rows.append(row + s)
+        cols.append(col + s)
+        far.append(d[row, col])
+    row, col, distance = (np.concatenate(x) for x in (rows, cols, far))
+    return pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(ids[col]), pa.array(distance)], names=["ls_index", "neighbor", "distance"])
+
+
 def _improved(lists: DataFrame, rows: DataFrame, k: int, cosine: bool, turn: int) -> DataFrame:
     """(ls_index, neighbor, distance) nearer than the end of the list, among the neighbours of one row.
 
@@ -119,14 +138,10 @@ def _improved(lists: DataFrame, rows: DataFrame, k: int, cosine: bool, turn: int
     groups = groups.select(F.col("m.neighbor").alias("ids"), F.col("m.v").alias("vs"), F.col("m.s").alias("ss"), F.col("m.end").alias("ends"), F.col("m.old").alias("old"))
 
     def run(batches):
-        for b in batches:
-            for i in range(b.num_rows):
-                ids, sizes, ends, old = (b.column(c)[i].values.to_numpy(zero_copy_only=False) for c in ("ids", "ss", "ends", "old"))
-                d = _distances(_whole(b.column("vs")[i].values, sizes), cosine)
-                # pairs of two entries that were there in an earlier round have met already
-                row, col = np.nonzero((d < ends[:, None]) & ((old[:, None] == 0) | (old[None, :] == 0)))
-                if len(row):
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(ids[col]), pa.array(d[row, col])], names=["ls_index", "neighbor", "distance"])
+        for b in (whole.slice(s, CENTERS) for whole in batches for s in range(0, whole.num_rows, CENTERS)):
+            found = _nearer(b, cosine)
+            if found.num_rows:
+                yield found
 
     return groups.mapInArrow(run, FOUND)
 

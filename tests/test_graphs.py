@@ -151,3 +151,21 @@ def test_compact_vectors_lose_nothing(spark):
         assert got.schema["v"].dataType.simpleString() == kind
         for r in got.collect():
             assert [x / r.s for x in r.v] == [x / np.sqrt(np.square(rows[r.ls_index]).sum()) for x in rows[r.ls_index]]
+
+
+def test_pairs_of_many_centers_leave_together():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    m = rng.normal(size=(9, 6))
+    groups = [[0, 1, 2, 3], [4], [5, 6, 7, 8, 0]]
+    ends, old = rng.uniform(2, 4, 9), rng.integers(0, 2, 9)
+    pick = lambda x: [[x[i] for i in g] for g in groups]
+    kinds = [pa.list_(pa.int64()), pa.list_(pa.list_(pa.float64())), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.list_(pa.int32())]
+    columns = (list(range(9)), (m * 2.0).tolist(), [2.0] * 9, ends.tolist(), old.tolist())
+    whole = pa.RecordBatch.from_arrays([pa.array(pick(c), t) for c, t in zip(columns, kinds)], names=["ids", "vs", "ss", "ends", "old"])
+    for part, some in ((whole, groups), (whole.slice(1), groups[1:])):
+        want = {(a, b) for g in some for a in g for b in g if a != b and np.linalg.norm(m[a] - m[b]) < ends[a] and not (old[a] and old[b])}
+        got = D._nearer(part, False)
+        assert want and set(zip(got.column("ls_index").to_pylist(), got.column("neighbor").to_pylist())) == want
+        assert got.column("distance").to_pylist() == pytest.approx([np.linalg.norm(m[a] - m[b]) for a, b in zip(got.column("ls_index").to_pylist(), got.column("neighbor").to_pylist())])
