@@ -10,6 +10,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from embedmap.functions.scalars import prepare_text
 from embedmap.operators.joins import scope_join
@@ -19,6 +20,8 @@ from embedmap.session import spread, store
 # fixed values: a default token is a run of letters
 LETTER_RUN = r"\p{L}+"
 PIECE_BYTES = 2**20  # text whose tokens are held at a time
+# numbers that grow from row to row take the bits of their steps
+TOKEN_FILES = {"parquet.writer.version": "v2", "compression": "zstd"}
 
 
 def letter_runs(text: str) -> list[tuple[str, int, int]]:
@@ -84,17 +87,82 @@ def shift_prefix(tokens: DataFrame, length: int) -> DataFrame:
     return tokens.withColumns({"char_start": move("char_start"), "char_end": move("char_end")})
 
 
+def _steps(column: pa.Array, back: bool = False) -> pa.Array:
+    """Whole numbers as steps from row to row, which pack well, and ``back``; other columns as they are."""
+    if not pa.types.is_integer(column.type) or column.null_count:
+        return column
+    values = column.to_numpy()
+    with np.errstate(over="ignore"):
+        return pa.array(np.cumsum(values, dtype=values.dtype) if back else np.diff(values, prepend=values.dtype.type(0)))
+
+
+def _pack(tokens: DataFrame) -> DataFrame:
+    """(ls_index, num_tokens, size, rows): consecutive tokens of a document as one compressed value of ``size`` bytes."""
+
+    def run(batches):
+        codec = pa.Codec("zstd")
+        for b in batches:
+            key = b.column("ls_index")
+            edge = pc.fill_null(pc.not_equal(key[1:], key[:-1]), True).to_numpy(zero_copy_only=False) if len(key) else []
+            first = np.concatenate(([0], np.flatnonzero(edge) + 1, [len(key)])) if len(key) else np.zeros(1, np.int64)
+            rest, sizes, packed = b.drop_columns("ls_index"), [], []
+            for lo, hi in zip(first[:-1].tolist(), first[1:].tolist()):
+                part = rest.slice(lo, hi - lo)
+                part = pa.RecordBatch.from_arrays([_steps(c) for c in part.columns], names=part.schema.names)
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, part.schema) as out:
+                    out.write_batch(part)
+                raw = sink.getvalue()
+                sizes.append(raw.size)
+                packed.append(codec.compress(raw, asbytes=True))
+            yield pa.RecordBatch.from_arrays(
+                [key.take(pa.array(first[:-1])), pa.array(np.diff(first)), pa.array(sizes, pa.int64()), pa.array(packed, pa.binary())],
+                names=["ls_index", "num_tokens", "size", "rows"],
+            )
+
+    kind = tokens.schema["ls_index"].dataType.simpleString()
+    return tokens.mapInArrow(run, f"ls_index {kind}, num_tokens long, size long, rows binary")
+
+
+def _unpack(packed: DataFrame, kinds: StructType) -> DataFrame:
+    """(token_index, columns of ``kinds``) of packed tokens that carry their document's ``first_token``."""
+
+    def run(batches):
+        codec = pa.Codec("zstd")
+
+        def rows(found):
+            return pa.Table.from_batches(found).combine_chunks().to_batches()
+
+        for b in batches:
+            found, held = [], 0
+            for i in range(b.num_rows):
+                raw = codec.decompress(b.column("rows")[i].as_buffer(), b.column("size")[i].as_py())
+                part = pa.ipc.open_stream(raw).read_next_batch()
+                own = dict(zip(part.schema.names, (_steps(c, back=True) for c in part.columns), strict=True))
+                own["ls_index"] = b.column("ls_index").take(pa.array(np.full(part.num_rows, i)))
+                index = pc.add(own["token_pos"].cast(pa.int64()), b.column("first_token")[i])
+                found.append(pa.RecordBatch.from_arrays([index, *[own[c] for c in kinds.names]], names=["token_index", *kinds.names]))
+                held += raw.size
+                if held > PIECE_BYTES:
+                    yield from rows(found)
+                    found, held = [], 0
+            if found:
+                yield from rows(found)
+
+    return packed.mapInArrow(run, StructType([StructField("token_index", LongType()), *kinds.fields]))
+
+
 def number_tokens(tokens: DataFrame) -> DataFrame:
     """Add the global ``token_index`` in (ls_index, token_pos) order.
 
     Tokens are stored first, so that a tokenizer runs once for the counts and the rows. They meet their document's
-    first number in a hash of the documents, so that the many tokens of a task are never sorted.
+    first number in a hash of the documents, so that the many tokens of a task are never sorted; the tokens of a
+    document are stored and travel there as one packed value.
     """
-    tokens = store(tokens, "tokens")
-    counts = tokens.groupBy("ls_index").agg(F.count("*").alias("num_tokens"))
+    packed = store(_pack(tokens), "tokens")
+    counts = packed.groupBy("ls_index").agg(F.sum("num_tokens").alias("num_tokens"))
     first = token_offsets(counts).select("ls_index", "first_token")
-    index = F.col("first_token") + F.col("token_pos")
-    return tokens.join(first.hint("shuffle_hash"), "ls_index").select(index.alias("token_index"), *tokens.columns)
+    return _unpack(packed.join(first.hint("shuffle_hash"), "ls_index"), tokens.schema)
 
 
 def check_token_counts(docs: DataFrame, tokens: DataFrame) -> DataFrame:

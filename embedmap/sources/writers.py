@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from embedmap.operators.joins import scope_input_join, tag_columns
-from embedmap.operators.tokens import require_token_counts
-from embedmap.session import cut_lineage
+from embedmap.operators.tokens import TOKEN_FILES, require_token_counts
+from embedmap.session import shuffles_end
 
 VECTOR_SCHEMA = {"ls_index": "bigint", "vector": "array<float>"}
 
@@ -23,6 +24,21 @@ def exists(spark: SparkSession, path: str) -> bool:
         return False
 
 
+def _beside(spark: SparkSession, path: str) -> tuple[str, Callable[[bool], None]]:
+    """A fresh path beside ``path``, and a function that moves what is there to ``path`` or drops it."""
+    beside = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
+    jvm = spark._jvm
+    here, there = jvm.org.apache.hadoop.fs.Path(beside), jvm.org.apache.hadoop.fs.Path(path)
+    fs = there.getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def put(good: bool) -> None:
+        fs.delete(there if good else here, True)
+        if good and not fs.rename(here, there):
+            raise OSError(f"cannot move the copy to {path}")
+
+    return beside, put
+
+
 def append_vectors(vectors: DataFrame, path: str) -> None:
     """Append rows as (ls_index BIGINT, vector ARRAY<FLOAT>), or in an older table's own types."""
     spark = vectors.sparkSession
@@ -33,10 +49,20 @@ def append_vectors(vectors: DataFrame, path: str) -> None:
 
 
 def append_token_rows(docs: DataFrame, tokens: DataFrame, path: str) -> None:
-    """Write token rows anew, and only if they agree with the stored token counts."""
-    fixed = cut_lineage(tokens)
-    require_token_counts(docs, fixed)
-    fixed.write.mode("overwrite").parquet(path)
+    """Write token rows anew, and only if they agree with the stored token counts.
+
+    They are written once, beside the target, and take its place when their counts are right.
+    """
+    spark = tokens.sparkSession
+    beside, put = _beside(spark, path)
+    with shuffles_end(spark):
+        tokens.write.options(**TOKEN_FILES).parquet(beside)
+    try:
+        require_token_counts(docs, spark.read.schema(tokens.schema).parquet(beside))
+    except ValueError:
+        put(False)
+        raise
+    put(True)
 
 
 def compact(spark: SparkSession, path: str, target: str, files: int) -> None:
@@ -86,15 +112,10 @@ def verified_copy(source: DataFrame, path: str, tolerance: float = 1e-6) -> str:
 
     if exists(spark, path) and sound(path):
         return "already_migrated"
-    beside = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
-    jvm = spark._jvm
-    here, there = jvm.org.apache.hadoop.fs.Path(beside), jvm.org.apache.hadoop.fs.Path(path)
-    fs = there.getFileSystem(spark._jsc.hadoopConfiguration())
+    beside, put = _beside(spark, path)
     source.select("ls_index", F.col("vector").cast("array<float>")).write.parquet(beside)
     if not sound(beside):
-        fs.delete(here, True)
+        put(False)
         raise ValueError(f"copy for {path} differs from its source")
-    fs.delete(there, True)
-    if not fs.rename(here, there):
-        raise OSError(f"cannot move the copy to {path}")
+    put(True)
     return "migrated"
