@@ -26,11 +26,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from embedmap.llm.words import Slice, arrow_rows, mix, slices
+from embedmap.llm.words import Slice, arrow_rows, bitmap, mix, passing, slices
 from embedmap.session import store
 
-BITMAP_BITS = 26  # 8 MB in every task; more phrases only make more of the others pass
-PIECE_BITS = 7  # a bitmap is put together from so many pieces (a power of two)
 TEXT_SLICE = 1 << 20
 TASK_KEYS = 3_000_000  # hashes a task holds before it counts them
 TASK_ROWS = 500_000  # distinct phrases a task holds before it hands them on
@@ -83,33 +81,6 @@ def _phrases(batch: pa.RecordBatch, limit: int = TEXT_SLICE) -> Iterator[Phrases
         yield Phrases(part, langs[part.lo : part.hi])
 
 
-def _passing(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    slot = keys >> _U(64 - BITMAP_BITS)
-    return (bits[(slot >> _U(3)).astype(np.int64)] >> (slot & _U(7)).astype(np.uint8)) & 1 > 0
-
-
-def _bitmap(keys: DataFrame) -> np.ndarray:
-    """Which slots the hashes of (key) take: 2**BITMAP_BITS bits reach the driver, however many keys there are."""
-    bits = BITMAP_BITS - PIECE_BITS
-    piece = F.shiftrightunsigned("key", 64 - PIECE_BITS)
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces: dict[int, np.ndarray] = {}
-        for batch in batches:
-            slot = batch.column(0).to_numpy().view(_U) >> _U(64 - BITMAP_BITS)
-            of = (slot >> _U(bits)).astype(np.int64)
-            for p in np.unique(of).tolist():
-                mine = pieces.setdefault(p, np.zeros(1 << bits, bool))
-                mine[(slot[of == p] & _U((1 << bits) - 1)).astype(np.int64)] = True
-        packed = [np.packbits(b, bitorder="little").tobytes() for b in pieces.values()]
-        yield pa.record_batch([pa.array(pieces.keys(), pa.int32()), pa.array(packed, pa.binary())], names=["piece", "bits"])
-
-    total = np.zeros(1 << (BITMAP_BITS - 3), np.uint8)
-    for row in arrow_rows(keys.select("key").repartition(1 << PIECE_BITS, piece), rows, "piece int, bits binary").collect():
-        total[row.piece << (bits - 3) : (row.piece + 1) << (bits - 3)] |= np.frombuffer(row.bits, np.uint8)
-    return total
-
-
 def _pair_keys(pairs: DataFrame) -> DataFrame:
     """(key) of (lang, phrase) of two words."""
 
@@ -211,14 +182,14 @@ def _expanded(texts: DataFrame, pairs: DataFrame, low: DataFrame, often: np.ndar
     sc = texts.sparkSession.sparkContext
     reached = pairs.join(low, "lang")
     top = store(reached.filter(F.col("score") >= F.col("low")), "top-pairs")
-    grow = sc.broadcast(_bitmap(_pair_keys(reached.filter(F.col("bound") >= F.col("low")))))
-    ends = sc.broadcast(_bitmap(_pair_keys(top)))
+    grow = sc.broadcast(bitmap(_pair_keys(reached.filter(F.col("bound") >= F.col("low")))))
+    ends = sc.broadcast(bitmap(_pair_keys(top)))
     often = sc.broadcast(often)
 
     def triples(p: Phrases) -> list[tuple[int, np.ndarray, np.ndarray]]:
         at = np.flatnonzero(p.joined[1:] & p.joined[:-1])
         first, rest = p.two[at], p.two[at + 1]
-        at = at[_passing(often.value, first) & _passing(often.value, rest) & (_passing(grow.value, first) | _passing(ends.value, rest))]
+        at = at[passing(often.value, first) & passing(often.value, rest) & (passing(grow.value, first) | passing(ends.value, rest))]
         return [(3, at, p.three(at))]
 
     mine = texts.join(low.select("lang"), "lang", "left_semi").select("lang", "text")
@@ -254,12 +225,12 @@ def collocations(
     are not read. An empty table, or one without frequent pairs, gives an empty one.
     """
     texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit(UNKNOWN)).alias("lang"), F.col(text_col).alias("text"))
-    often = _bitmap(_often(texts, min_count))
+    often = bitmap(_often(texts, min_count))
     shared = docs.sparkSession.sparkContext.broadcast(often)
 
     def frequent(p: Phrases) -> list[tuple[int, np.ndarray, np.ndarray]]:
-        one, two = np.flatnonzero(_passing(shared.value, p.one)), np.flatnonzero(p.joined)
-        two = two[_passing(shared.value, p.two[two])]
+        one, two = np.flatnonzero(passing(shared.value, p.one)), np.flatnonzero(p.joined)
+        two = two[passing(shared.value, p.two[two])]
         return [(1, one, p.one[one]), (2, two, p.two[two])]
 
     grams = store(_counts(texts, frequent, True).filter((F.col("f") >= min_count) | (F.col("size") == 0)), "phrase-counts")

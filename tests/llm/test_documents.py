@@ -13,6 +13,7 @@ from tokenizers import Tokenizer
 from embedmap.llm import bpe, lang_id, licenses, secrets
 from embedmap.llm.lang_id import identify
 from embedmap.llm.line_dedup import drop_boilerplate
+from embedmap.llm import near_dup
 from embedmap.llm.near_dup import least_overlap, near_duplicates
 from embedmap.llm.substrings import drop_repeats
 
@@ -427,3 +428,36 @@ def test_near_duplicates_at_every_threshold(spark, percent, shingle):
                     low[a], changed = low[b], True
     got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=shingle, percent=percent).collect()
     assert {r.doc_id: r.component_id for r in got} == low
+
+
+def test_near_duplicates_move_no_text(spark, monkeypatch):
+    plans = {}
+
+    def seen(df, name, **options):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return store(df, name, **options)
+
+    store = near_dup.store
+    monkeypatch.setattr(near_dup, "store", seen)
+    keys = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    for key in keys:
+        spark.conf.set(key, "-1")
+    try:
+        words = [f"w{i}" for i in range(60)]
+        texts = [" ".join(words), " ".join([*words, "end"]), "other words of another text", "other words of another text"]
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        got = {r.doc_id: r.component_id for r in near_duplicates(docs, shingle=2).collect()}
+    finally:
+        for key in keys:
+            spark.conf.unset(key)
+    assert got == {0: 0, 1: 0, 2: 2, 3: 2}
+    assert not re.search(r"Exchange|Join", plans["full-sets"]), plans["full-sets"]
+    assert "Window" in plans["inverted-lists"]
+
+
+def test_full_sets_tell_repeated_ids_apart(spark):
+    docs = spark.createDataFrame([(1, "a b c"), (5, "a b c"), (5, "d e f g"), (None, "x y"), (9, "p q")], "id long, text string")
+    rows = near_dup.set_rows(docs, 2, 64).filter("(id = 1) OR (id = 5 AND n = 3)")
+    ids = spark.createDataFrame([(1,), (5,), (5,)], "id long")
+    got = near_dup._full_sets(docs, rows, ids, 2)
+    assert sorted((r.id, len(r["items"])) for r in got.collect() if r.id in (1, 5)) == [(1, 2), (5, 3)]
