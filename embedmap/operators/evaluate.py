@@ -4,55 +4,96 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from embedmap.operators.cluster import map_axes
-from embedmap.operators.knn import knn_join, matrix, squared
+from embedmap.operators.knn import knn_join
 from embedmap.operators.ranking import uniform_sample
 from embedmap.operators.sets import neighbor_overlap
 from embedmap.session import store
 
 MEAN_BLOCK = 1024
+SCORE_PARTS = 8  # blocks of rows that are scored, more only where they would pass SCORE_ROWS
+SCORE_ROWS = 2**18
+TILE = (64, 1024)  # rows of both sides whose distances are held at a time, so that they stay in the cache
+
+
+def distance_sums(left: list[np.ndarray], right: list[np.ndarray], weight: np.ndarray | None, first: np.ndarray) -> np.ndarray:
+    """Per row of the left side the (weighted) sum of its distances to each group of right rows, which begin at ``first``.
+
+    Both sides are given as one array per axis.
+    """
+    out = np.zeros((len(left[0]), len(first)))
+    size = len(right[0])
+    own, other = np.empty(TILE), np.empty(TILE)
+    for lo in range(0, size, TILE[1]):
+        hi = min(lo + TILE[1], size)
+        groups = slice(np.searchsorted(first, lo, "right") - 1, np.searchsorted(first, hi))
+        cuts = np.maximum(first[groups] - lo, 0)
+        for s in range(0, len(out), TILE[0]):
+            e = min(s + TILE[0], len(out))
+            d, g = own[: e - s, : hi - lo], other[: e - s, : hi - lo]
+            for k, (x, y) in enumerate(zip(left, right, strict=True)):
+                np.subtract(x[s:e, None], y[lo:hi], out=g if k else d)
+                if k:
+                    np.multiply(g, g, out=g)
+                    d += g
+                else:
+                    np.multiply(d, d, out=d)
+            np.sqrt(d, out=d)
+            if weight is not None:
+                d *= weight[lo:hi]
+            out[s:e, groups] += np.add.reduceat(d, cuts, axis=1)
+    return out
 
 
 def silhouette(points: DataFrame, cluster: str = "cluster", sample: int | None = None, seed: int = 42) -> DataFrame:
     """One row: mean silhouette with plain euclidean distances on the map axes.
 
-    All rows are scored, or a fixed sample if the caller gives its size. Rows are packed in blocks that
-    every row meets once; only distance sums per cluster leave a task. The exact score compares all
+    All rows are scored, or a fixed sample if the caller gives its size. Rows are cut into few large blocks,
+    every two blocks are a task and only distance sums per cluster leave it. The exact score compares all
     rows, so a large map calls for a sample.
     """
     axes = map_axes(points)
-    rows = points.select("ls_index", F.col(cluster).cast("int").alias("c"), F.array(*[F.col(a).cast("double") for a in axes]).alias("v"))
+    rows = points.select(F.col("ls_index").cast("long"), F.col(cluster).cast("int").alias("c"), *[F.col(a).cast("double").alias(a) for a in axes])
     if sample is not None:
         rows = uniform_sample(rows, sample, seed)
-    parts = max(1, -(-rows.count() // MEAN_BLOCK))
-    block = F.pmod(F.xxhash64("ls_index"), F.lit(parts)).alias("block")
-    right = rows.groupBy(block).agg(F.collect_list(F.struct("c", "v")).alias("right"))
-    left = rows.groupBy(F.pmod(F.xxhash64("ls_index"), F.lit(parts)).alias("home")).agg(
-        F.collect_list(F.struct("ls_index", "c", "v")).alias("left")
-    )
-    ids = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("block")
-    pairs = left.select("left", ids).join(right, "block").select("left", "right")
+    rows = store(rows, "scored-rows")
+    n = rows.count()
+    parts = max(1, min(SCORE_PARTS, n // MEAN_BLOCK), -(-n // SCORE_ROWS))
+    part = F.pmod(F.xxhash64("ls_index"), F.lit(parts)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    left = rows.select(part.alias("l"), every.alias("r"), "*", F.lit(True).alias("asks"))
+    right = rows.select(every.alias("l"), part.alias("r"), "*", F.lit(False).alias("asks")).filter("c IS NOT NULL")
+    pair = (F.col("l") * parts + F.col("r")).alias("pair")
+    pairs = left.unionByName(right).select(pair, "ls_index", "c", *axes, "asks").repartitionById(parts * parts, F.col("pair"))
 
     def run(batches):
-        for b in batches:
-            for i in range(b.num_rows):
-                left, right = b.column("left")[i].values, b.column("right")[i].values
-                d = np.sqrt(squared(matrix(left.field("v")), matrix(right.field("v"))))
-                labels, inverse = np.unique(right.field("c").to_numpy(zero_copy_only=False), return_inverse=True)
-                sums = np.stack([d[:, inverse == j].sum(1) for j in range(len(labels))], axis=1)
-                n = len(left)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        left.field("ls_index").take(pa.array(np.repeat(np.arange(n), len(labels)))),
-                        left.field("c").take(pa.array(np.repeat(np.arange(n), len(labels)))),
-                        pa.array(np.tile(labels, n).astype(np.int32)),
-                        pa.array(sums.ravel()),
-                    ],
-                    names=["ls_index", "own", "other", "total"],
-                )
+        table = pa.Table.from_batches(batches) if (batches := list(batches)) else None
+        if table is None:
+            return
+        asks = table.column("asks")
+        lt, rt = table.filter(asks).combine_chunks(), table.filter(pc.invert(asks)).combine_chunks().sort_by("c")
+        del table, batches
+        if not lt.num_rows or not rt.num_rows:
+            return
+        field = lambda t, c: t.column(c).to_numpy()
+        labels, first = np.unique(field(rt, "c"), return_index=True)
+        lv, rv = ([field(t, a) for a in axes] for t in (lt, rt))
+        step = max(64, min(4096, 2**22 // len(labels)))
+        for s in range(0, lt.num_rows, step):
+            sums = distance_sums([x[s : s + step] for x in lv], rv, None, first)
+            at, own = pa.array(np.repeat(np.arange(len(sums)), len(labels))), lt.slice(s, len(sums)).combine_chunks()
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *[own.column(c).combine_chunks().take(at) for c in ("ls_index", "c")],
+                    pa.array(np.tile(labels, len(sums)).astype(np.int32)),
+                    pa.array(sums.ravel()),
+                ],
+                names=["ls_index", "own", "other", "total"],
+            )
 
     sums = pairs.mapInArrow(run, "ls_index long, own int, other int, total double")
     sums = sums.groupBy("ls_index", "own", "other").agg(F.sum("total").alias("total"))

@@ -122,3 +122,42 @@ def test_sparse_svd_ends_when_the_vectors_are_steady(spark):
     assert np.allclose(found, want, rtol=1e-8)
     assert np.allclose(q.T @ q, np.eye(3), atol=1e-8)
     assert np.linalg.norm(m.T @ (m @ q) - q * want**2, axis=0).max() < 1e-4 * want[2] ** 2
+
+
+@pytest.mark.parametrize("dims", [2, 3])
+@pytest.mark.parametrize("leaf", [4, 64])
+def test_cells_of_two_ancestors_go_together(spark, monkeypatch, dims, leaf):
+    rng = np.random.default_rng(dims)
+    c = rng.integers(0, 5, 600)
+    p = rng.normal(size=(5, dims))[c] * 2 + rng.normal(size=(600, dims)) * 0.5
+    p[:200], c[:200] = p[0], np.arange(200) % 2
+    lists, plain = [], FF._family_sums
+    monkeypatch.setattr(FF, "FAMILY_WORK", 0)
+    monkeypatch.setattr(FF, "_near_sums", None)
+    monkeypatch.setattr(FF, "_family_sums", lambda pairs, axes: (lists.append(pairs.agg(F.count("*"), F.sum(F.size("met"))).first()), plain(pairs, axes))[1])
+    got = FF.silhouette_far(_points(spark, p, c), leaf=leaf).first()["silhouette"]
+    assert abs(got - _score(p, c)) <= 1e-3
+    # fewer lists travel than cells meet, but for one ancestor
+    assert any(n < m / 2 for n, m in lists) or leaf == 64
+
+
+def test_distance_sums_in_tiles():
+    rng = np.random.default_rng(9)
+    left, right = rng.normal(size=(3, 200)), rng.normal(size=(3, 3000))
+    first, n = np.array([0, 1, 900, 1024, 2500]), rng.integers(1, 4, 3000)
+    d = np.sqrt(((left[:, :, None] - right[:, None]) ** 2).sum(0))
+    for weight in (None, n):
+        want = np.add.reduceat(d if weight is None else d * weight, first, axis=1)
+        assert np.allclose(E.distance_sums([*left], [*right], weight, first), want, rtol=1e-12)
+
+
+def test_blocks_of_the_exact_score_leave_one_sum_a_cluster(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    c, p = rng.integers(0, 4, 300), rng.normal(size=(300, 2))
+    for name, value in (("MEAN_BLOCK", 16), ("SCORE_PARTS", 3), ("SCORE_ROWS", 64)):
+        monkeypatch.setattr(E, name, value)
+    df = _points(spark, p, c)
+    assert abs(E.silhouette(df).first()["silhouette"] - _score(p, c)) <= 1e-4
+    # a row without a cluster has no score, and none counts it
+    odd = df.union(spark.createDataFrame([(300, None, 0.0, 0.0)], df.schema))
+    assert E.silhouette(odd).first().asDict() == {"silhouette": None, "scored": 301}
